@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op3_repeats
+from . import op3_repeats, op9_minhash
 
 QUERIES = {
     "op3_remove_repeats": op3_repeats.query,
+    "op9_near_duplicates": op9_minhash.query,
 }
 ORACLES: dict[str, str] = {}
