@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import op3_repeats, op9_minhash
+from . import op3_repeats, op4_packing, op9_minhash, op10_planes
 
 QUERIES = {
     "op3_remove_repeats": op3_repeats.query,
+    "op4_pack_sequences": op4_packing.query,
     "op9_near_duplicates": op9_minhash.query,
+    "op10_plane_files": op10_planes.query,
 }
 ORACLES: dict[str, str] = {}
