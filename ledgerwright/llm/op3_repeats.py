@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,7 +141,15 @@ def _shared(table: pa.Table) -> pa.Table:
     )
 
 
-_STRETCH = [("shard", pa.int64()), ("block", pa.int64()), ("anchor", pa.binary()), ("key", pa.binary()), ("doc", pa.binary()), ("next", pa.binary()), ("size", pa.binary()), ("bytes", pa.binary())]
+_STRETCH = [("shard", pa.int64()), ("block", pa.int64()), ("anchor", pa.binary()), ("doc", pa.binary()), ("next", pa.binary()), ("size", pa.binary()), ("bytes", pa.binary())]
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+
+
+def _unpacked(x: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
 def _two_least(group_first: np.ndarray, doc: np.ndarray, nxt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,24 +205,34 @@ def _stretches(key, docs: pa.Table, answers: pa.Table, least: int, seed: int, sh
     for x, y in zip(cut[:-1], cut[1:]):
         z = size[x:y]
         pos = np.repeat(begin[x:y] - (np.cumsum(z) - z), z) + np.arange(z.sum())
-        rows.append((int(shard[x]), key[0].as_py(), a[x:y].tobytes(), k[x:y].tobytes(), low[x:y].tobytes(), second[x:y].tobytes(), z.astype(np.uint16).tobytes(), text[pos].tobytes()))
+        rows.append((int(shard[x]), key[0].as_py(), a[x:y].tobytes(), _packed(low[x:y]), _packed(second[x:y]), _packed(z.astype(np.uint16)), _packed(text[pos])))
     return pa.table([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _STRETCH)], schema=schema)
 
 
 _SPANS = [("block", pa.int64()), ("key", pa.binary()), ("at", pa.binary()), ("size", pa.binary()), ("doc", pa.binary())]
 
 
+def _keys(text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches' hashes, as their blocks know them, some MB of text at a time."""
+    out = np.empty(len(size), np.uint64)
+    edges = np.append(np.searchsorted(begin, np.arange(0, len(text), tc.BLOCK_BYTES)), len(size))
+    for x, y in zip(edges[:-1], edges[1:]):
+        if x < y:
+            base = begin[x]
+            out[x:y] = tc.span_hash(tc.prefix_sums(text[base : begin[y - 1] + size[y - 1]]), begin[x:y] - base, begin[x:y] - base + size[x:y])
+    return out
+
+
 def _repeats(table: pa.Table, least: int) -> pa.Table:
     """Step 4. Maximal repeats of the shard's stretches, as spans for every block that holds the stretch."""
     schema = pa.schema(_SPANS)
-    col = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
-    anchors, sizes = col("anchor", np.uint64), col("size", np.uint16)
+    col = lambda name, kind: np.concatenate([_unpacked(x, kind) for x in table.column(name).to_pylist()])
+    anchors = [np.frombuffer(x, np.uint64) for x in table.column("anchor").to_pylist()]
     block = np.repeat(table.column("block").to_numpy(), [len(x) for x in anchors])
-    a, k = np.concatenate(anchors), np.concatenate(col("key", np.uint64))
-    doc, nxt = np.concatenate(col("doc", np.int64)), np.concatenate(col("next", np.int64))
-    size = np.concatenate(sizes).astype(np.int64)
-    text = np.concatenate(col("bytes", np.uint8))
+    a = np.concatenate(anchors)
+    doc, nxt, size, text = col("doc", np.int64), col("next", np.int64), col("size", np.uint16).astype(np.int64), col("bytes", np.uint8)
     begin = np.cumsum(size) - size
+    k = _keys(text, begin, size)
     order = np.lexsort((k, a))
     a, k, doc, nxt, size, begin, block = a[order], k[order], doc[order], nxt[order], size[order], begin[order], block[order]
     first = _runs(k)
@@ -348,7 +367,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, seed: int = SEED) -> DataFr
     anchors = docs.groupBy("block").applyInArrow(_grouped(_anchors, least=least, seed=seed, shards=shards), "shard bigint, block bigint, one binary, several binary")
     shared = anchors.groupBy("shard").applyInArrow(_grouped(_shared), "block bigint, anchors binary")
     found = docs.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
-        _cogrouped(_stretches, least=least, seed=seed, shards=shards), "shard bigint, block bigint, anchor binary, key binary, doc binary, next binary, size binary, bytes binary"
+        _cogrouped(_stretches, least=least, seed=seed, shards=shards), "shard bigint, block bigint, anchor binary, doc binary, next binary, size binary, bytes binary"
     )
     spans = found.groupBy("shard").applyInArrow(_grouped(_repeats, least=least), "block bigint, key binary, at binary, size binary, doc binary")
     return docs.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_cogrouped_plain(_removed, least=least, seed=seed), _RESULT)
