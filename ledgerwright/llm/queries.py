@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import op3_repeats, op4_packing, op7_media, op8_pii, op9_minhash, op10_planes
+from . import op3_repeats, op4_packing, op5_language, op6_toxicity, op7_media, op8_pii, op9_minhash, op10_planes
 
 QUERIES = {
     "op3_remove_repeats": op3_repeats.query,
     "op4_pack_sequences": op4_packing.query,
+    "op5_word_languages": op5_language.query,
+    "op6_toxicity_scores": op6_toxicity.query,
     "op7_media_boxes": op7_media.query,
     "op8_personal_data": op8_pii.query,
     "op9_near_duplicates": op9_minhash.query,
