@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import op3_repeats, op4_packing, op5_language, op6_toxicity, op7_media, op8_pii, op9_minhash, op10_planes
+from . import op1_licenses, op2_decontaminate, op3_repeats, op4_packing, op5_language, op6_toxicity, op7_media, op8_pii, op9_minhash, op10_planes
 
 QUERIES = {
+    "op1_license_paragraphs": op1_licenses.query,
+    "op2_contaminated_passages": op2_decontaminate.query,
     "op3_remove_repeats": op3_repeats.query,
     "op4_pack_sequences": op4_packing.query,
     "op5_word_languages": op5_language.query,
