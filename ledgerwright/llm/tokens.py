@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 
 import numpy as np
 
@@ -48,13 +49,15 @@ class Encoder:
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.kind = self._kind(path)
         self.wide = self.whole.get_vocab_size(with_added_tokens=True) > 65536
-        mark = {"byte_level": "\n", "word_end": "\x01"}.get(self.kind)
-        ids = self.plain.encode(mark, add_special_tokens=False).ids if mark else []
-        if len(ids) != 1:
-            self.kind = "whole"
-        else:
-            self.mark = ids[0]
+        self.code = "I" if self.wide else "H"
+        self.mark = self._packed(self.plain.encode("\n", add_special_tokens=False).ids)
         self._forget()
+        if self.kind != "whole":  # the model's own word has to agree with the whole tokenizer
+            for word in ("the", " reading", "\u00e9tudes", " Stra\u00dfe"):
+                if self.kind == "byte_level" or word[0] != " ":
+                    got = self._letters(word.lower() if self.kind == "word_end" else word)
+                    if got != self._packed(self.plain.encode(word, add_special_tokens=False).ids):
+                        self.kind = "whole"
 
     @staticmethod
     def _kind(path: str) -> str:
@@ -71,140 +74,83 @@ class Encoder:
         return "word_end" if cut and names == ["NFC", "Replace", "Lowercase"] and r"\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in json.dumps(steps[0], ensure_ascii=False).replace("\\\\", "\\") else "whole"
 
     def _forget(self) -> None:
-        self.piece: dict[str, int] = {}
-        self.word: dict = {}
-        self.pieces = _Arena()
-        self.words = _Arena()
-
-    def _add_pieces(self, pieces: list[str]) -> None:
-        """Many pieces in one call, told apart by the id of a mark that no piece contains."""
-        mark = "\n" if self.kind == "byte_level" else " \x01 "
-        for k in range(0, len(pieces), 5000):
-            part = pieces[k : k + 5000]
-            ids = np.array(self.plain.encode(mark.join(part), add_special_tokens=False).ids, np.uint32)
-            cut = np.flatnonzero(ids == self.mark)
-            if len(cut) != len(part) - 1:
-                raise AssertionError("the mark is not a piece of its own")
-            sizes = np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
-            base = self.pieces.add(ids[ids != self.mark], sizes)
-            self.piece.update(zip(part, range(base, base + len(part))))
-
-    def _add_words(self, new: list) -> None:
-        """Ids of new words from those of their pieces; of each word at most lead, letters and punctuation."""
-        byte_level = self.kind == "byte_level"
-        split, missing = [], {}
-        if byte_level and "\n" not in self.piece:
-            self.piece["\n"] = self.pieces.add(np.array([self.mark], np.uint32), np.array([1]))
-        for key in new:
-            word = key if byte_level else key.decode("utf-8")
-            lead = ""
-            if byte_level:
-                if word[:1] == "\n":
-                    lead, word = "\n", word[1:]
-                else:
-                    word = " " + word
-            core = word.rstrip(_TAIL)
-            letters = core[1:] if core[:1] == " " else core
-            if len(core) < len(word) and letters.isalpha() and letters.isascii() | _latin(letters):
-                found = [lead, core, word[len(core) :]]
-            else:
-                found = [lead, word]
-            found = [p for p in found if p]
-            split.append(found)
-            for p in found:
-                if p not in self.piece:
-                    missing[p] = None
-        self._add_pieces(list(missing))
-        known = self.piece
-        flat = np.fromiter((known[p] for f in split for p in f), np.int64)
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        ids, sizes = self.pieces.take(flat)
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        base = self.words.add(ids, np.diff(total[ends]))
-        self.word.update(zip(new, range(base, base + len(new))))
+        self.word = _Known(self._word)
+        self.letters = _Known(self._letters)
+        self.other = _Known(self._other)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def _letters(self, piece: str) -> bytes:
+        """Latin letters, with or without a space before them, are one word for the model."""
+        if not piece.isascii():
+            piece = (piece.lower() if self.kind == "word_end" else piece).encode("utf-8").decode("latin-1").translate(_VISIBLE)
+        if piece[0] == " ":
+            piece = "\u0120" + piece[1:]
+        return self._packed([t.id for t in self.plain.model.tokenize(piece)])
+
+    def _other(self, piece: str) -> bytes:
+        return self._packed(self.plain.encode(piece, add_special_tokens=False).ids)
+
+    def _word(self, key) -> bytes:
+        """Ids of a new word from those of its pieces: a line break, letters, and punctuation after them."""
+        if self.kind == "word_end":
+            word, out = key.decode("utf-8"), b""
+        elif key[:1] == "\n":
+            word, out = key[1:], self.mark
+        else:
+            word, out = " " + key, b""
+        core = word.rstrip(_TAIL)
+        letters = core[1:] if core[:1] == " " else core
+        if letters.isalpha() and (letters.isascii() or _latin(letters)):
+            out += self.letters[core]
+            return out + self.other[word[len(core) :]] if len(core) < len(word) else out
+        return out + self.other[word] if word else out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number of ids of each text."""
-        parts: list = [None] * len(texts)
-        fast: list[int] = []
-        byte_level = self.kind == "byte_level"
-        for i, text in enumerate(texts):
+        if len(self.word) + len(self.letters) > _MOST_WORDS:
+            self._forget()
+        byte_level, find, out = self.kind == "byte_level", self.word.__getitem__, []
+        for text in texts:
             if not text:
-                parts[i] = ()
+                out.append(b"")
             elif self.kind == "whole" or any(s in text for s in self.special):
-                parts[i] = None
-            elif byte_level:
-                if not _unusual(text):
-                    parts[i] = ("\n" + text).replace("\n", " \n").split(" ")[1:]
-                    fast.append(i)
-            elif "\x01" not in text:
-                parts[i] = text.encode("utf-8").lower().split()
-                fast.append(i)
-        if len(self.word) > _MOST_WORDS:
-            self._forget()
-        new = set()
-        for i in fast:
-            new.update(parts[i])
-        new.difference_update(self.word.keys())
-        if new:
-            self._add_words(sorted(new))
-        find = self.word.__getitem__
-        out, sizes = [], np.zeros(len(texts), np.int64)
-        for i, p in enumerate(parts):
-            if p is None:
-                ids = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, np.uint32)
-            elif not len(p):
-                continue
-            else:
-                ids, _ = self.words.take(np.fromiter(map(find, p), np.int64, len(p)))
-                if byte_level:
-                    ids = ids[1:]  # the line break put before the text
-            sizes[i] = len(ids)
-            out.append(ids)
-        return (np.concatenate(out) if out else np.empty(0, np.uint32)), sizes
+                out.append(self._packed(self.whole.encode(text, add_special_tokens=False).ids))
+            elif not byte_level:
+                out.append(b"".join(map(find, text.encode("utf-8").lower().split())))
+            elif _unusual(text):
+                out.append(self._packed(self.plain.encode(text, add_special_tokens=False).ids))
+            else:  # less the line break put before the text
+                out.append(b"".join(map(find, f"\n{text}".replace("\n", " \n").split(" ")[1:]))[len(self.mark) :])
+        size = array(self.code).itemsize
+        return np.frombuffer(b"".join(out), self.code), np.fromiter(map(len, out), np.int64, len(out)) // size
 
 
-def _latin(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
+class _Known(dict):
+    """A mapping that works out what it does not have yet."""
 
-class _Arena:
-    """Id sequences one after another."""
+    def __init__(self, find):
+        self.find = find
 
-    def __init__(self):
-        self.ids = np.empty(1 << 12, np.uint32)
-        self.used, self.n = 0, 0
-        self.start = np.empty(1 << 10, np.int64)
-        self.size = np.empty(1 << 10, np.int32)
+    def __missing__(self, key):
+        value = self[key] = self.find(key)
+        return value
 
-    def add(self, ids: np.ndarray, sizes: np.ndarray) -> int:
-        self.ids = _room(self.ids, self.used + len(ids))
-        self.start, self.size = _room(self.start, self.n + len(sizes)), _room(self.size, self.n + len(sizes))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.start[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
-        self.size[self.n : self.n + len(sizes)] = sizes
-        base, self.used, self.n = self.n, self.used + len(ids), self.n + len(sizes)
-        return base
 
-    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sizes = self.size[which].astype(np.int64)
-        ends = np.cumsum(sizes)
-        at = np.repeat(self.start[which] - (ends - sizes), sizes)
-        at += np.arange(len(at))
-        return self.ids[at], sizes
+#: Byte-level vocabularies spell a byte as itself where that is visible, and as the next free character above 255 otherwise.
+_VISIBLE = {}
+for _b in range(256):
+    if not (0x21 <= _b <= 0x7E or 0xA1 <= _b <= 0xAC or 0xAE <= _b <= 0xFF):
+        _VISIBLE[_b] = 256 + len(_VISIBLE)
 
 
-def _room(a: np.ndarray, n: int) -> np.ndarray:
-    if n <= len(a):
-        return a
-    out = np.empty(max(n, 2 * len(a)), a.dtype)
-    out[: len(a)] = a
-    return out
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 _held: dict[str, Encoder] = {}
@@ -218,7 +164,7 @@ def encoder(path: str) -> Encoder:
 
 
 def encoded(batches, path: str, end_id: int | None):
-    """Of batches with doc_id and text: doc_id column, ids (uint32) and counts, ``end_id`` after each text."""
+    """Of batches with doc_id and text: doc_id column, ids and counts, ``end_id`` after each text."""
     e = encoder(path)
     for batch in batches:
         ids = batch.column("doc_id")
@@ -228,5 +174,6 @@ def encoded(batches, path: str, end_id: int | None):
             flat, sizes = e.encode(texts)
             if end_id is not None:
                 ends = np.cumsum(sizes)
+                flat = flat if end_id <= np.iinfo(flat.dtype).max else flat.astype(np.uint32)
                 flat, sizes = np.insert(flat, ends, end_id), sizes + 1
             yield ids.slice(lo, step), flat, sizes
