@@ -357,5 +357,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     found = find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     line = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     strict = F.filter("spans", lambda x: x["strict"])
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["strict"] & (x["kind"] == k))).cast("bigint").alias(f"n_{k}") for k in BASE]
+    of = lambda k: F.filter("spans", lambda x: x["strict"] & (x["kind"] == k))
+    counts = [F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in BASE]
     return found.select("doc_id", *counts, F.sha2(line(strict), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
