@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +90,77 @@ def _sets(words: int):
     return run
 
 
+#: Counters for the rarity of shingles, one byte each. The table is bounded, as any order that is the same for
+#: all sets is exact; counters that several shingles share only let more pairs through to the confirmation.
+COUNTERS = 1 << 24
+_CHUNKS = 64
+
+
+def _place(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _count(batches):
+    schema = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
+    total = np.zeros(COUNTERS, np.uint16)
+    for batch in batches:
+        for items in batch.column("items"):
+            at = _place(np.frombuffer(items.as_buffer(), np.uint64))
+            total[at] = np.minimum(total[at], 65000) + 1
+    pack = zstandard.ZstdCompressor(level=1)
+    for k, x in enumerate(total.reshape(_CHUNKS, -1)):
+        if x.any():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack.compress(x.tobytes())], pa.binary())], schema=schema)
+
+
+def _add_counts(table: pa.Table) -> pa.Table:
+    unpack = zstandard.ZstdDecompressor()
+    total = np.zeros(COUNTERS // _CHUNKS, np.uint32)
+    for x in table.column("counts"):
+        total += np.frombuffer(unpack.decompress(x.as_buffer()), np.uint16)
+    return pa.table([table.column("chunk").slice(0, 1), pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())], names=["chunk", "counts"])
+
+
+def _rarity(sets: DataFrame):
+    """How often shingles occur, to 255, by counter: COUNTERS bytes whatever the corpus, for every executor."""
+    spark = sets.sparkSession
+    rows = sets.mapInArrow(_count, "chunk int, counts binary").groupBy("chunk").applyInArrow(lambda table: _add_counts(table), "chunk int, counts binary").collect()
+    counts = np.zeros((_CHUNKS, COUNTERS // _CHUNKS), np.uint8)
+    for r in rows:
+        counts[r["chunk"]] = np.frombuffer(r["counts"], np.uint8)
+    return spark.sparkContext.broadcast(counts.ravel())
+
+
+_PREFIX = "bucket bigint, node bigint, part bigint, n_shingles bigint, pos bigint"
+
+
+def _prefixes(num: int, den: int, rarity):
+    """A row for each of the rarest shingles of a set, of which a set similar enough has to share one."""
+    names = [f.split()[0] for f in _PREFIX.split(", ")]
+
+    def run(batches):
+        count = rarity.value
+        for batch in batches:
+            nodes, parts = batch.column("node").to_numpy(), batch.column("part").to_numpy()
+            picked, sizes, widths = [], [], []
+            for items in batch.column("items"):
+                h = np.frombuffer(items.as_buffer(), np.uint64)
+                n = len(h)
+                picked.append(h[np.lexsort((h, count[_place(h)]))[: n - -(-num * n // den) + 1]])
+                sizes.append(n)
+                widths.append(len(picked[-1]))
+            if picked:
+                width = np.array(widths)
+                ends = np.cumsum(width)
+                flat = np.concatenate(picked).view(np.int64)
+                pos = np.arange(len(flat)) - np.repeat(ends - width, width)
+                columns = [flat, np.repeat(nodes, width), np.repeat(parts, width), np.repeat(np.array(sizes, np.int64), width), pos]
+                for lo in range(0, len(flat), 1 << 18):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + (1 << 18)]) for c in columns], names=names)
+
+    return run
+
+
 def _confirm(num: int, den: int):
     """Of pairs with both sets, those with den * intersection >= num * union."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -122,9 +194,12 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (80, 100), wo
     null component_id. Null texts count as empty. Other columns are not read.
 
     Equal sets form one class first. Each member of a table's bucket is then confirmed against the
-    bucket's smallest member, one pair a member, and what that joins becomes a component. Only members of
-    one bucket that are still in different components are compared with each other, without limit. So a
-    large group of near copies costs pairs in proportion to its size, and no confirmed link is given up.
+    bucket's smallest member, one pair a member, and what that joins becomes a component. What is left
+    are members of one bucket in different components. Among these an exact rule finds every pair that
+    can still be linked: two sets that similar share one of the rarest shingles of each (a share of
+    1 - similarity of the set, and one more), whatever order rarity is taken in. So neither a large group
+    of near copies nor a passage that many documents share costs all pairs of its members, and there is
+    no cap on members or pairs.
     """
     num, den = similarity
     if not (half_keys > 0 < rows and 2 * half_keys * rows <= 4000):
@@ -158,11 +233,24 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (80, 100), wo
     placed = members.select("bucket", "node", "n_shingles").join(whole.withColumnRenamed("v", "node"), "node", "left")
     placed = placed.select("bucket", "node", "n_shingles", F.coalesce("component", "node").alias("part"))
     split = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
-    placed = durable(placed.join(split, "bucket", "left_semi"))
-    parts = placed.select("bucket", "part").distinct()
-    across = parts.join(parts.withColumnRenamed("part", "other"), "bucket").where("part < other")
-    other = placed.select("bucket", F.col("part").alias("other"), F.col("node").alias("b"), F.col("n_shingles").alias("n_b"))
-    rest = placed.join(across, ["bucket", "part"]).join(other, ["bucket", "other"]).where(size(F.col("n_shingles"), F.col("n_b")))
+    apart = placed.join(split, "bucket", "left_semi").select("node", "part").distinct()
+    shelved = durable(sets.join(apart, "node"))
+    rare = shelved.mapInArrow(_prefixes(num, den, _rarity(shelved)), _PREFIX)
+    # of two sets similar enough the smaller shares one of an even shorter prefix
+    short = (num + den) * (F.col("n_shingles") - F.col("pos")) >= 2 * num * F.col("n_shingles")
+    split = rare.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.bool_or(short).alias("short")).where("p <> q and short").select("bucket")
+    rare = durable(rare.join(split, "bucket", "left_semi"))
+    # rows of a shingle's largest component meet only those of others, so a large group never meets itself
+    sizes = rare.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
+    loose = rare.join(largest, "bucket").where("part <> largest").drop("largest")
+    other = rare.select("bucket", F.col("part").alias("other"), F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("pos").alias("pos_b"))
+    even = lambda n, pos: (num + den) * (n - pos) >= 2 * num * n
+    n, pos, n_b, pos_b = (F.col(c) for c in ("n_shingles", "pos", "n_b", "pos_b"))
+    smaller = F.when(n <= n_b, even(n, pos)).otherwise(even(n_b, pos_b))
+    # what follows the shared shingle in either set bounds the intersection
+    enough = (num + den) * F.least(n - pos, n_b - pos_b) >= num * (n + n_b)
+    rest = loose.join(other, (loose["bucket"] == other["bucket"]) & (F.col("part") != F.col("other")) & smaller & enough)
     rest = rest.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     later = _confirmed(rest, sets, num, den)
     up = whole.select(F.col("v"), "component")
