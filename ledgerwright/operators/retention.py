@@ -16,28 +16,29 @@ def build_panel(subscriptions: DataFrame, grid: Grid) -> DataFrame:
 
 
 def cohort_changes(panel: DataFrame, lag_months: int = 12) -> DataFrame:
-    """Each customer of a month with its revenue lag_months later, 0 where it has none; newcomers have no row.
+    """Revenue of each customer and month then (``was``, lag_months before) and now (``is``), null where it had none.
 
-    The earlier side is moved to the later month, so the join is on equal keys; months without any customer
-    at all are left out by the caller through the panel's own months.
+    Every panel row stands for two: its own month's now and a later month's then. One aggregate brings them
+    together, so the panel is read once and nothing is joined.
     """
-    then = panel.select(F.add_months("month", lag_months).alias("month"), "customer_id", F.col("mrr").alias("was"), F.col("plan_tier").alias("plan_tier"))
-    now = panel.select("month", "customer_id", F.col("mrr").alias("is"))
-    months = panel.select("month").distinct()
-    joined = then.join(now, ["month", "customer_id"], "left").join(F.broadcast(months), "month", "left_semi")  # a row a month
-    return joined.withColumn("is", F.coalesce("is", F.lit(0)).cast("decimal(28,2)"))
+    none = F.lit(None)
+    now = F.struct(F.col("month"), none.cast("decimal(28,2)").alias("was"), F.col("mrr").alias("is"), none.cast("string").alias("plan_tier"))
+    then = F.struct(F.add_months("month", lag_months).alias("month"), F.col("mrr").alias("was"), none.cast("decimal(28,2)").alias("is"), F.col("plan_tier").alias("plan_tier"))
+    sides = panel.select("customer_id", F.inline(F.array(now, then)))
+    return sides.groupBy("month", "customer_id").agg(F.max("was").alias("was"), F.max("is").alias("is"), F.max("plan_tier").alias("plan_tier"))
 
 
 def _measures() -> list[Column]:
-    was, now = F.col("was"), F.col("is")
-    gone, change = now == 0, F.col("is") - F.col("was")
+    was, now = F.col("was"), F.coalesce("is", F.lit(0))
+    gone, change = was.isNotNull() & (now == 0), now - was
+    stayed = was.isNotNull() & (now != 0)
     return [
         total("was").alias("starting_mrr"),
         (-total_if(gone, was)).cast("decimal(28,2)").alias("churned_mrr"),
-        total_if(~gone & (change < 0), change).alias("contraction_mrr"),
-        total_if(~gone & (change > 0), change).alias("expansion_mrr"),
-        total("is").alias("ending_mrr"),
-        F.count(F.lit(1)).alias("cohort_customers"),
+        total_if(stayed & (change < 0), change).alias("contraction_mrr"),
+        total_if(stayed & (change > 0), change).alias("expansion_mrr"),
+        total_if(stayed, now).alias("ending_mrr"),
+        F.count("was").alias("cohort_customers"),
         F.count_if(gone).alias("churned_customers"),
     ]
 
@@ -58,7 +59,9 @@ def _rates(bridge: DataFrame) -> DataFrame:
 
 def retention_bridge(panel: DataFrame, lag_months: int = 12, least_customers: int = 1) -> DataFrame:
     """Bridge of every month: losses negative, rates of the starting revenue, revenue and logo churn apart."""
-    return _rates(cohort_changes(panel, lag_months).groupBy("month").agg(*_measures())).where(F.col("cohort_customers") >= least_customers)
+    by_month = cohort_changes(panel, lag_months).groupBy("month").agg(*_measures(), F.count("is").alias("__live"))
+    held = by_month.where((F.col("__live") > 0) & (F.col("cohort_customers") >= max(1, least_customers)))  # months with customers then and now
+    return _rates(held.drop("__live"))
 
 
 def monthly_movement(panel: DataFrame, least_customers: int = 1) -> DataFrame:
@@ -79,11 +82,11 @@ def attribute_decline(movement: DataFrame, healthy: Column | None = None, damage
 
     Losses count against: impact is the fall of the loss rate; share is the impact over the change of nrr.
     """
-    ends = peak_and_latest(movement)
-    pick = lambda name: F.struct("nrr", "churn_rate", "contraction_rate", "expansion_rate").alias(name)
-    h, d = (healthy if healthy is not None else F.col("peak_month")), (damaged if damaged is not None else F.col("latest_month"))
-    chosen = movement.join(F.broadcast(ends), (F.col("month") == h) | (F.col("month") == d))  # one row
-    both = chosen.agg(F.max(F.when(F.col("month") == h, pick("x"))).alias("a"), F.max(F.when(F.col("month") == d, pick("x"))).alias("b"))
+    rates = [F.col(c) for c in ("nrr", "churn_rate", "contraction_rate", "expansion_rate")]
+    peak = F.max(F.struct(F.col("nrr").alias("__by"), (-F.unix_date("month")).alias("__n"), *rates))
+    latest = F.max(F.struct(F.col("month").alias("__by"), *rates))
+    at = lambda day: F.max(F.when(F.col("month") == day, F.struct(*rates)))
+    both = movement.agg((peak if healthy is None else at(healthy)).alias("a"), (latest if damaged is None else at(damaged)).alias("b"))
     rows = F.array(*(F.struct(F.lit(name).alias("driver"), F.col(f"a.{name}_rate").alias("healthy"), F.col(f"b.{name}_rate").alias("damaged"), F.lit(sign).alias("sign")) for name, sign in (("expansion", 1.0), ("contraction", -1.0), ("churn", -1.0))))
     flat = both.select(F.explode(rows).alias("r"), (F.col("b.nrr") - F.col("a.nrr")).alias("delta")).select("r.*", "delta")
     return flat.select("driver", "healthy", "damaged", (F.col("damaged") - F.col("healthy")).alias("change"), ((F.col("damaged") - F.col("healthy")) * F.col("sign")).alias("nrr_impact"), ratio((F.col("damaged") - F.col("healthy")) * F.col("sign"), F.col("delta")).alias("share"))
@@ -95,10 +98,10 @@ def retention_by(panel: DataFrame, month: str, groups: dict[str, DataFrame | Non
     groups: attribute to the table that has it with customer_id, or None for an attribute of the panel as of the
     start of the window. Grouping sets compute all cuts from one join; absent values and empty starts are left out.
     """
-    changes = cohort_changes(panel.where(F.col("month").isin(_days(month, lag_months))), lag_months).where(F.col("month") == F.lit(month).cast("date"))
-    for name, table in groups.items():
-        if table is not None:
-            changes = changes.join(table.select("customer_id", name), "customer_id", "left")
+    changes = cohort_changes(panel.where(F.col("month").isin(_days(month, lag_months))), lag_months).where((F.col("month") == F.lit(month).cast("date")) & F.col("was").isNotNull())
+    tables = {id(t): t for t in groups.values() if t is not None}
+    for key, t in tables.items():  # each table once, whatever number of attributes it has
+        changes = changes.join(t.select("customer_id", *(n for n, g in groups.items() if id(g) == key)), "customer_id", "left")
     names = list(groups)
     cut = changes.groupingSets([[n] for n in names], *names).agg(F.grouping_id(*names).alias("__id"), *_measures())
     # the one grouped column has its bit unset
