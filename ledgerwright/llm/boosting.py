@@ -19,8 +19,8 @@ class BoostedTrees:
     held against a threshold.
     """
 
-    depth: int = 3
-    rounds: int = 60
+    depth: int = 5
+    rounds: int = 80
     rate: float = 0.2
     ridge: float = 1.0
     least: float = 4.0
