@@ -21,8 +21,9 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _TAIL = ".,!?;:*#&%$|()[]{}\"/=+<>~^_@-"
-#: Words remembered by a worker; beyond it all are forgotten, so memory is bounded.
-_MOST_WORDS = 800_000
+#: Words, and letters without what surrounds them, that a worker remembers; beyond it they are forgotten, so
+#: memory is bounded.
+_MOST_WORDS, _MOST_LETTERS = 500_000, 700_000
 
 
 def _unusual(text: str) -> bool:
@@ -51,11 +52,12 @@ class Encoder:
         self.wide = self.whole.get_vocab_size(with_added_tokens=True) > 65536
         self.code = "I" if self.wide else "H"
         self.mark = self._packed(self.plain.encode("\n", add_special_tokens=False).ids)
-        self._forget()
+        self.word = _Known(self._word_after_space if self.kind == "byte_level" else self._word_in_lower_case)
+        self.letters, self.spaced, self.other = _Known(self._letters), _Known(self._spaced), _Known(self._other)
         if self.kind != "whole":  # the model's own word has to agree with the whole tokenizer
             for word in ("the", " reading", "\u00e9tudes", " Stra\u00dfe"):
                 if self.kind == "byte_level" or word[0] != " ":
-                    got = self._letters(word.lower() if self.kind == "word_end" else word)
+                    got = self._spaced(word[1:]) if word[0] == " " else self._letters(word.lower() if self.kind == "word_end" else word)
                     if got != self._packed(self.plain.encode(word, add_special_tokens=False).ids):
                         self.kind = "whole"
 
@@ -73,44 +75,44 @@ class Encoder:
         names = [n.get("type") for n in (norm or {}).get("normalizers", [])]
         return "word_end" if cut and names == ["NFC", "Replace", "Lowercase"] and r"\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in json.dumps(steps[0], ensure_ascii=False).replace("\\\\", "\\") else "whole"
 
-    def _forget(self) -> None:
-        self.word = _Known(self._word)
-        self.letters = _Known(self._letters)
-        self.other = _Known(self._other)
-
     def _packed(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
-    def _letters(self, piece: str) -> bytes:
+    def _letters(self, piece: str, lead: str = "") -> bytes:
         """Latin letters, with or without a space before them, are one word for the model."""
         if not piece.isascii():
-            piece = (piece.lower() if self.kind == "word_end" else piece).encode("utf-8").decode("latin-1").translate(_VISIBLE)
-        if piece[0] == " ":
-            piece = "\u0120" + piece[1:]
-        return self._packed([t.id for t in self.plain.model.tokenize(piece)])
+            piece = piece.encode("utf-8").decode("latin-1").translate(_VISIBLE)
+        return self._packed([t.id for t in self.plain.model.tokenize(lead + piece)])
+
+    def _spaced(self, piece: str) -> bytes:
+        return self._letters(piece, "\u0120")
 
     def _other(self, piece: str) -> bytes:
         return self._packed(self.plain.encode(piece, add_special_tokens=False).ids)
 
-    def _word(self, key) -> bytes:
-        """Ids of a new word from those of its pieces: a line break, letters, and punctuation after them."""
-        if self.kind == "word_end":
-            word, out = key.decode("utf-8"), b""
-        elif key[:1] == "\n":
-            word, out = key[1:], self.mark
-        else:
-            word, out = " " + key, b""
+    def _joined(self, word: str, letters: "_Known", lead: str) -> bytes:
+        """Ids of a new word from those of its pieces: letters, and punctuation after them."""
         core = word.rstrip(_TAIL)
-        letters = core[1:] if core[:1] == " " else core
-        if letters.isalpha() and (letters.isascii() or _latin(letters)):
-            out += self.letters[core]
-            return out + self.other[word[len(core) :]] if len(core) < len(word) else out
-        return out + self.other[word] if word else out
+        if core.isalpha() and (core.isascii() or _latin(core)):
+            return letters[core] + self.other[word[len(core) :]] if len(core) < len(word) else letters[core]
+        return self.other[lead + word]
+
+    def _word_after_space(self, key: str) -> bytes:
+        if key[:1] != "\n":
+            return self._joined(key, self.spaced, " ")
+        return self.mark + self._joined(key[1:], self.letters, "") if len(key) > 1 else self.mark
+
+    def _word_in_lower_case(self, key: bytes) -> bytes:
+        word = key.decode("utf-8")
+        return self._joined(word if word.isascii() else word.lower() if _latin(word) else word, self.letters, "")
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number of ids of each text."""
-        if len(self.word) + len(self.letters) > _MOST_WORDS:
-            self._forget()
+        if len(self.word) > _MOST_WORDS:
+            self.word.clear()
+        for known in (self.letters, self.spaced, self.other):
+            if len(known) > _MOST_LETTERS:
+                known.clear()
         byte_level, find, out = self.kind == "byte_level", self.word.__getitem__, []
         for text in texts:
             if not text:
