@@ -298,9 +298,11 @@ def scan(block: tc.Block, model: Classifier, least: float = LEAST) -> list[tuple
 def fit(docs: DataFrame) -> Classifier:
     """Train on templates and on the paragraphs of at most SAMPLE_TEXTS documents, picked by a hash of their text."""
     ship(docs.sparkSession)
-    texts = docs.where(F.octet_length("text").between(1, 20_000)).select(F.xxhash64("text", F.lit(5)).alias("h"), "text")
-    rows = texts.orderBy("h", "text").limit(SAMPLE_TEXTS).collect()
-    return train([p for r in rows for p in r["text"].split("\n") if p.strip()])
+    texts = docs.where(F.octet_length("text").between(1, 20_000)).select(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 40)).alias("h"), "text")
+    share = min(1 << 40, (2 * SAMPLE_TEXTS << 40) // max(1, texts.count()) + 1)
+    drawn = texts.where(F.col("h") < share).dropDuplicates(["text"]).limit(8 * SAMPLE_TEXTS).collect()  # some 2 * SAMPLE_TEXTS
+    rows = sorted((r["h"], r["text"]) for r in drawn)[:SAMPLE_TEXTS]
+    return train([p for _, text in rows for p in text.split("\n") if p.strip()])
 
 
 _FOUND = "doc_id bigint, paragraph bigint, start bigint, end bigint, family string, probability double, cover double"
