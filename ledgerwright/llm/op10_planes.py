@@ -149,8 +149,10 @@ class PlaneFile:
             have = have[n:]
 
 
-def _tokens(path: str, end_id: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+def _tokens(path: str, end_id: int, bounds: list[int]):
+    """The texts' ids, and by ``bounds`` the range of doc_id that each belongs to; a null doc_id to the first."""
+    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+    edges = np.array(bounds, np.int64)
 
     def run(batches):
         for ids, flat, sizes in encoded(batches, path, end_id):
@@ -160,7 +162,8 @@ def _tokens(path: str, end_id: int):
             for n in sizes.tolist():
                 rows.append(mark + body[at : at + n].tobytes())
                 at += n
-            yield pa.RecordBatch.from_arrays([ids, pa.array(rows, pa.binary())], schema=schema)
+            part = np.searchsorted(edges, ids.fill_null(_NULL_ID).to_numpy(), side="right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), ids, pa.array(rows, pa.binary())], schema=schema)
 
     return run
 
@@ -178,7 +181,7 @@ def _write(folder: str, unit: int, plane_count: int):
     def run(batches):
         system, root = _filesystem(folder)
         context = TaskContext.get()
-        part, number, writer, stream = context.partitionId(), 0, None, None
+        part, number, writer, stream = -1, 0, None, None
 
         def finish():
             nonlocal writer, number
@@ -192,8 +195,11 @@ def _write(folder: str, unit: int, plane_count: int):
             return row
 
         for batch in batches:
-            docs = batch.column("doc_id")
-            for d, x in zip(docs.to_pylist(), batch.column("ids").to_pylist()):
+            for p, d, x in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "ids"))):
+                if p != part:
+                    if writer is not None:
+                        yield finish()
+                    part, number = p, 0
                 if writer is None:
                     temporary = f"{root}/.part-{part:06d}-{number:04d}-{context.taskAttemptId()}"
                     system.create_dir(root, recursive=True)
@@ -213,20 +219,24 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int, unit: int = 1, fold
 
     Returns file, n_ids, n_docs, bytes and start (ids in all files before it), one row a file. Null and
     empty texts are just the end id. Rows with a null doc_id come first; rows with equal doc_id in the
-    order of their ids. An empty table gives no files. Texts are read once and only ids are shuffled, to
-    ranges of doc_id; a document never crosses files. A task that is repeated writes the same bytes
+    order of their ids. An empty table gives no files. Ranges of doc_id come from its own quantiles; texts are
+    encoded where they are read, and only ids are shuffled, once. A document never crosses files. A task that is repeated writes the same bytes
     under the same names.
     """
     spark = docs.sparkSession
     ship(spark)
     folder = folder or scratch(spark)
     folder = folder if "://" in folder or not folder.startswith("file:") else "file://" + folder[5:]
-    rows = durable(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_tokens(vocabulary, end_id), "doc_id bigint, ids binary"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    n = parts(spark)
+    shares = F.array(*(F.lit(k / n) for k in range(1, n)))
+    bounds = docs.agg(F.percentile_approx("doc_id", shares, 10_000).alias("b")).first()["b"] if n > 1 else []
+    rows = docs.mapInArrow(_tokens(vocabulary, end_id, sorted(set(bounds or []))), "part int, doc_id bigint, ids binary")
     from .tokens import encoder
 
     wide = encoder(vocabulary).wide or end_id > 65535
     count = (20 if wide else 16) if unit == 1 else (4 if wide else 2)
-    ranged = rows.repartitionByRange(parts(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
+    ranged = rows.repartitionById(n, F.col("part")).sortWithinPartitions("part", "doc_id", "ids")
     manifest = durable(ranged.mapInArrow(_write(folder, unit, count), "part int, number int, file string, n_ids bigint, n_docs bigint, bytes bigint"))
     found = sorted(manifest.collect())  # a row for each file, some hundred MB of ids
     start, out = 0, []
