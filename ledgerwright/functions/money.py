@@ -6,18 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
+MARKS = "$,()"
 
 
 def parse_amount(value: Column) -> Column:
     """Amounts such as ``$1,234.56`` or ``(500.00)`` (negative) as decimals; null is 0, other text an error."""
     text = F.trim(value.cast("string"))
-    negative = text.rlike(r"^\(.*\)$")
-    plain = F.regexp_replace(text, r"[$,()]", "").cast(MONEY)
+    negative = text.startswith("(") & text.endswith(")")
+    plain = F.translate(text, MARKS, "").cast(MONEY)
     return F.when(value.isNull(), F.lit(0).cast(MONEY)).when(negative, -plain).otherwise(plain).cast(MONEY)
 
 
 def needs_parsing(value: Column) -> Column:
-    return F.coalesce(value.cast("string").rlike(r"[$,()]"), F.lit(False))
+    text = value.cast("string")
+    return F.coalesce(F.translate(text, MARKS, "") != text, F.lit(False))
 
 
 def total(column: Column | str) -> Column:
