@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds find test items in training texts, Smith-Waterman scores them.
-
-Seeds are an item's rarest n-grams by document frequency in the corpus, one from each few neighbours, so that
-edits anywhere leave some; rarity is relative within an item, so an item that very many texts contain keeps its
-seeds. A seed found in a text opens a window of the item's length around it, and the words of window and item are
-aligned locally. Items come in blocks of bounded size and are held by every executor; texts are read twice a
-block, once for frequencies and once for matches, and never shuffled.
+"""Benchmark decontamination: rare seeds find test items in training texts, Smith-Waterman scores them.
+
+An alignment that scores enough shares a known number of the item's words and pairs of neighbouring words with
+the text, so of any seeds but so many less it has some: seeds are the item's rarest words and pairs by document
+frequency in the corpus, as many as leave no such alignment out, wherever the edits are. Seeds found in a text
+open a window that holds any such alignment through them, and the words of window and item are aligned locally.
+Items come in blocks of bounded size and are held by every executor; texts are read twice a block, once for
+frequencies and once for matches, and never shuffled.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from . import textcore as tc
 from .session import durable, ship
 
 WORDS = 3
-NEIGHBOURS = 4
+#: Seeds that a window must have; each asks for one seed more an item, and spares alignments.
+HITS = 4
 LEAST_SCORE = 0.5
 #: Text of a block of items in bytes; what executors hold is in proportion.
 ITEM_BLOCK = 16 << 20
@@ -31,9 +33,16 @@ _KEEP = np.zeros(256, bool)
 _KEEP[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), 0x27, *range(0x80, 0x100)]] = True
 
 
+def _grams(w: tc.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and of all pairs of neighbours, and the index of the (first) word of each."""
+    (one, at), (two, pair_at) = tc.ngrams(w, 1), tc.ngrams(w, 2)
+    return np.concatenate([one, two]), np.concatenate([at, pair_at])
+
+
 @dataclass
 class Items:
-    """A block of test items: ids, word hashes one item after another, n-gram hashes with item and place."""
+    """A block of test items: ids, word hashes one item after another, hashes of words and pairs with item and
+    place, and by item how many of them a window must have."""
 
     ids: list
     words: np.ndarray
@@ -41,22 +50,35 @@ class Items:
     gram: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    hits: np.ndarray
 
     @classmethod
     def of(cls, rows: list[tuple], n: int) -> "Items":
+        """All words and pairs, of the items of at least ``n`` words."""
         data = [(r[1] or "").encode("utf-8") for r in rows]
         at = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
         w = tc.words(tc.Block(0, len(rows), np.frombuffer(b"".join(data), np.uint8), at), keep=_KEEP)
-        gram, start = tc.ngrams(w, n)
-        return cls([r[0] for r in rows], w.hash, w.first, gram, w.doc[start], start - w.first[w.doc[start]])
-
-    def seeds(self, frequency: np.ndarray, neighbours: int) -> "Items":
-        """Only the rarest of each ``neighbours`` consecutive n-grams of an item, sorted by hash."""
-        group = self.item * (1 << 32) + self.place // neighbours
-        order = np.lexsort((self.place, frequency, group))
-        pick = order[np.append(True, group[order][1:] != group[order][:-1])[: len(order)]]
+        gram, start = _grams(w)
+        long = np.diff(w.first)[w.doc[start]] >= n
+        gram, start = gram[long], start[long]
+        return cls([r[0] for r in rows], w.hash, w.first, gram, w.doc[start], start - w.first[w.doc[start]], np.ones(len(rows), np.int64))
+
+    def seeds(self, frequency: np.ndarray, least: float) -> "Items":
+        """Only the rarest words and pairs of each item, sorted by hash, such that every alignment of ``least`` has hits.
+
+        m matched words in r runs score 2m - (r - 1) at most and have m words and m - r pairs of the item: together
+        the score less 1. All but so many less ``hits`` of the 2L - 1 therefore have ``hits`` of them. What no
+        text has counts among the rarest and is not kept.
+        """
+        length = np.diff(self.first)
+        shared = np.maximum(np.ceil(MATCH * length * least - 1 - 1e-6), 1).astype(np.int64)
+        hits = np.minimum(HITS, shared)
+        order = np.lexsort((self.place, frequency, self.item))
+        item = self.item[order]
+        rank = np.arange(len(order)) - np.searchsorted(item, item)
+        pick = order[(rank < (2 * length - 1 - shared + hits)[item]) & (frequency[order] > 0)]
         pick = pick[np.argsort(self.gram[pick], kind="stable")]
-        return Items(self.ids, self.words, self.first, self.gram[pick], self.item[pick], self.place[pick])
+        return Items(self.ids, self.words, self.first, self.gram[pick], self.item[pick], self.place[pick], hits)
 
 
 def align(texts: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,10 +124,10 @@ def align(texts: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray,
     return best, text_end, item_end
 
 
-def matches(block: tc.Block, seeds: Items, n: int, least: float) -> list[tuple[int, int, float, int, int]]:
+def matches(block: tc.Block, seeds: Items, least: float) -> list[tuple[int, int, float, int, int]]:
     """(document in the block, item, share of the best possible score, first byte, end) of every match."""
     w = tc.words(block, keep=_KEEP)
-    gram, start = tc.ngrams(w, n)
+    gram, start = _grams(w)
     if not len(gram) or not len(seeds.gram):
         return []
     lo = np.searchsorted(seeds.gram, gram)
@@ -118,17 +140,22 @@ def matches(block: tc.Block, seeds: Items, n: int, least: float) -> list[tuple[i
     word, item = start[which], seeds.item[s]
     doc = w.doc[word]
     length = np.diff(seeds.first)[item]
-    slack = 4 + length // 4
+    slack = np.ceil(MATCH * length * max(1 - least, 0)).astype(np.int64)  # what is put in costs 1 a word
     a = np.maximum(word - seeds.place[s] - slack, w.first[doc])
     b = np.minimum(word - seeds.place[s] + length + slack, w.first[doc + 1])
     order = np.lexsort((a, item, doc))
-    doc, item, a, b = doc[order], item[order], a[order], b[order]
-    windows: list[list[int]] = []
-    for d, i, x, y in zip(doc.tolist(), item.tolist(), a.tolist(), b.tolist()):
-        if windows and windows[-1][0] == d and windows[-1][1] == i and x <= windows[-1][3]:
-            windows[-1][3] = max(windows[-1][3], y)
-        else:
-            windows.append([d, i, x, y])
+    doc, item, a, b, s = doc[order], item[order], a[order], b[order], s[order]
+    # of one item in one document windows end in the order in which they begin; those that meet are one
+    begin = np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (a[1:] > b[:-1]))
+    of = np.cumsum(begin) - 1
+    begin = np.flatnonzero(begin)
+    b = b[np.append(begin[1:], len(of)) - 1]
+    distinct = np.bincount(np.unique(of * len(seeds.gram) + s) // len(seeds.gram), minlength=len(begin))
+    enough = distinct >= seeds.hits[item[begin]]
+    begin, b = begin[enough], b[enough]
+    windows = list(zip(doc[begin].tolist(), item[begin].tolist(), a[begin].tolist(), b.tolist()))
+    if not windows:
+        return []
     texts = [w.hash[x:y] for _, _, x, y in windows]
     items = [seeds.words[seeds.first[i] : seeds.first[i + 1]] for _, i, _, _ in windows]
     score, t_end, i_end = align(texts, items)
@@ -148,7 +175,7 @@ def matches(block: tc.Block, seeds: Items, n: int, least: float) -> list[tuple[i
     return [(d, i, *v) for (d, i), v in out.items()]
 
 
-def _frequencies(held, n: int):
+def _frequencies(held):
     schema = pa.schema([("gram", pa.int64()), ("texts", pa.int64())])
 
     def run(batches):
@@ -157,7 +184,7 @@ def _frequencies(held, n: int):
         for batch in batches:
             for b in tc.blocks(batch.column("text")):
                 w = tc.words(b, keep=_KEEP)
-                g, start = tc.ngrams(w, n)
+                g, start = _grams(w)
                 if not len(g) or not len(grams):
                     continue
                 at = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
@@ -173,7 +200,7 @@ def _frequencies(held, n: int):
 _FOUND = "doc_id bigint, item_id bigint, score double, start bigint, end bigint"
 
 
-def _find(held, n: int, least: float):
+def _find(held, least: float):
     names = [f.split()[0] for f in _FOUND.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
 
@@ -182,7 +209,7 @@ def _find(held, n: int, least: float):
         for batch in batches:
             ids = batch.column("doc_id")
             for b in tc.blocks(batch.column("text")):
-                rows = matches(b, seeds, n, least)
+                rows = matches(b, seeds, least)
                 if rows:
                     d, i, *rest = zip(*rows)
                     columns = [ids.take(pa.array([b.lo + x for x in d])), [seeds.ids[x] for x in i], *rest]
@@ -207,7 +234,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, least: f
     """doc_id, item_id, score, start and end (bytes of the passage) for every text that holds an item.
 
     The score is the best local alignment's share of the item's own (1: all its words in order); ``least`` and more
-    counts. Words are runs of letters and digits without regard to case of A-Z. Items with fewer than ``n`` words
+    counts, and none that does is left out. Words are runs of letters and digits without regard to case of A-Z. Items with fewer than ``n`` words
     match nothing; null texts count as empty; a null doc_id or item_id is given back as null. Repeated rows are
     matched each; an item row repeated under one id gives its match each time. Other columns are not read. Without
     items or texts the result is empty.
@@ -219,14 +246,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, least: f
     for rows in _item_blocks(benchmark):
         items = Items.of(rows, n)
         grams = np.unique(items.gram)
-        held = spark.sparkContext.broadcast(grams)  # 8 bytes for each word of a block of items
-        counted = docs.select("text").mapInArrow(_frequencies(held, n), "gram bigint, texts bigint").groupBy("gram").agg(F.sum("texts").alias("texts"))
+        held = spark.sparkContext.broadcast(grams)  # 16 bytes for each word of a block of items
+        counted = docs.select("text").mapInArrow(_frequencies(held), "gram bigint, texts bigint").groupBy("gram").agg(F.sum("texts").alias("texts"))
         frequency = np.zeros(len(grams), np.int64)
-        for g, c in counted.collect():  # at most a row for each n-gram of the block
+        for g, c in counted.collect():  # at most two rows for each word of the block
             frequency[np.searchsorted(grams, np.uint64(g % 2**64))] = c
         held.unpersist()
-        seeds = items.seeds(frequency[np.searchsorted(grams, items.gram)] if len(grams) else np.empty(0, np.int64), NEIGHBOURS)
-        part = docs.mapInArrow(_find(spark.sparkContext.broadcast(seeds), n, least), _FOUND)
+        seeds = items.seeds(frequency[np.searchsorted(grams, items.gram)] if len(grams) else np.empty(0, np.int64), least)
+        part = docs.mapInArrow(_find(spark.sparkContext.broadcast(seeds), least), _FOUND)
         if found is not None:
             part = durable(part)
         found = part if found is None else found.unionByName(part)

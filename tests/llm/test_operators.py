@@ -184,6 +184,20 @@ def test_copies_and_edits_are_found(spark, odd, none):
     assert op2_decontaminate.contaminated(odd, bench).isEmpty()
 
 
+def test_no_edit_hides_an_item(spark):
+    words = [f"word{i}" for i in range(40)]
+    cases = [[f"new{i}" if i % every == phase else w for i, w in enumerate(words)] for every in range(2, 10) for phase in range(every)]
+    cases += [[x for i, w in enumerate(words) for x in ([w, f"put{i}"] if i % every == 0 else [w])] for every in (1, 2, 3)]
+    cases += [[w for i, w in enumerate(words) if i % every] for every in (3, 4, 5)]
+    rows = [(k, " ".join(["before"] * (k % 7) + case + ["after"] * 9)) for k, case in enumerate(cases)]
+    want = {k for k, case in enumerate(cases) if op2_decontaminate.align([np.array([hash(w) % 2**62 for w in case], np.uint64)], [np.array([hash(w) % 2**62 for w in words], np.uint64)])[0][0] >= len(words)}
+    # with the item itself once, all its grams occur in a text; without, those that edits destroy do not
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    for more in ([], [(1000, " ".join(words))]):
+        got = {r["doc_id"] for r in op2_decontaminate.contaminated(table(spark, rows + more), bench).collect()}
+        assert got == want | {d for d, _ in more} and len(want) > 40
+
+
 def test_benchmark_passages_by_brute_force(spark, real):
     bench = spark.read.parquet(f"{REAL}/benchmark.parquet")
     got = {(r["doc_id"], r["item_id"]) for r in op2_decontaminate.contaminated(real, bench).collect()}
