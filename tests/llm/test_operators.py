@@ -377,6 +377,25 @@ def test_toxicity_on_held_out(spark, odd, none):
     assert all(x["score"] < 1e-3 for x in op6_toxicity.score(odd, flat).collect())
 
 
+def test_calibration_has_both_classes(spark, monkeypatch):
+    r = random.Random(11)
+    words = ["".join(r.choice(("an", "er", "th", "on", "re", "in")) for _ in range(r.randrange(1, 5))) for _ in range(400)]
+    bad, rare = ["scoundrel", "blockhead", "vermin", "numbskull"], range(0, 3000, 150)
+    rows = [(i, " ".join([r.choice(words) for _ in range(40)] + [r.choice(bad) for _ in range(3 * (i in rare))])) for i in range(3000)]
+    docs = table(spark, rows)
+    labels = [(i, int(i in rare)) for i in range(3000)]
+    monkeypatch.setattr(op6_toxicity, "CALIBRATION", 100)
+    for more in ([], [(i, i % 2) for i in range(10_000, 40_000)]):  # more: labels without a text
+        scorer = op6_toxicity.fit(docs, spark.createDataFrame(labels + more, "doc_id long, toxic int"))
+        got = {x["doc_id"]: x["score"] for x in op6_toxicity.score(docs, scorer).collect()}
+        print(sorted(got[i] for i in rare), sorted(got[i] for i, y in labels if not y)[-5:])
+        assert min(got[i] for i in rare) > max(got[i] for i, y in labels if not y)
+        assert {x["doc_id"] for x in op6_toxicity.drop_toxic(docs, scorer).collect()} == {i for i, y in labels if not y}
+    # toxic labels without texts: the share of labels
+    flat = op6_toxicity.fit(docs.where(~F.col("doc_id").isin(*rare)), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert all(abs(x["score"] - 20 / 3000) < 1e-4 for x in op6_toxicity.score(docs, flat).collect())
+
+
 # 7 media
 
 
