@@ -233,27 +233,34 @@ def _texts(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, use=None) -> Tagger:
     """Learn from text and lang where lang is not null and ``use`` holds.
 
-    The sample takes up to SAMPLE_TEXTS whole texts of each language, picked by a hash of their content among
-    those of at most SAMPLE_BYTES bytes; its size does not depend on the corpus. At most MOST_LANGUAGES
-    languages are learned, more are an error. Without any, every text is unknown.
+    The sample takes SAMPLE_TEXTS different texts of each language, or all it has, picked by a hash of their
+    content; its size does not depend on the corpus. Texts of at most SAMPLE_BYTES bytes are taken whole and first,
+    longer ones as their first SAMPLE_BYTES / 4 characters and only where a language has too few others. At most
+    MOST_LANGUAGES languages are learned, more are an error. Without any, every text is unknown.
     """
     ship(docs.sparkSession)
-    fit_rows = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
+    fit_rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     fit_rows = (fit_rows if use is None else fit_rows.where(use)).select("text", F.col("lang").cast("string").alias("lang"))
-    counts = fit_rows.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
+    fits = F.octet_length("text") <= SAMPLE_BYTES
+    draw = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20))
+    # copies share a hash, so numbers of different hashes count texts without them
+    keyed = fit_rows.select("lang", (~fits).cast("int").alias("long"), F.xxhash64("text", F.lit(17)).alias("h"))
+    counts = keyed.groupBy("lang", "long").agg(F.approx_count_distinct("h", 0.02).alias("n")).orderBy("lang", "long").limit(2 * MOST_LANGUAGES + 2).collect()
+    languages = sorted({r["lang"] for r in counts})
+    if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return train([])
-    draw = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20))
     share = F.lit(0)
     for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1 << 20, (2 * SAMPLE_TEXTS << 20) // r["count"] + 1))).otherwise(share)
-    drawn = fit_rows.where(draw < share).select("lang", "text", draw.alias("draw")).dropDuplicates(["lang", "text"])
-    rows = sorted((r["lang"], r["draw"], r["text"]) for r in drawn.limit(4 * SAMPLE_TEXTS * len(counts)).collect())
+        part = min(1 << 20, (2 * SAMPLE_TEXTS << 20) // r["n"] + 1)
+        share = F.when((F.col("lang") == r["lang"]) & (F.col("long") == r["long"]), F.lit(part)).otherwise(share)
+    text = F.when(fits, F.col("text")).otherwise(F.substring("text", 1, SAMPLE_BYTES // 4))
+    drawn = fit_rows.select("lang", (~fits).cast("int").alias("long"), draw.alias("draw"), text.alias("text")).where(F.col("draw") < share)
+    rows = sorted((r["lang"], r["long"], r["draw"], r["text"]) for r in drawn.groupBy("lang", "long", "text").agg(F.min("draw").alias("draw")).collect())
     taken: dict[str, int] = {}
     samples = []
-    for lang, _, text in rows:
+    for lang, _, _, text in rows:
         taken[lang] = taken.get(lang, 0) + 1
         if taken[lang] <= SAMPLE_TEXTS:
             samples.append((text, lang))

@@ -345,6 +345,18 @@ def test_languages(spark, real, odd, none):
     assert share("en", 0, n) > 0.6 and share("de", n, len(mixed.encode())) > 0.6
 
 
+def test_language_sample_is_full(spark, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(op5_language, "train", drawn.extend)
+    monkeypatch.setattr(op5_language, "SAMPLE_TEXTS", 20)
+    rows = [(f"wort {i} und noch eines", "de") for i in range(200)] + [("immer derselbe text", "de")] * 20_000
+    rows += [(f"word {i} and " * 2000, "en") for i in range(8)] + [(f"mot {i} et", "fr") for i in range(5)] + [(f"mot {i} et " * 2000, "fr") for i in range(50)]
+    op5_language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert collections.Counter(lang for _, lang in drawn) == {"de": 20, "en": 8, "fr": 20}
+    assert len(set(drawn)) == len(drawn) and all(len(t.encode()) <= op5_language.SAMPLE_BYTES for t, _ in drawn)
+    assert {t for t, lang in drawn if lang == "fr"} >= {f"mot {i} et" for i in range(5)}
+
+
 # 6 toxicity
 
 
