@@ -87,11 +87,12 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 _RUN = re.compile(r"[+(]?[0-9](?:[0-9]|[\x20().\-/](?=[\x20()\-]{0,2}[0-9(]))*+")
 _GROUP = re.compile(r"[+(]?[0-9][0-9()\-./]*")
-_SPELT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?[\[({<]\s?(?:at|AT|@)\s?[\])}>]\s?[A-Za-z0-9-]{1,63}(?:(?:\.|\s?[\[({<]\s?(?:dot|DOT|\.)\s?[\])}>]\s?)[A-Za-z0-9-]{1,63}){1,4}")
+_SPELT_AT = re.compile(r"\s?[\[({<]\s?(?:at|AT|@)\s?[\])}>]\s?")
+_SPELT_HOST = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|\s?[\[({<]\s?(?:dot|DOT|\.)\s?[\])}>]\s?)[A-Za-z0-9-]++)++")
 _IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b")
-_KEY = re.compile(r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\b(?:ghp|gho|sk|pk)_[A-Za-z0-9]{20,64}\b")
-_ASSIGNED = re.compile(r"(?i:\b(?:password|passwd|secret|token|api_?key)\s?[=:]\s?[\"']?)([A-Za-z0-9+/_\-]{8,128})")
-_MOST_GROUPS = 8
+_KEY = re.compile(r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\b(?:ghp|gho|sk|pk)_[A-Za-z0-9]{20,}+\b")
+_ASSIGNED = re.compile(r"(?i:\b(?:password|passwd|secret|token|api_?key)\s?[=:]\s?[\"']?)([A-Za-z0-9+/_\-]{8,}+)")
+_MOST_DIGITS = 19  # of a card; a phone has fewer
 
 _HINTS = (  # words that come before a value of a kind: fixed values
     ("phone", "tel", "mobile", "call", "fax", "cell"),
@@ -105,6 +106,21 @@ _HINTS = (  # words that come before a value of a kind: fixed values
 _HINT_OF = {w: i + 1 for i, ws in enumerate(_HINTS) for w in ws}
 
 
+def _spelt(text: str):
+    """Spelt-out addresses, found from each spelt-out @, so that runs without one cost nothing."""
+    end = 0
+    for m in _SPELT_AT.finditer(text):
+        lo = m.start()
+        while lo > end and text[lo - 1] in _LOCAL:
+            lo -= 1
+        host = _SPELT_HOST.match(text, m.end()) if lo < m.start() else None
+        if host:
+            yield lo, host.end()
+            end = host.end()
+        else:
+            end = max(end, m.start())
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Proposed (kind, start, end), overlapping freely."""
     out: list[tuple[str, int, int]] = []
@@ -112,20 +128,21 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         lo, hi = run.span()
         if hi - lo < 7:
             continue
-        groups = [g.span() for g in _GROUP.finditer(text, lo, hi)]
-        for i in range(len(groups)):
-            for j in range(i, min(len(groups), i + _MOST_GROUPS)):
-                a, b = groups[i][0], groups[j][1]
-                while b > a and not text[b - 1].isdigit():
+        groups = [(*g.span(), sum("0" <= c <= "9" for c in g.group())) for g in _GROUP.finditer(text, lo, hi)]
+        for i, (a, _, _) in enumerate(groups):
+            n = 0
+            for _, b, own in groups[i:]:  # each group has a digit, so sub-runs are few and short
+                n += own
+                if n > _MOST_DIGITS:
+                    break
+                while not "0" <= text[b - 1] <= "9":
                     b -= 1
-                n = sum(c.isdigit() for c in text[a:b]) if b - a < 48 else 99
                 if 7 <= n <= 15:
                     out.append(("phone", a, b))
-                if 12 <= n <= 19:
+                if 12 <= n:
                     out.append(("card", a, b))
-    if "@" in text or "at" in text or "AT" in text:
-        if any(c in text for c in "[({<"):
-            out += [("email", *m.span()) for m in _SPELT.finditer(text)]
+    if "at" in text or "AT" in text or "@" in text:
+        out += [("email", *span) for span in _spelt(text)]
     out += [("iban", *m.span()) for m in _IBAN.finditer(text)]
     out += [("secret", *m.span()) for m in _KEY.finditer(text)]
     out += [("secret", *m.span(1)) for m in _ASSIGNED.finditer(text)]
@@ -190,7 +207,7 @@ def _examples(seed: int, n: int):
     def phone() -> str:
         a, b, c = r.choice("23456789") + d(2), r.choice("23456789") + d(2), d(4)
         cc = "+" + str(r.choice((1, 33, 34, 44, 49, 41, 351)))
-        return r.choice((f"{cc} ({a}) {b}-{c}", f"{cc} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{cc}-{a}-{b}-{c}", f"0{r.choice('12345679')} {d(2)} {d(2)} {d(2)} {d(2)}", f"{cc} {d(3)} {d(6)}", f"{a}.{b}.{c}"))
+        return r.choice((f"{cc} ({a}) {b}-{c}", f"{cc} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{cc}-{a}-{b}-{c}", f"0{r.choice('12345679')} {d(2)} {d(2)} {d(2)} {d(2)}", f"{cc} {d(3)} {d(6)}", f"{a}.{b}.{c}", " ".join(a + b + c)))
 
     def iban() -> str:
         head, body = r.choice(("DE", "FR", "ES", "GB")), d(18)
@@ -204,7 +221,7 @@ def _examples(seed: int, n: int):
     def alike() -> str:
         y = r.randint(1900, 2030)
         return r.choice(
-            (f"{y}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.{y}", f"{r.randint(1, 28):02d}/{r.randint(1, 12):02d}/{y} {r.randint(0, 23):02d}", f"{y}-{y + 3}", d(r.randint(7, 11)), d(r.randint(12, 19)), f"{d(3)}.{d(3)}.{d(3)}", f"{d(1)}.{d(6)}", f"{d(3)} {d(3)} {d(3)} {d(3)} {d(3)}", f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"{d(2)} {d(2)} {d(2)}", f"{d(5)}-{d(5)}", f"{d(4)} {d(4)}", f"{d(4)}/{d(4)}", f"{d(3)}-{d(2)}-{d(6)}-{d(3)}", f"DE{d(20)}", word().upper() + d(8), f"{d(2)},{d(3)}.{d(2)}", f"{y}{r.randint(1, 12):02d}{r.randint(1, 28):02d}{d(6)}")
+            (f"{y}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.{y}", f"{r.randint(1, 28):02d}/{r.randint(1, 12):02d}/{y} {r.randint(0, 23):02d}", f"{y}-{y + 3}", d(r.randint(7, 11)), d(r.randint(12, 19)), f"{d(3)}.{d(3)}.{d(3)}", f"{d(1)}.{d(6)}", f"{d(3)} {d(3)} {d(3)} {d(3)} {d(3)}", f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"{d(2)} {d(2)} {d(2)}", f"{d(5)}-{d(5)}", f"{d(4)} {d(4)}", f"{d(4)}/{d(4)}", f"{d(3)}-{d(2)}-{d(6)}-{d(3)}", f"DE{d(20)}", word().upper() + d(8), f"{d(2)},{d(3)}.{d(2)}", f"{y}{r.randint(1, 12):02d}{r.randint(1, 28):02d}{d(6)}", " ".join(str(i % 10) for i in range(r.randint(0, 2), r.randint(9, 17))))
         )
 
     for _ in range(n):
@@ -255,9 +272,14 @@ def find(texts: list[str], fitted: Model | None = None) -> list[tuple[dict[str,
     base = [base_spans(t) for t in texts]
     found, x, owner = [], [], []
     for i, (text, strict) in enumerate(zip(texts, base)):
-        taken = sorted(s for spans in strict.values() for s in spans)
+        taken: list[tuple[int, int]] = []  # the union of strict spans
+        for lo, hi in sorted(s for spans in strict.values() for s in spans):
+            if taken and lo < taken[-1][1]:
+                taken[-1] = (taken[-1][0], max(hi, taken[-1][1]))
+            else:
+                taken.append((lo, hi))
         for c in candidates(text):
-            if not _touches(taken, c[1], c[2]):
+            if _free(taken, c[1], c[2]) is not None:
                 found.append(c)
                 owner.append(i)
                 x.append(features(text, *c))
@@ -270,19 +292,19 @@ def find(texts: list[str], fitted: Model | None = None) -> list[tuple[dict[str,
             if p[j] < least.get(kind, 1.0):
                 continue
             own = chosen.setdefault(owner[j], [])
-            if not any(lo < b and a < hi for a, b in own):
-                own.append((lo, hi))
+            at = _free(own, lo, hi)
+            if at is not None:
+                own.insert(at, (lo, hi))
                 added[owner[j]].append((kind, lo, hi))
     return list(zip(base, added))
 
 
-def _touches(spans: list[tuple[int, int]], lo: int, hi: int) -> bool:
-    i = bisect.bisect_left(spans, (lo, lo))
-    return any(a < hi and lo < b for a, b in spans[max(0, i - len(KINDS)) : i + len(KINDS)])
+def _free(spans: list[tuple[int, int]], lo: int, hi: int) -> int | None:
+    """Where a span belongs among spans in order and apart from each other; None if it overlaps one."""
+    at = bisect.bisect_left(spans, (lo, hi))
+    return None if at and spans[at - 1][1] > lo or at < len(spans) and spans[at][0] < hi else at
 
 
-_ANY = np.zeros(256, bool)
-_ANY[[*range(0x30, 0x3A), ord("@"), ord("["), ord("="), ord(":"), ord("("), ord("{"), ord("<")]] = True
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,strict:boolean>>"
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("strict", pa.bool_())]))
 
@@ -308,11 +330,8 @@ def _scan(texts: pa.Array, fitted: Model) -> tuple[list, list]:
     spans: list = [[] for _ in range(len(texts))]
     changed: list = [None] * len(texts)
     for b in tc.blocks(texts):
-        hit = np.zeros(len(b.data) + 1, np.int64)
-        np.cumsum(_ANY[b.data], out=hit[1:])
-        some = np.flatnonzero(hit[b.at[1:]] > hit[b.at[:-1]]).tolist()
-        read = [b.bytes_of(i).decode("utf-8", "replace") for i in some]
-        for i, text, (base, added) in zip(some, read, find(read, fitted)):
+        read = [b.bytes_of(i).decode("utf-8", "replace") for i in range(len(b))]
+        for i, (text, (base, added)) in enumerate(zip(read, find(read, fitted))):
             s = ordered(base, added)
             if s:
                 spans[b.lo + i] = s
@@ -345,7 +364,8 @@ def find_personal_data(docs: DataFrame, precision: float = PRECISION) -> DataFra
 
 def redact_documents(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     """docs with all its columns, texts with every selected span replaced by its kind in brackets, and
-    n_chars, where there is such a column, set to the new length. Null texts stay null."""
+    n_chars, where there is such a column, set to the new length. Null texts stay null, empty ones empty. Rows are
+    independent, so equal and null doc_ids are rows like others; other columns pass unchanged. An empty table stays one."""
     ship(docs.sparkSession)
     schema, at, fitted = docs.schema, docs.columns.index("text"), model(precision)
 
