@@ -8,21 +8,19 @@ from pyspark.sql import functions as F
 from .session import durable
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Smallest vertex reachable from each vertex that has an edge.
 
     edges: (a bigint, b bigint), undirected, repeats and loops allowed. Returns (v, component)
     for every vertex except those that are their component's smallest. Alternating large-star
     and small-star rounds; each hangs neighbours below the smallest one seen, so paths shrink
     geometrically and a hub is an aggregate and a join, never a group in memory. Each round is
-    written to the shared folder.
+    written to the shared folder. Rounds go on until one changes nothing.
     """
     high, low = F.greatest("a", "b"), F.least("a", "b")
     now = durable(edges.where("a <> b").select(high.alias("v"), low.alias("u")).distinct())
     seen = _state(now)
-    for _ in range(most_rounds):
-        if not seen[0]:
-            break
+    while seen[0]:
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
         # large star: every larger neighbour of v hangs below the smallest neighbour
@@ -36,8 +34,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         was, seen = seen, _state(now)
         if was == seen:
             break
-    else:
-        raise RuntimeError("components did not settle")
     return now.select("v", F.col("u").alias("component"))
 
 

@@ -12,6 +12,8 @@ groups of two or more documents are extended by the second.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -90,10 +92,12 @@ def _sets(words: int):
     return run
 
 
-#: Counters for the rarity of shingles, one byte each. The table is bounded, as any order that is the same for
-#: all sets is exact; counters that several shingles share only let more pairs through to the confirmation.
+#: Counters for the rarity of shingles, one byte each on a logarithmic scale, so that none is ever full. The table is
+#: bounded, as any order that is the same for all sets is exact; counters that several shingles share only let more
+#: pairs through to the confirmation.
 COUNTERS = 1 << 24
 _CHUNKS = 64
+_SCALE = 8  # steps for each doubling: 2**31 occurrences are 248
 
 
 def _place(h: np.ndarray) -> np.ndarray:
@@ -102,11 +106,10 @@ def _place(h: np.ndarray) -> np.ndarray:
 
 def _count(batches):
     schema = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
-    total = np.zeros(COUNTERS, np.uint16)
+    total = np.zeros(COUNTERS, np.uint32)
     for batch in batches:
         for items in batch.column("items"):
-            at = _place(np.frombuffer(items.as_buffer(), np.uint64))
-            total[at] = np.minimum(total[at], 65000) + 1
+            total[_place(np.frombuffer(items.as_buffer(), np.uint64))] += 1
     pack = zstandard.ZstdCompressor(level=1)
     for k, x in enumerate(total.reshape(_CHUNKS, -1)):
         if x.any():
@@ -115,14 +118,15 @@ def _count(batches):
 
 def _add_counts(table: pa.Table) -> pa.Table:
     unpack = zstandard.ZstdDecompressor()
-    total = np.zeros(COUNTERS // _CHUNKS, np.uint32)
+    total = np.zeros(COUNTERS // _CHUNKS, np.int64)
     for x in table.column("counts"):
-        total += np.frombuffer(unpack.decompress(x.as_buffer()), np.uint16)
-    return pa.table([table.column("chunk").slice(0, 1), pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())], names=["chunk", "counts"])
+        total += np.frombuffer(unpack.decompress(x.as_buffer()), np.uint32)
+    level = np.minimum(np.ceil(_SCALE * np.log2(np.maximum(total, 1))), 255).astype(np.uint8)
+    return pa.table([table.column("chunk").slice(0, 1), pa.array([level.tobytes()], pa.binary())], names=["chunk", "counts"])
 
 
 def _rarity(sets: DataFrame):
-    """How often shingles occur, to 255, by counter: COUNTERS bytes whatever the corpus, for every executor."""
+    """How often shingles occur, as a logarithm, by counter: COUNTERS bytes whatever the corpus, for every executor."""
     spark = sets.sparkSession
     rows = sets.mapInArrow(_count, "chunk int, counts binary").groupBy("chunk").applyInArrow(lambda table: _add_counts(table), "chunk int, counts binary").collect()
     counts = np.zeros((_CHUNKS, COUNTERS // _CHUNKS), np.uint8)
@@ -134,29 +138,45 @@ def _rarity(sets: DataFrame):
 _PREFIX = "bucket bigint, node bigint, part bigint, n_shingles bigint, pos bigint"
 
 
-def _prefixes(num: int, den: int, rarity):
-    """A row for each of the rarest shingles of a set, of which a set similar enough has to share one."""
+def _prefixes(num: int, den: int, rarity, level: int):
+    """Rows by the shingles that may come next in a set after ``level`` shingles in common, the rarest first.
+
+    Of two sets similar enough, whatever the order, the smallest common shingle is among the first
+    ``size - least common + 1`` of either, and the next one after it among one more. At level 0 a bucket is a
+    shingle; further on, a bucket and the next shingle after its place in the set.
+    """
     names = [f.split()[0] for f in _PREFIX.split(", ")]
 
     def run(batches):
         count = rarity.value
         for batch in batches:
             nodes, parts = batch.column("node").to_numpy(), batch.column("part").to_numpy()
-            picked, sizes, widths = [], [], []
-            for items in batch.column("items"):
+            buckets = batch.column("bucket").to_numpy().view(np.uint64) if level else None
+            places = batch.column("pos").to_numpy() if level else np.full(len(nodes), -1)
+            keys, row, pos, sizes = [], [], [], []
+
+            def rows():
+                own = np.repeat(np.array(row), [len(k) for k in keys])
+                columns = [np.concatenate(keys).view(np.int64), nodes[own], parts[own], np.repeat(np.array(sizes, np.int64), [len(k) for k in keys]), np.concatenate(pos)]
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+            held = 0
+            for i, items in enumerate(batch.column("items")):
                 h = np.frombuffer(items.as_buffer(), np.uint64)
                 n = len(h)
-                picked.append(h[np.lexsort((h, count[_place(h)]))[: n - -(-num * n // den) + 1]])
-                sizes.append(n)
-                widths.append(len(picked[-1]))
-            if picked:
-                width = np.array(widths)
-                ends = np.cumsum(width)
-                flat = np.concatenate(picked).view(np.int64)
-                pos = np.arange(len(flat)) - np.repeat(ends - width, width)
-                columns = [flat, np.repeat(nodes, width), np.repeat(parts, width), np.repeat(np.array(sizes, np.int64), width), pos]
-                for lo in range(0, len(flat), 1 << 18):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + (1 << 18)]) for c in columns], names=names)
+                end = n - -(-num * n // den) + 1 + level
+                first = int(places[i]) + 1
+                if first >= end:
+                    continue
+                some = h[np.lexsort((h, count[_place(h)]))[first:end]]
+                keys.append(tc.mix(some + tc.mix(buckets[i : i + 1])) if level else some)
+                row.append(i), sizes.append(n), pos.append(np.arange(first, first + len(some)))
+                held += len(some)
+                if held > 1 << 18:
+                    yield rows()
+                    keys, row, pos, sizes, held = [], [], [], [], 0
+            if keys:
+                yield rows()
 
     return run
 
@@ -197,9 +217,9 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (80, 100), wo
     bucket's smallest member, one pair a member, and what that joins becomes a component. What is left
     are members of one bucket in different components. Among these an exact rule finds every pair that
     can still be linked: two sets that similar share one of the rarest shingles of each (a share of
-    1 - similarity of the set, and one more), whatever order rarity is taken in. So neither a large group
-    of near copies nor a passage that many documents share costs all pairs of its members, and there is
-    no cap on members or pairs.
+    1 - similarity of the set, and one more), whatever order rarity is taken in. Crowded shingles are refined by
+    the next one that a pair would share, and the next. So neither a large group of near copies nor a passage
+    that many documents share costs all pairs of its members, and there is no cap on members or pairs.
     """
     num, den = similarity
     if not (half_keys > 0 < rows and 2 * half_keys * rows <= 4000):
@@ -235,24 +255,10 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (80, 100), wo
     split = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
     apart = placed.join(split, "bucket", "left_semi").select("node", "part").distinct()
     shelved = durable(sets.join(apart, "node"))
-    rare = shelved.mapInArrow(_prefixes(num, den, _rarity(shelved)), _PREFIX)
-    # of two sets similar enough the smaller shares one of an even shorter prefix
-    short = (num + den) * (F.col("n_shingles") - F.col("pos")) >= 2 * num * F.col("n_shingles")
-    split = rare.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.bool_or(short).alias("short")).where("p <> q and short").select("bucket")
-    rare = durable(rare.join(split, "bucket", "left_semi"))
-    # rows of a shingle's largest component meet only those of others, so a large group never meets itself
-    sizes = rare.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
-    loose = rare.join(largest, "bucket").where("part <> largest").drop("largest")
-    other = rare.select("bucket", F.col("part").alias("other"), F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("pos").alias("pos_b"))
-    even = lambda n, pos: (num + den) * (n - pos) >= 2 * num * n
-    n, pos, n_b, pos_b = (F.col(c) for c in ("n_shingles", "pos", "n_b", "pos_b"))
-    smaller = F.when(n <= n_b, even(n, pos)).otherwise(even(n_b, pos_b))
-    # what follows the shared shingle in either set bounds the intersection
-    enough = (num + den) * F.least(n - pos, n_b - pos_b) >= num * (n + n_b)
-    rest = loose.join(other, (loose["bucket"] == other["bucket"]) & (F.col("part") != F.col("other")) & smaller & enough)
-    rest = rest.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    later = _confirmed(rest, sets, num, den)
+    rarity = _rarity(shelved)
+    rest = _shared(shelved, rarity, num, den).join(star, ["a", "b"], "left_anti")
+    later = durable(_confirmed(rest, sets, num, den))
+    rarity.destroy()
     up = whole.select(F.col("v"), "component")
     named = later.join(up.withColumnRenamed("v", "a").withColumnRenamed("component", "ca"), "a", "left").join(up.withColumnRenamed("v", "b").withColumnRenamed("component", "cb"), "b", "left")
     merged = components(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
@@ -264,6 +270,71 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (80, 100), wo
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"))
 
 
+#: A bucket with more rows is split: refined by a further shingle, or, at _DEEPEST or where few of its rows are outside
+#: the largest component, dealt to tasks in pieces of this size. With a row of _SHARE in such buckets, at most _SHARE
+#: of them are sent to every executor.
+_BUCKET = 256
+_SHARE = 20_000
+_FEW = 32
+_DEEPEST = 8
+
+
+def _shared(shelved: DataFrame, rarity, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different parts, among them all that are similar enough.
+
+    Rows of a bucket's largest part meet only those of others, so a large group never meets itself. A pair is in
+    the bucket of its common shingles in order, so refining a bucket by the next shingle loses none.
+    """
+    level, found = 0, []
+    rows = durable(shelved.mapInArrow(_prefixes(num, den, rarity, 0), _PREFIX))
+    while True:
+        # the smaller set of a pair shares one of an even shorter prefix
+        short = (num + den) * (level + F.col("n_shingles") - F.col("pos")) >= 2 * num * F.col("n_shingles")
+        by_part = rows.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"), F.bool_or(short).alias("short"))
+        # hash aggregates all the way: one key's rows are partial sums
+        sizes = by_part.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.col("n")).alias("most"), F.count(F.lit(1)).alias("parts"), F.bool_or("short").alias("short")).where("parts > 1 and short")
+        sizes = durable(sizes.drop("parts", "short"))
+        total = sizes.agg(F.sum("n")).first()[0]
+        if not total:
+            break
+        most = max(_BUCKET, total // _SHARE)
+        is_hot = F.col("n") > most  # of at most _SHARE buckets
+        refined = is_hot & (F.col("n") - F.col("most") > _FEW) & F.lit(level < _DEEPEST)
+        n_hot, n_refined = sizes.agg(F.count_if(is_hot), F.count_if(refined)).first()
+        calm = rows.join(F.broadcast(sizes.where(is_hot).select("bucket")), "bucket", "left_anti") if n_hot else rows
+        found.append(durable(_met(calm.join(sizes.where(~is_hot).select("bucket"), "bucket", "left_semi"), None, level, num, den)))
+        if n_hot > n_refined:
+            wide = sizes.where(is_hot & ~refined).select("bucket", F.ceil(F.col("n") / most).cast("int").alias("pieces"))
+            found.append(durable(_met(rows.join(F.broadcast(wide.select("bucket")), "bucket", "left_semi"), wide, level, num, den)))
+        if not n_refined:
+            break
+        again = rows.join(F.broadcast(sizes.where(refined).select("bucket")), "bucket", "left_semi").select("bucket", "node", "pos")
+        level += 1
+        rows = durable(again.join(shelved, "node").mapInArrow(_prefixes(num, den, rarity, level), _PREFIX))
+    return reduce(DataFrame.unionByName, found).distinct() if found else shelved.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+
+
+def _met(rows: DataFrame, wide: DataFrame | None, level: int, num: int, den: int) -> DataFrame:
+    """Pairs of rows that share a bucket and may be similar enough by size and place. ``wide``: the buckets, a bounded
+    number, and into how many pieces their rows are dealt; those outside the largest part go to each."""
+    by_part = rows.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
+    largest = by_part.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
+    if wide is None:
+        loose, other = rows.join(largest, "bucket").withColumn("piece", F.lit(0)), rows.withColumn("piece", F.lit(0))
+    else:
+        largest = F.broadcast(largest.join(F.broadcast(wide), "bucket"))
+        loose = rows.join(largest, "bucket").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        other = rows.join(F.broadcast(wide), "bucket").withColumn("piece", F.pmod(F.hash("node"), F.col("pieces")))
+    loose = loose.where("part <> largest").select("bucket", "piece", "part", "node", "n_shingles", "pos")
+    other = other.select("bucket", "piece", F.col("part").alias("other"), F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("pos").alias("pos_b"))
+    n, pos, n_b, pos_b = (F.col(c) for c in ("n_shingles", "pos", "n_b", "pos_b"))
+    # what follows the shared shingles in either set bounds the intersection
+    enough = (num + den) * (level + F.least(n - pos, n_b - pos_b)) >= num * (n + n_b)
+    size = den * F.least(n, n_b) >= num * F.greatest(n, n_b)
+    met = loose.join(other, (loose["bucket"] == other["bucket"]) & (loose["piece"] == other["piece"]) & (F.col("part") != F.col("other")) & size & enough)
+    return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
     return both.mapInArrow(_confirm(num, den), "a bigint, b bigint").distinct()

@@ -588,6 +588,40 @@ def test_near_duplicates_by_brute_force(spark, odd, none):
     assert op9_minhash.near_duplicates(none).isEmpty() and op9_minhash.keep_first(none).isEmpty()
 
 
+def test_forms_with_few_values(spark, monkeypatch):
+    """Records of fields with few values share all their shingles with many others and are like none of them; and the
+    same rule at buckets of two rows."""
+    r = random.Random(13)
+    values = [[" ".join(f"f{i}v{v}w{k}" for k in range(8)) for v in range(4)] for i in range(8)]
+    rows = [(i, " ".join(r.choice(v) for v in values)) for i in range(3000)]
+    first: dict[str, int] = {}
+    want = {i: first.setdefault(t, i) for i, t in rows}
+    assert {x["doc_id"]: x["component_id"] for x in op9_minhash.near_duplicates(table(spark, rows), words=4).collect()} == want
+    monkeypatch.setattr(op9_minhash, "_BUCKET", 2)  # the rule itself, with all buckets refined or dealt
+    g = np.random.default_rng(4)
+    sets = [np.unique(np.concatenate([np.arange(40 + i % 7), g.integers(1000, 1030, i % 9)])).astype(np.uint64) for i in range(80)]
+    shelved = spark.createDataFrame([(i, i // 2, bytearray(x.tobytes())) for i, x in enumerate(sets)], "node long, part long, items binary")
+    like = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+    must = {(i, j) for j in range(80) for i in range(j) if i // 2 != j // 2 and like(sets[i], sets[j])}
+    for few, deepest in ((0, 8), (32, 8), (0, 1)):
+        monkeypatch.setattr(op9_minhash, "_FEW", few)
+        monkeypatch.setattr(op9_minhash, "_DEEPEST", deepest)
+        got = {(x["a"], x["b"]) for x in op9_minhash._shared(shelved, op9_minhash._rarity(shelved), 80, 100).collect()}
+        assert must <= got and all(a < b and a // 2 != b // 2 for a, b in got) and must
+
+
+def test_near_duplicate_columns(spark, tmp_path):
+    rows = ODD + [(30 + i, LONG + f" end{i % 3} x y z") for i in range(9)]
+    got = query_rows(spark, tmp_path, op9_minhash.query, rows)
+    want = brute_classes(rows, 4)
+    sizes = collections.defaultdict(set)
+    for d, t in rows:
+        w = (t or "").encode().lower().split()
+        sizes[d].add(len({tuple(w[i : i + 4]) for i in range(len(w) - 3)}) if len(w) >= 4 else int(bool(w)))
+    assert len(got) == len(rows) and all(r["n_shingles"] in sizes[r["doc_id"]] and r["component_id"] == want[r["doc_id"]] for r in got)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["doc_id"] is not None)
+
+
 def test_rare_prefixes_lose_no_pair():
     """What decides between components on its own: similar sets share one of their rarest shingles."""
     r = np.random.default_rng(3)
