@@ -14,13 +14,16 @@ whole corpus would. Four steps, each over bounded groups:
    common prefixes with a stack, keeps the left-diverse ones (maximal repeats
    with all their occurrences), and answers the blocks with spans to remove.
 
-A passage in a third of all documents thus costs one row a block, not one a document.
+A passage in a third of all documents thus costs one row a block, not one a document. A phrase shorter than
+``least`` in many otherwise different documents can be the anchor of very many stretches: those of such an anchor
+are cut into their strings and dealt to as many shards as their number asks for, by the strings' own hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +38,8 @@ BLOCK_TEXT = (1 << 20, 64 << 20)
 SHARD_TEXT = (2 << 20, 128 << 20)
 #: Bytes of stretches whose suffixes are sorted at once.
 SHARD_BYTES = 6 << 20
+#: Distinct stretches of one anchor that one shard takes, some 80 bytes each.
+ANCHOR_STRETCHES = 1 << 14
 _NONE = np.iinfo(np.int64).max
 
 
@@ -87,60 +92,91 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(fresh)
 
 
+def _runs_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return np.flatnonzero(fresh)
+
+
 def _anchors(table: pa.Table, least: int, seed: int, shards: int) -> pa.Table:
-    """Step 1. Per shard: anchors in one document of the block, and anchors in several."""
+    """Step 1. Per shard: the block's anchors, and of each whether several documents have it and, as a logarithm
+    rounded up, how many different stretches it has."""
     block_id = table.column("block")[0].as_py()
     table = _documents(table)
     ids = table.column("doc_id").to_numpy()
-    found, docs = [], []
+    found, docs, keys = [], [], []
     for b in tc.blocks(table.column("text")):
-        a, _, _, d, _ = stretches(b, least, seed)
+        a, lo, hi, d, sums = stretches(b, least, seed)
         keep = ids[b.lo + d] != _NONE
         found.append(a[keep])
         docs.append(ids[b.lo + d][keep])
-    a, d = np.concatenate(found), np.concatenate(docs)
-    order = np.argsort(a, kind="stable")
-    a, d = a[order], d[order]
+        keys.append(tc.span_hash(sums, lo[keep], hi[keep]))
+    a, d, k = np.concatenate(found), np.concatenate(docs), np.concatenate(keys)
+    order = np.lexsort((k, a))
+    a, d, k = a[order], d[order], k[order]
     first = _runs(a)
     several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first) if len(first) else np.empty(0, bool)
+    fresh = np.zeros(len(k), np.int64)
+    fresh[_runs(k)] = 1
+    number = np.add.reduceat(fresh, first) if len(first) else first
+    mark = (several + 2 * np.ceil(np.log2(np.maximum(number, 1)))).astype(np.uint8)
     a = a[first]
     shard = a % np.uint64(shards)
     order = np.argsort(shard, kind="stable")
-    a, several, shard = a[order], several[order], shard[order].astype(np.int64)
-    rows = {"shard": [], "block": [], "one": [], "several": []}
+    a, mark, shard = a[order], mark[order], shard[order].astype(np.int64)
+    rows = {"shard": [], "block": [], "anchors": [], "marks": []}
     cut = _runs(shard).tolist() + [len(a)]
     for lo, hi in zip(cut[:-1], cut[1:]):
         rows["shard"].append(int(shard[lo]))
         rows["block"].append(block_id)
-        rows["one"].append(a[lo:hi][~several[lo:hi]].tobytes())
-        rows["several"].append(a[lo:hi][several[lo:hi]].tobytes())
-    return pa.table(rows, schema=pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("one", pa.binary()), ("several", pa.binary())]))
+        rows["anchors"].append(a[lo:hi].tobytes())
+        rows["marks"].append(mark[lo:hi].tobytes())
+    return pa.table(rows, schema=pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("anchors", pa.binary()), ("marks", pa.binary())]))
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Step 2. To each block, those of its anchors that a second document has."""
+def _shared(table: pa.Table, most: int) -> pa.Table:
+    """Step 2. To each block, those of its anchors that a second document has, and among how many shards (a power
+    of two, as its logarithm) each one's stretches are dealt."""
     blocks = table.column("block").to_numpy()
-    one = [np.frombuffer(x, np.uint64) for x in table.column("one").to_pylist()]
-    several = [np.frombuffer(x, np.uint64) for x in table.column("several").to_pylist()]
-    a = np.concatenate(one + several)
-    where = np.repeat(np.concatenate([np.arange(len(blocks))] * 2), [len(x) for x in one + several])
-    sure = np.repeat(np.arange(2 * len(blocks)) >= len(blocks), [len(x) for x in one + several])
+    anchors = [np.frombuffer(x, np.uint64) for x in table.column("anchors").to_pylist()]
+    a = np.concatenate(anchors)
+    mark = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("marks").to_pylist()])
+    where = np.repeat(np.arange(len(blocks)), [len(x) for x in anchors])
     order = np.argsort(a, kind="stable")
-    a, where, sure = a[order], where[order], sure[order]
+    a, where, mark = a[order], where[order], mark[order]
     first = _runs(a)
     counts = np.diff(np.append(first, len(a)))
-    good = (counts > 1) | (np.maximum.reduceat(sure, first) if len(first) else np.empty(0, bool))
+    some = len(first) > 0
+    good = (counts > 1) | (np.maximum.reduceat(mark & 1, first) > 0 if some else np.empty(0, bool))
+    number = np.add.reduceat(np.left_shift(1, (mark >> 1).astype(np.int64)), first) if some else first
+    pieces = np.ceil(np.log2(np.maximum(number / most, 1))).astype(np.uint8)
     keep = np.repeat(good, counts)
-    a, where = a[keep], where[keep]
+    a, where, pieces = a[keep], where[keep], np.repeat(pieces, counts)[keep]
     order = np.argsort(where, kind="stable")
-    a, where = a[order], where[order]
+    a, where, pieces = a[order], where[order], pieces[order]
     cut = _runs(where).tolist() + [len(a)]
     return pa.table(
-        {"block": [int(blocks[where[lo]]) for lo in cut[:-1]], "anchors": [a[lo:hi].tobytes() for lo, hi in zip(cut[:-1], cut[1:])]},
-        schema=pa.schema([("block", pa.int64()), ("anchors", pa.binary())]),
+        {"block": [int(blocks[where[lo]]) for lo in cut[:-1]], "anchors": [a[lo:hi].tobytes() for lo, hi in zip(cut[:-1], cut[1:])], "pieces": [pieces[lo:hi].tobytes() for lo, hi in zip(cut[:-1], cut[1:])]},
+        schema=pa.schema([("block", pa.int64()), ("anchors", pa.binary()), ("pieces", pa.binary())]),
     )
 
 
+def _dealt(a: np.ndarray, lo: np.ndarray, hi: np.ndarray, d: np.ndarray, pieces: np.ndarray, sums: np.ndarray, least: int):
+    """Stretches with their hashes; those whose anchor is dealt to several shards as their strings, each under an
+    anchor of its own that tells the shard. Last: which ones are such strings."""
+    wide = pieces > 0
+    k = tc.span_hash(sums, lo[~wide], hi[~wide])
+    if not wide.any():
+        return a, lo, hi, d, k, np.zeros(len(a), bool)
+    n = hi[wide] - lo[wide] - least + 1
+    own = np.repeat(np.flatnonzero(wide), n)
+    start = np.repeat(lo[wide] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    single = tc.span_hash(sums, start, start + least)
+    under = tc.mix(a[own] + (single >> (np.uint64(64) - pieces[own].astype(np.uint64))) + np.uint64(1))
+    join = lambda x, y: np.concatenate([x[~wide], y])
+    return join(a, under), join(lo, start), join(hi, start + least), join(d, d[own]), np.concatenate([k, single]), np.arange(len(k) + len(own)) >= len(k)
+
+
 _STRETCH = [("shard", pa.int64()), ("block", pa.int64()), ("anchor", pa.binary()), ("doc", pa.binary()), ("next", pa.binary()), ("size", pa.binary()), ("bytes", pa.binary())]
 
 
@@ -168,48 +204,51 @@ def _stretches(key, docs: pa.Table, answers: pa.Table, least: int, seed: int, sh
         return schema.empty_table()
     docs = _documents(docs)
     ids = docs.column("doc_id").to_numpy()
-    shared = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in answers.column("anchors").to_pylist()]))
+    shared = np.concatenate([np.frombuffer(x, np.uint64) for x in answers.column("anchors").to_pylist()])
+    pieces = np.concatenate([np.frombuffer(x, np.uint8) for x in answers.column("pieces").to_pylist()])
     if not len(shared):
         return schema.empty_table()
-    a_, k_, d_, s_, t_ = [], [], [], [], []
+    order = np.argsort(shared)
+    shared, pieces = shared[order], pieces[order]
+    a_, k_, d_, s_, t_, o_ = [], [], [], [], [], []
     for b in tc.blocks(docs.column("text")):
         a, lo, hi, d, sums = stretches(b, least, seed)
         if not len(a):
             continue
         at = np.minimum(np.searchsorted(shared, a), len(shared) - 1)
         keep = (shared[at] == a) & (ids[b.lo + d] != _NONE)
-        a, lo, hi, d = a[keep], lo[keep], hi[keep], ids[b.lo + d[keep]]
-        k = tc.span_hash(sums, lo, hi)
-        order = np.lexsort((d, k))  # here already each distinct stretch once
-        k, a, lo, hi, d = k[order], a[order], lo[order], hi[order], d[order]
-        first = _runs(k)
+        a, lo, hi, d, k, one = _dealt(a[keep], lo[keep], hi[keep], ids[b.lo + d[keep]], pieces[at[keep]], sums, least)
+        order = np.lexsort((d, k, a))  # here already each distinct stretch once
+        k, a, lo, hi, d, one = k[order], a[order], lo[order], hi[order], d[order], one[order]
+        first = _runs_of(a, k)
         if not len(first):
             continue
         low, second = _two_least(first, d, np.full(len(d), _NONE))
         size = (hi - lo)[first]
-        a_.append(a[first]), k_.append(k[first]), d_.append(np.column_stack([low, second])), s_.append(size)
+        a_.append(a[first]), k_.append(k[first]), d_.append(np.column_stack([low, second])), s_.append(size), o_.append(one[first])
         pos = np.repeat(lo[first] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         t_.append(b.data[pos])
     if not a_:
         return schema.empty_table()
-    a, k, d, size, text = np.concatenate(a_), np.concatenate(k_), np.concatenate(d_), np.concatenate(s_), np.concatenate(t_)
+    a, k, d, size, text, one = (np.concatenate(x) for x in (a_, k_, d_, s_, t_, o_))
     begin = np.cumsum(size) - size
-    order = np.lexsort((k, a % np.uint64(shards)))
-    a, k, d, size, begin = a[order], k[order], d[order], size[order], begin[order]
-    first = _runs(k)
+    order = np.lexsort((k, a, a % np.uint64(shards)))
+    a, k, d, size, begin, one = a[order], k[order], d[order], size[order], begin[order], one[order]
+    first = _runs_of(a, k)
     low, second = _two_least(first, d[:, 0], d[:, 1])
-    a, k, size, begin = a[first], k[first], size[first], begin[first]
+    a, size, begin, one = a[first], size[first], begin[first], one[first]
     shard = (a % np.uint64(shards)).astype(np.int64)
     cut = _runs(shard).tolist() + [len(a)]
     rows = []
     for x, y in zip(cut[:-1], cut[1:]):
         z = size[x:y]
         pos = np.repeat(begin[x:y] - (np.cumsum(z) - z), z) + np.arange(z.sum())
-        rows.append((int(shard[x]), key[0].as_py(), a[x:y].tobytes(), _packed(low[x:y]), _packed(second[x:y]), _packed(z.astype(np.uint16)), _packed(text[pos])))
+        rows.append((int(shard[x]), key[0].as_py(), a[x:y].tobytes(), _packed(low[x:y]), _packed(second[x:y]), _packed((z + (one[x:y].astype(np.int64) << 15)).astype(np.uint16)), _packed(text[pos])))
     return pa.table([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _STRETCH)], schema=schema)
 
 
-_SPANS = [("block", pa.int64()), ("key", pa.binary()), ("at", pa.binary()), ("size", pa.binary()), ("doc", pa.binary())]
+#: single: whether the keys are those of strings, or of stretches.
+_SPANS = [("block", pa.int64()), ("single", pa.bool_()), ("key", pa.binary()), ("at", pa.binary()), ("size", pa.binary()), ("doc", pa.binary())]
 
 
 def _keys(text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -231,11 +270,12 @@ def _repeats(table: pa.Table, least: int) -> pa.Table:
     block = np.repeat(table.column("block").to_numpy(), [len(x) for x in anchors])
     a = np.concatenate(anchors)
     doc, nxt, size, text = col("doc", np.int64), col("next", np.int64), col("size", np.uint16).astype(np.int64), col("bytes", np.uint8)
+    one, size = size >> 15, size & 0x7FFF
     begin = np.cumsum(size) - size
     k = _keys(text, begin, size)
     order = np.lexsort((k, a))
-    a, k, doc, nxt, size, begin, block = a[order], k[order], doc[order], nxt[order], size[order], begin[order], block[order]
-    first = _runs(k)
+    a, k, doc, nxt, size, begin, block, one = a[order], k[order], doc[order], nxt[order], size[order], begin[order], block[order], one[order]
+    first = _runs_of(a, k)
     counts = np.diff(np.append(first, len(k)))
     low, second = _two_least(first, doc, nxt)
     ua, us, ub = a[first], size[first], begin[first]
@@ -253,11 +293,11 @@ def _repeats(table: pa.Table, least: int) -> pa.Table:
     least_doc = least_doc[pick]
     use = (doc[entry] > least_doc) | (nxt[entry] != _NONE)
     pick, entry, least_doc = pick[use], entry[use], least_doc[use]
-    order = np.argsort(block[entry], kind="stable")
+    order = np.lexsort((one[entry], block[entry]))
     pick, entry, least_doc = pick[order], entry[order], least_doc[order]
-    to = block[entry]
-    cut = _runs(to).tolist() + [len(to)]
-    rows = [(int(to[x]), k[entry[x:y]].tobytes(), at[pick[x:y]].astype(np.uint16).tobytes(), span[pick[x:y]].astype(np.uint16).tobytes(), least_doc[x:y].tobytes()) for x, y in zip(cut[:-1], cut[1:])]
+    to, single = block[entry], one[entry]
+    cut = _runs_of(to, single).tolist() + [len(to)]
+    rows = [(int(to[x]), bool(single[x]), k[entry[x:y]].tobytes(), at[pick[x:y]].astype(np.uint16).tobytes(), span[pick[x:y]].astype(np.uint16).tobytes(), least_doc[x:y].tobytes()) for x, y in zip(cut[:-1], cut[1:])]
     return pa.table([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _SPANS)], schema=schema) if rows else schema.empty_table()
 
 
@@ -294,20 +334,37 @@ _RESULT = "doc_id bigint, text string, kept binary, spans array<struct<start:big
 _RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
+def _strings(block: tc.Block, least: int, seed: int):
+    """As stretches gives them, every string of ``least`` bytes by itself; without anchors."""
+    n = max(0, len(block.data) - least + 1)
+    doc = np.repeat(np.arange(len(block), dtype=np.int32), np.diff(block.at))
+    first = np.flatnonzero(doc[:n] == doc[least - 1 :]) if n else np.empty(0, np.int64)
+    return None, first, first + least, doc[first], tc.prefix_sums(block.data)
+
+
+def _told(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in order, and of each a span in its stretch and the smallest document that has the span."""
+    col = lambda name, kind: np.concatenate([np.empty(0, kind)] + [np.frombuffer(x, kind) for x in answers.column(name).to_pylist()])
+    key, at, size, low = col("key", np.uint64), col("at", np.uint16).astype(np.int64), col("size", np.uint16).astype(np.int64), col("doc", np.int64)
+    order = np.argsort(key, kind="stable")
+    return key[order], at[order], size[order], low[order]
+
+
 def _removed(docs: pa.Table, answers: pa.Table, least: int, seed: int) -> pa.Table:
     """Last step: the union of spans of each document, and the bytes outside it."""
     docs = _documents(docs)
     ids = docs.column("doc_id").to_numpy()
-    col = lambda name, kind: np.concatenate([np.empty(0, kind)] + [np.frombuffer(x, kind) for x in answers.column(name).to_pylist()])
-    key, at, size, low = col("key", np.uint64), col("at", np.uint16).astype(np.int64), col("size", np.uint16).astype(np.int64), col("doc", np.int64)
-    order = np.argsort(key, kind="stable")
-    key, at, size, low = key[order], at[order], size[order], low[order]
+    told = [_told(answers.filter(pc.equal(answers.column("single"), single))) for single in (False, True)]
     kept_parts, kept_len, span_doc, span_lo, span_hi = [], [], [], [], []
     for b in tc.blocks(docs.column("text")):
         n = len(b.data)
         gone = np.zeros(n + 1, np.int64)
-        a, lo, hi, d, sums = stretches(b, least, seed) if len(key) else (np.empty(0),) * 5
-        if len(a):
+        for (key, at, size, low), cut in zip(told, (stretches, _strings)):
+            if not len(key):
+                continue
+            _, lo, hi, d, sums = cut(b, least, seed)
+            if not len(lo):
+                continue
             k = tc.span_hash(sums, lo, hi)
             x = np.searchsorted(key, k, side="left")
             hits = np.flatnonzero((x < len(key)) & (key[np.minimum(x, len(key) - 1)] == k) & (ids[b.lo + d] != _NONE))
@@ -343,7 +400,7 @@ def _removed(docs: pa.Table, answers: pa.Table, least: int, seed: int) -> pa.Tab
     return pa.table([ids, text, kept, spans.cast(_RESULT_ARROW.field("spans").type)], schema=_RESULT_ARROW)
 
 
-def remove_repeats(docs: DataFrame, least: int = 50, seed: int = SEED) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 50, seed: int = SEED, anchor_stretches: int = ANCHOR_STRETCHES) -> DataFrame:
     """Remove every byte covered by a ``least``-byte string that also starts in a document with a smaller doc_id.
 
     Returns doc_id, text, kept (binary: the remaining bytes joined) and spans (maximal removed runs
@@ -352,24 +409,25 @@ def remove_repeats(docs: DataFrame, least: int = 50, seed: int = SEED) -> DataFr
     A row with a null doc_id is neither a source nor changed. Rows with the same doc_id are no sources for
     each other. Other columns are not read. An empty table gives an empty result.
     """
-    if not 1 <= seed <= least:
-        raise ValueError("seed has to be between 1 and least")
+    if not 1 <= seed <= least < 1 << 14:
+        raise ValueError("seed has to be between 1 and least, and least below 16384")
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).first()["n"]
     n_blocks, shards = (max(1, -(-size // min(most, max(fewest, size // n)))) for (fewest, most), n in ((BLOCK_TEXT, 256), (SHARD_TEXT, 128)))
     docs = docs.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).alias("block"),
+        # repeated rows go to different blocks: as many at least as there are parts of the input that hold them
+        F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n_blocks)).alias("block"),
         F.coalesce("doc_id", F.lit(_NONE)).alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
     )  # all three uses below share one shuffle of the texts
-    anchors = docs.groupBy("block").applyInArrow(_grouped(_anchors, least=least, seed=seed, shards=shards), "shard bigint, block bigint, one binary, several binary")
-    shared = anchors.groupBy("shard").applyInArrow(_grouped(_shared), "block bigint, anchors binary")
+    anchors = docs.groupBy("block").applyInArrow(_grouped(_anchors, least=least, seed=seed, shards=shards), "shard bigint, block bigint, anchors binary, marks binary")
+    shared = anchors.groupBy("shard").applyInArrow(_grouped(_shared, most=anchor_stretches), "block bigint, anchors binary, pieces binary")
     found = docs.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
         _cogrouped(_stretches, least=least, seed=seed, shards=shards), "shard bigint, block bigint, anchor binary, doc binary, next binary, size binary, bytes binary"
     )
-    spans = found.groupBy("shard").applyInArrow(_grouped(_repeats, least=least), "block bigint, key binary, at binary, size binary, doc binary")
+    spans = found.groupBy("shard").applyInArrow(_grouped(_repeats, least=least), "block bigint, single boolean, key binary, at binary, size binary, doc binary")
     return docs.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_cogrouped_plain(_removed, least=least, seed=seed), _RESULT)
 
 

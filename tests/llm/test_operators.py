@@ -13,6 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,14 +242,40 @@ def test_repeats_by_brute_force(spark, odd, none):
         passages = ["".join(r.choice("abc ") for _ in range(r.randrange(3, 40))) for _ in range(8)]
         rows = [(r.randrange(40), "".join(r.choice(passages) + r.choice("xyé") for _ in range(r.randrange(6)))) for _ in range(60)]
         rows += [(None, passages[0] * 3), (50, None), (51, ""), (52, "a" * 200), (53, "a" * 90)]
-        got = [(x["doc_id"], bytes(x["kept"]), [(s["start"], s["end"]) for s in x["spans"]]) for x in op3_repeats.remove_repeats(table(spark, rows), least, seed=4).collect()]
         key = lambda x: (x[0] is None, x[0] or 0, x[1], x[2])
-        assert sorted(got, key=key) == sorted(brute_removed(rows, least), key=key)
+        for most in (1 << 14, 2):  # 2: nearly every anchor is dealt to several shards
+            got = [(x["doc_id"], bytes(x["kept"]), [(s["start"], s["end"]) for s in x["spans"]]) for x in op3_repeats.remove_repeats(table(spark, rows), least, 4, most).collect()]
+            assert sorted(got, key=key) == sorted(brute_removed(rows, least), key=key)
     got = [(x["doc_id"], bytes(x["kept"]), [(s["start"], s["end"]) for s in x["spans"]]) for x in op3_repeats.remove_repeats(odd).collect()]
     assert sorted(got, key=key) == sorted(brute_removed(ODD, 50), key=key)
     assert op3_repeats.remove_repeats(none).isEmpty()
 
 
+def test_hot_anchor_is_dealt_to_shards(spark, monkeypatch):
+    """A phrase shorter than a string in otherwise different texts, at two sizes: no shard gets more than its share."""
+    phrase, r = "of the people, by the people", random.Random(14)
+    texts = [f"{r.randrange(16**24):024x} {phrase} {r.randrange(16**24):024x}" for _ in range(4000)]
+    sizes = {}
+    for n in (1000, 4000):
+        docs = pa.table({"block": [0] * n, "doc_id": list(range(n)), "text": texts[:n]})
+        shards = 8
+        anchors = op3_repeats._anchors(docs, 50, 20, shards).to_pylist() + op3_repeats._anchors(docs.set_column(0, "block", pa.array([1] * n)), 50, 20, shards).to_pylist()
+        schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("anchors", pa.binary()), ("marks", pa.binary())])
+        told = pa.concat_tables([op3_repeats._shared(pa.Table.from_pylist([x for x in anchors if x["shard"] == s], schema), 64) for s in range(shards) if any(x["shard"] == s for x in anchors)])
+        told = told.filter(pc.equal(told.column("block"), 0))
+        found = op3_repeats._stretches((pa.scalar(0),), docs, told, 50, 20, shards)
+        a = np.concatenate([np.frombuffer(x, np.uint64) for x in found.column("anchor").to_pylist()])
+        sizes[n] = np.unique(a, return_counts=True)[1].max()
+    assert sizes[4000] < 2 * sizes[1000] and sizes[4000] < 64 * 31  # strings of 64 stretches, not of 4000
+
+
+def test_removed_columns(spark, tmp_path):
+    rows = ODD + [(20 + i, f"{i} {LONG} {i * 7919}" * 3) for i in range(6)]
+    got = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in query_rows(spark, tmp_path, op3_repeats.query, rows))
+    want = collections.Counter((d, len((t or "").encode()), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest()) for (d, t), (_, kept, spans) in zip(rows, brute_removed(rows, 50)))
+    assert got == want
+
+
 # 4 packing
 
 
