@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import durable, parts, scratch, ship
+from .session import durable, freeing, parts, scratch, ship
 from .tokens import encoded, vocabulary_path
 
 MAGIC = b"LWPLANE1"
@@ -231,13 +231,13 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int, unit: int = 1, fold
     n = parts(spark)
     shares = F.array(*(F.lit(k / n) for k in range(1, n)))
     bounds = docs.agg(F.percentile_approx("doc_id", shares, 10_000).alias("b")).first()["b"] if n > 1 else []
-    rows = docs.mapInArrow(_tokens(vocabulary, end_id, sorted(set(bounds or []))), "part int, doc_id bigint, ids binary")
+    rows = docs.mapInArrow(freeing(_tokens(vocabulary, end_id, sorted(set(bounds or [])))), "part int, doc_id bigint, ids binary")
     from .tokens import encoder
 
     wide = encoder(vocabulary).wide or end_id > 65535
     count = (20 if wide else 16) if unit == 1 else (4 if wide else 2)
     ranged = rows.repartitionById(n, F.col("part")).sortWithinPartitions("part", "doc_id", "ids")
-    manifest = durable(ranged.mapInArrow(_write(folder, unit, count), "part int, number int, file string, n_ids bigint, n_docs bigint, bytes bigint"))
+    manifest = durable(ranged.mapInArrow(freeing(_write(folder, unit, count)), "part int, number int, file string, n_ids bigint, n_docs bigint, bytes bigint"))
     found = sorted(manifest.collect())  # a row for each file, some hundred MB of ids
     start, out = 0, []
     for r in found:
@@ -268,7 +268,7 @@ def _read(batches):
 def read_digests(files: DataFrame) -> DataFrame:
     """From the files: doc_id, start, n_tokens and the crc32 of the ids of every document."""
     n = max(1, files.count())
-    return files.select("file", "start").repartition(n).mapInArrow(_read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return files.select("file", "start").repartition(n).mapInArrow(freeing(_read), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

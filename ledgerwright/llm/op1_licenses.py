@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .session import ship
+from .session import freeing, ship
 
 TABLE = 1 << 16
 GRAMS = 3
@@ -328,7 +328,7 @@ def find_licenses(docs: DataFrame, model: Classifier, least: float = LEAST) -> D
                     d, *rest = zip(*rows)
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array([b.lo + i for i in d])), *map(pa.array, rest)], names=names)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _FOUND)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(freeing(run), _FOUND)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .session import durable, ship
+from .session import durable, freeing, ship
 
 WORDS = 3
 #: Seeds that a window must have; each asks for one seed more an item, and spares alignments.
@@ -247,13 +247,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, least: f
         items = Items.of(rows, n)
         grams = np.unique(items.gram)
         held = spark.sparkContext.broadcast(grams)  # 16 bytes for each word of a block of items
-        counted = docs.select("text").mapInArrow(_frequencies(held), "gram bigint, texts bigint").groupBy("gram").agg(F.sum("texts").alias("texts"))
+        counted = docs.select("text").mapInArrow(freeing(_frequencies(held)), "gram bigint, texts bigint").groupBy("gram").agg(F.sum("texts").alias("texts"))
         frequency = np.zeros(len(grams), np.int64)
         for g, c in counted.collect():  # at most two rows for each word of the block
             frequency[np.searchsorted(grams, np.uint64(g % 2**64))] = c
         held.unpersist()
         seeds = items.seeds(frequency[np.searchsorted(grams, items.gram)] if len(grams) else np.empty(0, np.int64), least)
-        part = docs.mapInArrow(_find(spark.sparkContext.broadcast(seeds), least), _FOUND)
+        part = docs.mapInArrow(freeing(_find(spark.sparkContext.broadcast(seeds), least)), _FOUND)
         if found is not None:
             part = durable(part)
         found = part if found is None else found.unionByName(part)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .session import ship
+from .session import release, ship
 from .suffix import DIVERSE, repeat_intervals, suffix_array
 
 SEED = 20
@@ -433,21 +433,30 @@ def remove_repeats(docs: DataFrame, least: int = 50, seed: int = SEED, anchor_st
 
 def _grouped(f, **parameters):
     def apply(table: pa.Table) -> pa.Table:
-        return f(table, **parameters)
+        try:
+            return f(table, **parameters)
+        finally:
+            release()
 
     return apply
 
 
 def _cogrouped(f, **parameters):
     def apply(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        return f(key, left, right, **parameters)
+        try:
+            return f(key, left, right, **parameters)
+        finally:
+            release()
 
     return apply
 
 
 def _cogrouped_plain(f, **parameters):
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        return f(left, right, **parameters) if left.num_rows else _RESULT_ARROW.empty_table()
+        try:
+            return f(left, right, **parameters) if left.num_rows else _RESULT_ARROW.empty_table()
+        finally:
+            release()
 
     return apply
 

@@ -20,11 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import ship
+from .session import freeing, ship
 from .tokens import encoded, vocabulary_path
 
 #: Tokens packed together: a task's texts are packed in windows of about this many.
-WINDOW_TOKENS = 1 << 22
+WINDOW_TOKENS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -217,7 +217,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, limits: Limits
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_packer(vocabulary, end_id, limits), PACKED)
+    return docs.mapInArrow(freeing(_packer(vocabulary, end_id, limits)), PACKED)
 
 
 def _pack_examples(limits: Limits):
@@ -259,7 +259,7 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """
     ship(examples.sparkSession)
     columns = [F.col(c).cast("bigint").alias(c) for c in ("example_id", "tokens", "loss_tokens")]
-    return examples.select(*columns).mapInArrow(_pack_examples(limits), "example_id bigint, sequence_id bigint, offset bigint, tokens bigint, loss_tokens bigint")
+    return examples.select(*columns).mapInArrow(freeing(_pack_examples(limits)), "example_id bigint, sequence_id bigint, offset bigint, tokens bigint, loss_tokens bigint")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .session import ship
+from .session import freeing, ship
 
 #: Entries of the weight table, hashed; with one column a language.
 TABLE = 1 << 18
@@ -284,7 +284,7 @@ def predict(docs: DataFrame, tagger: Tagger) -> DataFrame:
     ``und`` with score 0. Rows are independent; other columns are not read."""
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(tagger)
-    return _texts(docs).mapInArrow(_predict(held), "doc_id bigint, lang_pred string, score double")
+    return _texts(docs).mapInArrow(freeing(_predict(held)), "doc_id bigint, lang_pred string, score double")
 
 
 RUNS = "array<struct<start:bigint,end:bigint,lang:string>>"
@@ -310,7 +310,7 @@ def label_words(docs: DataFrame, tagger: Tagger) -> DataFrame:
                         rows[d].append({"start": int(w.start[i] - b.at[d]), "end": int(w.end[j - 1] - b.at[d]), "lang": held.value.languages[best[i]]})
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(b.lo, len(b)), pa.array(rows, kind)], names=["doc_id", "runs"])
 
-    return _texts(docs).mapInArrow(run, f"doc_id bigint, runs {RUNS}")
+    return _texts(docs).mapInArrow(freeing(run), f"doc_id bigint, runs {RUNS}")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

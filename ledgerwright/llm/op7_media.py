@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .session import ship
+from .session import freeing, ship
 
 FRAME_WIDTH, FRAME_HEIGHT = 32, 18
 FRAME = FRAME_WIDTH * FRAME_HEIGHT
@@ -211,7 +211,7 @@ def describe_media(files: DataFrame) -> DataFrame:
     """id and media (binary) to id, tracks and error. A null or empty file has no tracks; a malformed one has
     null tracks and the reason in error. Rows are independent, and other columns are not read."""
     ship(files.sparkSession)
-    return files.select(F.col("id").cast("bigint").alias("id"), F.col("media").cast("binary").alias("media")).mapInArrow(_describe, f"id bigint, tracks {TRACKS}, error string")
+    return files.select(F.col("id").cast("bigint").alias("id"), F.col("media").cast("binary").alias("media")).mapInArrow(freeing(_describe), f"id bigint, tracks {TRACKS}, error string")
 
 
 def _store(batches):
@@ -230,7 +230,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
     Null and empty texts give one frame of padding. One row for each row, whatever its doc_id."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_store, "doc_id bigint, n_bytes bigint, media binary")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(freeing(_store), "doc_id bigint, n_bytes bigint, media binary")
 
 
 _DIGEST = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
@@ -258,4 +258,4 @@ def _digest(batches):
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op7: texts stored as media files, and what the reader finds in these."""
-    return store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")).mapInArrow(_digest, _DIGEST)
+    return store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")).mapInArrow(freeing(_digest), _DIGEST)

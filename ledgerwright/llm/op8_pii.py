@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .boosting import BoostedTrees, threshold
-from .session import ship
+from .session import freeing, ship
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "secret")
@@ -359,7 +359,7 @@ def find_personal_data(docs: DataFrame, precision: float = PRECISION) -> DataFra
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_finder(model(precision)), f"doc_id bigint, spans {SPAN}")
+    return docs.mapInArrow(freeing(_finder(model(precision))), f"doc_id bigint, spans {SPAN}")
 
 
 def redact_documents(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
@@ -376,7 +376,7 @@ def redact_documents(docs: DataFrame, precision: float = PRECISION) -> DataFrame
             new = pa.array([c if c is not None else old[i].as_py() for i, c in enumerate(changed)], old.type) if any(c is not None for c in changed) else old
             yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
-    out = docs.mapInArrow(run, schema)
+    out = docs.mapInArrow(freeing(run), schema)
     return out.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

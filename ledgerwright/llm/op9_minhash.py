@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .components import components
-from .session import durable, ship
+from .session import drop, durable, freeing, ship
 
 WORDS = 5
 HALF_KEYS = 14
@@ -128,7 +128,7 @@ def _add_counts(table: pa.Table) -> pa.Table:
 def _rarity(sets: DataFrame):
     """How often shingles occur, as a logarithm, by counter: COUNTERS bytes whatever the corpus, for every executor."""
     spark = sets.sparkSession
-    rows = sets.mapInArrow(_count, "chunk int, counts binary").groupBy("chunk").applyInArrow(lambda table: _add_counts(table), "chunk int, counts binary").collect()
+    rows = sets.mapInArrow(freeing(_count), "chunk int, counts binary").groupBy("chunk").applyInArrow(lambda table: _add_counts(table), "chunk int, counts binary").collect()
     counts = np.zeros((_CHUNKS, COUNTERS // _CHUNKS), np.uint8)
     for r in rows:
         counts[r["chunk"]] = np.frombuffer(r["counts"], np.uint8)
@@ -226,11 +226,11 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (80, 100), wo
         raise ValueError("half_keys * rows has to be between 1 and 2000")
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    features = durable(docs.mapInArrow(_features(words, half_keys, rows), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, left array<bigint>, right array<bigint>"))
+    features = durable(docs.mapInArrow(freeing(_features(words, half_keys, rows)), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, left array<bigint>, right array<bigint>"))
 
     usable = features.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"), F.any_value("left").alias("left"), F.any_value("right").alias("right"))
-    classes = durable(classes)
+    classes = durable(classes, features.count(), 20_000)
 
     # the first collection's buckets with two classes or more, extended by the second collection
     firsts = classes.select("node", "n_shingles", "right", F.explode("left").alias("key"))
@@ -245,23 +245,27 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (80, 100), wo
     star = star.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
     taking_part = members.select("node").distinct()
     sets = durable(
-        docs.join(taking_part.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(words), "node bigint, items binary").distinct()
+        docs.join(taking_part.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(freeing(_sets(words)), "node bigint, items binary").distinct()
     )
-    linked = durable(_confirmed(star, sets, num, den))
+    n_members = members.count()
+    linked = durable(_confirmed(star, sets, num, den), n_members)
 
-    whole = components(linked)
+    whole = components(linked, linked.count())
     placed = members.select("bucket", "node", "n_shingles").join(whole.withColumnRenamed("v", "node"), "node", "left")
     placed = placed.select("bucket", "node", "n_shingles", F.coalesce("component", "node").alias("part"))
     split = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
     apart = placed.join(split, "bucket", "left_semi").select("node", "part").distinct()
     shelved = durable(sets.join(apart, "node"))
     rarity = _rarity(shelved)
-    rest = _shared(shelved, rarity, num, den).join(star, ["a", "b"], "left_anti")
-    later = durable(_confirmed(rest, sets, num, den))
+    rest = _shared(shelved, rarity, num, den)
     rarity.destroy()
+    pairs = reduce(DataFrame.unionByName, rest, star.limit(0)).distinct().join(star, ["a", "b"], "left_anti")
+    later = durable(_confirmed(pairs, sets, num, den))
+    drop(members, sets, linked, shelved, *rest)
     up = whole.select(F.col("v"), "component")
     named = later.join(up.withColumnRenamed("v", "a").withColumnRenamed("component", "ca"), "a", "left").join(up.withColumnRenamed("v", "b").withColumnRenamed("component", "cb"), "b", "left")
-    merged = components(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    merged = components(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), later.count())
+    drop(later)
 
     label = classes.select("set_a", "set_b", "node", "n_shingles").join(whole.withColumnRenamed("v", "node"), "node", "left")
     label = label.select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("v"))
@@ -279,39 +283,37 @@ _FEW = 32
 _DEEPEST = 8
 
 
-def _shared(shelved: DataFrame, rarity, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different parts, among them all that are similar enough.
+def _shared(shelved: DataFrame, rarity, num: int, den: int) -> list[DataFrame]:
+    """Tables of pairs (a, b) of nodes of different parts, among them all that are similar enough.
 
     Rows of a bucket's largest part meet only those of others, so a large group never meets itself. A pair is in
     the bucket of its common shingles in order, so refining a bucket by the next shingle loses none.
     """
     level, found = 0, []
-    rows = durable(shelved.mapInArrow(_prefixes(num, den, rarity, 0), _PREFIX))
-    while True:
+    rows = durable(shelved.mapInArrow(freeing(_prefixes(num, den, rarity, 0)), _PREFIX))
+    while rows is not None:
         # the smaller set of a pair shares one of an even shorter prefix
         short = (num + den) * (level + F.col("n_shingles") - F.col("pos")) >= 2 * num * F.col("n_shingles")
+        # hash aggregates all the way: a crowded bucket comes as partial sums
         by_part = rows.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"), F.bool_or(short).alias("short"))
-        # hash aggregates all the way: one key's rows are partial sums
-        sizes = by_part.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.col("n")).alias("most"), F.count(F.lit(1)).alias("parts"), F.bool_or("short").alias("short")).where("parts > 1 and short")
-        sizes = durable(sizes.drop("parts", "short"))
-        total = sizes.agg(F.sum("n")).first()[0]
-        if not total:
-            break
-        most = max(_BUCKET, total // _SHARE)
+        sizes = by_part.groupBy("bucket").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count(F.lit(1)).alias("parts"), F.bool_or("short").alias("short"))
+        sizes = durable(sizes.where("parts > 1 and short").select("bucket", "n", "most"), rows.count() // 2, 200_000)
+        most = max(_BUCKET, (sizes.agg(F.sum("n")).first()[0] or 0) // _SHARE)
         is_hot = F.col("n") > most  # of at most _SHARE buckets
-        refined = is_hot & (F.col("n") - F.col("most") > _FEW) & F.lit(level < _DEEPEST)
-        n_hot, n_refined = sizes.agg(F.count_if(is_hot), F.count_if(refined)).first()
-        calm = rows.join(F.broadcast(sizes.where(is_hot).select("bucket")), "bucket", "left_anti") if n_hot else rows
-        found.append(durable(_met(calm.join(sizes.where(~is_hot).select("bucket"), "bucket", "left_semi"), None, level, num, den)))
+        is_refined = is_hot & (F.col("n") - F.col("most") > _FEW) & F.lit(level < _DEEPEST)
+        n_calm, n_hot, n_refined = sizes.agg(F.count_if(~is_hot), F.count_if(is_hot), F.count_if(is_refined)).first()
+        if n_calm:
+            calm = rows.join(F.broadcast(sizes.where(is_hot).select("bucket")), "bucket", "left_anti") if n_hot else rows
+            found.append(durable(_met(calm.join(sizes.where(~is_hot).select("bucket"), "bucket", "left_semi"), None, level, num, den)))
         if n_hot > n_refined:
-            wide = sizes.where(is_hot & ~refined).select("bucket", F.ceil(F.col("n") / most).cast("int").alias("pieces"))
+            wide = sizes.where(is_hot & ~is_refined).select("bucket", F.ceil(F.col("n") / most).cast("int").alias("pieces"))
             found.append(durable(_met(rows.join(F.broadcast(wide.select("bucket")), "bucket", "left_semi"), wide, level, num, den)))
-        if not n_refined:
-            break
-        again = rows.join(F.broadcast(sizes.where(refined).select("bucket")), "bucket", "left_semi").select("bucket", "node", "pos")
-        level += 1
-        rows = durable(again.join(shelved, "node").mapInArrow(_prefixes(num, den, rarity, level), _PREFIX))
-    return reduce(DataFrame.unionByName, found).distinct() if found else shelved.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+        level, now, rows = level + 1, rows, None
+        if n_refined:
+            again = now.join(F.broadcast(sizes.where(is_refined).select("bucket")), "bucket", "left_semi").select("bucket", "node", "pos")
+            rows = durable(again.join(shelved, "node").mapInArrow(freeing(_prefixes(num, den, rarity, level)), _PREFIX))
+        drop(now, sizes)
+    return found
 
 
 def _met(rows: DataFrame, wide: DataFrame | None, level: int, num: int, den: int) -> DataFrame:
@@ -337,7 +339,7 @@ def _met(rows: DataFrame, wide: DataFrame | None, level: int, num: int, den: int
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
-    return both.mapInArrow(_confirm(num, den), "a bigint, b bigint").distinct()
+    return both.mapInArrow(freeing(_confirm(num, den)), "a bigint, b bigint").distinct()
 
 
 def keep_first(docs: DataFrame, **parameters) -> DataFrame:

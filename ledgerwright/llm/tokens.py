@@ -21,9 +21,10 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _TAIL = ".,!?;:*#&%$|()[]{}\"/=+<>~^_@-"
-#: Words, and letters without what surrounds them, that a worker remembers; beyond it they are forgotten, so
-#: memory is bounded.
-_MOST_WORDS, _MOST_LETTERS = 500_000, 700_000
+#: Bytes of words, of letters at a line's begin, and of other pieces that a worker remembers, Python's own included,
+#: twice: what was not met again since the last time they were full is forgotten. Longer pieces are worked out each time.
+_MOST_WORDS, _MOST_PIECES = 80 << 20, 4 << 20
+_LONGEST = 64
 
 
 def _unusual(text: str) -> bool:
@@ -44,20 +45,19 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.special = [t.content for t in self.plain.get_added_tokens_decoder().values()]
         self.kind = self._kind(path)
-        self.wide = self.whole.get_vocab_size(with_added_tokens=True) > 65536
+        self.wide = self.plain.get_vocab_size(with_added_tokens=True) > 65536
         self.code = "I" if self.wide else "H"
         self.mark = self._packed(self.plain.encode("\n", add_special_tokens=False).ids)
-        self.word = _Known(self._word_after_space if self.kind == "byte_level" else self._word_in_lower_case)
-        self.letters, self.spaced, self.other = _Known(self._letters), _Known(self._spaced), _Known(self._other)
+        self.word = _Known(self._word_after_space if self.kind == "byte_level" else self._word_in_lower_case, _MOST_WORDS)
+        self.letters, self.other = _Known(self._letters, _MOST_PIECES), _Known(self._other, _MOST_PIECES)
         if self.kind != "whole":  # the model's own word has to agree with the whole tokenizer
             for word in ("the", " reading", "\u00e9tudes", " Stra\u00dfe"):
                 if self.kind == "byte_level" or word[0] != " ":
-                    got = self._spaced(word[1:]) if word[0] == " " else self._letters(word.lower() if self.kind == "word_end" else word)
+                    got = self._letters(word[1:], _SPACE) if word[0] == " " else self._letters(word.lower() if self.kind == "word_end" else word)
                     if got != self._packed(self.plain.encode(word, add_special_tokens=False).ids):
                         self.kind = "whole"
 
@@ -84,45 +84,51 @@ class Encoder:
             piece = piece.encode("utf-8").decode("latin-1").translate(_VISIBLE)
         return self._packed([t.id for t in self.plain.model.tokenize(lead + piece)])
 
-    def _spaced(self, piece: str) -> bytes:
-        return self._letters(piece, "\u0120")
+    def _whole(self, text: str) -> bytes:
+        """A text with special tokens' strings in it, which count as such tokens."""
+        self.plain.encode_special_tokens = False
+        try:
+            return self._other(text)
+        finally:
+            self.plain.encode_special_tokens = True
 
     def _other(self, piece: str) -> bytes:
         return self._packed(self.plain.encode(piece, add_special_tokens=False).ids)
 
-    def _joined(self, word: str, letters: "_Known", lead: str) -> bytes:
-        """Ids of a new word from those of its pieces: letters, and punctuation after them."""
-        core = word.rstrip(_TAIL)
-        if core.isalpha() and (core.isascii() or _latin(core)):
-            return letters[core] + self.other[word[len(core) :]] if len(core) < len(word) else letters[core]
-        return self.other[lead + word]
-
     def _word_after_space(self, key: str) -> bytes:
-        if key[:1] != "\n":
-            return self._joined(key, self.spaced, " ")
-        return self.mark + self._joined(key[1:], self.letters, "") if len(key) > 1 else self.mark
+        if key[:1] == "\n":
+            return self.mark + self._first_in_line(key[1:]) if len(key) > 1 else self.mark
+        core = key.rstrip(_TAIL)
+        if core.isalpha() and (core.isascii() or _latin(core)):
+            return self.word[core] + self.other[key[len(core) :]] if len(core) < len(key) else self._letters(core, _SPACE)
+        return self.other[" " + key]
 
     def _word_in_lower_case(self, key: bytes) -> bytes:
         word = key.decode("utf-8")
-        return self._joined(word if word.isascii() else word.lower() if _latin(word) else word, self.letters, "")
+        word = word if word.isascii() else word.lower() if _latin(word) else word
+        core = word.rstrip(_TAIL)
+        if core.isalpha() and (core.isascii() or _latin(core)):
+            return self.word[core.encode("utf-8")] + self.other[word[len(core) :]] if len(core) < len(word) else self._letters(core)
+        return self.other[word]
+
+    def _first_in_line(self, word: str) -> bytes:
+        core = word.rstrip(_TAIL)
+        if core.isalpha() and (core.isascii() or _latin(core)):
+            return self.letters[core] + self.other[word[len(core) :]] if len(core) < len(word) else self.letters[core]
+        return self.other[word]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number of ids of each text."""
-        if len(self.word) > _MOST_WORDS:
-            self.word.clear()
-        for known in (self.letters, self.spaced, self.other):
-            if len(known) > _MOST_LETTERS:
-                known.clear()
         byte_level, find, out = self.kind == "byte_level", self.word.__getitem__, []
         for text in texts:
             if not text:
                 out.append(b"")
             elif self.kind == "whole" or any(s in text for s in self.special):
-                out.append(self._packed(self.whole.encode(text, add_special_tokens=False).ids))
+                out.append(self._whole(text))
             elif not byte_level:
                 out.append(b"".join(map(find, text.encode("utf-8").lower().split())))
             elif _unusual(text):
-                out.append(self._packed(self.plain.encode(text, add_special_tokens=False).ids))
+                out.append(self._other(text))
             else:  # less the line break put before the text
                 out.append(b"".join(map(find, f"\n{text}".replace("\n", " \n").split(" ")[1:]))[len(self.mark) :])
         size = array(self.code).itemsize
@@ -130,16 +136,31 @@ class Encoder:
 
 
 class _Known(dict):
-    """A mapping that works out what it does not have yet."""
+    """A mapping that works out what it does not have yet, in ``most`` bytes and as many for what it had before."""
 
-    def __init__(self, find):
-        self.find = find
+    def __init__(self, find, most: int):
+        self.find, self.most, self.held, self.before = find, most, 0, {}
 
     def __missing__(self, key):
-        value = self[key] = self.find(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.find(key)
+        if len(key) <= _LONGEST:
+            cost = len(key) + len(value) + _ENTRY
+            self.held += cost
+            if self.held > self.most:
+                self.before = dict(self)
+                self.clear()
+                self.held = cost
+            self[key] = value
         return value
 
 
+#: What Python needs for an entry beside its letters and ids: two objects and a place in the mapping.
+_ENTRY = 49 + 33 + 56
+_SPACE = "\u0120"
+
+
 #: Byte-level vocabularies spell a byte as itself where that is visible, and as the next free character above 255 otherwise.
 _VISIBLE = {}
 for _b in range(256):

@@ -633,7 +633,7 @@ def test_forms_with_few_values(spark, monkeypatch):
     for few, deepest in ((0, 8), (32, 8), (0, 1)):
         monkeypatch.setattr(op9_minhash, "_FEW", few)
         monkeypatch.setattr(op9_minhash, "_DEEPEST", deepest)
-        got = {(x["a"], x["b"]) for x in op9_minhash._shared(shelved, op9_minhash._rarity(shelved), 80, 100).collect()}
+        got = {(x["a"], x["b"]) for found in op9_minhash._shared(shelved, op9_minhash._rarity(shelved), 80, 100) for x in found.collect()}
         assert must <= got and all(a < b and a // 2 != b // 2 for a, b in got) and must
 
 
