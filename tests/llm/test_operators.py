@@ -417,6 +417,94 @@ def test_toxicity_on_held_out(spark, odd, none):
     assert all(x["score"] < 1e-3 for x in op6_toxicity.score(odd, flat).collect())
 
 
+def plain_kneser_ney(texts, classes):
+    """log P(letter | five before), by class, of every letter of every text: interpolated Kneser-Ney written plainly."""
+    pad = lambda t: "     " + t
+    letters = {t: [pad(t)[i : i + 6] for i in range(len(t))] for t in texts}
+    three = {g[3:] for t in texts for g in letters[t]}
+    pairs = collections.Counter(g[1:] for g in three)
+    ones = collections.Counter(p[1] for p in pairs)
+    one = lambda c: (ones[c] + 0.5) / (sum(ones.values()) + 128)
+
+    def share(n, discount, context, last, low):
+        own = {k[-1]: v for k, v in n.items() if k[:-1] == context}
+        total = sum(own.values())
+        if not total:
+            return low
+        return max(own.get(last, 0) - discount, 0) / total + discount * len(own) / total * low
+
+    models = []
+    for of in classes:
+        n = {6: collections.Counter(g for t in of for g in letters[t])}
+        for order in (5, 4, 3):
+            n[order] = collections.Counter(g[1:] for g in n[order + 1])
+        discount = {}
+        for order in n:
+            a, b = (sum(v == k for v in n[order].values()) for k in (1, 2))
+            discount[order] = a / (a + 2 * b) if a and b else 0.75
+        models.append((n, discount))
+
+    def log_p(g, model):
+        n, discount = model
+        p = share(pairs, 0.75, g[4], g[5], one(g[5]))
+        for order in (3, 4, 5, 6):
+            p = max(share(n[order], discount[order], g[6 - order : 5], g[5], p), 1e-12)
+        return math.log(p)
+
+    return {t: [log_p(g, models[0]) - log_p(g, models[1]) for g in letters[t]] for t in texts}
+
+
+def test_kneser_ney_by_plain_version():
+    r = random.Random(15)
+    texts = ["".join(r.choice("ab ") for _ in range(r.randrange(1, 40))) for _ in range(60)] + ["abba cab", "zzzz"]
+    fold = [i % 5 for i in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(fold, pa.int32())], names=["text", "fold"])
+    parts = pa.Table.from_batches(list(op6_toxicity._count(8)([batch])))
+    counted = [op6_toxicity._gather(parts.filter(pc.equal(parts.column("shard"), s))).to_pylist()[0] for s in set(parts.column("shard").to_pylist())]
+    pairs = op6_toxicity._shared_pairs(counted)
+
+    class Rows:  # what _fitted asks of a DataFrame
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, f, _):
+            self.f = f
+            return self
+
+        def collect(self):
+            return [x for b in self.f(pa.Table.from_pylist(counted, op6_toxicity._COUNTED).to_batches()) for x in b.to_pylist()]
+
+    often = sum(np.frombuffer(x["often"], np.int64).reshape(7, 6, -1) for x in counted)
+    for k, model in enumerate(op6_toxicity._fitted(Rows(), pairs, often, 8, (0, 1, 2))):
+        classes = [[t for t, f in zip(texts, fold) if f in folds] for folds in op6_toxicity._MODELS[k]]
+        want = plain_kneser_ney(texts, classes)
+        for t in texts:
+            (block,) = tc.blocks(pa.array([t]))
+            assert np.allclose(model.letters(op6_toxicity.grams(block)), want[t], atol=2e-2), (k, t)
+
+
+def test_tables_grow_with_what_they_hold():
+    g = np.random.default_rng(5)
+    key = np.unique(g.integers(0, 2**48, 50_000, dtype=np.uint64))
+    value = g.normal(size=len(key)).astype(np.float16)
+    table = op6_toxicity.Table.of({0: op6_toxicity._region(key, value), 2: op6_toxicity._region(key[:0], value[:0])}, 3)
+    zero = np.zeros(len(key), np.int64)
+    assert np.array_equal(table.find(key, zero), value.astype(np.float32)) and np.isnan(table.find(key, zero + 1)).all() and np.isnan(table.find(key, zero + 2)).all()
+    strange = np.setdiff1d(g.integers(0, 2**48, 50_000, dtype=np.uint64), key)
+    assert np.isnan(table.find(strange, np.zeros(len(strange), np.int64))).mean() > 0.999
+
+
+def test_toxicity_columns(spark, tmp_path):
+    rows = [(i, f"some words {i % 7} and more " + "vermin " * (i % 2)) for i in range(200)] + [(None, None), (500, ""), (501, "vermin vermin")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    got = query_rows(spark, tmp_path, op6_toxicity.query, rows, labels=labels)
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    for r in got:
+        if r["doc_id"] is not None:
+            assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+            assert r["doc_id"] >= 500 or r["predicted"] == r["doc_id"] % 2
+
+
 def test_calibration_has_both_classes(spark, monkeypatch):
     r = random.Random(11)
     words = ["".join(r.choice(("an", "er", "th", "on", "re", "in")) for _ in range(r.randrange(1, 5))) for _ in range(400)]
