@@ -274,13 +274,13 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (80, 100), wo
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"))
 
 
-#: A bucket with more rows is split: refined by a further shingle, or, at _DEEPEST or where few of its rows are outside
-#: the largest component, dealt to tasks in pieces of this size. With a row of _SHARE in such buckets, at most _SHARE
-#: of them are sent to every executor.
+#: A bucket with more rows is dealt to tasks in pieces of this size; it is one of _SHARE at most, as each has more than
+#: that share of all rows, and these are sent to every executor.
 _BUCKET = 256
 _SHARE = 20_000
-_FEW = 32
-_DEEPEST = 8
+#: Shingles by which a bucket is refined at most, and pairs that may come from one without that, for each row it would take.
+_DEEPEST = 4
+_PAIRS_A_ROW = 8.0
 
 
 def _shared(shelved: DataFrame, rarity, num: int, den: int) -> list[DataFrame]:
@@ -294,24 +294,34 @@ def _shared(shelved: DataFrame, rarity, num: int, den: int) -> list[DataFrame]:
     while rows is not None:
         # the smaller set of a pair shares one of an even shorter prefix
         short = (num + den) * (level + F.col("n_shingles") - F.col("pos")) >= 2 * num * F.col("n_shingles")
+        need = F.floor((num * F.col("n_shingles") + den - 1) / den)
+        # rows that refining would give, and pairs that it would spare: of like sizes, and one of them with a short prefix
+        ahead = F.greatest(level + F.col("n_shingles") - need - F.col("pos"), F.lit(0))
+        kind = F.floor(F.log("n_shingles") / np.log(den / num))
         # hash aggregates all the way: a crowded bucket comes as partial sums
-        by_part = rows.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"), F.bool_or(short).alias("short"))
-        sizes = by_part.groupBy("bucket").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count(F.lit(1)).alias("parts"), F.bool_or("short").alias("short"))
-        sizes = durable(sizes.where("parts > 1 and short").select("bucket", "n", "most"), rows.count() // 2, 200_000)
+        grouped = rows.groupBy("bucket", "part", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_if(short).alias("short"), F.sum(ahead).alias("ahead"))
+        by_kind = grouped.groupBy("bucket", "kind").agg(F.sum("n").alias("n"), F.sum("short").alias("short"), F.sum("ahead").alias("ahead"), F.max("n").alias("most"), F.min("part").alias("p"), F.max("part").alias("q"))
+        sizes = by_kind.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("short") * (F.col("n") - F.when(F.col("p") == F.col("q"), F.col("n")).otherwise(F.col("most")))).alias("pairs"), F.sum("ahead").alias("ahead"), F.min("p").alias("p"), F.max("q").alias("q"), F.sum("short").alias("short"))
+        sizes = durable(sizes.where("p <> q and short > 0").select("bucket", "n", (F.col("pairs") > _PAIRS_A_ROW * F.col("ahead")).alias("crowded")), rows.count() // 2, 200_000)
         most = max(_BUCKET, (sizes.agg(F.sum("n")).first()[0] or 0) // _SHARE)
         is_hot = F.col("n") > most  # of at most _SHARE buckets
-        is_refined = is_hot & (F.col("n") - F.col("most") > _FEW) & F.lit(level < _DEEPEST)
-        n_calm, n_hot, n_refined = sizes.agg(F.count_if(~is_hot), F.count_if(is_hot), F.count_if(is_refined)).first()
-        if n_calm:
-            calm = rows.join(F.broadcast(sizes.where(is_hot).select("bucket")), "bucket", "left_anti") if n_hot else rows
-            found.append(durable(_met(calm.join(sizes.where(~is_hot).select("bucket"), "bucket", "left_semi"), None, level, num, den)))
-        if n_hot > n_refined:
-            wide = sizes.where(is_hot & ~is_refined).select("bucket", F.ceil(F.col("n") / most).cast("int").alias("pieces"))
+        refined = F.col("crowded") & F.lit(level < _DEEPEST)
+        counts = sizes.agg(*(F.count_if(c) for c in (~is_hot & ~refined, is_hot & ~refined, ~is_hot & refined, is_hot & refined))).first()
+        calm = rows.join(F.broadcast(sizes.where(is_hot).select("bucket")), "bucket", "left_anti") if counts[1] or counts[3] else rows
+        if counts[0]:
+            found.append(durable(_met(calm.join(sizes.where(~is_hot & ~refined).select("bucket"), "bucket", "left_semi"), None, level, num, den)))
+        if counts[1]:
+            wide = sizes.where(is_hot & ~refined).select("bucket", F.ceil(F.col("n") / most).cast("int").alias("pieces"))
             found.append(durable(_met(rows.join(F.broadcast(wide.select("bucket")), "bucket", "left_semi"), wide, level, num, den)))
+        again = []
+        if counts[2]:
+            again.append(calm.join(sizes.where(~is_hot & refined).select("bucket"), "bucket", "left_semi"))
+        if counts[3]:
+            again.append(rows.join(F.broadcast(sizes.where(is_hot & refined).select("bucket")), "bucket", "left_semi"))
         level, now, rows = level + 1, rows, None
-        if n_refined:
-            again = now.join(F.broadcast(sizes.where(is_refined).select("bucket")), "bucket", "left_semi").select("bucket", "node", "pos")
-            rows = durable(again.join(shelved, "node").mapInArrow(freeing(_prefixes(num, den, rarity, level)), _PREFIX))
+        if again:
+            deeper = reduce(DataFrame.unionByName, again).select("bucket", "node", "pos").join(shelved, "node")
+            rows = durable(deeper.mapInArrow(freeing(_prefixes(num, den, rarity, level)), _PREFIX))
         drop(now, sizes)
     return found
 

@@ -718,8 +718,8 @@ def test_forms_with_few_values(spark, monkeypatch):
     shelved = spark.createDataFrame([(i, i // 2, bytearray(x.tobytes())) for i, x in enumerate(sets)], "node long, part long, items binary")
     like = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
     must = {(i, j) for j in range(80) for i in range(j) if i // 2 != j // 2 and like(sets[i], sets[j])}
-    for few, deepest in ((0, 8), (32, 8), (0, 1)):
-        monkeypatch.setattr(op9_minhash, "_FEW", few)
+    for pairs, deepest in ((-1, 3), (0.2, 4), (-1, 1), (1e9, 4)):
+        monkeypatch.setattr(op9_minhash, "_PAIRS_A_ROW", pairs)
         monkeypatch.setattr(op9_minhash, "_DEEPEST", deepest)
         got = {(x["a"], x["b"]) for found in op9_minhash._shared(shelved, op9_minhash._rarity(shelved), 80, 100) for x in found.collect()}
         assert must <= got and all(a < b and a // 2 != b // 2 for a, b in got) and must
