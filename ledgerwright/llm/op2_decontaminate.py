@@ -3,14 +3,16 @@
 An alignment that scores enough shares a known number of the item's words and pairs of neighbouring words with
 the text, so of any seeds but so many less it has some: seeds are the item's rarest words and pairs by document
 frequency in the corpus, as many as leave no such alignment out, wherever the edits are. Seeds found in a text
-open a window that holds any such alignment through them, and the words of window and item are aligned locally.
+open a window that holds any such alignment through them; a window that has too few of all the item's words and pairs
+for any such alignment goes, and the words of window and item are aligned locally.
 Items come in blocks of bounded size and are held by every executor; texts are read twice a block, once for
 frequencies and once for matches, and never shuffled.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ LEAST_SCORE = 0.5
 ITEM_BLOCK = 16 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 _CELLS = 1 << 22
+#: Seeds of items found in a block of text, looked at together; of more, items are taken in turn.
+_FOUND_SEEDS = 1 << 21
 
 _KEEP = np.zeros(256, bool)
 _KEEP[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), 0x27, *range(0x80, 0x100)]] = True
@@ -41,44 +45,55 @@ def _grams(w: tc.Words) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Items:
-    """A block of test items: ids, word hashes one item after another, hashes of words and pairs with item and
-    place, and by item how many of them a window must have."""
+    """A block of test items: ids, word hashes one item after another, the share of the best score that counts, all
+    hashes of words and pairs by item, and the seeds: hash, item and place. By item, how many seeds a window must have
+    and how many words and pairs."""
 
     ids: list
     words: np.ndarray
     first: np.ndarray
+    least: np.ndarray
+    all: np.ndarray
     gram: np.ndarray
     item: np.ndarray
     place: np.ndarray
     hits: np.ndarray
+    shared: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[tuple], n: int) -> "Items":
-        """All words and pairs, of the items of at least ``n`` words."""
+    def of(cls, rows: list[tuple], n: int, least: float) -> "Items":
+        """All words and pairs are seeds. Items of fewer than ``n`` words have to be there word for word."""
         data = [(r[1] or "").encode("utf-8") for r in rows]
         at = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
         w = tc.words(tc.Block(0, len(rows), np.frombuffer(b"".join(data), np.uint8), at), keep=_KEEP)
         gram, start = _grams(w)
-        long = np.diff(w.first)[w.doc[start]] >= n
-        gram, start = gram[long], start[long]
-        return cls([r[0] for r in rows], w.hash, w.first, gram, w.doc[start], start - w.first[w.doc[start]], np.ones(len(rows), np.int64))
+        order = np.lexsort((start, w.doc[start]))
+        gram, start = gram[order], start[order]
+        length = np.diff(w.first)
+        share = np.where(length < n, 1.0, least)
+        shared = np.maximum(np.ceil(MATCH * length * share - 1 - 1e-6), 1).astype(np.int64)
+        return cls([r[0] for r in rows], w.hash, w.first, share, gram, gram, w.doc[start], start - w.first[w.doc[start]], np.ones(len(rows), np.int64), shared)
 
-    def seeds(self, frequency: np.ndarray, least: float) -> "Items":
-        """Only the rarest words and pairs of each item, sorted by hash, such that every alignment of ``least`` has hits.
+    def seeds(self, frequency: np.ndarray) -> "Items":
+        """Only the rarest words and pairs of each item, sorted by hash, such that every alignment that counts has hits.
 
         m matched words in r runs score 2m - (r - 1) at most and have m words and m - r pairs of the item: together
         the score less 1. All but so many less ``hits`` of the 2L - 1 therefore have ``hits`` of them. What no
         text has counts among the rarest and is not kept.
         """
         length = np.diff(self.first)
-        shared = np.maximum(np.ceil(MATCH * length * least - 1 - 1e-6), 1).astype(np.int64)
-        hits = np.minimum(HITS, shared)
+        hits = np.minimum(HITS, self.shared)
         order = np.lexsort((self.place, frequency, self.item))
         item = self.item[order]
         rank = np.arange(len(order)) - np.searchsorted(item, item)
-        pick = order[(rank < (2 * length - 1 - shared + hits)[item]) & (frequency[order] > 0)]
+        pick = order[(rank < (2 * length - 1 - self.shared + hits)[item]) & (frequency[order] > 0)]
         pick = pick[np.argsort(self.gram[pick], kind="stable")]
-        return Items(self.ids, self.words, self.first, self.gram[pick], self.item[pick], self.place[pick], hits)
+        return replace(self, gram=self.gram[pick], item=self.item[pick], place=self.place[pick], hits=hits)
+
+    def some(self, lo: int, hi: int) -> "Items":
+        """With the seeds of these items alone."""
+        pick = (self.item >= lo) & (self.item < hi)
+        return replace(self, gram=self.gram[pick], item=self.item[pick], place=self.place[pick])
 
 
 def align(texts: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,27 +139,61 @@ def align(texts: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray,
     return best, text_end, item_end
 
 
-def matches(block: tc.Block, seeds: Items, least: float) -> list[tuple[int, int, float, int, int]]:
-    """(document in the block, item, share of the best possible score, first byte, end) of every match."""
-    w = tc.words(block, keep=_KEEP)
-    gram, start = _grams(w)
-    if not len(gram) or not len(seeds.gram):
-        return []
-    lo = np.searchsorted(seeds.gram, gram)
-    hit = np.flatnonzero(seeds.gram[np.minimum(lo, len(seeds.gram) - 1)] == gram)
+class _Text:
+    """Words of a block, with its words and pairs of neighbours by hash and place."""
+
+    def __init__(self, block: tc.Block):
+        self.w = tc.words(block, keep=_KEEP)
+        self.gram, self.start = _grams(self.w)
+        order = np.lexsort((self.start, self.gram))
+        self.kinds, self.number = np.unique(self.gram, return_inverse=True)
+        self.places = self.number[order] * (len(self.w.hash) + 1) + self.start[order]
+
+    def has(self, gram: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether each word or pair begins among the words a to b, and ends there."""
+        k = np.minimum(np.searchsorted(self.kinds, gram), len(self.kinds) - 1)
+        n = len(self.w.hash) + 1
+        at = np.searchsorted(self.places, k * n + a)
+        return (self.kinds[k] == gram) & (at < len(self.places)) & (self.places[np.minimum(at, len(self.places) - 1)] < k * n + b)
+
+
+def _windows(text: _Text, seeds: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Item, first and end word of every window with enough seeds and enough of all the item's words and pairs."""
+    none = (np.empty(0, np.int64),) * 3
+    w = text.w
+    if not len(text.gram) or not len(seeds.gram):
+        return none
+    lo = np.searchsorted(seeds.gram, text.gram)
+    hit = np.flatnonzero(seeds.gram[np.minimum(lo, len(seeds.gram) - 1)] == text.gram)
     if not len(hit):
-        return []
-    count = np.searchsorted(seeds.gram, gram[hit], side="right") - lo[hit]
+        return none
+    count = np.searchsorted(seeds.gram, text.gram[hit], side="right") - lo[hit]
+    total, n_items = int(count.sum()), len(seeds.ids)
+    if total > _FOUND_SEEDS and n_items > 1:  # a phrase of many items, or many items in many texts
+        cuts = np.unique(np.linspace(0, n_items, min(n_items, -(-total // _FOUND_SEEDS) + 1) + 1).astype(int)).tolist()
+        return tuple(map(np.concatenate, zip(*(_of_items(text, seeds.some(x, y)) for x, y in zip(cuts[:-1], cuts[1:])))))
+    return _of_items(text, seeds)
+
+
+def _of_items(text: _Text, seeds: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    w, none = text.w, (np.empty(0, np.int64),) * 3
+    if not len(seeds.gram):
+        return none
+    lo = np.searchsorted(seeds.gram, text.gram)
+    hit = np.flatnonzero(seeds.gram[np.minimum(lo, len(seeds.gram) - 1)] == text.gram)
+    count = np.searchsorted(seeds.gram, text.gram[hit], side="right") - lo[hit]
     which = np.repeat(hit, count)
     s = np.repeat(lo[hit] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    word, item = start[which], seeds.item[s]
+    word, item = text.start[which], seeds.item[s]
     doc = w.doc[word]
     length = np.diff(seeds.first)[item]
-    slack = np.ceil(MATCH * length * max(1 - least, 0)).astype(np.int64)  # what is put in costs 1 a word
+    slack = np.ceil(MATCH * length * np.maximum(1 - seeds.least[item], 0)).astype(np.int64)  # what is put in costs 1 a word
     a = np.maximum(word - seeds.place[s] - slack, w.first[doc])
     b = np.minimum(word - seeds.place[s] + length + slack, w.first[doc + 1])
     order = np.lexsort((a, item, doc))
     doc, item, a, b, s = doc[order], item[order], a[order], b[order], s[order]
+    if not len(s):
+        return none
     # of one item in one document windows end in the order in which they begin; those that meet are one
     begin = np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (a[1:] > b[:-1]))
     of = np.cumsum(begin) - 1
@@ -153,26 +202,47 @@ def matches(block: tc.Block, seeds: Items, least: float) -> list[tuple[int, int,
     distinct = np.bincount(np.unique(of * len(seeds.gram) + s) // len(seeds.gram), minlength=len(begin))
     enough = distinct >= seeds.hits[item[begin]]
     begin, b = begin[enough], b[enough]
-    windows = list(zip(doc[begin].tolist(), item[begin].tolist(), a[begin].tolist(), b.tolist()))
-    if not windows:
-        return []
-    texts = [w.hash[x:y] for _, _, x, y in windows]
-    items = [seeds.words[seeds.first[i] : seeds.first[i + 1]] for _, i, _, _ in windows]
-    score, t_end, i_end = align(texts, items)
-    share = score / (MATCH * np.array([len(i) for i in items]))
-    good = np.flatnonzero(share >= least).tolist()
-    if not good:
-        return []
-    # the same alignment from its end backwards gives where it begins
-    _, back, _ = align([texts[k][: t_end[k]][::-1] for k in good], [items[k][: i_end[k]][::-1] for k in good])
-    out: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for k, n_back in zip(good, back.tolist()):
-        d, i, x, _ = windows[k]
-        first, last = x + int(t_end[k]) - n_back, x + int(t_end[k]) - 1
-        found = (float(share[k]), int(w.start[first] - block.at[d]), int(w.end[last] - block.at[d]))
-        if found[0] > out.get((d, i), (-1.0,))[0]:
-            out[d, i] = found
-    return [(d, i, *v) for (d, i), v in out.items()]
+    item, a = item[begin], a[begin]
+    # pairs and words of the item in the window, whatever their order
+    keep = np.zeros(len(item), bool)
+    own_first = 2 * seeds.first - np.arange(len(seeds.first)) + np.append(0, np.cumsum(np.diff(seeds.first) == 0))  # 2L - 1 an item, none where L is 0
+    size = np.diff(own_first)[item]
+    step = np.append(np.searchsorted(np.cumsum(size), np.arange(0, int(size.sum()) + 1, _FOUND_SEEDS)), len(item))
+    for x, y in zip(step[:-1].tolist(), step[1:].tolist()):
+        if x < y:
+            n = size[x:y]
+            own = np.repeat(np.arange(x, y), n)
+            g = seeds.all[np.repeat(own_first[item[x:y]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            has = text.has(g, a[own], b[own])
+            keep[x:y] = np.bincount(own - x, has, y - x) >= seeds.shared[item[x:y]]
+    return item[keep], a[keep], b[keep]
+
+
+def matches(block: tc.Block, seeds: Items) -> list[tuple[int, int, float, int, int]]:
+    """(document in the block, item, share of the best possible score, first byte, end) of every passage that counts.
+    Passages of one item do not overlap; the best goes first."""
+    text = _Text(block)
+    w = text.w
+    waiting = list(zip(*(x.tolist() for x in _windows(text, seeds))))
+    out = []
+    while waiting:
+        texts = [w.hash[x:y] for _, x, y in waiting]
+        items = [seeds.words[seeds.first[i] : seeds.first[i + 1]] for i, _, _ in waiting]
+        score, t_end, i_end = align(texts, items)
+        share = score / (MATCH * np.array([len(i) for i in items]))
+        good = np.flatnonzero(share >= seeds.least[[i for i, _, _ in waiting]] - 1e-12).tolist()
+        # the same alignment from its end backwards gives where it begins
+        _, back, _ = align([texts[k][: t_end[k]][::-1] for k in good], [items[k][: i_end[k]][::-1] for k in good])
+        rest = []
+        for k, n_back in zip(good, back.tolist()):
+            i, x, y = waiting[k]
+            first, end = x + int(t_end[k]) - n_back, x + int(t_end[k])
+            d = int(w.doc[first])
+            out.append((d, i, float(share[k]), int(w.start[first] - block.at[d]), int(w.end[end - 1] - block.at[d])))
+            fewest = np.ceil(len(items[k]) * seeds.least[i])  # words that an alignment needs
+            rest += [(i, p, q) for p, q in ((x, first), (end, y)) if q - p >= fewest]
+        waiting = rest
+    return sorted(out)
 
 
 def _frequencies(held):
@@ -200,7 +270,7 @@ def _frequencies(held):
 _FOUND = "doc_id bigint, item_id bigint, score double, start bigint, end bigint"
 
 
-def _find(held, least: float):
+def _find(held):
     names = [f.split()[0] for f in _FOUND.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
 
@@ -209,7 +279,7 @@ def _find(held, least: float):
         for batch in batches:
             ids = batch.column("doc_id")
             for b in tc.blocks(batch.column("text")):
-                rows = matches(b, seeds, least)
+                rows = matches(b, seeds)
                 if rows:
                     d, i, *rest = zip(*rows)
                     columns = [ids.take(pa.array([b.lo + x for x in d])), [seeds.ids[x] for x in i], *rest]
@@ -231,37 +301,37 @@ def _item_blocks(benchmark: DataFrame):
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, least: float = LEAST_SCORE) -> DataFrame:
-    """doc_id, item_id, score, start and end (bytes of the passage) for every text that holds an item.
+    """doc_id, item_id, score, start and end (bytes of the passage) for every passage of a text that holds an item.
 
     The score is the best local alignment's share of the item's own (1: all its words in order); ``least`` and more
-    counts, and none that does is left out. Words are runs of letters and digits without regard to case of A-Z. Items with fewer than ``n`` words
-    match nothing; null texts count as empty; a null doc_id or item_id is given back as null. Repeated rows are
-    matched each; an item row repeated under one id gives its match each time. Other columns are not read. Without
-    items or texts the result is empty.
+    counts, and no text that has such a passage is left out; passages of one item in one text do not overlap. Words are
+    runs of letters and digits without regard to case of A-Z. Items with fewer than ``n`` words count where they
+    are word for word; without any they match nothing. Null texts count as empty; a null doc_id or item_id is given back as null.
+    Repeated rows are matched each; an item row repeated under one id gives its matches each time. Other columns are not
+    read. Without items or texts the result is empty.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = None
+    found = []
     for rows in _item_blocks(benchmark):
-        items = Items.of(rows, n)
+        items = Items.of(rows, n, least)
         grams = np.unique(items.gram)
         held = spark.sparkContext.broadcast(grams)  # 16 bytes for each word of a block of items
         counted = docs.select("text").mapInArrow(freeing(_frequencies(held)), "gram bigint, texts bigint").groupBy("gram").agg(F.sum("texts").alias("texts"))
+        told = counted.toArrow()  # at most two rows for each word of the block
+        held.destroy()
         frequency = np.zeros(len(grams), np.int64)
-        for g, c in counted.collect():  # at most two rows for each word of the block
-            frequency[np.searchsorted(grams, np.uint64(g % 2**64))] = c
-        held.unpersist()
-        seeds = items.seeds(frequency[np.searchsorted(grams, items.gram)] if len(grams) else np.empty(0, np.int64), least)
-        part = docs.mapInArrow(freeing(_find(spark.sparkContext.broadcast(seeds), least)), _FOUND)
-        if found is not None:
-            part = durable(part)
-        found = part if found is None else found.unionByName(part)
-    return spark.createDataFrame([], _FOUND) if found is None else found
+        frequency[np.searchsorted(grams, told.column("gram").to_numpy().view(np.uint64))] = told.column("texts").to_numpy()
+        held = spark.sparkContext.broadcast(items.seeds(frequency[np.searchsorted(grams, items.gram)] if len(grams) else np.empty(0, np.int64)))
+        found.append(durable(docs.mapInArrow(freeing(_find(held)), _FOUND)))
+        held.destroy()
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _FOUND)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """docs, with all its columns, without the rows whose doc_id has a text that holds an item."""
+    """docs, with all its columns, without the rows whose doc_id has a text that holds an item; rows of one doc_id go
+    together, and those with a null doc_id stay. Null and empty texts hold nothing. Empty tables give what there is."""
     gone = contaminated(docs, benchmark, **parameters).where("doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 

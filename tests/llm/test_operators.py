@@ -186,6 +186,47 @@ def test_copies_and_edits_are_found(spark, odd, none):
     assert op2_decontaminate.contaminated(odd, bench).isEmpty()
 
 
+def test_short_items_and_several_passages(spark):
+    item = "which of the following rivers does not flow into the northern sea but rather to the east of the old town"
+    bench = spark.createDataFrame([(1, "Zebra"), (2, "two words"), (3, ""), (4, item)], "item_id long, text string")
+    rows = [(1, "a zebra!"), (2, "words two"), (3, "some two words"), (4, f"{item} and {item}, then {item}"), (5, "zebras")]
+    got = collections.Counter((r["doc_id"], r["item_id"]) for r in op2_decontaminate.contaminated(table(spark, rows), bench).collect())
+    assert got == {(1, 1): 1, (3, 2): 1, (4, 4): 3}
+
+
+def test_items_that_share_a_phrase(monkeypatch):
+    """Thousands of items with one beginning, at two sizes: no more memory at once, and the same passages."""
+    r = random.Random(16)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    items = [(i, "which of the following is the best known " + " ".join(word() for _ in range(8))) for i in range(3000)]
+    texts = ["well, which of the following is the best known " + " ".join(word() for _ in range(9)) for _ in range(40)] + [items[7][1], "x " + items[2999][1] + " y"]
+    (block,) = tc.blocks(pa.array(texts))
+    found = op2_decontaminate.Items.of(items, 3, 0.6)
+    # as if every word and pair of the items were in as many texts
+    seeds = found.seeds(np.ones(len(found.gram), np.int64))
+    want = op2_decontaminate.matches(block, seeds)
+    assert {(d, i) for d, i, *_ in want} == {(40, 7), (41, 2999)}
+    widest = []
+    monkeypatch.setattr(op2_decontaminate, "_FOUND_SEEDS", 5000)
+    inner = op2_decontaminate._of_items
+    monkeypatch.setattr(op2_decontaminate, "_of_items", lambda text, x: widest.append(len(x.gram)) or inner(text, x))
+    assert op2_decontaminate.matches(block, seeds) == want and max(widest) < len(seeds.gram) / 20
+
+
+def test_contaminated_columns(spark, tmp_path):
+    item = "the quick brown fox jumps over the lazy dog near the old river bank in spring"
+    bench = spark.createDataFrame([(3, item), (4, LONG)], "item_id long, text string")
+    rows = ODD + [(20, f"so {item}."), (21, item.replace("fox", "cat"))]
+    got = {(r["doc_id"], r["item_id"], r["score"], r["start"], r["end"]) for r in query_rows(spark, tmp_path, op2_decontaminate.query, rows, benchmark=bench)}
+    for d, t in rows:
+        enc = lambda x: np.array([zlib.crc32(w.encode()) for w in re.findall(r"[A-Za-z0-9'\x80-\U0010ffff]+", (x or "").lower())], np.uint64)
+        for i, text in ((3, item), (4, LONG)):
+            best = op2_decontaminate.align([enc(t)], [enc(text)])[0][0] / (2 * len(enc(text)))
+            mine = [x for x in got if x[0] == d and x[1] == i]
+            assert bool(mine) == (best >= 0.5) and (not mine or max(x[2] for x in mine) == pytest.approx(best, abs=1e-6))
+    assert {x[3:] for x in got if x[0] == 20} == {(3, 3 + len(item))} and len([x for x in got if x[0] == 10]) == 40
+
+
 def test_no_edit_hides_an_item(spark):
     words = [f"word{i}" for i in range(40)]
     cases = [[f"new{i}" if i % every == phase else w for i, w in enumerate(words)] for every in range(2, 10) for phase in range(every)]
