@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (80, 100), wo
     rest = _shared(shelved, rarity, num, den)
     rarity.destroy()
     pairs = reduce(DataFrame.unionByName, rest, star.limit(0)).distinct().join(star, ["a", "b"], "left_anti")
-    later = durable(_confirmed(pairs, sets, num, den))
+    later = durable(_confirmed(pairs, sets, num, den), sum(x.count() for x in rest), 20_000)
     drop(members, sets, linked, shelved, *rest)
     up = whole.select(F.col("v"), "component")
     named = later.join(up.withColumnRenamed("v", "a").withColumnRenamed("component", "ca"), "a", "left").join(up.withColumnRenamed("v", "b").withColumnRenamed("component", "cb"), "b", "left")
@@ -302,17 +302,19 @@ def _shared(shelved: DataFrame, rarity, num: int, den: int) -> list[DataFrame]:
         grouped = rows.groupBy("bucket", "part", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_if(short).alias("short"), F.sum(ahead).alias("ahead"))
         by_kind = grouped.groupBy("bucket", "kind").agg(F.sum("n").alias("n"), F.sum("short").alias("short"), F.sum("ahead").alias("ahead"), F.max("n").alias("most"), F.min("part").alias("p"), F.max("part").alias("q"))
         sizes = by_kind.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("short") * (F.col("n") - F.when(F.col("p") == F.col("q"), F.col("n")).otherwise(F.col("most")))).alias("pairs"), F.sum("ahead").alias("ahead"), F.min("p").alias("p"), F.max("q").alias("q"), F.sum("short").alias("short"))
-        sizes = durable(sizes.where("p <> q and short > 0").select("bucket", "n", (F.col("pairs") > _PAIRS_A_ROW * F.col("ahead")).alias("crowded")), rows.count() // 2, 200_000)
+        sizes = durable(sizes.where("p <> q and short > 0").select("bucket", "n", "pairs", "ahead", (F.col("pairs") > _PAIRS_A_ROW * F.col("ahead")).alias("crowded")), rows.count() // 2, 200_000)
         most = max(_BUCKET, (sizes.agg(F.sum("n")).first()[0] or 0) // _SHARE)
         is_hot = F.col("n") > most  # of at most _SHARE buckets
         refined = F.col("crowded") & F.lit(level < _DEEPEST)
-        counts = sizes.agg(*(F.count_if(c) for c in (~is_hot & ~refined, is_hot & ~refined, ~is_hot & refined, is_hot & refined))).first()
+        kinds = (~is_hot & ~refined, is_hot & ~refined, ~is_hot & refined, is_hot & refined)
+        pairs, ahead = (F.coalesce(F.sum(F.when(c, F.col(x))), F.lit(0)) for c, x in ((~refined, "pairs"), (refined, "ahead")))
+        *counts, pairs, ahead = sizes.agg(*map(F.count_if, kinds), pairs, ahead).first()
         calm = rows.join(F.broadcast(sizes.where(is_hot).select("bucket")), "bucket", "left_anti") if counts[1] or counts[3] else rows
         if counts[0]:
-            found.append(durable(_met(calm.join(sizes.where(~is_hot & ~refined).select("bucket"), "bucket", "left_semi"), None, level, num, den)))
+            found.append(durable(_met(calm.join(sizes.where(~is_hot & ~refined).select("bucket"), "bucket", "left_semi"), None, level, num, den), pairs, 200_000))
         if counts[1]:
             wide = sizes.where(is_hot & ~refined).select("bucket", F.ceil(F.col("n") / most).cast("int").alias("pieces"))
-            found.append(durable(_met(rows.join(F.broadcast(wide.select("bucket")), "bucket", "left_semi"), wide, level, num, den)))
+            found.append(durable(_met(rows.join(F.broadcast(wide.select("bucket")), "bucket", "left_semi"), wide, level, num, den), pairs, 200_000))
         again = []
         if counts[2]:
             again.append(calm.join(sizes.where(~is_hot & refined).select("bucket"), "bucket", "left_semi"))
@@ -321,7 +323,7 @@ def _shared(shelved: DataFrame, rarity, num: int, den: int) -> list[DataFrame]:
         level, now, rows = level + 1, rows, None
         if again:
             deeper = reduce(DataFrame.unionByName, again).select("bucket", "node", "pos").join(shelved, "node")
-            rows = durable(deeper.mapInArrow(freeing(_prefixes(num, den, rarity, level)), _PREFIX))
+            rows = durable(deeper.mapInArrow(freeing(_prefixes(num, den, rarity, level)), _PREFIX), ahead, 20_000)
         drop(now, sizes)
     return found
 
