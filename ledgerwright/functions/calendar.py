@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .naming import own
+
 
 @dataclass(frozen=True)
 class Grid:
@@ -44,5 +46,6 @@ def asof_expand(periods: DataFrame, grid: Grid, name: str, start: str = "period_
     stop = F.coalesce(F.col(end), F.lit(grid.as_of or grid.last).cast("date"))
     lo = grid.at_or_after(F.greatest(F.col(start), F.lit(grid.first).cast("date")))
     hi = F.least(F.date_sub(stop, 1), F.lit(grid.last).cast("date"))
-    held = periods.withColumns({"__lo": lo, "__hi": hi}).where("__lo <= __hi")
-    return held.withColumn(name, F.explode(F.sequence("__lo", "__hi", grid.interval))).drop("__lo", "__hi")
+    a, b = own(periods, "__lo", "__hi")
+    held = periods.withColumns({a: lo, b: hi}).where(F.col(a) <= F.col(b))
+    return held.withColumn(name, F.explode(F.sequence(a, b, grid.interval))).drop(a, b)

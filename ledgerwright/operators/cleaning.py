@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..contract import Contract
 from ..functions.money import needs_parsing, parse_amount, total
+from ..functions.naming import own
 
 BUSINESS_KEY = ("customer_id", "subscription_id", "issued_date", "amount", "status")
 AMOUNTS = ("amount", "base_amount", "addon_amount")
@@ -31,11 +32,30 @@ class Step:
     audit: DataFrame
 
 
+# What a step did, in words.
+DETAILS = {
+    "standardise spelling": "spellings of segments fewer than before",
+    "label absent attributes": f"absent attributes labelled {UNKNOWN}",
+    "parse amounts": "rows with an amount written as text",
+    "remove duplicates": "rows after the first of their business key",
+    "quarantine orphans": "rows of customers that are not known",
+    "attribute refunds": "refunds booked under the day of what they reverse",
+    "apply corrections": "rows replaced by corrections, and the change of revenue",
+    "resolve pauses": "pauses that became churn",
+    "flag time zone drift": "events booked under another day than their own",
+}
+
+
 def audit_line(df: DataFrame, step: str, ruling: str | None, table: str, rows: Column, dollars: Column) -> DataFrame:
     """One row; an aggregate that Spark computes with partial sums on each task."""
-    return df.agg(F.coalesce(rows, F.lit(0)).cast("bigint").alias("rows_affected"), F.coalesce(dollars, F.lit(0)).cast("decimal(28,2)").alias("dollars")).select(
-        F.lit(step).alias("step"), F.lit(ruling).cast("string").alias("ruling"), F.lit(table).alias("table"), "rows_affected", "dollars"
-    )
+    return _line(df.agg(rows.alias("n"), dollars.alias("d")), step, ruling, table, F.col("n"), F.col("d"))
+
+
+def _line(df: DataFrame, step: str, ruling: str | None, table: str, rows: Column, dollars: Column) -> DataFrame:
+    return df.select(
+        F.lit(step).alias("step"), F.lit(ruling).cast("string").alias("ruling"), F.lit(table).alias("table"), F.coalesce(rows, F.lit(0)).cast("bigint").alias("rows_affected"),
+        F.coalesce(dollars, F.lit(0)).cast("decimal(28,2)").alias("dollars"), F.lit(DETAILS[step]).alias("detail"),
+    )
 
 
 def audit_table(steps: list[Step]) -> DataFrame:
@@ -50,8 +70,9 @@ def parse_amounts(invoices: DataFrame, columns: tuple[str, ...] = AMOUNTS) -> St
 
 def remove_duplicates(invoices: DataFrame, order_by: list[Column], key: tuple[str, ...] = BUSINESS_KEY) -> Step:
     """First row of each business key, in an order that the caller states; amounts have to be parsed before."""
-    ranked = invoices.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order_by)))
-    kept, removed = ranked.where("__n = 1").drop("__n"), ranked.where("__n > 1").drop("__n")
+    (n,) = own(invoices, "__n")
+    ranked = invoices.withColumn(n, F.row_number().over(Window.partitionBy(*key).orderBy(*order_by)))
+    kept, removed = ranked.where(F.col(n) == 1).drop(n), ranked.where(F.col(n) > 1).drop(n)
     return Step(kept, removed, audit_line(removed, "remove duplicates", None, "invoices", F.count(F.lit(1)), F.sum("amount")))
 
 
@@ -61,11 +82,34 @@ def quarantine_orphans(invoices: DataFrame, customers: DataFrame, key: str = "cu
     return Step(invoices.join(known, key, "left_semi"), removed, audit_line(removed, "quarantine orphans", None, "invoices", F.count(F.lit(1)), F.sum("amount")))
 
 
+def dispositions(invoices: DataFrame, customers: DataFrame, order_by: list[Column], name: str = "disposition", key: tuple[str, ...] = BUSINESS_KEY) -> DataFrame:
+    """Each row with its fate, in one pass: duplicate, orphan (of the first rows of their keys) or clean."""
+    n, known = own(invoices, "__n", "__known")
+    ranked = invoices.withColumn(n, F.row_number().over(Window.partitionBy(*key).orderBy(*order_by)))
+    marked = ranked.join(customers.select("customer_id").distinct().withColumn(known, F.lit(True)), "customer_id", "left")
+    fate = F.when(F.col(n) > 1, "duplicate").when(F.col(known).isNull(), "orphan").otherwise("clean")
+    return marked.withColumn(name, fate).drop(n, known)
+
+
+def invoice_audit(invoices: DataFrame, columns: tuple[str, ...] = AMOUNTS) -> DataFrame:
+    """The audit lines of amounts, duplicates and orphans from one aggregate over dispositions() of raw invoices, whose
+    parsed amount is the column parsed."""
+    touched = reduce(Column.__or__, (needs_parsing(F.col(c)) for c in columns))
+    is_ = lambda fate: F.col("disposition") == fate
+    sums = invoices.agg(
+        F.count_if(touched).alias("n1"), F.count_if(is_("duplicate")).alias("n2"), F.sum(F.when(is_("duplicate"), F.col("parsed"))).alias("d2"), F.count_if(is_("orphan")).alias("n3"), F.sum(F.when(is_("orphan"), F.col("parsed"))).alias("d3")
+    )
+    lines = [("parse amounts", F.col("n1"), F.lit(0)), ("remove duplicates", F.col("n2"), F.col("d2")), ("quarantine orphans", F.col("n3"), F.col("d3"))]
+    one = lambda step, n, d: F.struct(F.lit(step).alias("step"), F.lit(None).cast("string").alias("ruling"), F.lit("invoices").alias("table"), n.cast("bigint").alias("rows_affected"), F.coalesce(d, F.lit(0)).cast("decimal(28,2)").alias("dollars"), F.lit(DETAILS[step]).alias("detail"))
+    return sums.select(F.inline(F.array(*(one(*x) for x in lines))))
+
+
 def attribute_refunds(invoices: DataFrame, contract: Contract) -> Step:
     """effective_date: the date of the invoice that a refund reverses (the latest row of that id), else its own."""
     if contract.refunds_to_original_month:
-        dates = invoices.groupBy(F.col("invoice_id").alias("reverses_invoice_id")).agg(F.max("issued_date").alias("__original"))
-        kept = invoices.join(dates, "reverses_invoice_id", "left").withColumn("effective_date", F.coalesce("__original", "issued_date")).drop("__original")
+        (day,) = own(invoices, "__original")
+        dates = invoices.groupBy(F.col("invoice_id").alias("reverses_invoice_id")).agg(F.max("issued_date").alias(day))
+        kept = invoices.join(dates, "reverses_invoice_id", "left").withColumn("effective_date", F.coalesce(day, "issued_date")).drop(day)
     else:
         kept = invoices.withColumn("effective_date", F.col("issued_date"))
     moved = ~F.col("effective_date").eqNullSafe(F.col("issued_date"))
@@ -85,14 +129,14 @@ def apply_corrections(subscriptions: DataFrame, contract: Contract, key: tuple[s
 
 def next_start(subscriptions: DataFrame) -> DataFrame:
     """next_start: the customer's first period that starts after a period's end; one sort by customer and day."""
-    day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
-    ends = F.struct(day("period_end").alias("d"), F.lit(1).alias("kind"))
-    starts = subscriptions.select("customer_id", day("period_start").alias("__day"), F.col("period_start").alias("__start")).distinct()
+    day, start, row = own(subscriptions, "__day", "__start", "__row")
+    number = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
+    starts = subscriptions.select("customer_id", number("period_start").alias(day), F.col("period_start").alias(start)).distinct()
     # starts and ends in one sequence: the least start among the days after an end
-    rows = subscriptions.withColumn("__day", ends["d"]).withColumn("__start", F.lit(None).cast("date")).withColumn("__row", F.lit(True))
-    both = rows.unionByName(starts.withColumn("__row", F.lit(False)), allowMissingColumns=True)
-    w = Window.partitionBy("customer_id").orderBy("__day").rangeBetween(1, Window.unboundedFollowing)
-    return both.withColumn("next_start", F.min("__start").over(w)).where("__row").drop("__day", "__start", "__row")
+    rows = subscriptions.withColumns({day: number("period_end"), start: F.lit(None).cast("date"), row: F.lit(True)})
+    both = rows.unionByName(starts.withColumn(row, F.lit(False)), allowMissingColumns=True)
+    w = Window.partitionBy("customer_id").orderBy(day).rangeBetween(1, Window.unboundedFollowing)
+    return both.withColumn("next_start", F.min(start).over(w)).where(F.col(row)).drop(day, start, row)
 
 
 def resolve_pauses(subscriptions: DataFrame, contract: Contract) -> Step:
@@ -110,7 +154,10 @@ def standardise_customers(customers: DataFrame, columns: tuple[str, ...] = ("seg
     segment = F.coalesce(F.try_element_at(spelling, F.lower(trimmed)), trimmed)
     kept = customers.withColumn("segment", segment).na.fill(UNKNOWN, list(columns))
     absent = reduce(Column.__add__, (F.col(c).isNull().cast("bigint") for c in columns))
-    return Step(kept, None, audit_line(customers, "label absent attributes", None, "customers", F.sum(absent), F.lit(0)))
+    # spellings before, less those after; both lines from one aggregate
+    sums = customers.agg((F.countDistinct("segment") - F.countDistinct(segment)).alias("n1"), F.sum(absent).alias("n2"))
+    spelling = _line(sums, "standardise spelling", None, "customers", F.col("n1"), F.lit(0))
+    return Step(kept, None, spelling.unionByName(_line(sums, "label absent attributes", None, "customers", F.col("n2"), F.lit(0))))
 
 
 def flag_drift(usage: DataFrame) -> Step:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -10,13 +11,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import ratio, total, total_if
+from ..functions.naming import own
 
 ARMS = ("control", "treatment")
 
 
 def first_assignment(assignments: DataFrame) -> DataFrame:
+    (n,) = own(assignments, "__n")
     w = Window.partitionBy("customer_id").orderBy("assigned_date", "variant")
-    return assignments.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    return assignments.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n)
 
 
 def check_srm(assignments: DataFrame) -> DataFrame:
@@ -80,37 +83,37 @@ def stratified_lift(outcomes: DataFrame, exclude: DataFrame | None = None, least
     return s.agg(ratio(F.sum(F.col("lift") * F.col("weight").cast("double")), F.sum("weight")).alias("lift"), F.count(F.lit(1)).alias("strata"))
 
 
-def _uniform(x: np.ndarray, replicate: np.ndarray) -> np.ndarray:
-    h = x[:, None] * np.uint64(0x9E3779B97F4A7C15) + replicate[None, :] * np.uint64(0xD1B54A32D192ED03)
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(27)
-    h *= np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(31)
-    return (h >> np.uint64(11)).astype(np.float64) / 2**53
+#: A prime. A customer and a replicate each have a number below it by md5; their product modulo it, as a share, is
+#: uniform over customers for every replicate, and independent between any two replicates.
+PRIME = 2**31 - 1
+#: Poisson's distribution function at 0 to 11, mean 1.
+POISSON = tuple(math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(12))
 
 
-_POISSON = np.cumsum(np.exp(-1) / np.array([math.factorial(k) for k in range(12)]))
+def multipliers(seed: int, replicates: int) -> list[int]:
+    return [int(hashlib.md5(f"{seed}:replicate:{r}".encode()).hexdigest()[:8], 16) % (PRIME - 1) + 1 for r in range(replicates)]
 
 
 def bootstrap(outcomes: DataFrame, exclude: DataFrame | None = None, replicates: int = 600, seed: int = 7, least: int = 20, level: float = 0.95) -> DataFrame:
     """Interval of the stratified lift by resampling customers with Poisson weights.
 
-    A weight depends on seed, customer and replicate alone, so the result is the same however rows are dealt out.
+    A weight depends on seed, customer and replicate alone, so the result is the same however rows are dealt out, and
+    in any other engine that has md5.
     Tasks add up weighted revenue by segment, arm and replicate; no row is copied for a replicate.
     """
     rows = outcomes if exclude is None else outcomes.join(exclude, "customer_id", "left_anti")
-    rows = first_assignment(rows).select(F.xxhash64("customer_id", F.lit(seed)).alias("key"), "segment", "variant", F.col("pre").cast("double").alias("pre"), F.col("post").cast("double").alias("post"))
+    number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:customer:"), F.col("customer_id").cast("string"))), 1, 8), 16, 10).cast("bigint") % (PRIME - 1) + 1
+    rows = first_assignment(rows).where("customer_id is not null").select(number.alias("key"), "segment", "variant", F.col("pre").cast("double").alias("pre"), F.col("post").cast("double").alias("post"))
     names = ["segment", "variant", "replicate", "n", "pre", "post"]
 
     def partial(batches):
-        numbers = np.arange(replicates, dtype=np.uint64)
+        factors, steps = np.array(multipliers(seed, replicates), np.int64), np.array(POISSON)
         sums: dict[tuple, np.ndarray] = {}
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
                 part = b.slice(lo, 4096)
-                key = part.column("key").to_numpy().view(np.uint64)
-                w = np.searchsorted(_POISSON, _uniform(key, numbers)).astype(np.float64)
+                key = part.column("key").to_numpy()
+                w = np.searchsorted(steps, (key[:, None] * factors[None, :] % PRIME) / PRIME).astype(np.float64)
                 values = np.column_stack([np.ones(len(key)), part.column("pre").to_numpy(), part.column("post").to_numpy()])
                 group = list(zip(part.column("segment").to_pylist(), part.column("variant").to_pylist()))
                 for g in set(group):

@@ -26,6 +26,15 @@ def reconcile_ledger(raw: DataFrame, clean: DataFrame, duplicates: DataFrame, or
     return lines.unionByName(residual).select("line_no", names.alias("line"), "rows", "dollars")
 
 
+def ledger_of(invoices: DataFrame) -> DataFrame:
+    """The same five lines of rows with their disposition: one aggregate over one pass."""
+    fate = lambda x: F.col("disposition") == x
+    sums = invoices.agg(*(x for k, f in enumerate((None, "duplicate", "orphan", "clean")) for x in ((F.count(F.lit(1)) if f is None else F.count_if(fate(f))).alias(f"n{k}"), (total("amount") if f is None else total_if(fate(f), F.col("amount"))).alias(f"d{k}"))))
+    left = lambda c: F.col(f"{c}0") - F.col(f"{c}1") - F.col(f"{c}2") - F.col(f"{c}3")
+    lines = [("raw invoice rows", F.col("n0"), F.col("d0")), ("less duplicates", -F.col("n1"), -F.col("d1")), ("less orphans", -F.col("n2"), -F.col("d2")), ("clean invoice rows", F.col("n3"), F.col("d3")), ("unexplained", left("n"), left("d"))]
+    return sums.select(F.inline(F.array(*(F.struct(F.lit(i + 1).alias("line_no"), F.lit(name).alias("line"), n.cast("bigint").alias("rows"), d.cast("decimal(28,2)").alias("dollars")) for i, (name, n, d) in enumerate(lines)))))
+
+
 def reconcile_months(subscriptions: DataFrame, invoices: DataFrame, grid: Grid, contract: Contract) -> DataFrame:
     """The bridge of every month: contracted, less live but not charged, plus charged but not live, plus refunds, is billed base.
 

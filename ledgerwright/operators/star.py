@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import Grid
 from ..functions.money import ratio, total
+from ..functions.naming import own
 
 # Plans, their list prices and order.
 PLANS = (("Starter", "99.00", 1), ("Growth", "499.00", 2), ("Enterprise", "2400.00", 3))
@@ -51,17 +52,15 @@ def fact_forecast(series: DataFrame, forecasts: DataFrame, model: str) -> DataFr
 def revenue_by(fact: DataFrame, attributes: DataFrame | None, by: list[str]) -> DataFrame:
     """Semi-additive measures at the last date that has facts: revenue, yearly revenue, customers, mean, and growth on the year.
 
-    Facts are first summed by date and attribute; the last date is looked up among these few rows.
+    The last date comes first, as one row; of the facts only those of the two dates are joined and summed.
     """
-    keyed = fact.join(attributes, "customer_id") if attributes is not None else fact
-    dated = keyed.groupBy(*by, "date_key").agg(total("mrr").alias("mrr"), F.countDistinct("customer_id").alias("customers"))
     day = lambda c: F.to_date(c.cast("string"), "yyyyMMdd")
-    marked = dated.withColumn("last", F.max("date_key").over(Window.partitionBy()))
-    now = F.col("date_key") == F.col("last")
-    before = F.col("date_key") == date_key(F.add_months(day(F.col("last")), -12))
-    out = marked.where(now | before).groupBy(*by).agg(
-        total(F.when(now, F.col("mrr"))).alias("total_mrr"), F.coalesce(F.sum(F.when(now, F.col("customers"))), F.lit(0)).alias("active_customers"), total(F.when(before, F.col("mrr"))).alias("mrr_last_year")
-    )
+    last, then = own(fact, "__last", "__then")
+    ends = fact.agg(F.max("date_key").alias(last)).withColumn(then, date_key(F.add_months(day(F.col(last)), -12)))
+    now, before = F.col("date_key") == F.col(last), F.col("date_key") == F.col(then)
+    dated = fact.join(F.broadcast(ends), now | before)
+    keyed = dated.join(attributes, "customer_id") if attributes is not None else dated
+    out = keyed.groupBy(*by).agg(total(F.when(now, F.col("mrr"))).alias("total_mrr"), F.count_distinct(F.when(now, F.col("customer_id"))).alias("active_customers"), total(F.when(before, F.col("mrr"))).alias("mrr_last_year"))
     mrr = F.col("total_mrr")
     return out.withColumns({"total_arr": (mrr * 12).cast("decimal(28,2)"), "mrr_per_customer": ratio(mrr, F.col("active_customers")), "mrr_yoy": ratio(mrr - F.col("mrr_last_year"), F.col("mrr_last_year"))})
 

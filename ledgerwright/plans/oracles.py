@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from ..operators.experiment import POISSON, PRIME
 from .bindings import AFTER, AS_OF, BEFORE, CUT_MONTH, FIRST_MONTH, FIRST_WEEK, LAST_MONTH, LAST_WEEK, common_tables
 
 _M = "CAST({} AS DECIMAL(18,2))"
-_PARSE = "CASE WHEN {0} IS NULL THEN CAST(0 AS DECIMAL(18,2)) WHEN {0} LIKE '(%' THEN -CAST(regexp_replace({0}, '[(),$]', '', 'g') AS DECIMAL(18,2)) ELSE CAST(regexp_replace({0}, '[(),$]', '', 'g') AS DECIMAL(18,2)) END"
+# A cast of anything but a number is an error, so parentheses count in a pair around the whole alone.
+_PARSE = "CASE WHEN {0} IS NULL THEN CAST(0 AS DECIMAL(18,2)) WHEN trim({0}) LIKE '(%)' THEN -CAST(replace(replace(trim({0})[2:-2], '$', ''), ',', '') AS DECIMAL(18,2)) ELSE CAST(replace(replace(trim({0}), '$', ''), ',', '') AS DECIMAL(18,2)) END"
 _KEY = "customer_id, subscription_id, issued_date, amount, status"
 
 CHAIN = {
@@ -91,6 +93,15 @@ _REV = """SELECT {by}, CAST(coalesce(sum(mrr) FILTER (WHERE month = last), 0) AS
 _CUT = "SELECT '{0}' AS dimension, {0} AS value, was, now FROM (SELECT p.*, c.segment, c.acquisition_channel FROM pairs_12 p LEFT JOIN cust c USING (customer_id) WHERE p.month = DATE '" + CUT_MONTH + "') WHERE {0} IS NOT NULL"
 _AUDIT = "SELECT '{}' AS step, '{}' AS \"table\", CAST(count(*) AS BIGINT) AS rows_affected, CAST(coalesce({}, 0) AS DOUBLE) AS dollars FROM {}"
 
+_WEIGHT = " + ".join(f"CAST(u > {x!r} AS INT)" for x in POISSON)
+_BOOTSTRAP = f"""WITH r AS (SELECT k, CAST(('0x' || substr(md5('7:replicate:' || k), 1, 8)) AS BIGINT) % {PRIME - 1} + 1 AS m FROM (SELECT unnest(range(600)) AS k)),
+      c AS (SELECT *, CAST(('0x' || substr(md5('7:customer:' || customer_id), 1, 8)) AS BIGINT) % {PRIME - 1} + 1 AS x FROM pure),
+      w AS (SELECT k, segment, variant, CAST(pre AS DOUBLE) AS pre, CAST(post AS DOUBLE) AS post, {_WEIGHT} AS w FROM (SELECT r.k, c.segment, c.variant, c.pre, c.post, CAST(c.x * r.m % {PRIME} AS DOUBLE) / {PRIME} AS u FROM c, r)),
+      s AS (SELECT k, segment, coalesce(sum(w) FILTER (WHERE variant = 'control'), 0) AS cn, coalesce(sum(w * pre) FILTER (WHERE variant = 'control'), 0) AS c0, coalesce(sum(w * post) FILTER (WHERE variant = 'control'), 0) AS c1,
+        coalesce(sum(w) FILTER (WHERE variant = 'treatment'), 0) AS tn, coalesce(sum(w * pre) FILTER (WHERE variant = 'treatment'), 0) AS t0, coalesce(sum(w * post) FILTER (WHERE variant = 'treatment'), 0) AS t1 FROM w GROUP BY k, segment),
+      l AS (SELECT k, sum((t1 / t0 - c1 / c0) * (c0 + t0)) / sum(c0 + t0) AS lift FROM s WHERE least(cn, tn) >= 20 AND c0 > 0 AND t0 > 0 GROUP BY k)
+      SELECT round(low, 8) AS low, round(high, 8) AS high, replicates, low <= 0 AND high >= 0 AS includes_zero FROM (SELECT quantile_cont(lift, {(1 - 0.95) / 2!r}) AS low, quantile_cont(lift, {1 - (1 - 0.95) / 2!r}) AS high, count(*) AS replicates FROM l)"""
+
 FINAL = {
     "s08_months": "SELECT month FROM months",
     "s08_sundays": "SELECT week FROM weeks",
@@ -107,6 +118,7 @@ FINAL = {
     "c10_drift": "SELECT event_id, customer_id, CAST(event_ts AS DATE) <> event_date AS tz_drifted FROM raw_usage_events",
     "c11_audit": " UNION ALL ".join(
         (
+            "SELECT 'standardise spelling' AS step, 'customers' AS \"table\", (SELECT count(DISTINCT segment) FROM raw_customers) - (SELECT count(DISTINCT c.segment) FROM cust c JOIN raw_customers r USING (customer_id) WHERE r.segment IS NOT NULL) AS rows_affected, 0.0::DOUBLE AS dollars",
             "SELECT 'label absent attributes' AS step, 'customers' AS \"table\", CAST(sum((segment IS NULL)::INT + (industry IS NULL)::INT + (region IS NULL)::INT) AS BIGINT) AS rows_affected, 0.0::DOUBLE AS dollars FROM raw_customers",
             _AUDIT.format("parse amounts", "invoices", "0", "raw_invoices WHERE concat(amount, base_amount, addon_amount) SIMILAR TO '.*[$,()].*'"),
             _AUDIT.format("remove duplicates", "invoices", "sum(amount)", "dups"),
@@ -147,6 +159,7 @@ FINAL = {
     "e06_naive_readout": "SELECT variant, CAST(count(*) AS BIGINT) AS customers, CAST(sum(post) AS DOUBLE) / CAST(sum(pre) AS DOUBLE) AS retention, CAST(sum(pre) AS DOUBLE) / count(*) AS mean_before FROM firsts GROUP BY variant",
     "e07_stratified_lift": _LIFT.format(_SEG.format("firsts")),
     "e08_corrected_lift": _LIFT.format(_SEG.format("pure")),
+    "e08_bootstrap": _BOOTSTRAP,
     "e09_by_segment": f"SELECT segment, control_customers, treatment_customers, control_retention, treatment_retention, treatment_retention - control_retention AS lift, weight FROM ({_SEG.format('pure')})",
     "t01_weekly_revenue": "SELECT week, CAST(mrr AS DOUBLE) AS mrr, subscriptions FROM weekly",
     "t02_growth": "WITH k AS (SELECT row_number() OVER (ORDER BY week DESC) AS k, CAST(mrr AS DOUBLE) AS x FROM weekly) SELECT (SELECT x FROM k WHERE k = 1) / (SELECT x FROM k WHERE k = 14) - 1 AS latest, (SELECT x FROM k WHERE k = 14) / (SELECT x FROM k WHERE k = 27) - 1 AS quarter_before, (SELECT x FROM k WHERE k = 53) / (SELECT x FROM k WHERE k = 66) - 1 AS year_before",
@@ -165,12 +178,15 @@ FINAL = {
     "x02_dim_customer": "SELECT customer_id, company_name, segment, industry, region, acquisition_channel, signup_date, CAST(date_trunc('month', signup_date) AS DATE) AS signup_month, year(signup_date) || '-Q' || quarter(signup_date) AS signup_cohort FROM cust",
     "x03_dim_plan": "SELECT * FROM (VALUES ('Starter', 99.0::DOUBLE, 1::BIGINT), ('Growth', 499.0::DOUBLE, 2::BIGINT), ('Enterprise', 2400.0::DOUBLE, 3::BIGINT)) t(plan_tier, list_price, tier_rank)",
     "x04_fact_mrr": "SELECT CAST(strftime(month, '%Y%m%d') AS BIGINT) AS date_key, customer_id, plan_tier, CAST(mrr AS DOUBLE) AS mrr FROM panel",
-    "x05_fact_movement": "SELECT CAST(strftime(month, '%Y%m%d') AS BIGINT) AS date_key, starting_mrr, ending_mrr, nrr FROM movement",
+    "x05_fact_movement": "SELECT *, CAST(strftime(month, '%Y%m%d') AS BIGINT) AS date_key FROM movement",
     "x06_fact_forecast": """SELECT CAST(strftime(week, '%Y%m%d') AS BIGINT) AS date_key, week, round(CAST(mrr AS DOUBLE), 4) AS actual, CAST(NULL AS BIGINT) AS horizon, CAST(NULL AS DOUBLE) AS raw_forecast, CAST(NULL AS DOUBLE) AS forecast, CAST(NULL AS DOUBLE) AS lower, CAST(NULL AS DOUBLE) AS upper, CAST(NULL AS VARCHAR) AS model FROM weekly
       UNION ALL SELECT CAST(strftime(week, '%Y%m%d') AS BIGINT), week, NULL, horizon, round(raw_forecast, 4), round(forecast, 4), round(lower, 4), round(upper, 4), model FROM future WHERE model = 'drift'""",
-    "x07_fact_reconciliation": "SELECT CAST(strftime(month, '%Y%m%d') AS BIGINT) AS date_key, CAST(contracted_mrr AS DOUBLE) AS contracted_mrr, CAST(billed_base AS DOUBLE) AS billed_base, CAST(residual AS DOUBLE) AS residual FROM bridge",
+    "x07_fact_reconciliation": f"SELECT month, CAST(strftime(month, '%Y%m%d') AS BIGINT) AS date_key, {', '.join(map(_D.format, _MONEY_COLS))}, invoice_count, active_subscriptions FROM bridge",
     "k01_revenue_by_segment": _REV.format(by="segment", join="JOIN cust USING (customer_id)"),
     "k01_revenue_by_plan": _REV.format(by="plan_tier", join=""),
+    "k13_revenue_by_channel": _REV.format(by="acquisition_channel", join="JOIN cust USING (customer_id)"),
+    "k13_revenue_by_cohort": _REV.format(by="signup_cohort", join="JOIN (SELECT customer_id, year(signup_date) || '-Q' || quarter(signup_date) AS signup_cohort FROM cust) USING (customer_id)"),
+    "k13_revenue_by_plan_rank": _REV.format(by="tier_rank, plan_tier", join="JOIN (VALUES ('Starter', 1::BIGINT), ('Growth', 2::BIGINT), ('Enterprise', 3::BIGINT)) t(plan_tier, tier_rank) USING (plan_tier)"),
     "k05_latest_movement": "SELECT * FROM movement ORDER BY month DESC LIMIT 1",
 }
 

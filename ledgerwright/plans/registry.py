@@ -46,6 +46,10 @@ class Data:
     def owned(self) -> cleaning.Step:
         return cleaning.quarantine_orphans(self.unique.kept, self.raw["known_customers"])
 
+    @cached_property
+    def fates(self) -> DataFrame:
+        return cleaning.dispositions(self.amounts.kept, self.raw["known_customers"], [F.col(c) for c in ORDER])
+
     @cached_property
     def dated(self) -> cleaning.Step:
         return cleaning.attribute_refunds(self.owned.kept, self.contract)
@@ -138,10 +142,15 @@ query("c10_drift")(lambda d: cleaning.flag_drift(d.raw["usage_events"]).kept.sel
 @query("c11_audit")
 def _audit(d: Data) -> DataFrame:
     usage = cleaning.flag_drift(d.raw["usage_events"])
-    return cleaning.audit_table([d.customers, d.amounts, d.unique, d.owned, d.dated, d.restated, d.resolved, usage]).select("step", "table", "rows_affected", "dollars")
+    raw = d.raw["invoices"].withColumns({f"raw_{c}": F.col(c) for c in cleaning.AMOUNTS} | {c: cleaning.parse_amount(F.col(c)) for c in cleaning.AMOUNTS})
+    fates = cleaning.dispositions(raw, d.raw["known_customers"], [F.col(c) for c in ORDER])
+    invoices = cleaning.invoice_audit(fates.withColumn("parsed", F.col("amount")), tuple(f"raw_{c}" for c in cleaning.AMOUNTS))
+    refunds = cleaning.attribute_refunds(fates.where("disposition = 'clean'"), d.contract)
+    rest = cleaning.audit_table([d.customers, refunds, d.restated, d.resolved, usage])
+    return invoices.unionByName(rest).select("step", "table", "rows_affected", "dollars")
 
 
-query("l01_ledger")(lambda d: reconcile.reconcile_ledger(d.amounts.kept, d.owned.kept, d.unique.removed, d.owned.removed))
+query("l01_ledger")(lambda d: reconcile.ledger_of(d.fates))
 query("l10_monthly_bridge")(lambda d: d.bridge)
 query("l12_verdict")(lambda d: reconcile.verdict(d.bridge))
 query("l14_coverage")(lambda d: reconcile.coverage(d.dated.kept, Grid("1995-06-01", "2001-06-01", "month", b.AS_OF)))
@@ -181,11 +190,14 @@ query("x01_dim_date")(lambda d: star.dim_date(d.spark, "1995-01-01", "2001-12-31
 query("x02_dim_customer")(lambda d: star.dim_customer(d.customers.kept))
 query("x03_dim_plan")(lambda d: star.dim_plan(d.spark))
 query("x04_fact_mrr")(lambda d: star.fact_mrr(d.panel))
-query("x05_fact_movement")(lambda d: star.with_date_key(d.movement, "month").select("date_key", "starting_mrr", "ending_mrr", "nrr"))
+query("x05_fact_movement")(lambda d: star.with_date_key(d.movement, "month"))
 query("x06_fact_forecast", 4)(lambda d: star.fact_forecast(d.weekly, forecast.forecast(d.weekly, results=d.results), "drift"))
-query("x07_fact_reconciliation")(lambda d: star.with_date_key(d.bridge, "month").select("date_key", "contracted_mrr", "billed_base", "residual"))
+query("x07_fact_reconciliation")(lambda d: star.with_date_key(d.bridge, "month"))
 query("k01_revenue_by_segment")(lambda d: star.revenue_by(star.fact_mrr(d.panel), d.customers.kept.select("customer_id", "segment"), ["segment"]))
 query("k01_revenue_by_plan")(lambda d: star.revenue_by(star.fact_mrr(d.panel), None, ["plan_tier"]))
+query("k13_revenue_by_channel")(lambda d: star.revenue_by(star.fact_mrr(d.panel), star.dim_customer(d.customers.kept).select("customer_id", "acquisition_channel"), ["acquisition_channel"]))
+query("k13_revenue_by_cohort")(lambda d: star.revenue_by(star.fact_mrr(d.panel), star.dim_customer(d.customers.kept).select("customer_id", "signup_cohort"), ["signup_cohort"]))
+query("k13_revenue_by_plan_rank")(lambda d: star.revenue_by(star.fact_mrr(d.panel).join(F.broadcast(star.dim_plan(d.spark)), "plan_tier"), None, ["tier_rank", "plan_tier"]))
 query("k05_latest_movement")(lambda d: star.latest_movement(d.movement))
 
 

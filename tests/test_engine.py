@@ -79,8 +79,9 @@ def test_amounts(spark):
 
 
 def test_bad_amount_is_an_error(spark):
-    with pytest.raises(PySparkException):
-        spark.createDataFrame([("12x",)], "t string").select(parse_amount(F.col("t"))).collect()
+    for text in ("12x", "(500.00", "5(0", "1)2", "500.00)", "()", "", "((5))", "5$x"):
+        with pytest.raises(PySparkException):
+            spark.createDataFrame([(text,)], "t string").select(parse_amount(F.col("t"))).collect()
 
 
 def test_duplicates_conserve(spark):
@@ -120,7 +121,10 @@ def test_segments_and_absent(spark):
     c = spark.createDataFrame([(1, " smb "), (2, "ENT"), (3, None), (4, "Other"), (5, "Mid Market")], "customer_id long, segment string").withColumns({"industry": F.lit(None).cast("string"), "region": F.lit("x")})
     step = cleaning.standardise_customers(c)
     assert [r["segment"] for r in step.kept.orderBy("customer_id").collect()] == ["SMB", "Enterprise", "Unknown", "Other", "Mid-Market"]
-    assert step.audit.first()["rows_affected"] == 6
+    assert {r["step"]: r["rows_affected"] for r in step.audit.collect()} == {"label absent attributes": 6, "standardise spelling": 0}
+    twice = spark.createDataFrame([(1, " smb "), (2, "SMB"), (3, "S.M.B.")], "customer_id long, segment string").withColumns({"industry": F.lit("i"), "region": F.lit("x")})
+    audit = {r["step"]: r for r in cleaning.standardise_customers(twice).audit.collect()}
+    assert audit["standardise spelling"]["rows_affected"] == 2 and audit["standardise spelling"]["detail"]
 
 
 # as-of join, retention

@@ -40,5 +40,5 @@ def test_query(spark, db, name):
         assert all(map(same, a, b)), (a, b)
 
 
-def test_all_but_the_bootstrap_have_sql():
-    assert set(registry.QUERIES) - set(oracles.ORACLES) == {"e08_bootstrap"}
+def test_all_have_sql():
+    assert set(registry.QUERIES) == set(oracles.ORACLES)
