@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import contract as policy
-from . import generator, report
+from . import console, generator, report
 from .functions.calendar import Grid
 from .operators import cleaning, experiment, forecast, reconcile, retention, star
 from .sources import tables
@@ -32,7 +32,10 @@ class Job:
     def save(self, **frames: DataFrame) -> None:
         for name, df in frames.items():
             tables.write_parquet(df, self.a.processed, name)
-            self.spark.read.parquet(f"{self.a.processed}/{name}.parquet").show(20, truncate=False)
+
+    @staticmethod
+    def say(lines: list[str]) -> None:
+        print("\n".join(lines))
 
     def generate(self) -> None:
         made, manifest = generator.generate(self.spark, generator.Shape(customers=self.a.customers, seed=self.a.seed))
@@ -46,6 +49,7 @@ class Job:
         for name, df in done.items():
             tables.write_parquet(df.drop("row_id"), self.a.processed, name)
         self.save(cleaning_report=audit)
+        self.say(console.heading("Cleaning") + [f"  {r['step']}: {r['rows_affected']:,} ({r['detail']}), {console.money(r['dollars'])}" for r in self.clean_table("cleaning_report").collect()])
 
     def panel(self) -> DataFrame:
         return retention.build_panel(self.clean_table("subscriptions"), self.months)
@@ -59,12 +63,19 @@ class Job:
 
     def reconcile(self) -> None:
         self.save(reconciliation_ledger=self.ledger(), reconciliation_monthly=self.bridge(), reconciliation_coverage=reconcile.coverage(self.clean_table("invoices"), self.months))
+        self.save(reconciliation_verdict=reconcile.verdict(self.clean_table("reconciliation_monthly")))
+        read = lambda name: self.clean_table(f"reconciliation_{name}")
+        self.say(console.ledger(read("ledger").orderBy("line_no").collect(), read("verdict").first(), read("coverage").orderBy("inside").collect()))
 
     def decompose(self) -> None:
         panel = self.panel().persist()
         movement = retention.retention_bridge(panel, 12, self.a.least_cohort)
         cuts = retention.retention_by(panel, self.a.last, {"segment": self.clean_table("customers"), "plan_tier": None, "acquisition_channel": self.clean_table("customers")})
         self.save(nrr_movement=movement, nrr_monthly_movement=retention.monthly_movement(panel, self.a.least_cohort), nrr_attribution=retention.attribute_decline(movement), nrr_by_group=cuts)
+        moved = self.clean_table("nrr_movement")
+        ends = retention.peak_and_latest(moved).first()
+        at = lambda day: moved.where(F.col("month") == day).first() if day else None
+        self.say(console.retention(at(ends["peak_month"]), at(ends["latest_month"]), self.clean_table("nrr_attribution").collect(), self.clean_table("nrr_by_group").orderBy("dimension", "value").collect()))
 
     def outcomes(self) -> DataFrame:
         return experiment.build_outcomes(self.arms(), self.panel(), self.clean_table("customers"), self.a.before, self.a.last)
@@ -73,7 +84,15 @@ class Job:
         return tables.read_parquet(self.spark, self.a.raw, "experiment_assignments")
 
     def experiment(self) -> None:
-        self.save(experiment_balance=experiment.check_balance(self.arms(), self.clean_table("customers")), experiment_by_segment=experiment.by_segment(self.outcomes(), experiment.contaminated(self.arms())))
+        arms, bad, outcomes = self.arms(), experiment.contaminated(self.arms()), self.outcomes().persist()
+        self.save(
+            experiment_balance=experiment.check_balance(arms, self.clean_table("customers")), experiment_by_segment=experiment.by_segment(outcomes, bad), experiment_sample_ratio=experiment.check_srm(arms),
+            experiment_contamination=experiment.check_contamination(arms), experiment_naive=experiment.naive_lift(outcomes), experiment_corrected=experiment.stratified_lift(outcomes, bad), experiment_interval=experiment.bootstrap(outcomes, bad),
+        )
+        one = lambda name: self.clean_table(f"experiment_{name}").first()
+        lift, interval = one("corrected"), one("interval")
+        found = experiment.verdict(one("sample_ratio")["chi_squared"], one("contamination")["rate"], lift["lift"], interval["low"], interval["high"])
+        self.say(console.experiment(one("naive"), self.clean_table("experiment_by_segment").orderBy("segment").collect(), lift, interval, found))
 
     def weekly(self) -> DataFrame:
         return forecast.weekly_revenue(self.clean_table("subscriptions"), self.weeks, self.a.least_weekly)
@@ -81,7 +100,10 @@ class Job:
     def forecast(self) -> None:
         weekly = self.weekly().persist()
         results = forecast.backtest(weekly)
-        self.save(weekly_mrr=weekly, backtest_results=results, backtest_summary=forecast.score(results), forecast=forecast.forecast(weekly, results=results))
+        self.save(weekly_mrr=weekly, backtest_results=results, backtest_summary=forecast.score(results), forecast=forecast.forecast(weekly, results=results), bias_drift=forecast.bias_drift(results))
+        best = forecast.winner(results).first()
+        ahead = self.clean_table("forecast").where(F.col("model") == best["model"]).orderBy("horizon").collect()
+        self.say(console.forecast(self.clean_table("backtest_summary").collect(), best, self.clean_table("bias_drift").orderBy("model").collect(), ahead))
 
     def export(self) -> None:
         panel, weekly = self.panel(), self.weekly()
@@ -103,6 +125,8 @@ class Job:
         found = report.gather(
             self.ledger(), reconcile.verdict(self.bridge()), reconcile.coverage(self.clean_table("invoices"), self.months), movement, retention.peak_and_latest(movement), retention.attribute_decline(movement),
             experiment.check_srm(self.arms()), experiment.check_contamination(self.arms()), experiment.stratified_lift(outcomes, bad), experiment.bootstrap(outcomes, bad), forecast.winner(results), forecast.forecast(weekly, results=results),
+            retention.retention_by(panel, self.a.last, {"segment": self.clean_table("customers")}), retention.pause_curve(self.spark.read.parquet(f"{self.a.raw}/subscriptions.parquet")), forecast.bias_drift(results), experiment.naive_lift(outcomes),
+            self.contract,
         )
         tables.write_text(report.render(found), f"{self.a.out}/memo.md")
 

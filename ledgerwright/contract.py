@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date
 from pathlib import Path
 from typing import Any
 
@@ -30,6 +29,10 @@ class Contract:
     parameters: dict[str, Any]
     metrics: dict[str, dict]
     rulings: dict[str, dict]
+    effective_date: str = ""
+    owner: str = ""
+    status: str = ""
+    out_of_scope: tuple[str, ...] = ()
 
     @property
     def pause_grace_days(self) -> int:
@@ -57,8 +60,10 @@ class Contract:
         return self.rulings[name]
 
     def describe(self) -> str:
-        head = [f"policy {self.version}"] + [f"  {k} = {v}" for k, v in self.parameters.items()]
-        return "\n".join(head + [f"  {k}: {r['ruling']}" for k, r in self.rulings.items()])
+        head = [f"policy {self.version}, {self.status or 'without a status'}, in effect from {self.effective_date or 'an unstated day'}, owned by {self.owner or 'nobody'}"]
+        head += [f"{len(self.metrics)} metrics, {len(self.rulings)} rulings"] + [f"  {k} = {v}" for k, v in self.parameters.items()]
+        head += [line for k, r in self.rulings.items() for line in (f"  {k}: {r['question']}", f"      {r['ruling']}")]
+        return "\n".join(head + [f"  not covered: {', '.join(self.out_of_scope)}"] * bool(self.out_of_scope))
 
 
 def _absent(what: str, wanted, given) -> None:
@@ -87,7 +92,8 @@ def validate(spec: Any) -> Contract:
     named = {r["id"]: r for r in rulings}
     if len(named) != len(rulings):
         raise ContractViolation("rulings share an id")
-    return Contract(str(spec["version"]), dict(parameters), dict(metrics), named)
+    about = {k: str(spec.get(k, "")) for k in ("effective_date", "owner", "status")}
+    return Contract(str(spec["version"]), dict(parameters), dict(metrics), named, **about, out_of_scope=tuple(spec.get("out_of_scope") or ()))
 
 
 def load(path: str | Path = DEFAULT) -> Contract:
@@ -95,7 +101,3 @@ def load(path: str | Path = DEFAULT) -> Contract:
     if not path.is_file():
         raise ContractViolation(f"{path} not found")
     return validate(yaml.safe_load(path.read_text(encoding="utf-8")))
-
-
-def as_of(value: str | date) -> date:
-    return value if isinstance(value, date) else date.fromisoformat(value)

@@ -1,7 +1,9 @@
 """Made-up billing data with known defects, seeded, and the same however rows are dealt out.
 
 Every draw is a hash of the seed, a stream's name and the row's keys, so tables need no order to be
-reproducible. Customers' subscription histories are small state machines, one customer at a time.
+reproducible. Customers' subscription histories are small state machines, one customer at a time. Three causes of
+falling retention are planted: a price rise that heavy users of the smallest plan leave over, a competitor to whom
+mid-plan customers move down, and a change in sales that ends expansion.
 """
 
 from __future__ import annotations
@@ -34,7 +36,39 @@ class Shape:
     drifted: float = 0.03
     assigned: float = 0.45
     flipped: float = 0.04
+    heavy: float = 0.28
+    mislabelled: float = 0.15  # of cancellations, so some 2.5 % of all periods
     addon_rise: date = date(2025, 9, 1)
+    competitor: date = date(2025, 10, 1)
+    reorganised: date = date(2025, 7, 1)
+
+
+# Monthly chances by plan, what changes them, and how pauses last and end.
+LEAVE = {"Starter": 0.022, "Growth": 0.012, "Enterprise": 0.004}
+LEAVE_AFTER_RISE, LEAVE_SMB, LEAVE_MOST = 2.4, 1.25, 0.35
+DOWN_BEFORE = 0.003
+DOWN = {"Starter": 0.0, "Growth": 0.018, "Enterprise": 0.008}
+DOWN_GROWTH_SMB = 0.038
+UP_BEFORE = {"Starter": 0.024, "Growth": 0.040, "Enterprise": 0.052}
+UP_AFTER = {"Starter": 0.024, "Growth": 0.015, "Enterprise": 0.011}
+PAUSE = {"Starter": 0.010, "Growth": 0.008, "Enterprise": 0.005}
+PAUSE_MONTHS = {1: 0.35, 2: 0.25, 3: 0.15, 4: 0.10, 5: 0.08, 6: 0.07}
+RETURNS = {1: 0.80, 2: 0.62, 3: 0.28, 4: 0.12, 5: 0.06, 6: 0.03}
+SPELLINGS = {"SMB": ("smb", "S.M.B.", " SMB ", "Smb"), "Mid-Market": ("mid-market", "MidMarket", "Mid Market", " mid-market"), "Enterprise": ("enterprise", "ENT", "Enterprise ", "ENTERPRISE")}
+
+
+def hazards(shape: Shape, day: date, plan: str, segment: str, heavy: bool) -> tuple[float, float, float, float]:
+    """Chances in one month to leave, to move down, to grow and to pause."""
+    leave = LEAVE[plan]
+    if plan == "Starter" and heavy and day >= shape.addon_rise:
+        leave *= LEAVE_AFTER_RISE
+    if segment == "SMB":
+        leave *= LEAVE_SMB
+    down = DOWN_BEFORE
+    if day >= shape.competitor:
+        down = DOWN_GROWTH_SMB if (plan, segment) == ("Growth", "SMB") else DOWN[plan]
+    up = (UP_BEFORE if day < shape.reorganised else UP_AFTER)[plan]
+    return min(leave, LEAVE_MOST), down, up, PAUSE[plan]
 
 
 def draw(shape: Shape, stream: str, *keys: str) -> Column:
@@ -79,14 +113,14 @@ def _history(shape: Shape, customer: str, segment: str, signup: date) -> list[tu
     r = random.Random(f"{shape.seed} {customer}")
     prices = {p: Decimal(v) for p, v, _ in PLANS}
     names = [p for p, _, _ in PLANS]
-    tier = {"SMB": 0, "Mid-Market": 1}.get(segment, 2) if r.random() < 0.8 else r.randrange(3)
+    tier = {"SMB": 0, "Mid-Market": 1}.get(segment, 2) if r.random() < 0.6 else r.choices((0, 1, 2), (0.55, 0.35, 0.10))[0]
+    heavy = r.random() < shape.heavy
     seats = max(1, int(r.gammavariate(2, 3)))
     mrr = lambda: (prices[names[tier]] * seats).quantize(Decimal("0.01"))
     rows, start, status, day = [], signup, "active", _next_month(signup)
     while day <= shape.last:
-        late = day >= shape.addon_rise
         u = r.random()
-        leave, down, up, pause = (0.022, 0.012 if not late else 0.02, 0.035 if not late else 0.018, 0.008)
+        leave, down, up, pause = hazards(shape, day, names[tier], segment, heavy)
         if u < leave:
             rows.append((customer, len(rows), names[tier], seats, mrr(), start, day, "churned"))
             return rows
@@ -98,10 +132,9 @@ def _history(shape: Shape, customer: str, segment: str, signup: date) -> list[tu
             seats, status, start = seats + 1 + seats // 4, "expanded", day
         elif u < leave + down + up + pause:
             rows.append((customer, len(rows), names[tier], seats, mrr(), start, day, "paused"))
-            if r.random() > 0.4:
-                return rows
-            start, status = day + timedelta(days=int(r.expovariate(1 / 35)) + 1), "active"
-            if start > shape.last:
+            months = r.choices(list(PAUSE_MONTHS), list(PAUSE_MONTHS.values()))[0]
+            start, status = day + timedelta(days=int(30.44 * months) - r.randrange(12)), "active"
+            if r.random() >= RETURNS[months] or start > shape.last:
                 return rows
             day = _next_month(start)
             continue
@@ -120,7 +153,10 @@ def subscriptions(spark: SparkSession, shape: Shape, base: DataFrame) -> DataFra
     named = made.select(F.concat(F.lit("SUB-"), F.substring("customer_id", 5, 9), F.format_string("-%03d", "n")).alias("subscription_id"), *[c for c in made.columns if c != "n"], F.lit(False).alias("is_correction"))
     fix = named.where(draw(shape, "correction", "subscription_id") < shape.corrections)
     fixed = fix.withColumns({"subscription_id": F.regexp_replace("subscription_id", "^SUB-", "SUB-C"), "mrr": F.round(F.col("mrr") * 0.85, 2).cast("decimal(18,2)"), "is_correction": F.lit(True)})
-    return named.unionByName(fixed)
+    # cancellations that nobody marked as such stay paused for ever
+    lost = (F.col("status") == "churned") & (draw(shape, "mislabelled", "subscription_id") < shape.mislabelled)
+    marked = named.unionByName(fixed).withColumn("mislabelled", F.coalesce(lost & ~F.col("is_correction"), F.lit(False)))
+    return marked.withColumn("status", F.when(F.col("mislabelled"), "paused").otherwise(F.col("status")))
 
 
 def invoices(shape: Shape, subs: DataFrame) -> DataFrame:
@@ -140,7 +176,9 @@ def invoices(shape: Shape, subs: DataFrame) -> DataFrame:
     later = F.date_add("issued_date", (10 + F.floor(draw(shape, "refund day", "invoice_id") * 50)).cast("int"))
     refunds = back.select(F.regexp_replace("invoice_id", "^INV-", "INV-R").alias("invoice_id"), "customer_id", "subscription_id", later.alias("issued_date"), (-F.col("base")).alias("base"), (-F.col("addon")).alias("addon"), F.lit("refunded").alias("status"), F.col("invoice_id").alias("reverses_invoice_id"))
     ledger = made.unionByName(refunds)
-    twins = ledger.where(draw(shape, "twin", "invoice_id") < shape.duplicates).withColumn("invoice_id", F.regexp_replace("invoice_id", "^INV-", "INV-D"))
+    # half of the twins have a new id, as of a bill sent again; half the same, as of a file loaded again
+    new = draw(shape, "twin id", "invoice_id") < 0.5
+    twins = ledger.where(draw(shape, "twin", "invoice_id") < shape.duplicates).withColumn("invoice_id", F.when(new, F.regexp_replace("invoice_id", "^INV-", "INV-D")).otherwise(F.col("invoice_id")))
     lost = made.where(draw(shape, "orphan", "invoice_id") < shape.orphans).withColumns({"invoice_id": F.regexp_replace("invoice_id", "^INV-", "INV-O"), "customer_id": F.regexp_replace("customer_id", "^CUS-", "CUS-9")})
     whole = ledger.unionByName(twins).unionByName(lost).withColumn("amount", (F.col("base") + F.col("addon")).cast("decimal(18,2)"))
     odd = draw(shape, "text", "invoice_id") < shape.text_amounts
@@ -150,8 +188,10 @@ def invoices(shape: Shape, subs: DataFrame) -> DataFrame:
 
 
 def usage_events(shape: Shape, subs: DataFrame) -> DataFrame:
-    days = F.explode(F.sequence("period_start", F.least(F.coalesce("period_end", F.lit(shape.last)), F.date_add("period_start", 90)), F.expr("interval 1 day")))
-    rows = subs.where("not is_correction").select("customer_id", "subscription_id", "seats", days.alias("day"))
+    """A row for each subscription and day of its whole period."""
+    days = F.explode(F.sequence("period_start", F.coalesce("period_end", F.lit(shape.last)), F.expr("interval 1 day")))
+    live = subs.where("not is_correction").where(F.col("period_start") <= F.coalesce("period_end", F.lit(shape.last)))
+    rows = live.select("customer_id", "subscription_id", "seats", days.alias("day"))
     weekday = F.when(F.weekday("day") < 5, 1.0).otherwise(0.35)
     active = F.greatest(F.lit(0), F.round(F.col("seats") * weekday * (0.4 + 0.6 * draw(shape, "active", "subscription_id", "day")))).cast("bigint")
     stamp = F.col("day").cast("timestamp_ntz")
@@ -172,8 +212,9 @@ def assignments(shape: Shape, base: DataFrame, when: date = date(2026, 2, 1)) ->
 
 
 def dirty_customers(shape: Shape, base: DataFrame) -> DataFrame:
-    u = draw(shape, "spelling", "customer_id")
-    spelt = F.when(u < 0.04, F.lower("segment")).when(u < 0.07, F.concat(F.lit(" "), "segment", F.lit(" "))).when(u < 0.09, F.upper("segment")).otherwise(F.col("segment"))
+    at = F.floor(draw(shape, "spelling", "customer_id") * 100).cast("int")  # four of a hundred, each in one of four ways
+    ways = F.create_map(*(x for k, v in SPELLINGS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    spelt = F.when(at < 4, F.coalesce(F.get(F.try_element_at(ways, F.col("segment")), at), F.col("segment"))).otherwise(F.col("segment"))
     gone = lambda c: F.when(draw(shape, f"absent {c}", "customer_id") >= shape.absent, spelt if c == "segment" else F.col(c)).alias(c)
     return base.select("customer_id", "company_name", "signup_date", *map(gone, ("segment", "industry", "region")), "acquisition_channel")
 
@@ -188,16 +229,18 @@ def generate(spark: SparkSession, shape: Shape = Shape()) -> tuple[dict[str, Dat
     dirty = dirty_customers(shape, base)
     count = lambda df, name, table, c: df.agg(F.count_if(c).alias("rows_affected")).select(F.lit(name).alias("defect"), F.lit(table).alias("table"), "rows_affected")
     manifest = [
-        count(bills, "near duplicates", "invoices", F.col("invoice_id").startswith("INV-D")),
+        count(bills.groupBy(F.regexp_replace("invoice_id", "^INV-D", "INV-").alias("id")).count(), "duplicates", "invoices", F.col("count") > 1),
+        count(bills, "duplicates with a new id", "invoices", F.col("invoice_id").startswith("INV-D")),
         count(bills, "orphans", "invoices", F.col("invoice_id").startswith("INV-O")),
         count(bills, "amounts as text", "invoices", F.col("amount").rlike(r"[$,()]")),
         count(subs, "corrections", "subscriptions", F.col("is_correction")),
+        count(subs, "cancellations left as pauses", "subscriptions", F.col("mislabelled")),
         count(dirty, "absent attributes", "customers", F.col("segment").isNull() | F.col("industry").isNull() | F.col("region").isNull()),
-        count(dirty, "spellings", "customers", ~F.col("segment").isin("SMB", "Mid-Market", "Enterprise")),
+        count(dirty, "spellings", "customers", ~F.col("segment").isin(*SPELLINGS)),
         count(usage, "drift over midnight", "usage_events", F.to_date("event_ts") != F.to_date("event_date")),
         count(arms.groupBy("customer_id").count(), "both arms", "experiment_assignments", F.col("count") > 1),
     ]
     whole = manifest[0]
     for m in manifest[1:]:
         whole = whole.unionByName(m)
-    return {"customers": dirty, "subscriptions": subs, "invoices": bills, "usage_events": usage, "experiment_assignments": arms}, whole
+    return {"customers": dirty, "subscriptions": subs.drop("mislabelled"), "invoices": bills, "usage_events": usage, "experiment_assignments": arms}, whole

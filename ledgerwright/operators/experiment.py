@@ -65,6 +65,12 @@ def naive_readout(outcomes: DataFrame) -> DataFrame:
     return first_assignment(outcomes).groupBy("variant").agg(F.count(F.lit(1)).alias("customers"), ratio(total("post"), total("pre")).alias("retention"), ratio(total("pre"), F.count(F.lit(1))).alias("mean_before"))
 
 
+def naive_lift(outcomes: DataFrame) -> DataFrame:
+    """One row: what each arm kept, and the difference that a reader who checks nothing would report."""
+    kept = naive_readout(outcomes).agg(*(F.max(F.when(F.col("variant") == a, F.col("retention"))).alias(a) for a in ARMS))
+    return kept.withColumn("lift", F.col("treatment") - F.col("control"))
+
+
 def by_segment(outcomes: DataFrame, exclude: DataFrame | None = None, least: int = 20) -> DataFrame:
     """Lift within each segment, of strata with enough customers in both arms."""
     rows = outcomes if exclude is None else outcomes.join(exclude, "customer_id", "left_anti")
@@ -129,3 +135,19 @@ def bootstrap(outcomes: DataFrame, exclude: DataFrame | None = None, replicates:
     lifts = strata.groupBy("replicate").agg((F.sum((F.col("t_post") / F.col("t_pre") - F.col("c_post") / F.col("c_pre")) * weight) / F.sum(weight)).alias("lift"))
     tail = (1 - level) / 2
     return lifts.agg(F.expr(f"percentile(lift, {tail})").alias("low"), F.expr(f"percentile(lift, {1 - tail})").alias("high"), F.count(F.lit(1)).alias("replicates")).withColumn("includes_zero", (F.col("low") <= 0) & (F.col("high") >= 0))
+
+
+def verdict(chi_squared: float | None, rate: float | None, lift: float | None, low: float | None, high: float | None, alpha: float = 0.01) -> dict:
+    """What the experiment can support: whether the split was as meant, whether an effect is apart from zero, and what to do."""
+    p = srm_p_value(chi_squared or 0.0)
+    sound = p >= alpha and not rate
+    known = lift is not None and low is not None and high is not None
+    apart = known and not low <= 0 <= high
+    if not known:
+        claim, advice = "no stratum has enough customers in both arms", "collect more customers before reading it out"
+    elif not apart:
+        claim, advice = f"no claim in either direction: the interval is {high - low:.1%} wide and spans zero", "mend the assignment and run it again; neither ship nor stop on these data"
+    else:
+        claim = f"the {'gain' if lift > 0 else 'loss'} is apart from zero after correction"
+        advice = "act on it" if sound else "treat it as provisional: strata mend only the imbalance that was observed, so run it again with a verified split"
+    return {"p_value": p, "split_as_meant": p >= alpha, "contaminated": bool(rate), "apart_from_zero": bool(apart), "claim": claim, "advice": advice}

@@ -157,6 +157,7 @@ FINAL = {
       CROSS JOIN (SELECT CAST(count(*) FILTER (WHERE variant = 'control') AS DOUBLE) AS ct, CAST(count(*) FILTER (WHERE variant = 'treatment') AS DOUBLE) AS tt FROM assigned JOIN cust USING (customer_id))""",
     "e05_outcomes": "SELECT customer_id, variant, assigned_date, segment, CAST(pre AS DOUBLE) AS pre, CAST(post AS DOUBLE) AS post FROM outcomes",
     "e06_naive_readout": "SELECT variant, CAST(count(*) AS BIGINT) AS customers, CAST(sum(post) AS DOUBLE) / CAST(sum(pre) AS DOUBLE) AS retention, CAST(sum(pre) AS DOUBLE) / count(*) AS mean_before FROM firsts GROUP BY variant",
+    "e06_naive_lift": "WITH v AS (SELECT variant, CAST(sum(post) AS DOUBLE) / CAST(sum(pre) AS DOUBLE) AS r FROM firsts GROUP BY variant) SELECT (SELECT r FROM v WHERE variant = 'control') AS control, (SELECT r FROM v WHERE variant = 'treatment') AS treatment, (SELECT r FROM v WHERE variant = 'treatment') - (SELECT r FROM v WHERE variant = 'control') AS lift",
     "e07_stratified_lift": _LIFT.format(_SEG.format("firsts")),
     "e08_corrected_lift": _LIFT.format(_SEG.format("pure")),
     "e08_bootstrap": _BOOTSTRAP,

@@ -172,6 +172,7 @@ query("e03_contamination")(lambda d: experiment.check_contamination(d.raw["assig
 query("e04_balance")(lambda d: experiment.check_balance(d.raw["assignments"], d.customers.kept))
 query("e05_outcomes")(lambda d: d.outcomes)
 query("e06_naive_readout")(lambda d: experiment.naive_readout(d.outcomes))
+query("e06_naive_lift")(lambda d: experiment.naive_lift(d.outcomes))
 query("e07_stratified_lift", 8)(lambda d: experiment.stratified_lift(d.outcomes, least=LEAST_STRATUM))
 query("e08_corrected_lift", 8)(lambda d: experiment.stratified_lift(d.outcomes, experiment.contaminated(d.raw["assignments"]), LEAST_STRATUM))
 query("e08_bootstrap", 8)(lambda d: experiment.bootstrap(d.outcomes, experiment.contaminated(d.raw["assignments"]), least=LEAST_STRATUM))

@@ -40,6 +40,7 @@ def subs(spark, *rows):
 def test_policy_is_whole():
     assert C.pause_grace_days == 60 and not C.addons_count_as_mrr and C.refunds_to_original_month and C.restate_history and C.winback_window_days == 90
     assert C.ruling("R1")["affects"] and "R6" in C.describe()
+    assert C.owner and C.status and C.effective_date and C.out_of_scope and all(x in C.describe() for x in (C.owner, C.status, "9 metrics", C.ruling("R1")["question"], *C.out_of_scope))
 
 
 @pytest.mark.parametrize(
@@ -332,11 +333,73 @@ def test_ledger_conserves(spark, made):
     assert last["rows"] == 0 and last["dollars"] == 0
     steps = {r["step"]: r["rows_affected"] for r in audit.collect()}
     assert steps["parse amounts"] == defects["amounts as text"] and steps["quarantine orphans"] == defects["orphans"]
-    assert steps["remove duplicates"] == defects["near duplicates"] and steps["flag time zone drift"] == defects["drift over midnight"]
+    assert steps["remove duplicates"] == defects["duplicates"] > defects["duplicates with a new id"] > 0 and steps["flag time zone drift"] == defects["drift over midnight"]
     months = reconcile.reconcile_months(done["subscriptions"], done["invoices"], Grid("2024-02-01", "2026-06-01", "month", "2026-06-30"), C)
     assert reconcile.verdict(months).first()["failures"] == 0
 
 
+def test_planted_causes():
+    shape = generator.Shape()
+    before, after = D(2025, 6, 1), D(2025, 12, 1)
+    leave = lambda day, heavy: generator.hazards(shape, day, "Starter", "SMB", heavy)[0]
+    assert leave(after, True) > 2 * leave(before, True) and leave(after, False) == leave(before, False)
+    down = lambda day, segment: generator.hazards(shape, day, "Growth", segment, False)[1]
+    assert down(after, "SMB") > down(after, "Enterprise") > 5 * down(before, "SMB")
+    up = lambda day: generator.hazards(shape, day, "Enterprise", "Enterprise", False)[2]
+    assert up(after) < up(before) / 4 and generator.hazards(shape, after, "Starter", "SMB", True)[1] == 0
+
+
+def test_generated_pauses_return_early(spark, made):
+    shape = generator.Shape(customers=3000)
+    curve = retention.pause_curve(generator.subscriptions(spark, shape, generator.customers(spark, shape))).collect()
+    assert sum(r["returns"] for r in curve) > 100 and max(r["running_share"] for r in curve if r["months_away"] <= 2) > 0.7
+    assert made[1]["cancellations left as pauses"] > 0
+
+
+def test_usage_covers_whole_periods(spark, made):
+    subs = made[0]["subscriptions"].where("not is_correction")
+    days = subs.select(F.sum(F.datediff(F.coalesce("period_end", F.lit("2026-06-30").cast("date")), "period_start") + 1)).first()[0]
+    usage = made[0]["usage_events"]
+    assert usage.count() == days and usage.agg(F.max("event_date")).first()[0].date() == D(2026, 6, 30)
+
+
+def test_experiment_verdict(spark):
+    o = outcomes(spark)
+    assert experiment.naive_lift(o).first()["lift"] == pytest.approx(0.1)
+    wide = experiment.verdict(20.0, 0.02, -0.02, -0.1, 0.06)
+    assert not wide["split_as_meant"] and not wide["apart_from_zero"] and "no claim" in wide["claim"] and "again" in wide["advice"]
+    assert experiment.verdict(0.1, 0.0, 0.05, 0.01, 0.09)["advice"] == "act on it"
+    assert experiment.verdict(None, None, None, None, None)["apart_from_zero"] is False
+
+
+def test_clashing_names(spark):
+    rows = spark.createDataFrame([(1, D(2024, 1, 1), D(2024, 2, 1), "x", "y", "z")], "customer_id long, period_start date, period_end date, __day string, __START string, __lo string")
+    out = cleaning.next_start(rows)
+    assert out.first()["__day"] == "x" and out.first()["__START"] == "y" and set(out.columns) == {*rows.columns, "next_start"}
+    spread = asof_expand(rows, Grid("2024-01-01", "2024-06-01"), "month")
+    assert spread.first()["__lo"] == "z" and set(spread.columns) == {*rows.columns, "month"}
+
+
+def test_stages_end_to_end(spark, tmp_path, capsys):
+    """Every stage of the command line over files, on a small made-up company."""
+    from ledgerwright import cli
+    from ledgerwright.sources import tables
+
+    where = [f"--{k}={tmp_path / k}" for k in ("raw", "processed", "out")] + ["--customers=300", "--least-cohort=20", "--least-weekly=1000"]
+    for stage in cli.STAGES:
+        cli.main([stage, *where])
+    said = capsys.readouterr().out
+    for part in ("From raw to clean ledger", "every month closes", "Retention bridge", "Verdict", "lowest recent error", "standardise spelling"):
+        assert part in said, part
+    memo = (tmp_path / "out" / "memo.md").read_text()
+    assert all(f"[{tag}]" in memo for tag in report.PROVENANCE) and len(report.PROVENANCE) >= 12
+    assert "What to do" in memo and "cannot tell" in memo
+    ledger = tables.read_parquet(spark, str(tmp_path / "processed"), "reconciliation_ledger")
+    assert ledger.where("line_no = 5").first()["rows"] == 0
+    back = spark.read.option("header", True).csv(str(tmp_path / "out" / "dim_plan.csv"))
+    assert back.count() == 3 and spark.read.option("header", True).csv(str(tmp_path / "out" / "fact_mrr.csv")).count() > 100
+
+
 def test_memo_follows_its_data(spark):
     tags = set(report.PROVENANCE)
     source = (policy.DEFAULT.parent.parent / "tests" / "test_engine.py").read_text()
