@@ -135,7 +135,7 @@ def _rarity(sets: DataFrame):
     return spark.sparkContext.broadcast(counts.ravel())
 
 
-_PREFIX = "bucket bigint, node bigint, part bigint, n_shingles bigint, pos bigint"
+_PREFIX = "bucket bigint, node bigint, part bigint, n_shingles bigint, pos bigint, was bigint"
 
 
 def _prefixes(num: int, den: int, rarity, level: int):
@@ -143,7 +143,7 @@ def _prefixes(num: int, den: int, rarity, level: int):
 
     Of two sets similar enough, whatever the order, the smallest common shingle is among the first
     ``size - least common + 1`` of either, and the next one after it among one more. At level 0 a bucket is a
-    shingle; further on, a bucket and the next shingle after its place in the set.
+    shingle; further on, a bucket and the next shingle after its place in the set. was: rows of the bucket before.
     """
     names = [f.split()[0] for f in _PREFIX.split(", ")]
 
@@ -153,11 +153,12 @@ def _prefixes(num: int, den: int, rarity, level: int):
             nodes, parts = batch.column("node").to_numpy(), batch.column("part").to_numpy()
             buckets = batch.column("bucket").to_numpy().view(np.uint64) if level else None
             places = batch.column("pos").to_numpy() if level else np.full(len(nodes), -1)
+            was = batch.column("was").to_numpy() if level else np.full(len(nodes), 2**62)
             keys, row, pos, sizes = [], [], [], []
 
             def rows():
                 own = np.repeat(np.array(row), [len(k) for k in keys])
-                columns = [np.concatenate(keys).view(np.int64), nodes[own], parts[own], np.repeat(np.array(sizes, np.int64), [len(k) for k in keys]), np.concatenate(pos)]
+                columns = [np.concatenate(keys).view(np.int64), nodes[own], parts[own], np.repeat(np.array(sizes, np.int64), [len(k) for k in keys]), np.concatenate(pos), was[own]]
                 return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
             held = 0
@@ -299,10 +300,12 @@ def _shared(shelved: DataFrame, rarity, num: int, den: int) -> list[DataFrame]:
         ahead = F.greatest(level + F.col("n_shingles") - need - F.col("pos"), F.lit(0))
         kind = F.floor(F.log("n_shingles") / np.log(den / num))
         # hash aggregates all the way: a crowded bucket comes as partial sums
-        grouped = rows.groupBy("bucket", "part", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_if(short).alias("short"), F.sum(ahead).alias("ahead"))
-        by_kind = grouped.groupBy("bucket", "kind").agg(F.sum("n").alias("n"), F.sum("short").alias("short"), F.sum("ahead").alias("ahead"), F.max("n").alias("most"), F.min("part").alias("p"), F.max("part").alias("q"))
-        sizes = by_kind.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("short") * (F.col("n") - F.when(F.col("p") == F.col("q"), F.col("n")).otherwise(F.col("most")))).alias("pairs"), F.sum("ahead").alias("ahead"), F.min("p").alias("p"), F.max("q").alias("q"), F.sum("short").alias("short"))
-        sizes = durable(sizes.where("p <> q and short > 0").select("bucket", "n", "pairs", "ahead", (F.col("pairs") > _PAIRS_A_ROW * F.col("ahead")).alias("crowded")), rows.count() // 2, 200_000)
+        grouped = rows.groupBy("bucket", "part", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_if(short).alias("short"), F.sum(ahead).alias("ahead"), F.min("was").alias("was"))
+        by_kind = grouped.groupBy("bucket", "kind").agg(F.sum("n").alias("n"), F.sum("short").alias("short"), F.sum("ahead").alias("ahead"), F.max("n").alias("most"), F.min("part").alias("p"), F.max("part").alias("q"), F.min("was").alias("was"))
+        sizes = by_kind.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("short") * (F.col("n") - F.when(F.col("p") == F.col("q"), F.col("n")).otherwise(F.col("most")))).alias("pairs"), F.sum("ahead").alias("ahead"), F.min("p").alias("p"), F.max("q").alias("q"), F.sum("short").alias("short"), F.max("most").alias("most"), F.min("was").alias("was"))
+        # a large component or copies that share shingle after shingle would only come again in every refined bucket
+        apart = (4 * F.col("most") <= F.col("n")) & (2 * F.col("n") <= F.col("was"))
+        sizes = durable(sizes.where("p <> q and short > 0").select("bucket", "n", "pairs", "ahead", (apart & (F.col("pairs") > _PAIRS_A_ROW * F.col("ahead"))).alias("crowded")), rows.count() // 2, 200_000)
         most = max(_BUCKET, (sizes.agg(F.sum("n")).first()[0] or 0) // _SHARE)
         is_hot = F.col("n") > most  # of at most _SHARE buckets
         refined = F.col("crowded") & F.lit(level < _DEEPEST)
@@ -317,12 +320,12 @@ def _shared(shelved: DataFrame, rarity, num: int, den: int) -> list[DataFrame]:
             found.append(durable(_met(rows.join(F.broadcast(wide.select("bucket")), "bucket", "left_semi"), wide, level, num, den), pairs, 200_000))
         again = []
         if counts[2]:
-            again.append(calm.join(sizes.where(~is_hot & refined).select("bucket"), "bucket", "left_semi"))
+            again.append(calm.join(sizes.where(~is_hot & refined).select("bucket", F.col("n").alias("before")), "bucket"))
         if counts[3]:
-            again.append(rows.join(F.broadcast(sizes.where(is_hot & refined).select("bucket")), "bucket", "left_semi"))
+            again.append(rows.join(F.broadcast(sizes.where(is_hot & refined).select("bucket", F.col("n").alias("before"))), "bucket"))
         level, now, rows = level + 1, rows, None
         if again:
-            deeper = reduce(DataFrame.unionByName, again).select("bucket", "node", "pos").join(shelved, "node")
+            deeper = reduce(DataFrame.unionByName, again).select("bucket", "node", "pos", F.col("before").alias("was")).join(shelved, "node")
             rows = durable(deeper.mapInArrow(freeing(_prefixes(num, den, rarity, level)), _PREFIX), ahead, 20_000)
         drop(now, sizes)
     return found
