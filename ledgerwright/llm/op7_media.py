@@ -1,7 +1,7 @@
 """ISO base media files: writing byte payloads as raw 8-bit frames, and reading box trees and sample tables.
 
-The reader walks nested boxes, decodes the sample tables of every track, and gives codec, duration and
-the byte ranges of keyframes. It never looks inside media data.
+The reader walks nested boxes, decodes the sample tables of every track, plain, compact or in fragments, and gives
+codec, duration and the byte ranges of keyframes. It never looks inside media data, and every read is held to its box.
 """
 
 from __future__ import annotations
@@ -103,21 +103,48 @@ def walk(data: bytes, lo: int = 0, hi: int | None = None, path: tuple[bytes, ...
         lo += size
 
 
+def _read(form: str, data: bytes, lo: int, hi: int) -> tuple:
+    """Values at a place of a box, none of them beyond its end."""
+    if lo + struct.calcsize(form) > hi:
+        raise BadMedia(f"a box is cut short at {lo}")
+    return struct.unpack_from(form, data, lo)
+
+
+def _text(data: bytes, lo: int, hi: int) -> str:
+    return _read("4s", data, lo, hi)[0].decode("latin-1")
+
+
 def _table(data: bytes, lo: int, hi: int, width: int, kind: str = ">u4", skip: int = 4) -> np.ndarray:
-    (n,) = struct.unpack_from(">I", data, lo + skip)
+    (n,) = _read(">I", data, lo + skip, hi)
     lo += skip + 4
     if lo + n * width * np.dtype(kind).itemsize > hi:
         raise BadMedia("a table is longer than its box")
     return np.frombuffer(data, kind, n * width, lo).reshape(n, width).astype(np.int64)
 
 
+def _compact_sizes(data: bytes, lo: int, hi: int) -> np.ndarray:
+    """Sample sizes of 4, 8 or 16 bits."""
+    bits, n = _read(">II", data, lo + 4, hi)
+    bits &= 0xFF
+    if bits not in (4, 8, 16) or lo + 12 + -(-n * bits // 8) > hi:
+        raise BadMedia("compact sizes of a wrong width, or cut short")
+    if bits == 4:
+        raw = np.frombuffer(data, np.uint8, -(-n // 2), lo + 12)
+        return np.stack([raw >> 4, raw & 15], axis=1).ravel()[:n].astype(np.int64)
+    return np.frombuffer(data, f">u{bits // 8}", n, lo + 12).astype(np.int64)
+
+
 class _Track:
     def __init__(self):
-        self.codec, self.handler, self.timescale, self.duration = "", "", 0, 0
+        self.number, self.codec, self.handler, self.timescale, self.duration = 0, "", "", 0, 0
         self.width = self.height = 0
-        self.times = self.runs = self.chunks = np.empty((0, 1), np.int64)
+        self.times = np.empty((0, 2), np.int64)
+        self.shifts = np.empty((0, 2), np.int64)
+        self.runs = self.chunks = np.empty((0, 1), np.int64)
         self.sizes = np.empty(0, np.int64)
         self.keys: np.ndarray | None = None
+        self.defaults = (0, 0, 0)  # of fragments: a sample's duration, size and flags
+        self.more: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []  # places, sizes, which are keys, ticks
 
     def offsets(self) -> np.ndarray:
         """First byte of each sample: chunks hold runs of samples that lie one after another."""
@@ -138,48 +165,136 @@ class _Track:
         return chunks[chunk] + before - before[(ends - per)[chunk]]
 
 
+# Bits that say which fields of a fragment's header and of a run are there, and that a sample is no key.
+_BASE, _DESCRIPTION, _DURATION, _SIZE, _FLAGS, _MOOF_BASE = 0x1, 0x2, 0x8, 0x10, 0x20, 0x20000
+_RUN_OFFSET, _RUN_FIRST, _RUN_FIELDS = 0x1, 0x4, (0x100, 0x200, 0x400, 0x800)
+_NOT_KEY = 0x10000
+
+
+class _Fragment:
+    """One track's part of a moof box: where its data begin, and what its samples have unless a run says otherwise."""
+
+    def __init__(self, data: bytes, lo: int, hi: int, moof: int, by_number: dict[int, _Track]):
+        flags, number = _read(">II", data, lo, hi)
+        if number not in by_number:
+            raise BadMedia(f"a fragment of track {number}, which there is none of")
+        self.track = by_number[number]
+        at, values = lo + 8, list(self.track.defaults)
+        self.base = moof
+        if flags & _BASE:
+            (self.base,) = _read(">Q", data, at, hi)
+            at += 8
+        at += 4 * bool(flags & _DESCRIPTION)
+        for k, bit in enumerate((_DURATION, _SIZE, _FLAGS)):
+            if flags & bit:
+                (values[k],) = _read(">I", data, at, hi)
+                at += 4
+        self.values, self.next = values, self.base
+
+    def run(self, data: bytes, lo: int, hi: int) -> None:
+        flags, n = _read(">II", data, lo, hi)
+        at = lo + 8
+        if flags & _RUN_OFFSET:
+            self.next = self.base + _read(">i", data, at, hi)[0]
+            at += 4
+        first = None
+        if flags & _RUN_FIRST:
+            (first,) = _read(">I", data, at, hi)
+            at += 4
+        fields = [bit for bit in _RUN_FIELDS if flags & bit]
+        if at + 4 * len(fields) * n > hi or n > len(data):
+            raise BadMedia("a run of samples is longer than its box")
+        told = np.frombuffer(data, ">u4", len(fields) * n, at).reshape(n, len(fields)).astype(np.int64)
+        column = lambda bit, default: told[:, fields.index(bit)] if bit in fields else np.full(n, default, np.int64)
+        durations, sizes, marks = (column(bit, x) for bit, x in zip(_RUN_FIELDS, self.values))
+        if first is not None and n:
+            marks = marks.copy()
+            marks[0] = first
+        places = self.next + np.cumsum(sizes) - sizes
+        self.next += int(sizes.sum())
+        self.track.more.append((places, sizes, (marks & _NOT_KEY) == 0, int(durations.sum())))
+
+
 def tracks(data: bytes) -> list[dict]:
-    """Codec, handler, timescale, duration, dimensions, samples and keyframe byte ranges of every track."""
+    """Codec, handler, timescale, duration, dimensions, samples and keyframe byte ranges of every track.
+
+    Samples come from the tables (stsz or stz2, stsc, stco or co64, stss, stts, ctts) and then from fragments (moof, traf,
+    tfhd, trun, with trex's defaults), in the order of the file. Whatever is not well-formed raises BadMedia.
+    """
     found: list[_Track] = []
-    try:
-        for path, lo, hi in walk(data):
-            kind = path[-1]
-            if kind == b"trak":
-                found.append(_Track())
-            if not found or b"trak" not in path:
-                continue
-            t = found[-1]
-            if kind == b"mdhd":
-                t.timescale, t.duration = struct.unpack_from(">IQ", data, lo + 20) if data[lo] == 1 else struct.unpack_from(">II", data, lo + 12)
-            elif kind == b"hdlr" and len(path) == 4:
-                t.handler = data[lo + 8 : lo + 12].decode("latin-1")
-            elif kind == b"stsd":
-                t.codec = data[lo + 12 : lo + 16].decode("latin-1")
-                if t.handler == "vide":
-                    t.width, t.height = struct.unpack_from(">HH", data, lo + 40)
-            elif kind == b"stts":
-                t.times = _table(data, lo, hi, 2)
-            elif kind == b"stss":
-                t.keys = _table(data, lo, hi, 1)[:, 0] - 1
-            elif kind == b"stsc":
-                t.runs = _table(data, lo, hi, 3)
-            elif kind in (b"stco", b"co64"):
-                t.chunks = _table(data, lo, hi, 1, ">u4" if kind == b"stco" else ">u8")
-            elif kind == b"stsz":
-                same, n = struct.unpack_from(">II", data, lo + 4)
-                t.sizes = np.full(n, same, np.int64) if same and n <= len(data) else _table(data, lo, hi, 1, skip=8)[:, 0]
-    except struct.error as e:
-        raise BadMedia(f"cut short: {e}") from e
-    out = []
-    for t in found:
-        at = t.offsets()
-        if len(at) and (at.min() < 0 or (at + t.sizes).max() > len(data)):
-            raise BadMedia("samples beyond the file")
-        keys = np.arange(len(at)) if t.keys is None else t.keys
-        if len(keys) and (keys.min() < 0 or keys.max() >= len(at)):
-            raise BadMedia("keyframes beyond the samples")
-        out.append({"codec": t.codec, "handler": t.handler, "timescale": t.timescale, "duration": t.duration, "width": t.width, "height": t.height, "ticks": int((t.times[:, 0] * t.times[:, 1]).sum()) if t.times.shape[1] == 2 else 0, "offsets": at, "sizes": t.sizes, "keys": keys})
-    return out
+    defaults: dict[int, tuple[int, int, int]] = {}
+    moof, fragment, by_number = 0, None, None
+    for path, lo, hi in walk(data):
+        kind = path[-1]
+        if kind == b"trak":
+            found.append(_Track())
+        elif kind == b"trex":
+            number, _, *rest = _read(">IIIII", data, lo + 4, hi)
+            defaults[number] = tuple(rest)
+        elif kind == b"moof":
+            moof, fragment = lo - 8, None
+        elif kind == b"traf":
+            fragment = None
+        elif kind == b"tfhd" and b"traf" in path:
+            if by_number is None:
+                by_number = {t.number: t for t in found}
+                for number, t in by_number.items():
+                    t.defaults = defaults.get(number, t.defaults)
+            fragment = _Fragment(data, lo, hi, moof, by_number)
+        elif kind == b"trun" and b"traf" in path:
+            if fragment is None:
+                raise BadMedia("a run of samples without a fragment header")
+            fragment.run(data, lo, hi)
+        if not found or b"trak" not in path:
+            continue
+        t = found[-1]
+        if kind == b"tkhd":
+            (version,) = _read("B", data, lo, hi)
+            (t.number,) = _read(">I", data, lo + (20 if version == 1 else 12), hi)
+        elif kind == b"mdhd":
+            (version,) = _read("B", data, lo, hi)
+            t.timescale, t.duration = _read(">IQ", data, lo + 20, hi) if version == 1 else _read(">II", data, lo + 12, hi)
+        elif kind == b"hdlr" and len(path) == 4:
+            t.handler = _text(data, lo + 8, hi)
+        elif kind == b"stsd":
+            t.codec = _text(data, lo + 12, hi)
+            if t.handler == "vide":
+                t.width, t.height = _read(">HH", data, lo + 40, hi)
+        elif kind == b"stts":
+            t.times = _table(data, lo, hi, 2)
+        elif kind == b"ctts":
+            t.shifts = _table(data, lo, hi, 2)
+        elif kind == b"stss":
+            t.keys = _table(data, lo, hi, 1)[:, 0] - 1
+        elif kind == b"stsc":
+            t.runs = _table(data, lo, hi, 3)
+        elif kind in (b"stco", b"co64"):
+            t.chunks = _table(data, lo, hi, 1, ">u4" if kind == b"stco" else ">u8")
+        elif kind == b"stsz":
+            same, n = _read(">II", data, lo + 4, hi)
+            t.sizes = np.full(n, same, np.int64) if same and n <= len(data) else _table(data, lo, hi, 1, skip=8)[:, 0]
+        elif kind == b"stz2":
+            t.sizes = _compact_sizes(data, lo, hi)
+    return [_described(t, len(data)) for t in found]
+
+
+def _described(t: _Track, size: int) -> dict:
+    at = t.offsets()
+    if len(t.shifts) and int(t.shifts[:, 0].sum()) > len(at):
+        raise BadMedia("more composition offsets than samples")
+    keys = np.arange(len(at)) if t.keys is None else t.keys
+    if len(keys) and (keys.min() < 0 or keys.max() >= len(at)):
+        raise BadMedia("keyframes beyond the samples")
+    ticks = int((t.times[:, 0] * t.times[:, 1]).sum())
+    marks = np.zeros(len(at), bool)
+    marks[keys] = True
+    parts = [(at, t.sizes, marks, ticks), *t.more]
+    at, sizes, marks = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    ticks = sum(p[3] for p in parts)
+    if len(at) and (at.min() < 0 or (at + sizes).max() > size):
+        raise BadMedia("samples beyond the file")
+    duration = t.duration or (ticks if t.more else 0)  # a file in fragments states none
+    return {"codec": t.codec, "handler": t.handler, "timescale": t.timescale, "duration": duration, "width": t.width, "height": t.height, "ticks": ticks, "offsets": at, "sizes": sizes, "keys": np.flatnonzero(marks)}
 
 
 _RANGE = pa.struct([("start", pa.int64()), ("length", pa.int64())])

@@ -592,6 +592,68 @@ def test_broken_media_is_told(spark):
     assert rows[3]["error"] and rows[4]["error"] and all((x["tracks"] is None) == (x["error"] is not None) for x in rows)
 
 
+def test_short_boxes_are_told():
+    box = op7_media._box
+    for inside in (box(b"mdhd", bytes(0)), box(b"mdhd", bytes(4)), box(b"hdlr", bytes(6)), box(b"tkhd", b"")):
+        with pytest.raises(op7_media.BadMedia):
+            op7_media.tracks(box(b"moov", box(b"trak", box(b"mdia", inside) if inside[4:8] != b"tkhd" else inside)))
+    whole = op7_media.write_media(bytes(576))
+    stbl = [(lo, hi) for path, lo, hi in op7_media.walk(whole) if path[-1] in (b"stsz", b"stsc", b"co64", b"stss", b"stts", b"stsd", b"mdhd", b"hdlr")]
+    for lo, hi in stbl:  # every box, cut to every shorter length, is read or refused
+        for n in range(hi - lo):
+            kind, body = whole[lo - 4 : lo], whole[lo : lo + n]
+            try:
+                op7_media.tracks(box(b"moov", box(b"trak", box(b"mdia", box(b"minf", box(b"stbl", box(kind, body)))), box(b"mdia", box(kind, body)))))
+            except op7_media.BadMedia:
+                pass
+
+
+def test_compact_sizes_and_fragments():
+    import struct
+
+    box, full = op7_media._box, op7_media._full
+    sizes = [3, 15, 0, 7, 9]
+    for bits, body in ((4, bytes([0x3F, 0x07, 0x90])), (8, bytes(sizes)), (16, struct.pack(">5H", *sizes))):
+        stbl = box(b"stbl", full(b"stz2", struct.pack(">II", bits, 5), body), full(b"stsc", struct.pack(">IIII", 1, 1, 5, 1)), full(b"stco", struct.pack(">II", 1, 0)))
+        (t,) = op7_media.tracks(box(b"moov", box(b"trak", box(b"mdia", box(b"minf", stbl)))))
+        assert t["sizes"].tolist() == sizes and t["offsets"].tolist() == [0, 3, 18, 18, 25] and t["keys"].tolist() == [0, 1, 2, 3, 4]
+    # two fragments: sizes by run and by default, keys by the run's first flags
+    trak = box(b"trak", full(b"tkhd", struct.pack(">IIII", 0, 0, 5, 0), bytes(64)), box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 0, 0, 0))))
+    moov = box(b"moov", trak, box(b"mvex", full(b"trex", struct.pack(">IIIII", 5, 1, 40, 10, 0x10000))))
+
+    def moof(at):
+        one = full(b"trun", struct.pack(">III", 2, at, 0), struct.pack(">II", 6, 4), flags=0x1 | 0x4 | 0x200)
+        two = full(b"trun", struct.pack(">I", 3), flags=0)
+        return box(b"moof", full(b"mfhd", struct.pack(">I", 1)), box(b"traf", full(b"tfhd", struct.pack(">I", 5), flags=0x20000), one, two))
+
+    part = moof(len(moof(0)) + 8)
+    whole = moov + part + box(b"mdat", bytes(range(40)))
+    (t,) = op7_media.tracks(whole)
+    begin = len(moov) + len(part) + 8
+    assert t["offsets"].tolist() == [begin, begin + 6, begin + 10, begin + 20, begin + 30] and t["sizes"].tolist() == [6, 4, 10, 10, 10]
+    assert t["keys"].tolist() == [0] and t["ticks"] == 200 == t["duration"] and t["timescale"] == 1000
+    with pytest.raises(op7_media.BadMedia):
+        op7_media.tracks(whole[:-20] + box(b"mdat", b""))
+
+
+def test_media_columns(spark, tmp_path):
+    got = collections.Counter()
+    feature = {}
+    for r in query_rows(spark, tmp_path, op7_media.query, ODD):
+        got[(r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"])] += 1
+        feature.setdefault(r["payload_sha256"], set()).add((r["media_bytes"], r["media_sha256"], r["feature"]))
+        whole = op7_media.write_media(dict((hashlib.sha256(p).hexdigest(), p) for p in payloads())[r["payload_sha256"]])
+        assert (r["media_bytes"], r["media_sha256"]) == (len(whole), hashlib.sha256(whole).hexdigest())
+    want = collections.Counter((d, len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])) for (d, t), p in zip(ODD, payloads()))
+    assert got == want and all(len(x) == 1 for x in feature.values())
+
+
+def payloads():
+    for _, t in ODD:
+        b = (t or "").encode()
+        yield b + b"\xff" * (576 if not b else -len(b) % 576)
+
+
 def test_texts_as_media(odd, none):
     got = collections.defaultdict(list)
     for r in op7_media.store_texts(odd).collect():
