@@ -1,10 +1,12 @@
 """Licence scan: a trained paragraph classifier over sparse word n-grams, confirmed against templates.
 
-A paragraph is a line; a long one is read in overlapping windows, so that a notice inside it is not diluted.
-Multinomial logistic regression over hashed word n-grams gives each window a family, ``unknown`` (worded like
-a licence, but no known one) or ``none``. Its probabilities are calibrated by a temperature on held-out
-examples. A predicted family holds only if the window also covers enough of one of the family's templates;
-otherwise the paragraph is ``unknown``. Negative examples are paragraphs of the corpus itself.
+A paragraph is a run of lines that have words; comment marks have none, so a header in a source file is one. It is
+read line by line and, where it has several lines, as a whole across their breaks, both in overlapping windows, so that
+neither wrapping hides a notice nor its surroundings dilute it. Multinomial logistic regression over hashed word
+n-grams gives each window a family, ``unknown`` (worded like a licence, but no known one) or ``none``. Its
+probabilities are calibrated by a temperature on held-out examples, some of families that the examples it learns from
+do not have. A predicted family holds only if the window also covers enough of one of the family's templates;
+otherwise the notice is ``unknown``. Negative examples are paragraphs of the corpus itself.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ GRAMS = 3
 WINDOW, STRIDE = 32, 16
 COVER = 0.6
 LEAST = 0.5
-#: Documents whose paragraphs serve as negative examples, at most.
-SAMPLE_TEXTS = 400
+#: Of the fit alone: documents whose paragraphs serve as negative examples, bytes of each, and paragraphs of all, at most;
+#: words that are put around the made-up notices.
+SAMPLE_TEXTS, SAMPLE_BYTES, SAMPLE_PARAGRAPHS = 400, 20_000, 4000
+FILLER_WORDS = 20_000
 _U = np.uint64
 
 #: Short notices by which texts name their licence.
@@ -161,7 +165,7 @@ def _block(texts: list[str]) -> tc.Block:
 def _examples(negatives: list[str], seed: int) -> tuple[list[str], np.ndarray]:
     """Varied notices of every family, of made-up licences, and paragraphs without any."""
     r = random.Random(seed)
-    filler = " ".join(negatives).split()[:20_000] or ["word"]
+    filler = " ".join(negatives).split()[:FILLER_WORDS] or ["word"]
     some = lambda k: " ".join(r.choice(filler) for _ in range(r.randint(0, k)))
     texts, labels = [], []
 
@@ -199,9 +203,13 @@ def _examples(negatives: list[str], seed: int) -> tuple[list[str], np.ndarray]:
     return texts, np.array(labels)
 
 
-def train(negatives: list[str], seed: int = 3, epochs: int = 12, rate: float = 0.5) -> Classifier:
-    negatives = [t for t in negatives if not _covered([t]).any()][:4000]
+def train(negatives: list[str], seed: int = 3, epochs: int = 12, rate: float = 0.5, without: tuple[str, ...] = ()) -> Classifier:
+    """Fit on made-up notices and on paragraphs without any. Notices of the families ``without`` are neither learned
+    from nor calibrated on: what a fitted model then makes of them tells how it meets licences that it does not know."""
+    negatives = [t for t in negatives[: 2 * SAMPLE_PARAGRAPHS] if not _covered([t]).any()][:SAMPLE_PARAGRAPHS]
     texts, y = _examples(negatives, seed)
+    gone = [FAMILIES.index(f) for f in without]
+    texts, y = [t for t, k in zip(texts, y) if k not in gone], y[~np.isin(y, gone)]
     w = tc.words(_block(texts), keep=_KEEP)
     size = np.diff(w.first)
     slots = windows(w).slots
@@ -252,11 +260,14 @@ def _templates() -> tuple[list[np.ndarray], np.ndarray]:
     return [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:])], np.array([k for k, _ in flat])
 
 
+def _pairs(words: np.ndarray) -> np.ndarray:
+    return words[:-1] * _U(0x9E3779B97F4A7C15) + words[1:]
+
+
 def _cover(words: np.ndarray, template: np.ndarray) -> float:
     """Share of the template's word pairs, in order, that the words have."""
-    pairs = lambda x: x[:-1] * _U(0x9E3779B97F4A7C15) + x[1:]
-    p = np.unique(pairs(template))
-    return float(np.isin(p, pairs(words)).mean()) if len(words) > 1 and len(p) else 0.0
+    p = np.unique(_pairs(template))
+    return float(np.isin(p, _pairs(words)).mean()) if len(words) > 1 and len(p) else 0.0
 
 
 def _covered(texts: list[str]) -> np.ndarray:
@@ -265,42 +276,89 @@ def _covered(texts: list[str]) -> np.ndarray:
     return np.array([max(_cover(w.hash[a:b], t) for t in known) >= COVER for a, b in zip(w.first[:-1], w.first[1:])], bool)
 
 
+def _joined(lines: tc.Block, doc: np.ndarray, w: tc.Words) -> tuple[tc.Words, np.ndarray]:
+    """The same words by paragraph: lines with words that follow one another in a document. Only paragraphs of several
+    lines keep theirs; with the line of each word."""
+    some = np.diff(w.first) > 0
+    n = len(some)
+    starts = some & ~(np.append(False, some[:-1]) & np.append(False, doc[1:] == doc[:-1])) if n else some
+    number = np.cumsum(starts) - 1
+    line = np.repeat(np.arange(n), np.diff(w.first))
+    own = number[line]
+    several = np.bincount(number[some], minlength=int(starts.sum())) > 1
+    keep = several[own] if len(own) else np.empty(0, bool)
+    own, line = own[keep], line[keep]
+    first = np.searchsorted(own, np.arange(int(starts.sum()) + 1))
+    return tc.Words(w.start[keep], w.end[keep], own, w.hash[keep], first), line
+
+
+def _judge(w: tc.Words, x: Windows, model: Classifier, least: float):
+    """Window, probability of a notice, family or unknown, cover, and the first and last word that the template has."""
+    if not len(x.first):
+        return
+    known, family = _templates()
+    step = 1 << 14  # windows at once
+    for lo in range(0, len(x.first), step):
+        part = Windows(x.first[lo : lo + step], x.end[lo : lo + step], x.para[lo : lo + step], x.slots)
+        p = _softmax(model.logits(*_distinct(*_entries(part))) / model.temperature)
+        for i in np.flatnonzero(1 - p[:, NONE] >= least).tolist():
+            k = int(p[i, :NONE].argmax())
+            a, b = int(part.first[i]), int(part.end[i])
+            words = w.hash[a:b]
+            mine = [t for t, f in zip(known, family) if f == k]
+            covers = [_cover(words, t) for t in mine]
+            best = int(np.argmax(covers)) if covers else -1
+            cover = covers[best] if covers else 0.0
+            if k != UNKNOWN and cover >= COVER:
+                at = np.flatnonzero(np.isin(_pairs(words), _pairs(mine[best])))
+                yield lo + i, float(1 - p[i, NONE]), FAMILIES[k], cover, a + int(at[0]), a + int(at[-1]) + 1
+            else:
+                yield lo + i, float(1 - p[i, NONE]), "unknown", cover, a, b - 1
+
+
 def scan(block: tc.Block, model: Classifier, least: float = LEAST) -> list[tuple[int, int, int, int, str, float, float]]:
-    """(document, paragraph, first byte, end, family, probability, template cover) of each licence paragraph."""
+    """(document, line, first byte, end, family, probability, template cover) of each notice, in whole lines.
+
+    A line has one notice at most, the known family before unknown and then the likelier one. Across lines a notice has
+    the lines between the first and the last word that its template has; it counts where no line of it has that family by
+    itself, and takes the place of what lines in it are unknown. Notices of one family that meet are one.
+    """
     lines, doc, number = paragraphs(block)
     w = tc.words(lines, keep=_KEEP)
+    best: dict[int, tuple[bool, float, str, float]] = {}
     x = windows(w)
-    if not len(x.first):
-        return []
-    p = _softmax(model.logits(*_entries(x)) / model.temperature)
-    hot = np.flatnonzero(1 - p[:, NONE] >= least / 10)
-    if not len(hot):
-        return []
-    again = Windows(x.first[hot], x.end[hot], x.para[hot], x.slots)
-    p = _softmax(model.logits(*_distinct(*_entries(again))) / model.temperature)
-    known, family = _templates()
-    best: dict[int, tuple[float, str, float]] = {}
-    for i, row in zip(hot.tolist(), p):
-        chance = float(1 - row[NONE])
-        if chance < least:
-            continue
-        k = int(row[:NONE].argmax())
-        words = w.hash[x.first[i] : x.end[i]]
-        cover = max((_cover(words, t) for t, f in zip(known, family) if f == k), default=0.0)
-        name = FAMILIES[k] if k != UNKNOWN and cover >= COVER else "unknown"
-        rank = (name != "unknown", chance)
-        now = best.get(int(x.para[i]))
-        if now is None or rank > (now[1] != "unknown", now[0]):
-            best[int(x.para[i])] = (chance, name, cover)
-    return [(int(doc[q]), int(number[q]), int(lines.at[q] - block.at[doc[q]]), int(lines.at[q + 1] - block.at[doc[q]]), name, chance, cover) for q, (chance, name, cover) in sorted(best.items())]
+    for i, chance, name, cover, _, _ in _judge(w, x, model, least):
+        q = int(x.para[i])
+        best[q] = max(best.get(q, (False, 0.0, "", 0.0)), (name != "unknown", chance, name, cover))
+    across: list[tuple[int, int, float, str, float]] = []
+    joined, line = _joined(lines, doc, w)
+    x = windows(joined)
+    for i, chance, name, cover, a, b in _judge(joined, x, model, least):
+        lo, hi = int(line[a]), int(line[b])
+        if hi > lo and (name != "unknown" or not any(q in best for q in range(lo, hi + 1))):
+            if not any(best.get(q, (False, 0.0, "", 0.0))[2] == name for q in range(lo, hi + 1)):
+                across.append((lo, hi, chance, name, cover))
+    covered = {q for lo, hi, _, name, _ in across if name != "unknown" for q in range(lo, hi + 1)}
+    found = [(q, q, chance, name, cover) for q, (known, chance, name, cover) in best.items() if known or q not in covered]
+    found += [f for f in across if f[3] != "unknown" or not covered & set(range(f[0], f[1] + 1))]
+    merged: list[list] = []
+    for lo, hi, chance, name, cover in sorted(found, key=lambda f: (f[3], f[0], f[1])):
+        last = merged[-1] if merged else None
+        if last and last[3] == name and doc[lo] == doc[last[0]] and lo <= last[1] and hi > lo:
+            merged[-1] = [last[0], max(hi, last[1]), max(chance, last[2]), name, max(cover, last[4])]
+        else:
+            merged.append([lo, hi, chance, name, cover])
+    return [(int(doc[lo]), int(number[lo]), int(lines.at[lo] - block.at[doc[lo]]), int(lines.at[hi + 1] - block.at[doc[lo]]), name, chance, cover) for lo, hi, chance, name, cover in sorted(merged)]
 
 
 def fit(docs: DataFrame) -> Classifier:
-    """Train on templates and on the paragraphs of at most SAMPLE_TEXTS documents, picked by a hash of their text."""
+    """Train on templates and on the paragraphs of at most SAMPLE_TEXTS different texts, picked by a hash of their
+    content; of a text beyond SAMPLE_BYTES its beginning. Nothing else is bounded: all texts are scanned whole."""
     ship(docs.sparkSession)
-    texts = docs.where(F.octet_length("text").between(1, 20_000)).select(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 40)).alias("h"), "text")
-    share = min(1 << 40, (2 * SAMPLE_TEXTS << 40) // max(1, texts.count()) + 1)
-    drawn = texts.where(F.col("h") < share).dropDuplicates(["text"]).limit(8 * SAMPLE_TEXTS).collect()  # some 2 * SAMPLE_TEXTS
+    texts = docs.where(F.octet_length("text") > 0).select(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 40)).alias("h"), F.when(F.octet_length("text") <= SAMPLE_BYTES, F.col("text")).otherwise(F.substring("text", 1, SAMPLE_BYTES // 4)).alias("text"))
+    different = texts.agg(F.approx_count_distinct("h", 0.02)).first()[0]  # copies share a hash
+    share = min(1 << 40, (2 * SAMPLE_TEXTS << 40) // max(1, different) + 1)
+    drawn = texts.where(F.col("h") < share).groupBy("h").agg(F.min("text").alias("text")).collect()  # some 2 * SAMPLE_TEXTS
     rows = sorted((r["h"], r["text"]) for r in drawn)[:SAMPLE_TEXTS]
     return train([p for _, text in rows for p in text.split("\n") if p.strip()])
 
@@ -309,11 +367,11 @@ _FOUND = "doc_id bigint, paragraph bigint, start bigint, end bigint, family stri
 
 
 def find_licenses(docs: DataFrame, model: Classifier, least: float = LEAST) -> DataFrame:
-    """A row for each paragraph with a licence notice: doc_id, paragraph (its number), start and end (bytes), family
-    (or unknown), probability of being a notice, and cover of the family's best template.
+    """A row for each licence notice: doc_id, paragraph (number of its first line), start and end (bytes, whole lines),
+    family (or unknown), probability of being a notice, and cover of the family's best template.
 
-    Null and empty texts have no paragraphs. Rows are independent: equal or null doc_ids give rows each; other
-    columns are not read.
+    Null and empty texts have no notices. Rows are independent: equal or null doc_ids give rows each; other
+    columns are not read. An empty table gives no rows.
     """
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)

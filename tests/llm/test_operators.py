@@ -147,6 +147,44 @@ def test_licences_are_found(spark, licences, odd, none):
     assert op1_licenses.fit(none).bias.shape == (len(op1_licenses.FAMILIES),)
 
 
+def wrapped(notice, width, mark):
+    out, line = [], ""
+    for w in notice.split():
+        if len(line) + len(w) > width:
+            out.append(line)
+            line = ""
+        line = f"{line} {w}".strip()
+    return "\n".join(f"{mark}{x}".rstrip() for x in [*out, line])
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// "])
+def test_wrapped_notices_of_every_family(licences, mark):
+    for family, notices in op1_licenses.TEMPLATES.items():
+        notice = max(notices, key=len)
+        text = f"{mark}file one of many\n{mark}\n" + wrapped(notice, 40, mark) + f"\n{mark}\n\nint main() {{ return 0; }}\n"
+        (block,) = tc.blocks(pa.array([text]))
+        found = op1_licenses.scan(block, licences)
+        assert family in [f[4] for f in found], (family, found)
+        f = next(f for f in found if f[4] == family)
+        assert text.encode()[f[2] : f[3]].decode().strip() in text and f[1] >= 2 and "main" not in text[f[2] : f[3]]
+
+
+def test_families_held_out(real):
+    """Notices of a licence that was not learned: mostly seen, and then as unknown or not at all, not as another family."""
+    paragraphs = [p for r in real.collect() for p in (r["text"] or "").split("\n") if p.strip()][:1500]
+    for family in ("mpl", "bsd"):
+        model = op1_licenses.train(paragraphs, without=(family,))
+        (block,) = tc.blocks(pa.array(list(op1_licenses.TEMPLATES[family])))
+        names = [f[4] for f in op1_licenses.scan(block, model)]
+        assert set(names) <= {"unknown"} and names
+
+
+def test_licence_columns(spark, tmp_path):
+    rows = ODD + [(20, "Hello.\nReleased under the MIT License.\n"), (21, "x\n\n" + wrapped(op1_licenses.TEMPLATES["bsd"][0], 40, "# "))]
+    got = sorted((r["doc_id"], r["paragraph"], r["start"], r["end"], r["family"]) for r in query_rows(spark, tmp_path, op1_licenses.query, rows))
+    assert got == [(20, 1, 7, 39, "mit"), (21, 2, 3, len(rows[-1][1]), "bsd")]
+
+
 def test_licence_lines_of_the_corpus(real, licences):
     lines = {"This work is licensed under the GNU General Public License, version 3.": "gpl", "Released under the MIT License.": "mit", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "Licensed under the Apache License, Version 2.0.": "apache"}
     want = {(r["doc_id"], i): lines[p] for r in real.collect() for i, p in enumerate(r["text"].split("\n")) if p in lines}
