@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textcore as tc
 from .session import durable, freeing, parts, scratch, ship
 from .tokens import encoded, vocabulary_path
 
@@ -150,11 +151,14 @@ class PlaneFile:
 
 
 def _tokens(path: str, end_id: int, bounds: list[int]):
-    """The texts' ids, and by ``bounds`` the range of doc_id that each belongs to; a null doc_id to the first."""
+    """The texts' ids, and by ``bounds`` the range of doc_id that each belongs to; a null doc_id is below all others.
+
+    A doc_id that is several bounds has so large a share of the rows: these are spread over the ranges between them."""
     schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
     edges = np.array(bounds, np.int64)
 
     def run(batches):
+        seen, salt = 0, TaskContext.get().partitionId() << 32  # a repeated task deals its rows out alike
         for ids, flat, sizes in encoded(batches, path, end_id):
             kind = np.uint32 if len(flat) and flat.max() > 65535 else np.uint16  # told apart by the first byte
             body, rows, at = flat.astype(kind), [], 0
@@ -162,24 +166,24 @@ def _tokens(path: str, end_id: int, bounds: list[int]):
             for n in sizes.tolist():
                 rows.append(mark + body[at : at + n].tobytes())
                 at += n
-            part = np.searchsorted(edges, ids.fill_null(_NULL_ID).to_numpy(), side="right").astype(np.int32)
+            d = ids.fill_null(_NULL_ID).to_numpy()
+            part, low = np.searchsorted(edges, d, side="right"), np.searchsorted(edges, d, side="left")
+            spread = tc.mix(np.arange(seen, seen + len(d), dtype=np.uint64) + np.uint64(salt)) % (part - low + 1).astype(np.uint64)
+            part = np.where(part - low > 1, low + spread.astype(np.int64), part).astype(np.int32)
+            seen += len(d)
             yield pa.RecordBatch.from_arrays([pa.array(part), ids, pa.array(rows, pa.binary())], schema=schema)
 
     return run
 
 
-def _filesystem(folder: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder)
-
-
 def _write(folder: str, unit: int, plane_count: int):
     """Writes the sorted rows of a partition; files appear under their names only when whole."""
     schema = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("file", pa.string()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("bytes", pa.int64())])
 
     def run(batches):
-        system, root = _filesystem(folder)
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
         context = TaskContext.get()
         part, number, writer, stream = -1, 0, None, None
 
@@ -189,7 +193,10 @@ def _write(folder: str, unit: int, plane_count: int):
             size = stream.tell()
             stream.close()
             name = f"part-{part:06d}-{number:04d}.planes"
-            system.move(temporary, f"{root}/{name}")
+            if system.get_file_info(f"{root}/{name}").type == fs.FileType.NotFound:
+                system.move(temporary, f"{root}/{name}")
+            else:  # an earlier attempt wrote the same bytes
+                system.delete_file(temporary)
             row = pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((part, number, name, writer.total, len(writer.docs), size), schema)], schema=schema)
             writer, number = None, number + 1
             return row
@@ -218,10 +225,10 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int, unit: int = 1, fold
     """Encode every text, add ``end_id``, and write files of planes in ascending doc_id order.
 
     Returns file, n_ids, n_docs, bytes and start (ids in all files before it), one row a file. Null and
-    empty texts are just the end id. Rows with a null doc_id come first; rows with equal doc_id in the
-    order of their ids. An empty table gives no files. Ranges of doc_id come from its own quantiles; texts are
-    encoded where they are read, and only ids are shuffled, once. A document never crosses files. A task that is repeated writes the same bytes
-    under the same names.
+    empty texts are just the end id. Rows with a null doc_id come first; rows with equal doc_id in any order. An
+    empty table gives no files. Ranges of doc_id come from its own quantiles, and a doc_id that has a large share of
+    the rows has several; texts are encoded where they are read, and only ids are shuffled, once. A document never
+    crosses files. A task that is repeated writes the same bytes under the same names.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -230,8 +237,9 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int, unit: int = 1, fold
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = parts(spark)
     shares = F.array(*(F.lit(k / n) for k in range(1, n)))
-    bounds = docs.agg(F.percentile_approx("doc_id", shares, 10_000).alias("b")).first()["b"] if n > 1 else []
-    rows = docs.mapInArrow(freeing(_tokens(vocabulary, end_id, sorted(set(bounds or [])))), "part int, doc_id bigint, ids binary")
+    known = F.coalesce("doc_id", F.lit(_NULL_ID))
+    bounds = docs.agg(F.percentile_approx(known, shares, 10_000).alias("b")).first()["b"] if n > 1 else []
+    rows = docs.mapInArrow(freeing(_tokens(vocabulary, end_id, sorted(bounds or []))), "part int, doc_id bigint, ids binary")
     from .tokens import encoder
 
     wide = encoder(vocabulary).wide or end_id > 65535
@@ -266,7 +274,8 @@ def _read(batches):
 
 
 def read_digests(files: DataFrame) -> DataFrame:
-    """From the files: doc_id, start, n_tokens and the crc32 of the ids of every document."""
+    """From the files (file and start): doc_id, start, n_tokens and the crc32 of the ids of every document, a row each,
+    null and equal doc_ids included. Documents of just an end id have one token. No files give no rows."""
     n = max(1, files.count())
     return files.select("file", "start").repartition(n).mapInArrow(freeing(_read), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
