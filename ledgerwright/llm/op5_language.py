@@ -24,10 +24,11 @@ from .session import freeing, ship
 TABLE = 1 << 18
 AFFIX = 3
 PIECE = 128
+#: Pairs of words whose expected transitions are summed at once.
+_EXPECT = 1 << 16
 #: The model is fitted on at most this many texts of each language, of at most SAMPLE_BYTES bytes each.
 SAMPLE_TEXTS = 300
 SAMPLE_BYTES = 8192
-MOST_LANGUAGES = 64
 UNKNOWN = "und"
 _U = np.uint64
 
@@ -71,14 +72,14 @@ def _unit(a: np.ndarray) -> np.ndarray:
     return a / np.maximum(a.sum(axis=-1, keepdims=True), 1e-30)
 
 
-def marginals(e: np.ndarray, first: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginal of each word's label and the expected transitions, of chains first[i]:first[i+1] of e.
+def marginals(e: np.ndarray, first: np.ndarray, start: np.ndarray, trans: np.ndarray, expect: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Marginal of each word's label and, if wanted, the expected transitions, of chains first[i]:first[i+1] of e.
 
     start and trans are log-weights. Empty chains are allowed.
     """
     n, labels = e.shape
     if not n:
-        return e.astype(np.float64), np.zeros((labels, labels))
+        return e.astype(np.float64), np.zeros((labels, labels)) if expect else None
     b = np.exp(e - e.max(axis=1, keepdims=True)).astype(np.float64)
     t = np.exp(trans - trans.max())
     size = np.diff(first)
@@ -131,11 +132,16 @@ def marginals(e: np.ndarray, first: np.ndarray, start: np.ndarray, trans: np.nda
         x = live[k + 1]
         at = lo[:x] + k
         beta[at] = _unit((b[at + 1] * beta[at + 1]) @ t.T)
+    if not expect:
+        return _unit(alpha * beta), None
     inner = np.ones(n, bool)
     inner[first[:-1][size > 0]] = False
-    i = np.flatnonzero(inner)
-    pair = alpha[i - 1][:, :, None] * t[None] * (b[i] * beta[i])[:, None, :] if len(i) < 200_000 else None
-    expected = (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0) if pair is not None else np.zeros((labels, labels))
+    expected = np.zeros((labels, labels))
+    inside = np.flatnonzero(inner)
+    for lo in range(0, len(inside), _EXPECT):
+        i = inside[lo : lo + _EXPECT]
+        pair = alpha[i - 1][:, :, None] * t[None] * (b[i] * beta[i])[:, None, :]
+        expected += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
     return _unit(alpha * beta), expected
 
 
@@ -206,7 +212,7 @@ def train(samples: list[tuple[str, str]], seed: int = 1, epochs: int = 4, rate:
         for own, triples, first, chain, label in (prepared[i] for i in rng.permutation(len(prepared))):
             if not len(label):
                 continue
-            p, expected = marginals(emissions(weights, own, triples, first), chain, start, trans)
+            p, expected = marginals(emissions(weights, own, triples, first), chain, start, trans, expect=True)
             wrong = p.copy()
             wrong[np.arange(len(label)), label] -= 1
             inner = np.ones(len(label), bool)
@@ -235,8 +241,8 @@ def fit(docs: DataFrame, use=None) -> Tagger:
 
     The sample takes SAMPLE_TEXTS different texts of each language, or all it has, picked by a hash of their
     content; its size does not depend on the corpus. Texts of at most SAMPLE_BYTES bytes are taken whole and first,
-    longer ones as their first SAMPLE_BYTES / 4 characters and only where a language has too few others. At most
-    MOST_LANGUAGES languages are learned, more are an error. Without any, every text is unknown.
+    longer ones as their first SAMPLE_BYTES / 4 characters and only where a language has too few others. Every
+    language there is gets learned; memory is in proportion to their number. Without any, every text is unknown.
     """
     ship(docs.sparkSession)
     fit_rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -245,18 +251,13 @@ def fit(docs: DataFrame, use=None) -> Tagger:
     draw = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20))
     # copies share a hash, so numbers of different hashes count texts without them
     keyed = fit_rows.select("lang", (~fits).cast("int").alias("long"), F.xxhash64("text", F.lit(17)).alias("h"))
-    counts = keyed.groupBy("lang", "long").agg(F.approx_count_distinct("h", 0.02).alias("n")).orderBy("lang", "long").limit(2 * MOST_LANGUAGES + 2).collect()
-    languages = sorted({r["lang"] for r in counts})
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = keyed.groupBy("lang", "long").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()
     if not counts:
         return train([])
-    share = F.lit(0)
-    for r in counts:
-        part = min(1 << 20, (2 * SAMPLE_TEXTS << 20) // r["n"] + 1)
-        share = F.when((F.col("lang") == r["lang"]) & (F.col("long") == r["long"]), F.lit(part)).otherwise(share)
+    # joined as a table of two rows a language
+    shares = docs.sparkSession.createDataFrame([(r["lang"], r["long"], min(1 << 20, (2 * SAMPLE_TEXTS << 20) // r["n"] + 1)) for r in counts], "lang string, long int, share bigint")
     text = F.when(fits, F.col("text")).otherwise(F.substring("text", 1, SAMPLE_BYTES // 4))
-    drawn = fit_rows.select("lang", (~fits).cast("int").alias("long"), draw.alias("draw"), text.alias("text")).where(F.col("draw") < share)
+    drawn = fit_rows.select("lang", (~fits).cast("int").alias("long"), draw.alias("draw"), text.alias("text")).join(F.broadcast(shares), ["lang", "long"]).where(F.col("draw") < F.col("share"))
     rows = sorted((r["lang"], r["long"], r["draw"], r["text"]) for r in drawn.groupBy("lang", "long", "text").agg(F.min("draw").alias("draw")).collect())
     taken: dict[str, int] = {}
     samples = []
@@ -291,7 +292,8 @@ RUNS = "array<struct<start:bigint,end:bigint,lang:string>>"
 
 
 def label_words(docs: DataFrame, tagger: Tagger) -> DataFrame:
-    """doc_id and runs: maximal runs of words with one language as byte spans, in order; empty without words."""
+    """doc_id and runs: maximal runs of words with one language as byte spans, in order; a row each, whatever its doc_id.
+    Null and empty texts, and those without words, have no runs. Other columns are not read."""
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(tagger)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
@@ -316,6 +318,6 @@ def label_words(docs: DataFrame, tagger: Tagger) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: languages of all documents, learned from two of three classes of doc_id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    third = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
+    third = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(3))  # a null doc_id is learned from
     done = predict(docs, fit(docs, use=third != 1))
     return done.select("doc_id", (third == 1).alias("held_out"), "lang_pred", "score")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import io
+import itertools
 import math
 import os
 import random
@@ -435,6 +436,48 @@ def test_cut_chains_give_the_same_marginals():
             assert np.allclose(got[a:b], p / p.sum(axis=1, keepdims=True), atol=1e-8)
 
 
+def test_expected_transitions_by_plain_sums(monkeypatch):
+    r = np.random.default_rng(2)
+    e, start, trans = r.normal(size=(9, 3)), r.normal(size=3), r.normal(size=(3, 3))
+    first = np.array([0, 4, 4, 5, 9])
+    want = np.zeros((3, 3))
+    for a, b in zip(first[:-1], first[1:]):  # every labelling of every chain
+        paths = list(itertools.product(range(3), repeat=int(b - a))) if b > a else []
+        weight = [math.exp(start[p[0]] + sum(e[a + i, k] for i, k in enumerate(p)) + sum(trans[x, y] for x, y in zip(p, p[1:]))) for p in paths]
+        for p, w in zip(paths, weight):
+            for x, y in zip(p, p[1:]):
+                want[x, y] += w / sum(weight)
+    for at_once in (1 << 16, 2):
+        monkeypatch.setattr(op5_language, "_EXPECT", at_once)
+        assert np.allclose(op5_language.marginals(e, first, start, trans, expect=True)[1], want)
+
+
+def test_rare_and_many_languages(spark):
+    """A language of copies beside others, and one of long texts alone, are learned as the rest are."""
+    words = {g: [f"{g}{x}" for x in ("ano", "beri", "cuto", "delma", "efiro", "gul")] for g in ("aa", "bb", "zz")}
+    r = random.Random(17)
+    text = lambda g, n: " ".join(r.choice(words[g]) for _ in range(n))
+    rows = [(text("aa", 20), "aa") for _ in range(300)] + [(t, "zz") for t in [text("zz", 20) for _ in range(4)] for _ in range(2000)] + [(text("bb", 4000), "bb") for _ in range(5)]
+    tagger = op5_language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert tagger.languages == ["aa", "bb", "zz"]
+    got = {x["doc_id"]: x["lang_pred"] for x in op5_language.predict(table(spark, [(i, text(g, 15)) for i, g in enumerate(words)]), tagger).collect()}
+    assert [got[i] for i in range(3)] == list(words)
+
+
+def test_language_columns(spark, tmp_path):
+    r = random.Random(18)
+    words = {"de": ["haus", "und", "strasse", "nicht"], "en": ["house", "and", "street", "not"]}
+    rows = [(i, " ".join(r.choice(words[g]) for _ in range(12)), g) for i in range(120) for g in [("de", "en")[i % 2]]]
+    rows += [(None, "house and street", None), (500, "12 !", None), (501, None, "en"), (502, "", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op5_language.query(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        if x["doc_id"] is not None:
+            assert x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 3 == 1)
+            assert x["lang_pred"] == ("und" if x["doc_id"] >= 500 else ("de", "en")[x["doc_id"] % 2]) and 0 <= x["score"] <= 1
+
+
 def test_languages(spark, real, odd, none):
     tagger = op5_language.fit(real, use=F.col("doc_id") % 2 == 0)
     rows = real.join(op5_language.predict(real, tagger), "doc_id").where("doc_id % 2 = 1").select("lang", "lang_pred", "score").collect()
@@ -928,6 +971,34 @@ def test_ids_written_and_read(spark, odd, none):
     assert op10_planes.write_ids(none, path, 2).isEmpty() and op10_planes.read_digests(op10_planes.write_ids(none, path, 2)).isEmpty()
 
 
+def test_one_doc_id_spreads_over_files(spark, tmp_path):
+    rows = [(i, f"word{i}") for i in range(40)] + [(7, f"more{i} of it") for i in range(300)] + [(None, f"none{i}") for i in range(300)]
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        files = op10_planes.write_ids(table(spark, rows).repartition(4), vocabulary_path("word_bpe_49k.json"), 2, folder=str(tmp_path / "f"))
+        sizes = [f["n_docs"] for f in files.collect()]
+        got = sorted(op10_planes.read_digests(files).collect(), key=lambda x: x["start"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert max(sizes) < 200 and sum(sizes) == len(rows) == len(got)
+    order = [-1 if x["doc_id"] is None else x["doc_id"] for x in got]
+    assert order == sorted(order) and [x["start"] for x in got] == np.cumsum([0] + [x["n_tokens"] for x in got])[:-1].tolist()
+
+
+def test_packed_columns(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
+    rows = [(i, t) for i, (_, t) in enumerate(ODD)]
+    want = {d: whole.encode(t or "", add_special_tokens=False).ids + [1] for d, t in rows}
+    seen = collections.Counter()
+    for r in query_rows(spark, tmp_path, op4_packing.query, rows):
+        piece = want[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["doc_tokens"] == len(want[r["doc_id"]]) and len(piece) == r["length"] and r["ids_crc32"] == zlib.crc32(np.array(piece, "<u4").tobytes())
+        seen.update((r["doc_id"], k) for k in range(r["start"], r["start"] + r["length"]))
+    assert seen == {(d, k): 1 for d, x in want.items() for k in range(len(x))}
+
+
 # registered queries and the pipeline
 
 
