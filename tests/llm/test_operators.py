@@ -1011,6 +1011,21 @@ def test_queries_run(spark, real):
         assert QUERIES[name](spark, REAL).count() == n, name
 
 
+@pytest.mark.parametrize("name", ["op3_remove_repeats", "op9_near_duplicates"])
+def test_queries_equal_their_sql(spark, real, name):
+    import duckdb
+
+    from ledgerwright.llm.queries import ORACLES, QUERIES
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{REAL}/documents.parquet'")
+    mine = QUERIES[name](spark, REAL)
+    theirs = db.execute(ORACLES[name])
+    header = [c[0] for c in theirs.description]
+    assert sorted(header) == sorted(mine.columns)
+    assert sorted(tuple(r[c] for c in header) for r in mine.collect()) == sorted(theirs.fetchall())
+
+
 def test_pipeline_by_brute_force(spark, real):
     """Each stage against what its operator, or a plain version of it, says of the stage's own input."""
     import corpus_pipeline
