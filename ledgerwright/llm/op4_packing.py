@@ -17,11 +17,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import freeing, ship
-from .tokens import encoded, vocabulary_path
+from .tokens import encoded, encoder, vocabulary_path
 
 #: Tokens packed together: a task's texts are packed in windows of about this many.
 WINDOW_TOKENS = 1 << 21
@@ -256,12 +256,53 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     Returns example_id, sequence_id, offset, tokens and loss_tokens. Examples without tokens have no
     place; null counts are 0; one beyond a limit is an error, as cutting it would part a prompt from its answer.
+    Equal and null example_ids are examples of their own. Other columns are not read; an empty table gives no rows.
     """
     ship(examples.sparkSession)
     columns = [F.col(c).cast("bigint").alias(c) for c in ("example_id", "tokens", "loss_tokens")]
     return examples.select(*columns).mapInArrow(freeing(_pack_examples(limits)), "example_id bigint, sequence_id bigint, offset bigint, tokens bigint, loss_tokens bigint")
 
 
+def _turn_tokens(path: str):
+    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("n", pa.int64())])
+
+    def run(batches):
+        e = encoder(path)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 400):
+                part = batch.slice(lo, 400)
+                sizes = e.encode([t or "" for t in part.column("text").to_pylist()])[1]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("conv_id", "turn", "role")), pa.array(sizes + 1)], schema=schema)
+
+    return run
+
+
+def conversation_examples(conversations: DataFrame, vocabulary: str, limits: Limits = Limits(), learned: str = "assistant") -> DataFrame:
+    """Instruction examples of conversations (conv_id, turn, role, text): example_id, conv_id, tokens and loss_tokens.
+
+    A turn has its text's tokens and an end id; turns of the role ``learned`` bear loss, all their tokens. A conversation
+    is one example where half the limits on tokens and loss hold it, and else several of consecutive turns, of which
+    each is within the limits; a turn longer than half a limit is cut. Nothing is left out: null and empty texts are an end id, a null role
+    bears no loss, turns of equal number follow one another, and turns with a null conv_id are one conversation. Other
+    columns are not read. A conversation's turns are put in order by one sort, which spills.
+    """
+    ship(conversations.sparkSession)
+    columns = [F.col(c).cast(t).alias(c) for c, t in (("conv_id", "bigint"), ("turn", "bigint"), ("role", "string"), ("text", "string"))]
+    turns = conversations.select(*columns).mapInArrow(freeing(_turn_tokens(vocabulary)), "conv_id bigint, turn bigint, role string, n bigint")
+    bears = F.coalesce(F.col("role") == learned, F.lit(False))
+    half_tokens, half_loss = max(1, limits.tokens // 2), max(1, limits.loss // 2)
+    most = F.when(bears, F.lit(min(half_tokens, half_loss))).otherwise(F.lit(half_tokens))
+    cut = turns.select("conv_id", "turn", "role", "n", most.alias("most"), F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / most))).alias("k"))
+    size = F.least(F.col("most"), F.col("n") - F.col("k") * F.col("most"))
+    parts = cut.select("conv_id", "turn", "role", "n", "k", size.alias("tokens"), F.when(bears, size).otherwise(F.lit(0)).alias("loss_tokens"))
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "n", "k").rowsBetween(Window.unboundedPreceding, -1)
+    # what begins in one half of a limit ends within the limit
+    at = lambda c, half: F.floor(F.coalesce(F.sum(c).over(before), F.lit(0)) / half)
+    placed = parts.select("conv_id", "tokens", "loss_tokens", at("tokens", half_tokens).alias("p"), at("loss_tokens", half_loss).alias("q"))
+    whole = placed.groupBy("conv_id", "p", "q").agg(F.sum("tokens").alias("tokens"), F.sum("loss_tokens").alias("loss_tokens"))
+    return whole.select(F.xxhash64("conv_id", "p", "q").alias("example_id"), "conv_id", "tokens", "loss_tokens")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: the documents as byte-level ids in sequences of at most 2048."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

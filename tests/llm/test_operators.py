@@ -412,6 +412,44 @@ def test_packed_documents(spark, odd, none):
     assert {r["example_id"] for r in op4_packing.pack_examples(examples, op4_packing.Limits(128, 2, 64)).collect()} == {1, 2, 4}
 
 
+def test_conversations_under_three_limits(spark):
+    """Instruction data, where each of the limits closes some sequences."""
+    if not os.path.isdir(REAL):
+        pytest.skip("no tables")
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
+    limits = op4_packing.Limits(2048, 4, 700)
+    turns = spark.read.parquet(f"{REAL}/conversations.parquet")
+    odd = spark.createDataFrame([(None, 1, "assistant", None), (-1, 0, None, LONG * 80), (-1, 1, "assistant", LONG * 60), (-1, 1, "assistant", "")], "conv_id long, turn long, role string, text string")
+    turns = turns.select("conv_id", "turn", "role", "text").unionByName(odd)
+    examples = op4_packing.conversation_examples(turns, vocabulary_path("byte_bpe_50k.json"), limits).persist()
+    rows = examples.collect()
+    assert len({r["example_id"] for r in rows}) == len(rows) and all(0 < r["tokens"] <= 2048 and r["loss_tokens"] <= min(700, r["tokens"]) for r in rows)
+    want, loss = collections.Counter(), collections.Counter()
+    for r in turns.collect():
+        n = len(whole.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+        want[r["conv_id"]] += n
+        loss[r["conv_id"]] += n * (r["role"] == "assistant")
+    for got, column in ((want, "tokens"), (loss, "loss_tokens")):
+        assert got == collections.Counter({c: sum(r[column] for r in rows if r["conv_id"] == c) for c in got})
+    sequences = collections.defaultdict(list)
+    for r in op4_packing.pack_examples(examples.coalesce(1), limits).collect():
+        sequences[r["sequence_id"]].append(r)
+    assert sum(map(len, sequences.values())) == len(rows)
+    totals = [(sum(r["tokens"] for r in s), len(s), sum(r["loss_tokens"] for r in s)) for s in sequences.values()]
+    assert all(a <= 2048 and b <= 4 and c <= 700 for a, b, c in totals)
+    # no more sequences than examples in their order take, and not far from what the scarcest limit asks for
+    order, room = 0, (0, 0, 0)
+    for r in rows:
+        if not order or r["tokens"] > room[0] or room[1] < 1 or r["loss_tokens"] > room[2]:
+            order, room = order + 1, (2048, 4, 700)
+        room = (room[0] - r["tokens"], room[1] - 1, room[2] - r["loss_tokens"])
+    bound = max(sum(r["tokens"] for r in rows) / 2048, len(rows) / 4, sum(r["loss_tokens"] for r in rows) / 700)
+    assert len(totals) < order and len(totals) <= 1.35 * bound + 1
+    assert op4_packing.conversation_examples(turns.limit(0), vocabulary_path("byte_bpe_50k.json")).isEmpty()
+
+
 # 5 language
 
 
