@@ -239,7 +239,7 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int, unit: int = 1, fold
     shares = F.array(*(F.lit(k / n) for k in range(1, n)))
     known = F.coalesce("doc_id", F.lit(_NULL_ID))
     bounds = docs.agg(F.percentile_approx(known, shares, 10_000).alias("b")).first()["b"] if n > 1 else []
-    rows = docs.mapInArrow(freeing(_tokens(vocabulary, end_id, sorted(bounds or []))), "part int, doc_id bigint, ids binary")
+    rows = docs.mapInArrow(freeing(_tokens(vocabulary, end_id, sorted(bounds or [])), encodes=True), "part int, doc_id bigint, ids binary")
     from .tokens import encoder
 
     wide = encoder(vocabulary).wide or end_id > 65535

@@ -29,7 +29,9 @@ LEAST_SCORE = 0.5
 #: Text of a block of items in bytes; what executors hold is in proportion.
 ITEM_BLOCK = 16 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
-_CELLS = 1 << 22
+_CELLS = 1 << 20
+#: Bytes of text at once; its words and pairs take some 50 times this.
+_BLOCK = 1 << 20
 #: Seeds of items found in a block of text, looked at together; of more, items are taken in turn.
 _FOUND_SEEDS = 1 << 21
 
@@ -252,7 +254,7 @@ def _frequencies(held):
         grams = held.value
         count = np.zeros(len(grams), np.int64)
         for batch in batches:
-            for b in tc.blocks(batch.column("text")):
+            for b in tc.blocks(batch.column("text"), _BLOCK):
                 w = tc.words(b, keep=_KEEP)
                 g, start = _grams(w)
                 if not len(g) or not len(grams):
@@ -278,7 +280,7 @@ def _find(held):
         seeds = held.value
         for batch in batches:
             ids = batch.column("doc_id")
-            for b in tc.blocks(batch.column("text")):
+            for b in tc.blocks(batch.column("text"), _BLOCK):
                 rows = matches(b, seeds)
                 if rows:
                     d, i, *rest = zip(*rows)

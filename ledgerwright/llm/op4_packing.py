@@ -24,7 +24,7 @@ from .session import freeing, ship
 from .tokens import encoded, encoder, vocabulary_path
 
 #: Tokens packed together: a task's texts are packed in windows of about this many.
-WINDOW_TOKENS = 1 << 21
+WINDOW_TOKENS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -217,7 +217,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, limits: Limits
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(freeing(_packer(vocabulary, end_id, limits)), PACKED)
+    return docs.mapInArrow(freeing(_packer(vocabulary, end_id, limits), encodes=True), PACKED)
 
 
 def _pack_examples(limits: Limits):
@@ -288,7 +288,7 @@ def conversation_examples(conversations: DataFrame, vocabulary: str, limits: Lim
     """
     ship(conversations.sparkSession)
     columns = [F.col(c).cast(t).alias(c) for c, t in (("conv_id", "bigint"), ("turn", "bigint"), ("role", "string"), ("text", "string"))]
-    turns = conversations.select(*columns).mapInArrow(freeing(_turn_tokens(vocabulary)), "conv_id bigint, turn bigint, role string, n bigint")
+    turns = conversations.select(*columns).mapInArrow(freeing(_turn_tokens(vocabulary), encodes=True), "conv_id bigint, turn bigint, role string, n bigint")
     bears = F.coalesce(F.col("role") == learned, F.lit(False))
     half_tokens, half_loss = max(1, limits.tokens // 2), max(1, limits.loss // 2)
     most = F.when(bears, F.lit(min(half_tokens, half_loss))).otherwise(F.lit(half_tokens))

@@ -7,6 +7,7 @@ import ctypes
 import os
 import re
 import shutil
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -104,10 +105,14 @@ def release() -> None:
         trim(0)
 
 
-def freeing(f: Callable) -> Callable:
-    """A function for mapInArrow that gives free memory back when its task ends."""
+def freeing(f: Callable, encodes: bool = False) -> Callable:
+    """A function for mapInArrow that gives free memory back when its task ends, and before it begins what encoders of an
+    earlier stage remember, unless it ``encodes`` itself."""
 
     def run(batches):
+        if not encodes and f"{__package__}.tokens" in sys.modules:
+            sys.modules[f"{__package__}.tokens"].forget()
+            release()
         yield from f(batches)
         release()
 

@@ -23,7 +23,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _TAIL = ".,!?;:*#&%$|()[]{}\"/=+<>~^_@-"
 #: Bytes of words, of letters at a line's begin, and of other pieces that a worker remembers, Python's own included,
 #: twice: what was not met again since the last time they were full is forgotten. Longer pieces are worked out each time.
-_MOST_WORDS, _MOST_PIECES = 80 << 20, 4 << 20
+_MOST_WORDS, _MOST_PIECES = 56 << 20, 4 << 20
 _LONGEST = 64
 
 
@@ -179,6 +179,11 @@ def _latin(text: str) -> bool:
 _held: dict[str, Encoder] = {}
 
 
+def forget() -> None:
+    """Leave all encoders, with what they remember, to a worker's next task that needs one."""
+    _held.clear()
+
+
 def encoder(path: str) -> Encoder:
     """One encoder for each vocabulary and worker process."""
     if path not in _held:
