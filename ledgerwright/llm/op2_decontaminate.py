@@ -45,6 +45,17 @@ def _grams(w: tc.Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([one, two]), np.concatenate([at, pair_at])
 
 
+def _found(table: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which grams are in a sorted table, and where it has each first. A bit a table entry, by the first bits of hashes,
+    spares the search for most."""
+    bits = np.zeros(1 << 20, bool)
+    bits[table >> np.uint64(44)] = True
+    some = np.flatnonzero(bits[gram >> np.uint64(44)])
+    at = np.searchsorted(table, gram[some])
+    hit = table[np.minimum(at, len(table) - 1)] == gram[some]
+    return some[hit], at[hit]
+
+
 @dataclass
 class Items:
     """A block of test items: ids, word hashes one item after another, the share of the best score that counts, all
@@ -142,14 +153,24 @@ def align(texts: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray,
 
 
 class _Text:
-    """Words of a block, with its words and pairs of neighbours by hash and place."""
+    """Words of a block and its pairs of neighbours."""
 
     def __init__(self, block: tc.Block):
         self.w = tc.words(block, keep=_KEEP)
         self.gram, self.start = _grams(self.w)
-        order = np.lexsort((self.start, self.gram))
-        self.kinds, self.number = np.unique(self.gram, return_inverse=True)
-        self.places = self.number[order] * (len(self.w.hash) + 1) + self.start[order]
+
+
+class _Places:
+    """Words and pairs of some documents of a block by hash and place."""
+
+    def __init__(self, text: _Text, docs: np.ndarray):
+        self.w = text.w
+        some = np.zeros(len(self.w.first) - 1, bool)
+        some[docs] = True
+        pick = some[self.w.doc[text.start]]
+        gram, start = text.gram[pick], text.start[pick]
+        self.kinds, number = np.unique(gram, return_inverse=True)
+        self.places = np.sort(number * (len(self.w.hash) + 1) + start)
 
     def has(self, gram: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether each word or pair begins among the words a to b, and ends there."""
@@ -162,30 +183,28 @@ class _Text:
 def _windows(text: _Text, seeds: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Item, first and end word of every window with enough seeds and enough of all the item's words and pairs."""
     none = (np.empty(0, np.int64),) * 3
-    w = text.w
     if not len(text.gram) or not len(seeds.gram):
         return none
-    lo = np.searchsorted(seeds.gram, text.gram)
-    hit = np.flatnonzero(seeds.gram[np.minimum(lo, len(seeds.gram) - 1)] == text.gram)
+    hit, lo = _found(seeds.gram, text.gram)
     if not len(hit):
         return none
-    count = np.searchsorted(seeds.gram, text.gram[hit], side="right") - lo[hit]
+    count = np.searchsorted(seeds.gram, text.gram[hit], side="right") - lo
     total, n_items = int(count.sum()), len(seeds.ids)
     if total > _FOUND_SEEDS and n_items > 1:  # a phrase of many items, or many items in many texts
         cuts = np.unique(np.linspace(0, n_items, min(n_items, -(-total // _FOUND_SEEDS) + 1) + 1).astype(int)).tolist()
-        return tuple(map(np.concatenate, zip(*(_of_items(text, seeds.some(x, y)) for x, y in zip(cuts[:-1], cuts[1:])))))
-    return _of_items(text, seeds)
+        return tuple(map(np.concatenate, zip(*(_of_items(text, seeds.some(x, y), hit) for x, y in zip(cuts[:-1], cuts[1:])))))
+    return _of_items(text, seeds, hit)
 
 
-def _of_items(text: _Text, seeds: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _of_items(text: _Text, seeds: Items, among: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     w, none = text.w, (np.empty(0, np.int64),) * 3
     if not len(seeds.gram):
         return none
-    lo = np.searchsorted(seeds.gram, text.gram)
-    hit = np.flatnonzero(seeds.gram[np.minimum(lo, len(seeds.gram) - 1)] == text.gram)
-    count = np.searchsorted(seeds.gram, text.gram[hit], side="right") - lo[hit]
+    hit, lo = _found(seeds.gram, text.gram[among])
+    hit = among[hit]
+    count = np.searchsorted(seeds.gram, text.gram[hit], side="right") - lo
     which = np.repeat(hit, count)
-    s = np.repeat(lo[hit] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    s = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
     word, item = text.start[which], seeds.item[s]
     doc = w.doc[word]
     length = np.diff(seeds.first)[item]
@@ -205,6 +224,9 @@ def _of_items(text: _Text, seeds: Items) -> tuple[np.ndarray, np.ndarray, np.nda
     enough = distinct >= seeds.hits[item[begin]]
     begin, b = begin[enough], b[enough]
     item, a = item[begin], a[begin]
+    if not len(item):
+        return none
+    places = _Places(text, doc[begin])
     # pairs and words of the item in the window, whatever their order
     keep = np.zeros(len(item), bool)
     own_first = 2 * seeds.first - np.arange(len(seeds.first)) + np.append(0, np.cumsum(np.diff(seeds.first) == 0))  # 2L - 1 an item, none where L is 0
@@ -215,7 +237,7 @@ def _of_items(text: _Text, seeds: Items) -> tuple[np.ndarray, np.ndarray, np.nda
             n = size[x:y]
             own = np.repeat(np.arange(x, y), n)
             g = seeds.all[np.repeat(own_first[item[x:y]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-            has = text.has(g, a[own], b[own])
+            has = places.has(g, a[own], b[own])
             keep[x:y] = np.bincount(own - x, has, y - x) >= seeds.shared[item[x:y]]
     return item[keep], a[keep], b[keep]
 
@@ -259,9 +281,8 @@ def _frequencies(held):
                 g, start = _grams(w)
                 if not len(g) or not len(grams):
                     continue
-                at = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
-                hit = grams[at] == g
-                pair = np.unique(w.doc[start[hit]] * len(grams) + at[hit])
+                hit, at = _found(grams, g)
+                pair = np.unique(w.doc[start[hit]] * len(grams) + at)
                 count += np.bincount(pair % len(grams), minlength=len(grams))
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(grams[some].view(np.int64)), pa.array(count[some])], schema=schema)
