@@ -21,6 +21,8 @@ are cut into their strings and dealt to as many shards as their number asks for,
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .session import release, ship
+from .session import durable, release, ship
 from .suffix import DIVERSE, repeat_intervals, suffix_array
 
 SEED = 20
@@ -431,6 +433,197 @@ def remove_repeats(docs: DataFrame, least: int = 50, seed: int = SEED, anchor_st
     return docs.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_cogrouped_plain(_removed, least=least, seed=seed), _RESULT)
 
 
+# Repeat groups: maximal repeats of any length, with all occurrences.
+#
+# A maximal repeat begins with a string of ``least`` bytes that occurs twice and has different bytes before it, and all
+# strings within it occur twice. So blocks send their strings' hashes with the bytes before them; shards of hashes answer
+# which occur twice and which are left-diverse; blocks send the text from each left-diverse string to where strings
+# that occur twice end, once for each different text; shards of first strings sort these, scan their common prefixes with a
+# stack, and answer with the left-diverse intervals, whose occurrences the blocks list. What is sent is repeated text alone.
+
+_SEEN = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("left", pa.binary()), ("twice", pa.binary())])
+_TWICE = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("diverse", pa.binary())])
+_CONTEXT = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("first", pa.int64()), ("key", pa.int64()), ("left", pa.int16()), ("twice", pa.bool_()), ("bytes", pa.binary())])
+_MEMBER = pa.schema([("block", pa.int64()), ("key", pa.binary()), ("group", pa.binary()), ("length", pa.binary())])
+_OCCURRENCE = pa.schema([("group", pa.int64()), ("length", pa.int64()), ("doc_id", pa.int64()), ("offset", pa.int64())])
+
+
+def _before(block: tc.Block, start: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The byte before each place, DIVERSE at a document's begin."""
+    return np.where(start > block.at[:-1][doc], block.data[np.maximum(start - 1, 0)].astype(np.int16), np.int16(DIVERSE))
+
+
+def _by_key(key: np.ndarray, left: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once: the byte before it, or DIVERSE if there are several, and whether it is there twice."""
+    order = np.argsort(key, kind="stable")
+    key, left, twice = key[order], left[order], twice[order]
+    first = _runs(key)
+    if not len(first):
+        return key, left, twice
+    low, high = np.minimum.reduceat(left, first), np.maximum.reduceat(left, first)
+    number = np.diff(np.append(first, len(key)))
+    return key[first], np.where(low == high, low, np.int16(DIVERSE)).astype(np.int16), (number > 1) | np.logical_or.reduceat(twice, first)
+
+
+def _seen(table: pa.Table, least: int, shards: int) -> pa.Table:
+    block_id = table.column("block")[0].as_py()
+    keys, lefts = [np.empty(0, np.uint64)], [np.empty(0, np.int16)]
+    for b in tc.blocks(_documents(table).column("text")):
+        _, first, end, doc, sums = _strings(b, least, 0)
+        keys.append(tc.span_hash(sums, first, end))
+        lefts.append(_before(b, first, doc))
+    key, left, twice = _by_key(np.concatenate(keys), np.concatenate(lefts), np.zeros(sum(map(len, keys)), bool))
+    shard = (key % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    key, left, twice, shard = key[order], left[order], twice[order], shard[order]
+    cut = _runs(shard).tolist() + [len(key)]
+    rows = [(int(shard[x]), block_id, key[x:y].tobytes(), left[x:y].tobytes(), twice[x:y].tobytes()) for x, y in zip(cut[:-1], cut[1:])]
+    return pa.table([pa.array(c, t.type) for c, t in zip(list(zip(*rows)) or [[]] * 5, _SEEN)], schema=_SEEN)
+
+
+def _occur_twice(table: pa.Table) -> pa.Table:
+    col = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+    keys, left, twice = col("keys", np.uint64), col("left", np.int16), col("twice", bool)
+    key, one, more = _by_key(np.concatenate(keys), np.concatenate(left), np.concatenate(twice))
+    rows = []
+    for block, own in zip(table.column("block").to_pylist(), keys):
+        at = np.searchsorted(key, own)
+        own, at = own[more[at]], at[more[at]]
+        if len(own):
+            rows.append((block, own.tobytes(), (one[at] == DIVERSE).tobytes()))
+    return pa.table([pa.array(c, t.type) for c, t in zip(list(zip(*rows)) or [[]] * 3, _TWICE)], schema=_TWICE)
+
+
+def _contexts_of(b: tc.Block, keys: np.ndarray, diverse: np.ndarray, least: int, overlapping: bool):
+    """Of each left-diverse string that occurs twice: its hash, place, document, the end of the run of such strings that it
+    is in, and the block's prefix sums. Unless ``overlapping``, not those that overlap the same string before them."""
+    _, first, end, doc, sums = _strings(b, least, 0)
+    k = tc.span_hash(sums, first, end)
+    at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
+    hit = keys[at] == k if len(keys) else np.zeros(len(k), bool)
+    follows = np.append((first[1:] == first[:-1] + 1) & hit[1:] & (doc[1:] == doc[:-1]), False) if len(first) else hit
+    stops = np.flatnonzero(~follows)
+    stop = first[stops[np.searchsorted(stops, np.arange(len(first)))]] + least if len(first) else first
+    pick = np.flatnonzero(hit & diverse[at]) if len(keys) else np.empty(0, np.int64)
+    if not overlapping and len(pick):
+        order = np.lexsort((first[pick], k[pick], doc[pick]))
+        p = pick[order]
+        near = np.append(False, (k[p[1:]] == k[p[:-1]]) & (doc[p[1:]] == doc[p[:-1]]) & (first[p[1:]] - first[p[:-1]] < least))
+        pick = np.sort(p[~near])
+    return k[pick], first[pick], doc[pick], stop[pick], sums
+
+
+def _answers(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    join = lambda name, kind: np.concatenate([np.empty(0, kind)] + [np.frombuffer(x, kind) for x in answers.column(name).to_pylist()])
+    keys, diverse = join("keys", np.uint64), join("diverse", bool)
+    order = np.argsort(keys)
+    return keys[order], diverse[order]
+
+
+def _contexts(key, docs: pa.Table, answers: pa.Table, least: int, shards: int, overlapping: bool) -> pa.Table:
+    found: dict[int, list] = {}
+    if docs.num_rows and answers.num_rows:
+        keys, diverse = _answers(answers)
+        for b in tc.blocks(_documents(docs).column("text")):
+            k, lo, doc, hi, sums = _contexts_of(b, keys, diverse, least, overlapping)
+            h, left = tc.span_hash(sums, lo, hi).view(np.int64), _before(b, lo, doc)
+            for first, context, x, y, byte in zip(k.view(np.int64).tolist(), h.tolist(), lo.tolist(), hi.tolist(), left.tolist()):
+                row = found.get(context)
+                if row is None:
+                    found[context] = [first % shards, key[0].as_py(), first, context, byte, False, b.data[x:y].tobytes()]
+                else:
+                    row[4], row[5] = (byte if row[4] == byte else DIVERSE), True
+    return pa.table([pa.array(c, t.type) for c, t in zip(list(zip(*found.values())) or [[]] * 7, _CONTEXT)], schema=_CONTEXT)
+
+
+def _groups(table: pa.Table, least: int) -> pa.Table:
+    """Common-prefix intervals of the contexts that begin with one string: to each block, the groups of its contexts."""
+    col = {c: table.column(c).to_numpy() for c in ("block", "first", "key", "left", "twice")}
+    texts = table.column("bytes").to_pylist()
+    order = sorted(range(len(texts)), key=lambda i: (col["first"][i], texts[i]))
+    rows: dict[int, list[tuple[int, int, int]]] = {}
+    cut = _runs(col["first"][order]).tolist() + [len(order)]
+    for x, y in zip(cut[:-1], cut[1:]):
+        # equal contexts of several blocks lie together; one that occurs twice is two entries
+        entry = [i for i in order[x:y] for _ in range(1 + bool(col["twice"][i]))]
+        lcp = np.zeros(len(entry), np.int64)
+        for n in range(1, len(entry)):
+            lcp[n] = _common(texts[entry[n - 1]], texts[entry[n]])
+        for depth, lo, hi in zip(*repeat_intervals(lcp, col["left"][entry].astype(np.int64), least)):
+            name = int.from_bytes(hashlib.blake2b(texts[entry[lo]][:depth], digest_size=8).digest(), "little", signed=True)
+            for i in dict.fromkeys(entry[lo:hi]):
+                rows.setdefault(int(col["block"][i]), []).append((int(col["key"][i]), name, int(depth)))
+    out = [(block, *(np.array([m[k] for m in members], kind).tobytes() for k, kind in enumerate((np.int64, np.int64, np.int64)))) for block, members in rows.items()]
+    return pa.table([pa.array(c, t.type) for c, t in zip(list(zip(*out)) or [[]] * 4, _MEMBER)], schema=_MEMBER)
+
+
+def _common(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    x, y = np.frombuffer(a, np.uint8, n), np.frombuffer(b, np.uint8, n)
+    return int((x != y).argmax())
+
+
+def _occurrences(docs: pa.Table, answers: pa.Table, least: int, overlapping: bool) -> pa.Table:
+    out = []
+    asked = answers.filter(pc.is_valid(answers.column("keys")))
+    told = answers.filter(pc.is_valid(answers.column("key")))
+    if docs.num_rows and told.num_rows:
+        docs = _documents(docs)
+        ids = docs.column("doc_id").to_numpy()
+        keys, diverse = _answers(asked)
+        key, group, length = (np.concatenate([np.frombuffer(x, kind) for x in told.column(c).to_pylist()]) for c, kind in (("key", np.uint64), ("group", np.int64), ("length", np.int64)))
+        order = np.argsort(key, kind="stable")
+        key, group, length = key[order], group[order], length[order]
+        for b in tc.blocks(docs.column("text")):
+            _, lo, doc, hi, sums = _contexts_of(b, keys, diverse, least, overlapping)
+            h = tc.span_hash(sums, lo, hi)
+            x, y = np.searchsorted(key, h, side="left"), np.searchsorted(key, h, side="right")
+            own = np.repeat(np.arange(len(h)), y - x)
+            at = np.repeat(x - (np.cumsum(y - x) - (y - x)), y - x) + np.arange(len(own))
+            d = ids[b.lo + doc[own]]
+            out.append(pa.table([pa.array(group[at]), pa.array(length[at]), pa.array(d, mask=d == _NONE), pa.array(lo[own] - b.at[doc[own]])], schema=_OCCURRENCE))
+    return pa.concat_tables(out) if out else _OCCURRENCE.empty_table()
+
+
+def repeat_groups(docs: DataFrame, least: int = 50, overlapping: bool = False) -> DataFrame:
+    """All maximal repeats of at least ``least`` bytes, each with all its occurrences: group (names equal texts alike), length,
+    doc_id and offset (bytes), a row for each occurrence.
+
+    A repeat is maximal if its occurrences have different bytes, or a text's begin or end, before and after them. An
+    occurrence whose first ``least`` bytes overlap the same bytes just before them is left out unless ``overlapping``:
+    a text of one letter repeats itself at every length and place, a number that grows with the square of its size.
+    Texts are taken as UTF-8 and repeats never cross them; a text's repeats of itself count. Rows are texts of their own
+    whatever their doc_id, and a null one is given back as null. Null, empty and shorter texts have no repeats. Other
+    columns are not read. Without repeats the result is empty.
+    """
+    if least < 1:
+        raise ValueError("least has to be at least 1")
+    spark = docs.sparkSession
+    ship(spark)
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).first()["n"]
+    n_blocks, shards = max(1, -(-size // (4 << 20))), max(1, -(-size // (2 << 20)))
+    docs = docs.select(F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n_blocks)).alias("block"), F.coalesce("doc_id", F.lit(_NONE)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    seen = docs.groupBy("block").applyInArrow(_grouped(_seen, least=least, shards=shards), "shard bigint, block bigint, keys binary, left binary, twice binary")
+    twice = durable(seen.groupBy("shard").applyInArrow(_grouped(_occur_twice), "block bigint, keys binary, diverse binary"))
+    contexts = docs.groupBy("block").cogroup(twice.groupBy("block")).applyInArrow(_cogrouped(_contexts, least=least, shards=shards, overlapping=overlapping), "shard bigint, block bigint, first bigint, key bigint, left smallint, twice boolean, bytes binary")
+    members = contexts.groupBy("shard").applyInArrow(_grouped(_groups, least=least), "block bigint, key binary, group binary, length binary")
+    answers = twice.unionByName(members, allowMissingColumns=True)
+    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_cogrouped_occurrences(least, overlapping), "group bigint, length bigint, doc_id bigint, offset bigint")
+
+
+def _cogrouped_occurrences(least: int, overlapping: bool):
+    def apply(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return _occurrences(left, right, least, overlapping)
+        finally:
+            release()
+
+    return apply
+
+
 def _grouped(f, **parameters):
     def apply(table: pa.Table) -> pa.Table:
         try:

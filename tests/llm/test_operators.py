@@ -331,6 +331,26 @@ def test_repeats_by_brute_force(spark, odd, none):
     assert op3_repeats.remove_repeats(none).isEmpty()
 
 
+def test_repeat_groups_by_brute_force(spark, odd, none):
+    r = random.Random(19)
+    for trial in range(2):
+        passages = ["".join(r.choice("ab") for _ in range(r.randrange(2, 12))) for _ in range(6)]
+        texts = ["".join(r.choice(passages) + r.choice(["", "x", "é"]) for _ in range(r.randrange(7))) for _ in range(14)] + [None, "", passages[0], passages[0]]
+        rows = op3_repeats.repeat_groups(table(spark, list(enumerate(texts))).repartition(3), least=5, overlapping=True).collect()
+        got = collections.defaultdict(set)
+        for x in rows:
+            got[x["group"], x["length"]].add((x["doc_id"], x["offset"]))
+        assert len(rows) == sum(map(len, got.values()))
+        assert {(n, tuple(sorted(at))) for (_, n), at in got.items()} == brute_repeats([(t or "").encode() for t in texts], 5)
+    assert op3_repeats.repeat_groups(none).isEmpty()
+    long = " ".join(f"word{i}" for i in range(900))  # one repeat of thousands of bytes, in all of three texts
+    rows = op3_repeats.repeat_groups(table(spark, [(1, "a" + long + "x"), (2, "b" + long + "y"), (None, long)])).collect()
+    assert {(x["length"], x["doc_id"], x["offset"]) for x in rows} == {(len(long), 1, 1), (len(long), 2, 1), (len(long), None, 0)}
+    assert {x["doc_id"] for x in op3_repeats.repeat_groups(odd).collect()} == {None, 5, 6, 10}
+    rows = op3_repeats.repeat_groups(table(spark, [(1, "a" * 30_000), (2, "b" + "a" * 9000)])).collect()
+    assert {(x["length"], x["doc_id"], x["offset"]) for x in rows} == {(9000, 1, 0), (9000, 2, 1)}
+
+
 def test_hot_anchor_is_dealt_to_shards(spark, monkeypatch):
     """A phrase shorter than a string in otherwise different texts, at two sizes: no shard gets more than its share."""
     phrase, r = "of the people, by the people", random.Random(14)
