@@ -31,6 +31,8 @@ LEAST = 0.5
 #: words that are put around the made-up notices.
 SAMPLE_TEXTS, SAMPLE_BYTES, SAMPLE_PARAGRAPHS = 400, 20_000, 4000
 FILLER_WORDS = 20_000
+#: Bytes of text at once; a word takes some 300 bytes of running sums.
+_BLOCK = 1 << 19
 _U = np.uint64
 
 #: Short notices by which texts name their licence.
@@ -118,26 +120,26 @@ def windows(w: tc.Words) -> Windows:
 
 
 def _entries(x: Windows) -> tuple[np.ndarray, np.ndarray]:
-    """Table entries of all windows, one window after another, and where each begins."""
+    """Table entries of all windows, those of each order TABLE apart, one window after another, and where each begins."""
     spans = [(x.first, np.maximum(x.end - i, x.first)) for i in range(GRAMS)]
     count = np.stack([b - a for a, b in spans])
     total = count.sum(axis=0)
     start = np.cumsum(total) - total
     out = np.empty(int(total.sum()), np.int64)
     base = start.copy()
-    for (a, _), c, slots in zip(spans, count, x.slots):
+    for g, ((a, _), c, slots) in enumerate(zip(spans, count, x.slots)):
         own = np.repeat(np.arange(len(c)), c)
         k = np.arange(len(own)) - np.repeat(np.cumsum(c) - c, c)
-        out[base[own] + k] = slots[a[own] + k]
+        out[base[own] + k] = slots[a[own] + k] + g * TABLE
         base = base + c
     return out, start
 
 
 def _distinct(entries: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each entry once a window, so that a word repeated on and on counts as one."""
+    """Each entry of an order once a window, so that a word repeated on and on counts as one."""
     own = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(entries))))
-    key = np.unique(own * TABLE + entries)
-    return key % TABLE, np.searchsorted(key, np.arange(len(start)) * TABLE)
+    key = np.unique(own * (GRAMS * TABLE) + entries)
+    return key % TABLE, np.searchsorted(key, np.arange(len(start)) * (GRAMS * TABLE))
 
 
 @dataclass
@@ -276,20 +278,51 @@ def _covered(texts: list[str]) -> np.ndarray:
     return np.array([max(_cover(w.hash[a:b], t) for t in known) >= COVER for a, b in zip(w.first[:-1], w.first[1:])], bool)
 
 
-def _joined(lines: tc.Block, doc: np.ndarray, w: tc.Words) -> tuple[tc.Words, np.ndarray]:
-    """The same words by paragraph: lines with words that follow one another in a document. Only paragraphs of several
-    lines keep theirs; with the line of each word."""
+def _several(lines: tc.Block, doc: np.ndarray, w: tc.Words) -> tuple[tc.Words, np.ndarray]:
+    """The same words by paragraph: lines with words that follow one another in a document; those of one line are empty.
+    And the line of each word."""
     some = np.diff(w.first) > 0
     n = len(some)
-    starts = some & ~(np.append(False, some[:-1]) & np.append(False, doc[1:] == doc[:-1])) if n else some
-    number = np.cumsum(starts) - 1
+    starts = np.flatnonzero(some & ~(np.append(False, some[:-1]) & np.append(False, doc[1:] == doc[:-1])))
     line = np.repeat(np.arange(n), np.diff(w.first))
-    own = number[line]
-    several = np.bincount(number[some], minlength=int(starts.sum())) > 1
-    keep = several[own] if len(own) else np.empty(0, bool)
-    own, line = own[keep], line[keep]
-    first = np.searchsorted(own, np.arange(int(starts.sum()) + 1))
-    return tc.Words(w.start[keep], w.end[keep], own, w.hash[keep], first), line
+    if not len(starts):
+        return tc.Words(w.start, w.end, line, w.hash, np.zeros(1, np.int64)), line
+    own = np.searchsorted(starts, np.arange(n), side="right") - 1
+    several = np.bincount(own[some], minlength=len(starts)) > 1
+    first = np.append(w.first[starts], len(w.hash))
+    first = np.stack([first[:-1], np.where(several, first[1:], first[:-1])], axis=1).ravel()  # a place without words after each
+    return tc.Words(w.start, w.end, line, w.hash, np.append(first, len(w.hash))), line
+
+
+def _logits(x: Windows, model: Classifier) -> np.ndarray:
+    """What Classifier.logits gives of the windows' distinct entries: sums over all of a window's entries by differences of
+    running sums, less those of entries that the window has before."""
+    m = len(x.first)
+    total, size = np.zeros((m, len(FAMILIES))), np.zeros(m)
+    for g, slots in enumerate(x.slots):
+        n = len(slots)
+        first = np.minimum(x.first, n)
+        stop = np.clip(x.end - g, first, n)
+        weights = model.weights[slots]
+        sums = np.zeros((n + 1, len(FAMILIES)))
+        np.cumsum(weights, axis=0, dtype=np.float64, out=sums[1:])
+        total += sums[stop] - sums[first]
+        size += stop - first
+        del sums
+        back = np.full(n, WINDOW, np.int8)  # to the same entry before, within a window's reach
+        narrow = slots.astype(np.uint16)
+        for k in range(min(WINDOW, n) - 1, 0, -1):
+            back[k:][narrow[k:] == narrow[:-k]] = k
+        again = np.flatnonzero(back < WINDOW)
+        lo, hi = np.searchsorted(again, first), np.searchsorted(again, stop)
+        own = np.repeat(np.arange(m), hi - lo)
+        at = again[np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange(len(own))]
+        inside = at - back[at] >= first[own]
+        own, at = own[inside], at[inside]
+        size -= np.bincount(own, minlength=m)
+        for k in range(len(FAMILIES)):
+            total[:, k] -= np.bincount(own, weights[at, k], m)
+    return total / np.sqrt(np.maximum(size, 1))[:, None] + model.bias
 
 
 def _judge(w: tc.Words, x: Windows, model: Classifier, least: float):
@@ -297,23 +330,20 @@ def _judge(w: tc.Words, x: Windows, model: Classifier, least: float):
     if not len(x.first):
         return
     known, family = _templates()
-    step = 1 << 14  # windows at once
-    for lo in range(0, len(x.first), step):
-        part = Windows(x.first[lo : lo + step], x.end[lo : lo + step], x.para[lo : lo + step], x.slots)
-        p = _softmax(model.logits(*_distinct(*_entries(part))) / model.temperature)
-        for i in np.flatnonzero(1 - p[:, NONE] >= least).tolist():
-            k = int(p[i, :NONE].argmax())
-            a, b = int(part.first[i]), int(part.end[i])
-            words = w.hash[a:b]
-            mine = [t for t, f in zip(known, family) if f == k]
-            covers = [_cover(words, t) for t in mine]
-            best = int(np.argmax(covers)) if covers else -1
-            cover = covers[best] if covers else 0.0
-            if k != UNKNOWN and cover >= COVER:
-                at = np.flatnonzero(np.isin(_pairs(words), _pairs(mine[best])))
-                yield lo + i, float(1 - p[i, NONE]), FAMILIES[k], cover, a + int(at[0]), a + int(at[-1]) + 1
-            else:
-                yield lo + i, float(1 - p[i, NONE]), "unknown", cover, a, b - 1
+    p = _softmax(_logits(x, model) / model.temperature)
+    for i in np.flatnonzero(1 - p[:, NONE] >= least).tolist():
+        k = int(p[i, :NONE].argmax())
+        a, b = int(x.first[i]), int(x.end[i])
+        words = w.hash[a:b]
+        mine = [t for t, f in zip(known, family) if f == k]
+        covers = [_cover(words, t) for t in mine]
+        best = int(np.argmax(covers)) if covers else -1
+        cover = covers[best] if covers else 0.0
+        if k != UNKNOWN and cover >= COVER:
+            at = np.flatnonzero(np.isin(_pairs(words), _pairs(mine[best])))
+            yield i, float(1 - p[i, NONE]), FAMILIES[k], cover, a + int(at[0]), a + int(at[-1]) + 1
+        else:
+            yield i, float(1 - p[i, NONE]), "unknown", cover, a, b - 1
 
 
 def scan(block: tc.Block, model: Classifier, least: float = LEAST) -> list[tuple[int, int, int, int, str, float, float]]:
@@ -331,9 +361,11 @@ def scan(block: tc.Block, model: Classifier, least: float = LEAST) -> list[tuple
         q = int(x.para[i])
         best[q] = max(best.get(q, (False, 0.0, "", 0.0)), (name != "unknown", chance, name, cover))
     across: list[tuple[int, int, float, str, float]] = []
-    joined, line = _joined(lines, doc, w)
+    joined, line = _several(lines, doc, w)
     x = windows(joined)
-    for i, chance, name, cover, a, b in _judge(joined, x, model, least):
+    whole = line[x.first] != line[x.end - 1] if len(x.first) else np.empty(0, bool)  # those inside a line are known by now
+    x = Windows(x.first[whole], x.end[whole], x.para[whole], x.slots)
+    for i, chance, name, cover, a, b in _judge(w, x, model, least):
         lo, hi = int(line[a]), int(line[b])
         if hi > lo and (name != "unknown" or not any(q in best for q in range(lo, hi + 1))):
             if not any(best.get(q, (False, 0.0, "", 0.0))[2] == name for q in range(lo, hi + 1)):
@@ -380,7 +412,7 @@ def find_licenses(docs: DataFrame, model: Classifier, least: float = LEAST) -> D
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
-            for b in tc.blocks(batch.column("text")):
+            for b in tc.blocks(batch.column("text"), _BLOCK):
                 rows = scan(b, held.value, least)
                 if rows:
                     d, *rest = zip(*rows)

@@ -180,6 +180,15 @@ def test_families_held_out(real):
         assert set(names) <= {"unknown"} and names
 
 
+def test_window_scores_by_distinct_entries(real, licences):
+    texts = [r["text"] for r in real.limit(40).collect()] + ["a b a b a b c", "spam " * 100, "x", ""]
+    for b in tc.blocks(pa.array(texts), 1 << 16):
+        lines, _, _ = op1_licenses.paragraphs(b)
+        x = op1_licenses.windows(tc.words(lines, keep=op1_licenses._KEEP))
+        if len(x.first):
+            assert np.allclose(op1_licenses._logits(x, licences), licences.logits(*op1_licenses._distinct(*op1_licenses._entries(x))), atol=1e-4)
+
+
 def test_licence_columns(spark, tmp_path):
     rows = ODD + [(20, "Hello.\nReleased under the MIT License.\n"), (21, "x\n\n" + wrapped(op1_licenses.TEMPLATES["bsd"][0], 40, "# "))]
     got = sorted((r["doc_id"], r["paragraph"], r["start"], r["end"], r["family"]) for r in query_rows(spark, tmp_path, op1_licenses.query, rows))
