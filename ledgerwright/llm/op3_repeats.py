@@ -114,14 +114,18 @@ def _anchors(table: pa.Table, least: int, seed: int, shards: int) -> pa.Table:
         docs.append(ids[b.lo + d][keep])
         keys.append(tc.span_hash(sums, lo[keep], hi[keep]))
     a, d, k = np.concatenate(found), np.concatenate(docs), np.concatenate(keys)
-    order = np.lexsort((k, a))
+    order = np.argsort(a, kind="stable")
     a, d, k = a[order], d[order], k[order]
     first = _runs(a)
     several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first) if len(first) else np.empty(0, bool)
-    fresh = np.zeros(len(k), np.int64)
-    fresh[_runs(k)] = 1
-    number = np.add.reduceat(fresh, first) if len(first) else first
-    mark = (several + 2 * np.ceil(np.log2(np.maximum(number, 1)))).astype(np.uint8)
+    # different stretches of anchors that are there more than once
+    number = np.diff(np.append(first, len(a)))
+    more = number > 1
+    own, again = np.repeat(np.arange(len(first)), number), np.repeat(more, number)
+    own, k = own[again], k[again]
+    order = np.lexsort((k, own))
+    number[more] = np.bincount(own[order][_runs(k[order])], minlength=len(first))[more]
+    mark = (several + 2 * np.ceil(np.log2(number))).astype(np.uint8)
     a = a[first]
     shard = a % np.uint64(shards)
     order = np.argsort(shard, kind="stable")
@@ -220,9 +224,9 @@ def _stretches(key, docs: pa.Table, answers: pa.Table, least: int, seed: int, sh
         at = np.minimum(np.searchsorted(shared, a), len(shared) - 1)
         keep = (shared[at] == a) & (ids[b.lo + d] != _NONE)
         a, lo, hi, d, k, one = _dealt(a[keep], lo[keep], hi[keep], ids[b.lo + d[keep]], pieces[at[keep]], sums, least)
-        order = np.lexsort((d, k, a))  # here already each distinct stretch once
+        order = np.lexsort((d, k))  # here already each distinct stretch once; equal ones have one anchor
         k, a, lo, hi, d, one = k[order], a[order], lo[order], hi[order], d[order], one[order]
-        first = _runs_of(a, k)
+        first = _runs(k)
         if not len(first):
             continue
         low, second = _two_least(first, d, np.full(len(d), _NONE))
@@ -234,9 +238,9 @@ def _stretches(key, docs: pa.Table, answers: pa.Table, least: int, seed: int, sh
         return schema.empty_table()
     a, k, d, size, text, one = (np.concatenate(x) for x in (a_, k_, d_, s_, t_, o_))
     begin = np.cumsum(size) - size
-    order = np.lexsort((k, a, a % np.uint64(shards)))
+    order = np.lexsort((k, a % np.uint64(shards)))
     a, k, d, size, begin, one = a[order], k[order], d[order], size[order], begin[order], one[order]
-    first = _runs_of(a, k)
+    first = _runs(k)
     low, second = _two_least(first, d[:, 0], d[:, 1])
     a, size, begin, one = a[first], size[first], begin[first], one[first]
     shard = (a % np.uint64(shards)).astype(np.int64)
