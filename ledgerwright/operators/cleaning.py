@@ -113,7 +113,8 @@ def attribute_refunds(invoices: DataFrame, contract: Contract) -> Step:
     else:
         kept = invoices.withColumn("effective_date", F.col("issued_date"))
     moved = ~F.col("effective_date").eqNullSafe(F.col("issued_date"))
-    return Step(kept, None, audit_line(kept, "attribute refunds", "R5", "invoices", F.count_if(moved), F.sum(F.when(moved, F.col("amount")))))
+    back = kept.where("reverses_invoice_id is not null")  # other rows keep their date
+    return Step(kept, None, audit_line(back, "attribute refunds", "R5", "invoices", F.count_if(moved), F.sum(F.when(moved, F.col("amount")))))
 
 
 def apply_corrections(subscriptions: DataFrame, contract: Contract, key: tuple[str, ...] = ("customer_id", "period_start")) -> Step:
