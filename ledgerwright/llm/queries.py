@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_licenses, op2_decontaminate, op3_repeats, op4_packing, op5_language, op6_toxicity, op7_media, op8_pii, op9_minhash, op10_planes
+from . import op1_licenses, op2_decontaminate, op3_repeats, op4_packing, op5_language, op6_toxicity, op7_media, op8_pii, op9_minhash, op10_planes, op11_ranking, op12_spellings, op13_outliers
 
 QUERIES = {
     "op1_license_paragraphs": op1_licenses.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_personal_data": op8_pii.query,
     "op9_near_duplicates": op9_minhash.query,
     "op10_plane_files": op10_planes.query,
+    "op11_ranked_search": op11_ranking.query,
+    "op12_spelling_variants": op12_spellings.query,
+    "op13_quality_outliers": op13_outliers.query,
 }
 #: Distinct shingles of four words by document, links by counting common ones, and the least document reached over links.
 _NEAR = """
@@ -41,4 +44,4 @@ kept AS (SELECT doc_id, a, lead(a, 1, NULL) OVER (PARTITION BY doc_id ORDER BY a
 t AS (SELECT k.doc_id, string_agg(substr(h, 2 * k.b + 1, 2 * (coalesce(k.next, n) - k.b)), '' ORDER BY k.b) AS h FROM kept k JOIN d USING (doc_id) GROUP BY k.doc_id)
 SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(x.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(x.spans, 0) AS BIGINT) AS n_spans, sha256(unhex(t.h)) AS kept_sha256
 FROM d JOIN t USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM i GROUP BY doc_id) x USING (doc_id)"""
-ORACLES: dict[str, str] = {"op3_remove_repeats": _REPEATS, "op9_near_duplicates": _NEAR}
+ORACLES: dict[str, str] = {"op3_remove_repeats": _REPEATS, "op9_near_duplicates": _NEAR, "op11_ranked_search": op11_ranking.SQL, "op12_spelling_variants": op12_spellings.SQL}
