@@ -44,11 +44,16 @@ class Job:
         tables.write_parquet(manifest, self.a.raw, "defect_manifest")
 
     def clean(self) -> None:
-        raw = tables.read_raw(self.spark, self.a.raw)
-        done, audit = cleaning.clean(raw, self.contract, [F.col("row_id")])
-        for name, df in done.items():
-            tables.write_parquet(df.drop("row_id"), self.a.processed, name)
-        self.save(cleaning_report=audit)
+        """Every raw table is read once and written once; the audit is observed on the way. Invoices are written with
+        their fates and split from there."""
+        raw, audit = tables.read_raw(self.spark, self.a.raw), cleaning.Audit()
+        self.save(customers=cleaning.watch_customers(raw["customers"], audit))
+        fates = cleaning.watch_invoices(raw["invoices"], raw["customers"], [F.col("row_id")], audit).drop("row_id")
+        tables.write_parquet(fates, self.a.processed, "invoice_dispositions", ["disposition"])
+        of = lambda fate: self.clean_table("invoice_dispositions").where(F.col("disposition") == fate).drop("disposition")
+        self.save(invoices=cleaning.watch_refunds(of("clean"), self.contract, audit), quarantine_duplicate_invoices=of("duplicate"), quarantine_orphan_invoices=of("orphan"))
+        self.save(subscriptions=cleaning.watch_subscriptions(raw["subscriptions"], self.contract, audit), usage_events=cleaning.watch_usage(raw["usage_events"], audit))
+        self.save(cleaning_report=audit.lines(self.spark))
         self.say(console.heading("Cleaning") + [f"  {r['step']}: {r['rows_affected']:,} ({r['detail']}), {console.money(r['dollars'])}" for r in self.clean_table("cleaning_report").collect()])
 
     def panel(self) -> DataFrame:
@@ -111,7 +116,7 @@ class Job:
         best = forecast.winner(results).first()
         movement = retention.retention_bridge(panel, 12, self.a.least_cohort)
         star_tables = {
-            "dim_date": star.dim_date(self.spark, self.a.first, self.a.as_of), "dim_customer": star.dim_customer(self.clean_table("customers")), "dim_plan": star.dim_plan(self.spark), "fact_mrr": star.fact_mrr(panel),
+            "dim_date": star.dim_date(self.spark, self.a.first, self.a.as_of), "dim_customer": star.dim_customer(self.clean_table("customers")), "dim_plan": star.dim_plan_of(self.clean_table("subscriptions")), "fact_mrr": star.fact_mrr(panel),
             "fact_movement": star.with_date_key(movement, "month"), "fact_forecast": star.fact_forecast(weekly, forecast.forecast(weekly, results=results), best["model"]),
             "fact_reconciliation_ledger": self.ledger(), "fact_reconciliation_monthly": star.with_date_key(self.bridge(), "month"),
         }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
@@ -29,6 +29,7 @@ class Contract:
     parameters: dict[str, Any]
     metrics: dict[str, dict]
     rulings: dict[str, dict]
+    components: dict[str, dict] = field(default_factory=dict)
     effective_date: str = ""
     owner: str = ""
     status: str = ""
@@ -92,8 +93,13 @@ def validate(spec: Any) -> Contract:
     named = {r["id"]: r for r in rulings}
     if len(named) != len(rulings):
         raise ContractViolation("rulings share an id")
+    components = dict(spec.get("components") or {})
+    for name, component in components.items():
+        _absent(f"component {name}", ("over", "formula"), component)
+        if name in metrics:
+            raise ContractViolation(f"{name} is both a component and a metric")
     about = {k: str(spec.get(k, "")) for k in ("effective_date", "owner", "status")}
-    return Contract(str(spec["version"]), dict(parameters), dict(metrics), named, **about, out_of_scope=tuple(spec.get("out_of_scope") or ()))
+    return Contract(str(spec["version"]), dict(parameters), dict(metrics), named, components, **about, out_of_scope=tuple(spec.get("out_of_scope") or ()))
 
 
 def load(path: str | Path = DEFAULT) -> Contract:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..contract import Contract
 from ..functions.money import needs_parsing, parse_amount, total
 from ..functions.naming import own
+from ..functions.running import first_rows
 
 BUSINESS_KEY = ("customer_id", "subscription_id", "issued_date", "amount", "status")
 AMOUNTS = ("amount", "base_amount", "addon_amount")
@@ -52,10 +54,19 @@ def audit_line(df: DataFrame, step: str, ruling: str | None, table: str, rows: C
 
 
 def _line(df: DataFrame, step: str, ruling: str | None, table: str, rows: Column, dollars: Column) -> DataFrame:
-    return df.select(
+    return df.select(*_fields(step, ruling, table, rows, dollars))
+
+
+def _fields(step: str, ruling: str | None, table: str, rows: Column, dollars: Column) -> list[Column]:
+    return [
         F.lit(step).alias("step"), F.lit(ruling).cast("string").alias("ruling"), F.lit(table).alias("table"), F.coalesce(rows, F.lit(0)).cast("bigint").alias("rows_affected"),
         F.coalesce(dollars, F.lit(0)).cast("decimal(28,2)").alias("dollars"), F.lit(DETAILS[step]).alias("detail"),
-    )
+    ]
+
+
+def _lines(one: DataFrame, lines: list[tuple]) -> DataFrame:
+    """Audit lines of a single row of sums."""
+    return one.select(F.inline(F.array(*(F.struct(*_fields(*x)) for x in lines))))
 
 
 def audit_table(steps: list[Step]) -> DataFrame:
@@ -69,11 +80,15 @@ def parse_amounts(invoices: DataFrame, columns: tuple[str, ...] = AMOUNTS) -> St
 
 
 def remove_duplicates(invoices: DataFrame, order_by: list[Column], key: tuple[str, ...] = BUSINESS_KEY) -> Step:
-    """First row of each business key, in an order that the caller states; amounts have to be parsed before."""
-    (n,) = own(invoices, "__n")
-    ranked = invoices.withColumn(n, F.row_number().over(Window.partitionBy(*key).orderBy(*order_by)))
-    kept, removed = ranked.where(F.col(n) == 1).drop(n), ranked.where(F.col(n) > 1).drop(n)
-    return Step(kept, removed, audit_line(removed, "remove duplicates", None, "invoices", F.count(F.lit(1)), F.sum("amount")))
+    """First row of each business key, in an order that the caller states; amounts have to be parsed before.
+
+    Both sides are mergeable aggregates: the first row is a minimum, the others are what is left of all rows when the
+    first ones are taken away, as often as each occurs. The audit line is the difference of two sums."""
+    kept = first_rows(invoices, key, order_by)
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("amount").alias("d")]
+    both = invoices.agg(*sums).crossJoin(F.broadcast(kept.agg(*(c.alias(f"first_{n}") for c, n in zip(sums, "nd")))))  # two single rows
+    line = _line(both, "remove duplicates", None, "invoices", F.col("n") - F.col("first_n"), F.col("d") - F.col("first_d"))
+    return Step(kept, invoices.exceptAll(kept), line)
 
 
 def quarantine_orphans(invoices: DataFrame, customers: DataFrame, key: str = "customer_id") -> Step:
@@ -83,25 +98,30 @@ def quarantine_orphans(invoices: DataFrame, customers: DataFrame, key: str = "cu
 
 
 def dispositions(invoices: DataFrame, customers: DataFrame, order_by: list[Column], name: str = "disposition", key: tuple[str, ...] = BUSINESS_KEY) -> DataFrame:
-    """Each row with its fate, in one pass: duplicate, orphan (of the first rows of their keys) or clean."""
-    n, known = own(invoices, "__n", "__known")
-    ranked = invoices.withColumn(n, F.row_number().over(Window.partitionBy(*key).orderBy(*order_by)))
-    marked = ranked.join(customers.select("customer_id").distinct().withColumn(known, F.lit(True)), "customer_id", "left")
-    fate = F.when(F.col(n) > 1, "duplicate").when(F.col(known).isNull(), "orphan").otherwise("clean")
-    return marked.withColumn(name, fate).drop(n, known)
+    """Each row with its fate: duplicate, orphan (of the first rows of their keys) or clean.
+
+    Rows and first rows are counted together by content, so one of several equal rows is the first one."""
+    rows, firsts, known = own(invoices, "__rows", "__firsts", "__known")
+    mark = lambda df, a, b: df.withColumns({rows: F.lit(a), firsts: F.lit(b)})
+    counted = mark(invoices, 1, 0).unionByName(mark(first_rows(invoices, key, order_by), 0, 1)).groupBy(*invoices.columns).agg(F.sum(rows).cast("int").alias(rows), F.sum(firsts).cast("int").alias(firsts))
+    copies = F.concat(F.array_repeat(F.lit("first"), F.col(firsts)), F.array_repeat(F.lit("duplicate"), F.col(rows) - F.col(firsts)))
+    told = counted.withColumn(name, F.explode(copies)).drop(rows, firsts)
+    marked = told.join(customers.select("customer_id").distinct().withColumn(known, F.lit(True)), "customer_id", "left")
+    return marked.withColumn(name, F.when(F.col(name) == "duplicate", "duplicate").when(F.col(known).isNull(), "orphan").otherwise("clean")).drop(known)
 
 
-def invoice_audit(invoices: DataFrame, columns: tuple[str, ...] = AMOUNTS) -> DataFrame:
-    """The audit lines of amounts, duplicates and orphans from one aggregate over dispositions() of raw invoices, whose
-    parsed amount is the column parsed."""
+def invoice_audit(invoices: DataFrame, firsts: DataFrame, customers: DataFrame, columns: tuple[str, ...] = AMOUNTS) -> DataFrame:
+    """The audit lines of amounts, duplicates and orphans from two aggregates: over raw rows (``columns`` as they were
+    written, amount parsed) and over the first rows of their business keys."""
     touched = reduce(Column.__or__, (needs_parsing(F.col(c)) for c in columns))
-    is_ = lambda fate: F.col("disposition") == fate
-    sums = invoices.agg(
-        F.count_if(touched).alias("n1"), F.count_if(is_("duplicate")).alias("n2"), F.sum(F.when(is_("duplicate"), F.col("parsed"))).alias("d2"), F.count_if(is_("orphan")).alias("n3"), F.sum(F.when(is_("orphan"), F.col("parsed"))).alias("d3")
-    )
-    lines = [("parse amounts", F.col("n1"), F.lit(0)), ("remove duplicates", F.col("n2"), F.col("d2")), ("quarantine orphans", F.col("n3"), F.col("d3"))]
-    one = lambda step, n, d: F.struct(F.lit(step).alias("step"), F.lit(None).cast("string").alias("ruling"), F.lit("invoices").alias("table"), n.cast("bigint").alias("rows_affected"), F.coalesce(d, F.lit(0)).cast("decimal(28,2)").alias("dollars"), F.lit(DETAILS[step]).alias("detail"))
-    return sums.select(F.inline(F.array(*(one(*x) for x in lines))))
+    (known,) = own(firsts, "__known")
+    fates = firsts.join(customers.select("customer_id").distinct().withColumn(known, F.lit(True)), "customer_id", "left")
+    lost = F.col(known).isNull()
+    raw = invoices.agg(F.count_if(touched).alias("n1"), F.count(F.lit(1)).alias("n0"), F.sum("amount").alias("d0"))
+    own_sums = fates.agg(F.count(F.lit(1)).alias("n4"), F.sum("amount").alias("d4"), F.count_if(lost).alias("n3"), F.sum(F.when(lost, F.col("amount"))).alias("d3"))
+    sums = raw.crossJoin(F.broadcast(own_sums))  # two single rows
+    lines = [("parse amounts", F.col("n1"), F.lit(0)), ("remove duplicates", F.col("n0") - F.col("n4"), F.col("d0") - F.col("d4")), ("quarantine orphans", F.col("n3"), F.col("d3"))]
+    return _lines(sums, [(step, None, "invoices", n, d) for step, n, d in lines])
 
 
 def attribute_refunds(invoices: DataFrame, contract: Contract) -> Step:
@@ -128,16 +148,24 @@ def apply_corrections(subscriptions: DataFrame, contract: Contract, key: tuple[s
     return Step(originals, corrections, audit_line(corrections, "apply corrections", "R6", "subscriptions", F.count(F.lit(1)), F.lit(0)))
 
 
-def next_start(subscriptions: DataFrame) -> DataFrame:
-    """next_start: the customer's first period that starts after a period's end; one sort by customer and day."""
-    day, start, row = own(subscriptions, "__day", "__start", "__row")
-    number = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
-    starts = subscriptions.select("customer_id", number("period_start").alias(day), F.col("period_start").alias(start)).distinct()
+def next_start(subscriptions: DataFrame, width: int = 64) -> DataFrame:
+    """next_start: the customer's first period that starts after a period's end.
+
+    A customer's days are cut into ranges of ``width``, so one who has very many periods is dealt to as many tasks as
+    there are ranges: within a range it is one sort by day, and from later ranges their first start is carried back, a
+    row a customer and range. A period without an end has none.
+    """
+    day, start, row, block, later = own(subscriptions, "__day", "__start", "__row", "__block", "__later")
+    starts = subscriptions.select("customer_id", F.unix_date("period_start").alias(day), F.col("period_start").alias(start)).distinct()
     # starts and ends in one sequence: the least start among the days after an end
-    rows = subscriptions.withColumns({day: number("period_end"), start: F.lit(None).cast("date"), row: F.lit(True)})
-    both = rows.unionByName(starts.withColumn(row, F.lit(False)), allowMissingColumns=True)
-    w = Window.partitionBy("customer_id").orderBy(day).rangeBetween(1, Window.unboundedFollowing)
-    return both.withColumn("next_start", F.min(start).over(w)).where(F.col(row)).drop(day, start, row)
+    rows = subscriptions.withColumns({day: F.unix_date("period_end"), start: F.lit(None).cast("date"), row: F.lit(True)})
+    both = rows.unionByName(starts.withColumn(row, F.lit(False)), allowMissingColumns=True).withColumn(block, F.floor(F.col(day) / width))
+    ahead = Window.partitionBy("customer_id").orderBy(F.asc_nulls_last(block)).rowsBetween(1, Window.unboundedFollowing)
+    firsts = both.where(F.col(block).isNotNull()).groupBy("customer_id", block).agg(F.min(start).alias(start)).select(F.col("customer_id").alias("__id"), F.col(block).alias("__b"), F.min(start).over(ahead).alias(later))
+    within = Window.partitionBy("customer_id", block).orderBy(day).rangeBetween(1, Window.unboundedFollowing)
+    local = both.withColumn(start, F.min(start).over(within)).where(F.col(row))
+    found = local.join(firsts, F.col("customer_id").eqNullSafe(F.col("__id")) & (F.col(block) == F.col("__b")), "left")
+    return found.withColumn("next_start", F.when(F.col(day).isNotNull(), F.coalesce(start, later))).drop(day, start, row, block, later, "__id", "__b")
 
 
 def resolve_pauses(subscriptions: DataFrame, contract: Contract) -> Step:
@@ -157,8 +185,7 @@ def standardise_customers(customers: DataFrame, columns: tuple[str, ...] = ("seg
     absent = reduce(Column.__add__, (F.col(c).isNull().cast("bigint") for c in columns))
     # spellings before, less those after; both lines from one aggregate
     sums = customers.agg((F.countDistinct("segment") - F.countDistinct(segment)).alias("n1"), F.sum(absent).alias("n2"))
-    spelling = _line(sums, "standardise spelling", None, "customers", F.col("n1"), F.lit(0))
-    return Step(kept, None, spelling.unionByName(_line(sums, "label absent attributes", None, "customers", F.col("n2"), F.lit(0))))
+    return Step(kept, None, _lines(sums, [("standardise spelling", None, "customers", F.col("n1"), F.lit(0)), ("label absent attributes", None, "customers", F.col("n2"), F.lit(0))]))
 
 
 def flag_drift(usage: DataFrame) -> Step:
@@ -183,3 +210,82 @@ def clean(raw: dict[str, DataFrame], contract: Contract, order_by: list[Column])
         "quarantine_duplicate_invoices": unique.removed, "quarantine_orphan_invoices": owned.removed,
     }
     return tables, audit_table([customers, amounts, unique, owned, dated, restated, resolved, usage])
+
+
+class Audit:
+    """Audit lines that come with the writing of the tables: each figure is observed on the rows as they pass, so no
+    table is read again to be counted. lines() may be called when every table has been written."""
+
+    SCHEMA = "step string, ruling string, `table` string, rows_affected bigint, dollars decimal(28,2), detail string"
+
+    def __init__(self) -> None:
+        self.seen: dict[str, Observation] = {}
+        self.steps: list[tuple] = []
+
+    def watch(self, df: DataFrame, name: str, **figures: Column) -> DataFrame:
+        self.seen[name] = Observation(name)
+        return df.observe(self.seen[name], *(c.alias(n) for n, c in figures.items()))
+
+    def add(self, step: str, ruling: str | None, table: str, rows, dollars=lambda g: 0) -> None:
+        """rows, dollars: from a look-up of (observation, figure)."""
+        self.steps.append((step, ruling, table, rows, dollars))
+
+    def lines(self, spark: SparkSession) -> DataFrame:
+        got = {name: o.get for name, o in self.seen.items()}
+        look = lambda name, figure: got[name][figure] or 0
+        rows = [(step, ruling, table, int(n(look)), round(Decimal(d(look)), 2), DETAILS[step]) for step, ruling, table, n, d in self.steps]
+        return spark.createDataFrame(rows, self.SCHEMA)
+
+
+def watch_invoices(invoices: DataFrame, customers: DataFrame, order_by: list[Column], audit: Audit) -> DataFrame:
+    """dispositions() of raw invoices, whose audit lines are observed as the rows are written."""
+    touched = reduce(Column.__or__, (needs_parsing(F.col(c)) for c in AMOUNTS))
+    (mark,) = own(invoices, "__touched")
+    parsed = invoices.withColumn(mark, touched.cast("int")).withColumns({c: parse_amount(F.col(c)) for c in AMOUNTS})
+    fates = dispositions(parsed, customers, order_by)
+    fate = lambda f: F.col("disposition") == f
+    fates = audit.watch(fates, "invoices", touched=F.sum(mark), **{f"n_{f}": F.count_if(fate(f)) for f in ("duplicate", "orphan")}, **{f"d_{f}": F.sum(F.when(fate(f), F.col("amount"))) for f in ("duplicate", "orphan")})
+    audit.add("parse amounts", None, "invoices", lambda g: g("invoices", "touched"))
+    for step, f in (("remove duplicates", "duplicate"), ("quarantine orphans", "orphan")):
+        audit.add(step, None, "invoices", lambda g, f=f: g("invoices", f"n_{f}"), lambda g, f=f: g("invoices", f"d_{f}"))
+    return fates.drop(mark)
+
+
+def watch_refunds(clean_invoices: DataFrame, contract: Contract, audit: Audit) -> DataFrame:
+    kept = attribute_refunds(clean_invoices, contract).kept
+    moved = ~F.col("effective_date").eqNullSafe(F.col("issued_date"))
+    audit.add("attribute refunds", "R5", "invoices", lambda g: g("refunds", "n"), lambda g: g("refunds", "d"))
+    return audit.watch(kept, "refunds", n=F.count_if(moved), d=F.sum(F.when(moved, F.col("amount"))))
+
+
+def watch_subscriptions(subscriptions: DataFrame, contract: Contract, audit: Audit) -> DataFrame:
+    """Corrections and pauses in one write. What corrections replace is what was there and is no more."""
+    amounts = {"n": F.count(F.lit(1)), "k": F.count_if("is_correction"), "d": F.sum("mrr"), "e": F.sum(F.when(F.col("is_correction"), F.col("mrr")))}
+    restated = apply_corrections(audit.watch(subscriptions, "subscriptions_in", **amounts), contract).kept
+    kept = resolve_pauses(restated, contract).kept
+    lost = F.col("was_paused") & (F.col("status") == "churned")
+    before = lambda g, c: g("subscriptions_in", c)
+    if contract.restate_history:
+        # originals that went; the change is what is there now, less the originals
+        audit.add("apply corrections", "R6", "subscriptions", lambda g: before(g, "n") - g("subscriptions", "n"), lambda g: g("subscriptions", "d") - (before(g, "d") - before(g, "e")))
+    else:
+        audit.add("apply corrections", "R6", "subscriptions", lambda g: before(g, "k"))
+    audit.add("resolve pauses", "R1", "subscriptions", lambda g: g("subscriptions", "lost"), lambda g: g("subscriptions", "gone"))
+    return audit.watch(kept, "subscriptions", n=F.count(F.lit(1)), d=F.sum("mrr"), lost=F.count_if(lost), gone=F.sum(F.when(lost, F.col("mrr"))))
+
+
+def watch_usage(usage: DataFrame, audit: Audit) -> DataFrame:
+    audit.add("flag time zone drift", None, "usage_events", lambda g: g("usage", "n"))
+    return audit.watch(flag_drift(usage).kept, "usage", n=F.count_if("tz_drifted"))
+
+
+def watch_customers(customers: DataFrame, audit: Audit, columns: tuple[str, ...] = ("segment", "industry", "region")) -> DataFrame:
+    """Spellings are sets, not counts, so they are observed as sketches' exact form: the distinct values of a column
+    that has a handful of them."""
+    absent = reduce(Column.__add__, (F.col(c).isNull().cast("bigint") for c in columns))
+    (before,) = own(customers, "__before")
+    kept = standardise_customers(customers.withColumns({before: F.col("segment"), f"{before}_absent": absent})).kept
+    seen = audit.watch(kept, "customers", absent=F.sum(f"{before}_absent"), was=F.size(F.collect_set(before)), now=F.size(F.collect_set(F.when(F.col(before).isNotNull(), F.col("segment")))))
+    audit.add("standardise spelling", None, "customers", lambda g: g("customers", "was") - g("customers", "now"))
+    audit.add("label absent attributes", None, "customers", lambda g: g("customers", "absent"))
+    return seen.drop(before, f"{before}_absent")

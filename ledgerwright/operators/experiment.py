@@ -11,15 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import ratio, total, total_if
-from ..functions.naming import own
+from ..functions.running import first_rows
 
 ARMS = ("control", "treatment")
 
 
 def first_assignment(assignments: DataFrame) -> DataFrame:
-    (n,) = own(assignments, "__n")
-    w = Window.partitionBy("customer_id").orderBy("assigned_date", "variant")
-    return assignments.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n)
+    return first_rows(assignments, ("customer_id",), [F.col("assigned_date"), F.col("variant")])
 
 
 def check_srm(assignments: DataFrame) -> DataFrame:

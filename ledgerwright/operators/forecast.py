@@ -11,8 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import Grid, asof_expand
-from ..functions.money import total
+from ..functions.calendar import Grid, asof_sums
 
 
 @dataclass(frozen=True)
@@ -27,10 +26,17 @@ class Plan:
 
 def weekly_revenue(subscriptions: DataFrame, grid: Grid, least: float = 0.0) -> DataFrame:
     """week, mrr, subscriptions: revenue live on each Sunday, of weeks above ``least``; weeks without any are 0."""
-    live = asof_expand(subscriptions.select("mrr", "period_start", "period_end"), grid, "week").groupBy("week").agg(total("mrr").alias("mrr"), F.count(F.lit(1)).alias("subscriptions"))
-    weeks = grid.points(subscriptions.sparkSession, "week")
-    out = weeks.join(live, "week", "left").select("week", F.coalesce("mrr", F.lit(0)).cast("decimal(28,2)").alias("mrr"), F.coalesce("subscriptions", F.lit(0)).cast("bigint").alias("subscriptions"))
-    return out.where(F.col("mrr") > least)
+    return _live(subscriptions, grid, "week").where(F.col("mrr") > least)
+
+
+def daily_revenue(subscriptions: DataFrame, grid: Grid, by: list[str] | None = None) -> DataFrame:
+    """day, what it is cut by, mrr and subscriptions live on each day; by key from its first day on."""
+    return _live(subscriptions, grid, "day", by)
+
+
+def _live(subscriptions: DataFrame, grid: Grid, name: str, by: list[str] | None = None) -> DataFrame:
+    sums = asof_sums(subscriptions, grid, name, {"mrr": F.col("mrr"), "subscriptions": F.lit(1).cast("bigint")}, by)
+    return sums.withColumns({"mrr": F.coalesce("mrr", F.lit(0)).cast("decimal(28,2)"), "subscriptions": F.col("subscriptions").cast("bigint")})
 
 
 def growth(series: DataFrame) -> DataFrame:

@@ -9,9 +9,13 @@ from ..functions.calendar import Grid, asof_expand
 from ..functions.money import ratio, total, total_if
 
 
-def build_panel(subscriptions: DataFrame, grid: Grid) -> DataFrame:
-    """month, customer_id, mrr, plan_tier (of the lowest subscription_id): one row a live customer and month."""
+def build_panel(subscriptions: DataFrame, grid: Grid, months: DataFrame | None = None) -> DataFrame:
+    """month, customer_id, mrr, plan_tier (of the lowest subscription_id): one row a live customer and month.
+
+    ``months``: only these months of the grid."""
     live = asof_expand(subscriptions.select("subscription_id", "customer_id", "plan_tier", "mrr", "period_start", "period_end"), grid, "month")
+    if months is not None:
+        live = live.join(F.broadcast(months.select("month").distinct()), "month", "left_semi")  # at most the grid's months
     return live.groupBy("month", "customer_id").agg(total("mrr").alias("mrr"), F.min_by("plan_tier", "subscription_id").alias("plan_tier"))
 
 

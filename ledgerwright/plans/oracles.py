@@ -102,9 +102,12 @@ _BOOTSTRAP = f"""WITH r AS (SELECT k, CAST(('0x' || substr(md5('7:replicate:' ||
       l AS (SELECT k, sum((t1 / t0 - c1 / c0) * (c0 + t0)) / sum(c0 + t0) AS lift FROM s WHERE least(cn, tn) >= 20 AND c0 > 0 AND t0 > 0 GROUP BY k)
       SELECT round(low, 8) AS low, round(high, 8) AS high, replicates, low <= 0 AND high >= 0 AS includes_zero FROM (SELECT quantile_cont(lift, {(1 - 0.95) / 2!r}) AS low, quantile_cont(lift, {1 - (1 - 0.95) / 2!r}) AS high, count(*) AS replicates FROM l)"""
 
+_ENDS = "SELECT least(min(period_start), min(period_end)) AS a, greatest(max(period_start), max(period_end)) AS z FROM raw_subscriptions"
+_GRAINS = "struct_pack(grain := 'year', period := strftime(month, '%Y')), struct_pack(grain := 'quarter', period := year(month) || '-Q' || quarter(month)), struct_pack(grain := 'month', period := strftime(month, '%Y-%m'))"
+
 FINAL = {
-    "s08_months": "SELECT month FROM months",
-    "s08_sundays": "SELECT week FROM weeks",
+    "s08_months": f"SELECT CAST(unnest(generate_series(date_trunc('month', a), z, INTERVAL 1 MONTH)) AS DATE) AS month FROM ({_ENDS})",
+    "s08_sundays": f"SELECT day AS week FROM (SELECT CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS day FROM ({_ENDS})) WHERE dayofweek(day) = 0",
     "c01_parse_amounts": "SELECT invoice_id, customer_id, issued_date, CAST(amount AS DOUBLE) AS amount, CAST(base_amount AS DOUBLE) AS base_amount, CAST(addon_amount AS DOUBLE) AS addon_amount, status FROM inv",
     "c02_amounts_audit": "SELECT 'parse amounts' AS step, CAST(count(*) AS BIGINT) AS rows_affected FROM raw_invoices WHERE concat(amount, base_amount, addon_amount) SIMILAR TO '.*[$,()].*'",
     "c03_unique_invoices": "SELECT customer_id, status, CAST(count(*) AS BIGINT) AS rows, CAST(sum(amount) AS DOUBLE) AS dollars FROM uniq GROUP BY ALL",
@@ -129,6 +132,7 @@ FINAL = {
             _AUDIT.format("flag time zone drift", "usage_events", "0", "raw_usage_events WHERE CAST(event_ts AS DATE) <> event_date"),
         )
     ),
+    "c12_dispositions": """SELECT status, disposition, CAST(count(*) AS BIGINT) AS rows, CAST(sum(amount) AS DOUBLE) AS dollars FROM (SELECT status, 'duplicate' AS disposition, amount FROM dups UNION ALL SELECT status, 'orphan', amount FROM orphans UNION ALL SELECT status, 'clean', amount FROM owned) GROUP BY ALL""",
     "l01_ledger": """WITH s AS (SELECT 1 AS k, 1 AS g, amount FROM inv UNION ALL SELECT 2, -1, amount FROM dups UNION ALL SELECT 3, -1, amount FROM orphans UNION ALL SELECT 4, 1, amount FROM owned)
       SELECT CAST(k AS BIGINT) AS line_no, ['raw invoice rows', 'less duplicates', 'less orphans', 'clean invoice rows'][k] AS line, CAST(any_value(g) * count(*) AS BIGINT) AS rows, CAST(any_value(g) * sum(amount) AS DOUBLE) AS dollars FROM s GROUP BY k
       UNION ALL SELECT 5, 'unexplained', CAST(sum(CASE WHEN k = 4 THEN -1 ELSE g END) AS BIGINT), CAST(sum(CASE WHEN k = 4 THEN -amount ELSE g * amount END) AS DOUBLE) FROM s""",
@@ -163,6 +167,8 @@ FINAL = {
     "e08_bootstrap": _BOOTSTRAP,
     "e09_by_segment": f"SELECT segment, control_customers, treatment_customers, control_retention, treatment_retention, treatment_retention - control_retention AS lift, weight FROM ({_SEG.format('pure')})",
     "t01_weekly_revenue": "SELECT week, CAST(mrr AS DOUBLE) AS mrr, subscriptions FROM weekly",
+    "t03_daily_revenue": f"""WITH n AS (SELECT plan_tier, CAST(unnest(generate_series(min(period_start), DATE '{LAST_MONTH}', INTERVAL 1 DAY)) AS DATE) AS day FROM subs WHERE period_end IS NULL OR period_end > period_start GROUP BY plan_tier)
+      SELECT n.plan_tier, n.day, CAST(coalesce(sum(s.mrr), 0) AS DOUBLE) AS mrr, CAST(count(s.mrr) AS BIGINT) AS subscriptions FROM n LEFT JOIN subs s ON s.plan_tier = n.plan_tier AND s.period_start <= n.day AND coalesce(s.period_end, DATE '{AS_OF}') > n.day GROUP BY n.plan_tier, n.day""",
     "t02_growth": "WITH k AS (SELECT row_number() OVER (ORDER BY week DESC) AS k, CAST(mrr AS DOUBLE) AS x FROM weekly) SELECT (SELECT x FROM k WHERE k = 1) / (SELECT x FROM k WHERE k = 14) - 1 AS latest, (SELECT x FROM k WHERE k = 14) / (SELECT x FROM k WHERE k = 27) - 1 AS quarter_before, (SELECT x FROM k WHERE k = 53) / (SELECT x FROM k WHERE k = 66) - 1 AS year_before",
     "b01_backtest": "SELECT origin, model, horizon, round(predicted, 6) AS predicted, round(actual, 6) AS actual, round(error, 6) AS error, round(ape, 6) AS abs_pct_error FROM results",
     "b02_scores": _SCORE.format("results"),
@@ -174,10 +180,10 @@ FINAL = {
       SELECT model, round(a, 4) AS early_bias, round(l, 4) AS late_bias, round(z, 4) AS latest_bias, a * l < 0 AS sign_flipped, l > a AS trending_up FROM m""",
     "b07_intervals": "SELECT model, horizon, round(p05, 8) AS p05, round(p50, 8) AS p50, round(p95, 8) AS p95, round(mape, 8) AS mape FROM bands",
     "b08_forecast": "SELECT model, horizon, week, round(raw_forecast, 4) AS raw_forecast, round(forecast, 4) AS forecast, round(lower, 4) AS lower, round(upper, 4) AS upper FROM future",
-    "x01_dim_date": """SELECT d AS date, CAST(strftime(d, '%Y%m%d') AS BIGINT) AS date_key, CAST(year(d) AS BIGINT) AS year, 'Q' || quarter(d) AS quarter, CAST(month(d) AS BIGINT) AS month_num, strftime(d, '%b') AS month_name, CAST(date_trunc('month', d) AS DATE) AS month_start, strftime(d, '%Y-%m') AS year_month,
-      CAST(strftime(d, '%Y%m') AS BIGINT) AS year_month_sort, CAST(date_trunc('week', d) AS DATE) AS week_start, day(d) = 1 AS is_month_start FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS d)""",
+    "x01_dim_date": f"""SELECT d AS date, CAST(strftime(d, '%Y%m%d') AS BIGINT) AS date_key, CAST(year(d) AS BIGINT) AS year, 'Q' || quarter(d) AS quarter, CAST(month(d) AS BIGINT) AS month_num, strftime(d, '%b') AS month_name, CAST(date_trunc('month', d) AS DATE) AS month_start, strftime(d, '%Y-%m') AS year_month,
+      CAST(strftime(d, '%Y%m') AS BIGINT) AS year_month_sort, CAST(date_trunc('week', d) AS DATE) AS week_start, day(d) = 1 AS is_month_start FROM (SELECT CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS d FROM ({_ENDS}))""",
     "x02_dim_customer": "SELECT customer_id, company_name, segment, industry, region, acquisition_channel, signup_date, CAST(date_trunc('month', signup_date) AS DATE) AS signup_month, year(signup_date) || '-Q' || quarter(signup_date) AS signup_cohort FROM cust",
-    "x03_dim_plan": "SELECT * FROM (VALUES ('Starter', 99.0::DOUBLE, 1::BIGINT), ('Growth', 499.0::DOUBLE, 2::BIGINT), ('Enterprise', 2400.0::DOUBLE, 3::BIGINT)) t(plan_tier, list_price, tier_rank)",
+    "x03_dim_plan": "SELECT s.plan_tier, list_price, tier_rank, CAST(count(*) AS BIGINT) AS periods, min(period_start) AS first_sold FROM subs s LEFT JOIN (VALUES ('Starter', 99.0::DOUBLE, 1::BIGINT), ('Growth', 499.0::DOUBLE, 2::BIGINT), ('Enterprise', 2400.0::DOUBLE, 3::BIGINT)) t(plan_tier, list_price, tier_rank) ON t.plan_tier = s.plan_tier WHERE s.plan_tier IS NOT NULL GROUP BY ALL",
     "x04_fact_mrr": "SELECT CAST(strftime(month, '%Y%m%d') AS BIGINT) AS date_key, customer_id, plan_tier, CAST(mrr AS DOUBLE) AS mrr FROM panel",
     "x05_fact_movement": "SELECT *, CAST(strftime(month, '%Y%m%d') AS BIGINT) AS date_key FROM movement",
     "x06_fact_forecast": """SELECT CAST(strftime(week, '%Y%m%d') AS BIGINT) AS date_key, week, round(CAST(mrr AS DOUBLE), 4) AS actual, CAST(NULL AS BIGINT) AS horizon, CAST(NULL AS DOUBLE) AS raw_forecast, CAST(NULL AS DOUBLE) AS forecast, CAST(NULL AS DOUBLE) AS lower, CAST(NULL AS DOUBLE) AS upper, CAST(NULL AS VARCHAR) AS model FROM weekly
@@ -188,6 +194,17 @@ FINAL = {
     "k13_revenue_by_channel": _REV.format(by="acquisition_channel", join="JOIN cust USING (customer_id)"),
     "k13_revenue_by_cohort": _REV.format(by="signup_cohort", join="JOIN (SELECT customer_id, year(signup_date) || '-Q' || quarter(signup_date) AS signup_cohort FROM cust) USING (customer_id)"),
     "k13_revenue_by_plan_rank": _REV.format(by="tier_rank, plan_tier", join="JOIN (VALUES ('Starter', 1::BIGINT), ('Growth', 2::BIGINT), ('Enterprise', 3::BIGINT)) t(plan_tier, tier_rank) USING (plan_tier)"),
+    "k02_revenue_by_period": f"""WITH p AS (SELECT month, unnest([{_GRAINS}]) AS g FROM (SELECT DISTINCT month FROM panel)), l AS (SELECT g.grain AS grain, g.period AS period, max(month) AS last FROM p GROUP BY 1, 2),
+      f AS (SELECT month, customer_id, mrr, unnest([struct_pack(dimension := 'total', value := 'all'), struct_pack(dimension := 'segment', value := segment), struct_pack(dimension := 'plan_tier', value := plan_tier), struct_pack(dimension := 'acquisition_channel', value := acquisition_channel)]) AS d FROM panel JOIN cust USING (customer_id)),
+      m AS (SELECT grain, period, last, d.dimension AS dimension, d.value AS value, coalesce(sum(mrr) FILTER (WHERE month = last), 0) AS now, coalesce(sum(mrr) FILTER (WHERE month < last), 0) AS was, count(DISTINCT customer_id) FILTER (WHERE month = last) AS n FROM l JOIN f ON f.month = l.last OR f.month = CAST(l.last - INTERVAL 12 MONTH AS DATE) WHERE d.value IS NOT NULL GROUP BY ALL)
+      SELECT grain, period, CAST(strftime(last, '%Y%m%d') AS BIGINT) AS last_date_key, dimension, value, CAST(now AS DOUBLE) AS total_mrr, CAST(n AS BIGINT) AS active_customers, CAST(was AS DOUBLE) AS mrr_last_year, CAST(now * 12 AS DOUBLE) AS total_arr, CASE WHEN n > 0 THEN CAST(now AS DOUBLE) / n END AS mrr_per_customer, CASE WHEN was <> 0 THEN CAST(now - was AS DOUBLE) / CAST(was AS DOUBLE) END AS mrr_yoy FROM m""",
+    "k06_movement_by_period": f"WITH p AS (SELECT movement.*, unnest([{_GRAINS}]) AS g FROM movement) SELECT * EXCLUDE (g), g.grain AS grain, g.period AS period FROM p QUALIFY row_number() OVER (PARTITION BY g.grain, g.period ORDER BY month DESC) = 1",
+    "m01_policy_metrics": """WITH c AS (SELECT month, count(*) AS n, count(*) FILTER (WHERE now = 0) AS gone, CAST(sum(was) AS DOUBLE) AS a, CAST(coalesce(sum(was) FILTER (WHERE now = 0), 0) AS DOUBLE) AS lost, CAST(coalesce(sum(was - now) FILTER (WHERE now <> 0 AND now < was), 0) AS DOUBLE) AS less, CAST(coalesce(sum(now - was) FILTER (WHERE now <> 0 AND now > was), 0) AS DOUBLE) AS more FROM pairs_12 GROUP BY month)
+      SELECT p.month, round(mrr, 8) AS mrr, round(12 * mrr, 8) AS arr, round(addon, 8) AS addon_revenue, round(CAST(gone AS DOUBLE) / nullif(n, 0), 8) AS logo_churn, round(lost / nullif(a, 0), 8) AS revenue_churn, round(less / nullif(a, 0), 8) AS contraction, round(more / nullif(a, 0), 8) AS expansion, round((a - lost - less) / nullif(a, 0), 8) AS gross_revenue_retention, round((a - lost - less + more) / nullif(a, 0), 8) AS net_revenue_retention
+      FROM (SELECT month, CAST(sum(mrr) AS DOUBLE) AS mrr FROM panel GROUP BY month) p LEFT JOIN (SELECT CAST(date_trunc('month', effective_date) AS DATE) AS month, CAST(sum(addon_amount) AS DOUBLE) AS addon FROM dated GROUP BY 1) USING (month) LEFT JOIN c USING (month)""",
+    "c06_touched_months": f"""WITH k AS (SELECT DISTINCT customer_id, period_start FROM raw_subscriptions WHERE is_correction), t AS (SELECT * FROM raw_subscriptions s WHERE is_correction OR (customer_id, period_start) IN (SELECT (customer_id, period_start) FROM k))
+      SELECT m.month, CAST(coalesce(sum(mrr) FILTER (WHERE NOT is_correction), 0) AS DOUBLE) AS replaced_mrr, CAST(coalesce(sum(mrr) FILTER (WHERE is_correction), 0) AS DOUBLE) AS corrected_mrr, CAST(count(DISTINCT customer_id) AS BIGINT) AS customers FROM months m JOIN t ON t.period_start <= m.month AND coalesce(t.period_end, DATE '{AS_OF}') > m.month GROUP BY m.month""",
+    "d01_restated_panel": "SELECT month, customer_id, CAST(mrr AS DOUBLE) AS mrr, plan_tier FROM panel",
     "k05_latest_movement": "SELECT * FROM movement ORDER BY month DESC LIMIT 1",
 }
 

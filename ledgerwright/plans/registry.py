@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import contract as policy
-from ..functions.calendar import Grid
-from ..operators import cleaning, experiment, forecast, reconcile, retention, star
+from ..functions.calendar import Grid, span
+from ..operators import cleaning, experiment, forecast, metrics, reconcile, restatement, retention, star
 from . import bindings as b
 
 MONTHS = Grid(b.FIRST_MONTH, b.LAST_MONTH, "month", b.AS_OF)
+DAYS = Grid(b.FIRST_MONTH, b.LAST_MONTH, "day", b.AS_OF)
 WEEKS = Grid(b.FIRST_WEEK, b.LAST_WEEK, "week", b.AS_OF)
 ORDER = ["invoice_id", "base_amount", "addon_amount", "reverses_invoice_id"]
 LEAST_COHORT = 50
@@ -46,10 +47,6 @@ class Data:
     def owned(self) -> cleaning.Step:
         return cleaning.quarantine_orphans(self.unique.kept, self.raw["known_customers"])
 
-    @cached_property
-    def fates(self) -> DataFrame:
-        return cleaning.dispositions(self.amounts.kept, self.raw["known_customers"], [F.col(c) for c in ORDER])
-
     @cached_property
     def dated(self) -> cleaning.Step:
         return cleaning.attribute_refunds(self.owned.kept, self.contract)
@@ -124,8 +121,8 @@ def query(name: str, digits: int | None = None):
 
 SUBS = ["subscription_id", "customer_id", "plan_tier", "mrr", "period_start", "period_end", "status"]
 
-query("s08_months")(lambda d: MONTHS.points(d.spark, "month"))
-query("s08_sundays")(lambda d: WEEKS.points(d.spark, "week"))
+query("s08_months")(lambda d: span(d.raw["subscriptions"], ["period_start", "period_end"], "month", "month"))
+query("s08_sundays")(lambda d: span(d.raw["subscriptions"], ["period_start", "period_end"], "week", "week"))
 query("c01_parse_amounts")(lambda d: d.amounts.kept.select("invoice_id", "customer_id", "issued_date", "amount", "base_amount", "addon_amount", "status"))
 query("c02_amounts_audit")(lambda d: d.amounts.audit.select("step", "rows_affected"))
 query("c03_unique_invoices")(lambda d: d.unique.kept.groupBy("customer_id", "status").agg(F.count(F.lit(1)).alias("rows"), F.sum("amount").alias("dollars")))
@@ -143,14 +140,14 @@ query("c10_drift")(lambda d: cleaning.flag_drift(d.raw["usage_events"]).kept.sel
 def _audit(d: Data) -> DataFrame:
     usage = cleaning.flag_drift(d.raw["usage_events"])
     raw = d.raw["invoices"].withColumns({f"raw_{c}": F.col(c) for c in cleaning.AMOUNTS} | {c: cleaning.parse_amount(F.col(c)) for c in cleaning.AMOUNTS})
-    fates = cleaning.dispositions(raw, d.raw["known_customers"], [F.col(c) for c in ORDER])
-    invoices = cleaning.invoice_audit(fates.withColumn("parsed", F.col("amount")), tuple(f"raw_{c}" for c in cleaning.AMOUNTS))
-    refunds = cleaning.attribute_refunds(fates.where("disposition = 'clean'"), d.contract)
+    invoices = cleaning.invoice_audit(raw, d.unique.kept, d.raw["known_customers"], tuple(f"raw_{c}" for c in cleaning.AMOUNTS))
+    refunds = cleaning.attribute_refunds(d.owned.kept, d.contract)
     rest = cleaning.audit_table([d.customers, refunds, d.restated, d.resolved, usage])
     return invoices.unionByName(rest).select("step", "table", "rows_affected", "dollars")
 
 
-query("l01_ledger")(lambda d: reconcile.ledger_of(d.fates))
+query("c12_dispositions")(lambda d: cleaning.dispositions(d.amounts.kept, d.raw["known_customers"], [F.col(c) for c in ORDER]).groupBy("status", "disposition").agg(F.count(F.lit(1)).alias("rows"), F.sum("amount").alias("dollars")))
+query("l01_ledger")(lambda d: reconcile.ledger_of(d.amounts.kept, d.unique.kept, d.raw["known_customers"]))
 query("l10_monthly_bridge")(lambda d: d.bridge)
 query("l12_verdict")(lambda d: reconcile.verdict(d.bridge))
 query("l14_coverage")(lambda d: reconcile.coverage(d.dated.kept, Grid("1995-06-01", "2001-06-01", "month", b.AS_OF)))
@@ -178,6 +175,7 @@ query("e08_corrected_lift", 8)(lambda d: experiment.stratified_lift(d.outcomes,
 query("e08_bootstrap", 8)(lambda d: experiment.bootstrap(d.outcomes, experiment.contaminated(d.raw["assignments"]), least=LEAST_STRATUM))
 query("e09_by_segment")(lambda d: experiment.by_segment(d.outcomes, experiment.contaminated(d.raw["assignments"]), LEAST_STRATUM))
 query("t01_weekly_revenue")(lambda d: d.weekly)
+query("t03_daily_revenue")(lambda d: forecast.daily_revenue(d.restated.kept, DAYS, ["plan_tier"]))
 query("t02_growth")(lambda d: forecast.growth(d.weekly))
 query("b01_backtest", 6)(lambda d: d.results.select("origin", "model", "horizon", "predicted", "actual", "error", "abs_pct_error"))
 query("b02_scores", 6)(lambda d: forecast.score(d.results))
@@ -187,9 +185,9 @@ query("b05_winner", 6)(lambda d: forecast.winner(d.results))
 query("b06_bias_drift", 4)(lambda d: forecast.bias_drift(d.results))
 query("b07_intervals", 8)(lambda d: forecast.intervals(d.results))
 query("b08_forecast", 4)(lambda d: forecast.forecast(d.weekly, results=d.results))
-query("x01_dim_date")(lambda d: star.dim_date(d.spark, "1995-01-01", "2001-12-31"))
+query("x01_dim_date")(lambda d: star.dim_date_of(d.raw["subscriptions"], ["period_start", "period_end"]))
 query("x02_dim_customer")(lambda d: star.dim_customer(d.customers.kept))
-query("x03_dim_plan")(lambda d: star.dim_plan(d.spark))
+query("x03_dim_plan")(lambda d: star.dim_plan_of(d.restated.kept))
 query("x04_fact_mrr")(lambda d: star.fact_mrr(d.panel))
 query("x05_fact_movement")(lambda d: star.with_date_key(d.movement, "month"))
 query("x06_fact_forecast", 4)(lambda d: star.fact_forecast(d.weekly, forecast.forecast(d.weekly, results=d.results), "drift"))
@@ -199,6 +197,11 @@ query("k01_revenue_by_plan")(lambda d: star.revenue_by(star.fact_mrr(d.panel), N
 query("k13_revenue_by_channel")(lambda d: star.revenue_by(star.fact_mrr(d.panel), star.dim_customer(d.customers.kept).select("customer_id", "acquisition_channel"), ["acquisition_channel"]))
 query("k13_revenue_by_cohort")(lambda d: star.revenue_by(star.fact_mrr(d.panel), star.dim_customer(d.customers.kept).select("customer_id", "signup_cohort"), ["signup_cohort"]))
 query("k13_revenue_by_plan_rank")(lambda d: star.revenue_by(star.fact_mrr(d.panel).join(F.broadcast(star.dim_plan(d.spark)), "plan_tier"), None, ["tier_rank", "plan_tier"]))
+query("k02_revenue_by_period")(lambda d: star.revenue_by_period(star.fact_mrr(d.panel), d.customers.kept.select("customer_id", "segment", "acquisition_channel"), ["segment", "plan_tier", "acquisition_channel"]))
+query("k06_movement_by_period")(lambda d: star.movement_by_period(d.movement))
+query("m01_policy_metrics", 8)(lambda d: metrics.by_month(d.contract, metrics.tables(d.panel, d.dated.kept)))
+query("c06_touched_months")(lambda d: restatement.touched_months(d.raw["subscriptions"], MONTHS))
+query("d01_restated_panel")(lambda d: restatement.restated_panel(d.raw["subscriptions"], MONTHS, d.contract))
 query("k05_latest_movement")(lambda d: star.latest_movement(d.movement))
 
 
