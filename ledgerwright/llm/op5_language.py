@@ -207,7 +207,7 @@ def train(samples: list[tuple[str, str]], seed: int = 1, epochs: int = 4, rate:
         marks = np.concatenate([np.cumsum([0] + [len(lines[i][0]) + 1 for i in c[:-1]]) + a for c, a in zip(batch, at[:-1])])
         label = np.array([lines[i][1] for c in batch for i in c])[np.searchsorted(marks, w.start, side="right") - 1]
         prepared.append((*word_features(block, w), w.first, label))
-    speed, speed_t = np.full((TABLE, k), 1e-2, np.float32), np.full((k, k), 1e-2)
+    speed, speed_t, speed_s = np.full((TABLE, k), 1e-2, np.float32), np.full((k, k), 1e-2), np.full(k, 1e-2)
     for _ in range(epochs):
         for own, triples, first, chain, label in (prepared[i] for i in rng.permutation(len(prepared))):
             if not len(label):
@@ -215,8 +215,9 @@ def train(samples: list[tuple[str, str]], seed: int = 1, epochs: int = 4, rate:
             p, expected = marginals(emissions(weights, own, triples, first), chain, start, trans, expect=True)
             wrong = p.copy()
             wrong[np.arange(len(label)), label] -= 1
+            heads = chain[:-1][np.diff(chain) > 0]
             inner = np.ones(len(label), bool)
-            inner[chain[:-1][np.diff(chain) > 0]] = False
+            inner[heads] = False
             i = np.flatnonzero(inner)
             seen = np.bincount(label[i - 1] * k + label[i], minlength=k * k).reshape(k, k)
             flat = np.concatenate([own.ravel(), triples])
@@ -229,6 +230,9 @@ def train(samples: list[tuple[str, str]], seed: int = 1, epochs: int = 4, rate:
             g = (expected - seen) / np.sqrt(len(label))
             speed_t += g**2
             trans -= rate * g / np.sqrt(speed_t)
+            g = wrong[heads].sum(axis=0) / np.sqrt(len(label))
+            speed_s += g**2
+            start -= rate * g / np.sqrt(speed_s)
     return Tagger(languages, weights, start, trans)
 
 

@@ -76,7 +76,7 @@ def write_media(payload: bytes) -> bytes:
 
 
 def walk(data: bytes, lo: int = 0, hi: int | None = None, path: tuple[bytes, ...] = ()):
-    """(path, first byte of the content, end) of every box, outer boxes first. Sizes are checked, never trusted."""
+    """(path, first byte of the content, end, first byte of the box) of every box, outer boxes first. Sizes are checked, never trusted."""
     hi = len(data) if hi is None else hi
     while lo < hi:
         if hi - lo < 8:
@@ -95,7 +95,7 @@ def walk(data: bytes, lo: int = 0, hi: int | None = None, path: tuple[bytes, ...
         if lo + size > hi or body > lo + size:
             raise BadMedia(f"box {kind!r} at {lo} has a wrong size")
         here = (*path, kind)
-        yield here, body, lo + size
+        yield here, body, lo + size, lo
         if kind in _CONTAINERS:
             if len(here) > _DEEPEST:
                 raise BadMedia("boxes are nested too deeply")
@@ -172,15 +172,18 @@ _NOT_KEY = 0x10000
 
 
 class _Fragment:
-    """One track's part of a moof box: where its data begin, and what its samples have unless a run says otherwise."""
+    """One track's part of a moof box: where its data begin, and what its samples have unless a run says otherwise.
 
-    def __init__(self, data: bytes, lo: int, hi: int, moof: int, by_number: dict[int, _Track]):
+    Data are counted from the place that the header names, from the first byte of the moof box where it says so, and
+    else from where the part before it in the same moof box (``before``) ends: the first part begins at the moof box."""
+
+    def __init__(self, data: bytes, lo: int, hi: int, moof: int, before: int | None, by_number: dict[int, _Track]):
         flags, number = _read(">II", data, lo, hi)
         if number not in by_number:
             raise BadMedia(f"a fragment of track {number}, which there is none of")
         self.track = by_number[number]
         at, values = lo + 8, list(self.track.defaults)
-        self.base = moof
+        self.base = moof if before is None or flags & _MOOF_BASE else before
         if flags & _BASE:
             (self.base,) = _read(">Q", data, at, hi)
             at += 8
@@ -223,8 +226,8 @@ def tracks(data: bytes) -> list[dict]:
     """
     found: list[_Track] = []
     defaults: dict[int, tuple[int, int, int]] = {}
-    moof, fragment, by_number = 0, None, None
-    for path, lo, hi in walk(data):
+    moof, fragment, before, by_number = 0, None, None, None
+    for path, lo, hi, box in walk(data):
         kind = path[-1]
         if kind == b"trak":
             found.append(_Track())
@@ -232,15 +235,15 @@ def tracks(data: bytes) -> list[dict]:
             number, _, *rest = _read(">IIIII", data, lo + 4, hi)
             defaults[number] = tuple(rest)
         elif kind == b"moof":
-            moof, fragment = lo - 8, None
+            moof, fragment, before = box, None, None
         elif kind == b"traf":
-            fragment = None
+            before, fragment = fragment.next if fragment is not None else before, None
         elif kind == b"tfhd" and b"traf" in path:
             if by_number is None:
                 by_number = {t.number: t for t in found}
                 for number, t in by_number.items():
                     t.defaults = defaults.get(number, t.defaults)
-            fragment = _Fragment(data, lo, hi, moof, by_number)
+            fragment = _Fragment(data, lo, hi, moof, before, by_number)
         elif kind == b"trun" and b"traf" in path:
             if fragment is None:
                 raise BadMedia("a run of samples without a fragment header")

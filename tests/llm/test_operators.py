@@ -562,6 +562,33 @@ def test_languages(spark, real, odd, none):
     assert share("en", 0, n) > 0.6 and share("de", n, len(mixed.encode())) > 0.6
 
 
+def test_words_of_every_pair_of_languages(spark, real):
+    """Lines of texts that were not learned from, of two languages in turn: 95 of 100 words get their own."""
+    from itertools import permutations
+
+    held = F.col("doc_id") % 3 == 1
+    tagger = op5_language.fit(real, use=~held)
+    texts = real.where(held).where("n_chars between 200 and 4000 and lang is not null").select("lang", "text").collect()
+    by: dict = {}
+    for r in texts:
+        # letters alone are words; a line of another kind (numbers, marks) has none
+        by.setdefault(r["lang"], []).extend(" ".join(x) for x in (re.findall(r"[^\W\d_]+", line) for line in r["text"].split("\n")) if len(x) >= 5)
+    docs, want = [], []
+    for k, (a, b) in enumerate(permutations(sorted(by), 2)):
+        lines = [x for pair in zip(by[a][:12], by[b][:12]) for x in pair]
+        docs.append((k, "\n".join(lines)))
+        want.append([g for i, line in enumerate(lines) for g in [(a, b)[i % 2]] * len(line.split())])
+    right = collections.Counter()
+    for r in op5_language.label_words(table(spark, docs), tagger).collect():
+        text = dict(docs)[r["doc_id"]].encode()
+        got = [run["lang"] for run in r["runs"] for _ in text[run["start"] : run["end"]].split()]
+        assert len(got) == len(want[r["doc_id"]])
+        right.update(x == y for x, y in zip(got, want[r["doc_id"]]))
+    print("words", right)
+    assert right[True] >= 0.95 * sum(right.values()) and sum(right.values()) > 500
+    assert np.abs(tagger.start).max() > 0  # the first word's language is learned, too
+
+
 def test_language_sample_is_full(spark, monkeypatch):
     drawn = []
     monkeypatch.setattr(op5_language, "train", drawn.extend)
@@ -746,7 +773,7 @@ def test_short_boxes_are_told():
         with pytest.raises(op7_media.BadMedia):
             op7_media.tracks(box(b"moov", box(b"trak", box(b"mdia", inside) if inside[4:8] != b"tkhd" else inside)))
     whole = op7_media.write_media(bytes(576))
-    stbl = [(lo, hi) for path, lo, hi in op7_media.walk(whole) if path[-1] in (b"stsz", b"stsc", b"co64", b"stss", b"stts", b"stsd", b"mdhd", b"hdlr")]
+    stbl = [(lo, hi) for path, lo, hi, _ in op7_media.walk(whole) if path[-1] in (b"stsz", b"stsc", b"co64", b"stss", b"stts", b"stsd", b"mdhd", b"hdlr")]
     for lo, hi in stbl:  # every box, cut to every shorter length, is read or refused
         for n in range(hi - lo):
             kind, body = whole[lo - 4 : lo], whole[lo : lo + n]
@@ -784,6 +811,47 @@ def test_compact_sizes_and_fragments():
         op7_media.tracks(whole[:-20] + box(b"mdat", b""))
 
 
+def plain_fragments(whole, moof_at, tables):
+    """Places of the samples of each part (flags, base or None, runs of (offset or None, sizes)) of one moof box, by the rules in words."""
+    out, end = [], None
+    for base_is_moof, explicit, runs in tables:
+        base = explicit if explicit is not None else moof_at if base_is_moof or end is None else end
+        at = base
+        for offset, sizes in runs:
+            at = base + offset if offset is not None else at
+            for n in sizes:
+                out.append((at, n))
+                at += n
+        end = at
+    return out
+
+
+@pytest.mark.parametrize("wide", (False, True))
+def test_fragment_bases(wide):
+    """Boxes with 32- and 64-bit sizes; parts with and without a base of their own, after others or first."""
+    import struct
+
+    box, full = op7_media._box, op7_media._full
+
+    def big(kind, *parts):
+        body = b"".join(parts)
+        return struct.pack(">I4sQ", 1, kind, len(body) + 16) + body if wide else box(kind, body)
+
+    rnd = random.Random(7 + wide)
+    trak = box(b"trak", full(b"tkhd", struct.pack(">IIII", 0, 0, 5, 0), bytes(64)), box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 0, 0, 0))))
+    moov = box(b"moov", trak, box(b"mvex", full(b"trex", struct.pack(">IIIII", 5, 1, 40, 10, 0))))
+    for _ in range(30):
+        tables = [(rnd.random() < 0.4, rnd.choice((None, None, 60)), [(rnd.choice((None, 20, 33)), [rnd.randrange(1, 9) for _ in range(rnd.randrange(3))]) for _ in range(rnd.randrange(3))]) for _ in range(rnd.randrange(1, 4))]
+        parts = []
+        for base_is_moof, explicit, runs in tables:
+            head = full(b"tfhd", struct.pack(">I", 5), struct.pack(">Q", explicit) if explicit is not None else b"", flags=(1 if explicit is not None else 0) | (0x20000 if base_is_moof else 0))
+            truns = [full(b"trun", struct.pack(">I", len(sizes)), b"" if offset is None else struct.pack(">i", offset), struct.pack(f">{len(sizes)}I", *sizes), flags=0x200 | (0 if offset is None else 1)) for offset, sizes in runs]
+            parts.append(big(b"traf", head, *truns))
+        whole = moov + big(b"moof", full(b"mfhd", struct.pack(">I", 1)), *parts) + box(b"mdat", bytes(400))
+        (t,) = op7_media.tracks(whole)
+        assert list(zip(t["offsets"].tolist(), t["sizes"].tolist())) == plain_fragments(whole, len(moov), tables)
+
+
 def test_media_columns(spark, tmp_path):
     got = collections.Counter()
     feature = {}
