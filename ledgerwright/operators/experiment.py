@@ -126,7 +126,15 @@ def bootstrap(outcomes: DataFrame, exclude: DataFrame | None = None, replicates:
         for (segment, variant), s in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([segment] * replicates, pa.string()), pa.array([variant] * replicates, pa.string()), pa.array(range(replicates), pa.int32()), *(pa.array(s[:, k]) for k in range(3))], names=names)
 
-    parts = rows.mapInArrow(partial, "segment string, variant string, replicate int, n double, pre double, post double")
+    parts = rows.mapInArrow(partial, _PARTS)
+    return _interval(parts, least, level)
+
+
+_PARTS = "segment string, variant string, replicate int, n double, pre double, post double"
+
+
+def _interval(parts: DataFrame, least: int, level: float) -> DataFrame:
+    """The interval of the stratified lift over replicates, from weighted sums of rows by segment, arm and replicate."""
     arm = lambda a, c: F.coalesce(F.sum(F.when(F.col("variant") == a, F.col(c))), F.lit(0.0)).alias(f"{a[0]}_{c}")
     strata = parts.groupBy("replicate", "segment").agg(*(arm(a, c) for a in ARMS for c in ("n", "pre", "post"))).where((F.least("c_n", "t_n") >= least) & (F.col("c_pre") > 0) & (F.col("t_pre") > 0))
     weight = F.col("c_pre") + F.col("t_pre")
@@ -135,6 +143,66 @@ def bootstrap(outcomes: DataFrame, exclude: DataFrame | None = None, replicates:
     return lifts.agg(F.expr(f"percentile(lift, {tail})").alias("low"), F.expr(f"percentile(lift, {1 - tail})").alias("high"), F.count(F.lit(1)).alias("replicates")).withColumn("includes_zero", (F.col("low") <= 0) & (F.col("high") >= 0))
 
 
+#: Customers that a task resamples at once, and the most tasks that they are dealt to: each has a share of every
+#: replicate's size, which is what the driver sends out (some ten megabytes at most for 600 of them).
+BUCKET, MOST_BUCKETS = 50_000, 2048
+
+
+def split_sizes(counts: list[int], seed: int, replicates: int) -> np.ndarray:
+    """How many of each replicate's draws fall to each bucket: binomial splitting of n draws over n customers."""
+    n = sum(counts)
+    shares = np.array(counts, float) / max(n, 1)
+    return np.stack([np.random.Generator(np.random.PCG64([seed, r])).multinomial(n, shares) for r in range(replicates)]).astype(np.int64)
+
+
+def drawn(seed: int, replicate: int, bucket: int, size: int, draws: int) -> np.ndarray:
+    """How often each of a bucket's customers, in the order of their ids, is drawn in a replicate."""
+    rng = np.random.Generator(np.random.PCG64([seed, replicate, bucket + 1]))
+    return np.bincount(rng.integers(0, size, draws), minlength=size)
+
+
+def resampled(outcomes: DataFrame, exclude: DataFrame | None = None, replicates: int = 600, seed: int = 7, size: int = BUCKET) -> DataFrame:
+    """Weighted sums by segment, arm and replicate of exact resampling with replacement: every replicate has just as many customers
+    as there are, each drawn with the same chance.
+
+    Customers are dealt to buckets by a hash of their id. Of a replicate's draws a bucket gets a binomial share, and
+    deals it to its own customers; so tasks need nothing from each other, and no customer is copied. A repeated task
+    draws alike. First assignments count, rows without a customer_id do not.
+    """
+    rows = outcomes if exclude is None else outcomes.join(exclude, "customer_id", "left_anti")
+    rows = first_assignment(rows).where("customer_id is not null").select(F.col("customer_id").cast("string").alias("who"), "segment", "variant", F.col("pre").cast("double").alias("pre"), F.col("post").cast("double").alias("post"))
+    n = rows.count()
+    buckets = min(MOST_BUCKETS, max(1, -(-n // size)))
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("who"), F.lit(buckets)).cast("int"))
+    counts = [0] * buckets
+    for r in dealt.groupBy("bucket").count().collect():  # at most MOST_BUCKETS rows
+        counts[r["bucket"]] = r["count"]
+    shares = rows.sparkSession.sparkContext.broadcast(split_sizes(counts, seed, replicates))
+
+    def draw(key, table):
+        bucket = key[0].as_py()
+        table = table.take(pa.array(np.argsort(np.array(table.column("who").to_pylist(), object), kind="stable")))
+        group = list(zip(table.column("segment").to_pylist(), table.column("variant").to_pylist()))
+        groups = sorted(set(group), key=repr)
+        own = np.array([groups.index(g) for g in group])
+        pre, post = (table.column(c).to_numpy() for c in ("pre", "post"))
+        sums = np.zeros((replicates, len(groups), 3))
+        for r in range(replicates):
+            w = drawn(seed, r, bucket, len(own), int(shares.value[r, bucket]))
+            for k, v in enumerate((w, w * pre, w * post)):
+                sums[r, :, k] = np.bincount(own, v, len(groups))
+        flat = sums.reshape(-1, 3)
+        segment, variant = ([g[i] for g in groups] * replicates for i in (0, 1))
+        return pa.table([pa.array(segment, pa.string()), pa.array(variant, pa.string()), pa.array(np.repeat(np.arange(replicates), len(groups)).astype(np.int32)), *(pa.array(flat[:, k]) for k in range(3))], names=["segment", "variant", "replicate", "n", "pre", "post"])
+
+    return dealt.groupBy("bucket").applyInArrow(draw, _PARTS)
+
+
+def resampled_interval(outcomes: DataFrame, exclude: DataFrame | None = None, replicates: int = 600, seed: int = 7, least: int = 20, level: float = 0.95, size: int = BUCKET) -> DataFrame:
+    """Interval of the stratified lift by exact resampling with replacement; see resampled()."""
+    return _interval(resampled(outcomes, exclude, replicates, seed, size), least, level)
+
+
 def verdict(chi_squared: float | None, rate: float | None, lift: float | None, low: float | None, high: float | None, alpha: float = 0.01) -> dict:
     """What the experiment can support: whether the split was as meant, whether an effect is apart from zero, and what to do."""
     p = srm_p_value(chi_squared or 0.0)

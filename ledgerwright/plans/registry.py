@@ -173,6 +173,7 @@ query("e06_naive_lift")(lambda d: experiment.naive_lift(d.outcomes))
 query("e07_stratified_lift", 8)(lambda d: experiment.stratified_lift(d.outcomes, least=LEAST_STRATUM))
 query("e08_corrected_lift", 8)(lambda d: experiment.stratified_lift(d.outcomes, experiment.contaminated(d.raw["assignments"]), LEAST_STRATUM))
 query("e08_bootstrap", 8)(lambda d: experiment.bootstrap(d.outcomes, experiment.contaminated(d.raw["assignments"]), least=LEAST_STRATUM))
+query("e10_resampled_interval", 8)(lambda d: experiment.resampled_interval(d.outcomes, experiment.contaminated(d.raw["assignments"]), least=LEAST_STRATUM))
 query("e09_by_segment")(lambda d: experiment.by_segment(d.outcomes, experiment.contaminated(d.raw["assignments"]), LEAST_STRATUM))
 query("t01_weekly_revenue")(lambda d: d.weekly)
 query("t03_daily_revenue")(lambda d: forecast.daily_revenue(d.restated.kept, DAYS, ["plan_tier"]))

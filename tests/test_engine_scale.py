@@ -9,13 +9,14 @@ import random
 from dataclasses import replace
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerwright import contract as policy
 from ledgerwright.functions.calendar import Grid, asof_expand, asof_sums, span
 from ledgerwright.functions.running import first_rows, running_sums
-from ledgerwright.operators import cleaning, metrics, restatement, retention, star
+from ledgerwright.operators import cleaning, experiment, metrics, restatement, retention, star
 from ledgerwright.plans import bindings, registry
 from ledgerwright.streaming import pauses, refunds
 
@@ -228,6 +229,54 @@ def test_only_touched_months_are_rewritten(spark, tmp_path):
     assert restatement.restate(spark, path, after_all, new, grid, with_parameter(restate_history_on_correction=False)) == []
 
 
+# resampling
+
+
+def test_resampling_is_exact(spark):
+    rnd = random.Random(9)
+    rows = [(i, rnd.choice(("control", "treatment")), D(2024, 1, 1), rnd.choice(("A", "B", None)), Decimal(rnd.randrange(50, 150)), Decimal(rnd.randrange(0, 160))) for i in range(700)]
+    o = spark.createDataFrame(rows, "customer_id long, variant string, assigned_date date, segment string, pre decimal(28,2), post decimal(28,2)")
+    replicates = 200
+    for size in (10**6, 90):  # one bucket, and eight
+        got = experiment.resampled(o.repartition(5), None, replicates, 3, size).groupBy("replicate", "segment", "variant").agg(*(F.sum(c).alias(c) for c in ("n", "pre", "post"))).collect()
+        by_replicate = collections.Counter()
+        for r in got:
+            by_replicate[r["replicate"]] += r["n"]
+        assert by_replicate == {k: 700 for k in range(replicates)}
+        # the same draws by a plain loop over customers
+        buckets = -(-700 // size)
+        where = {r["customer_id"]: r["b"] for r in o.select("customer_id", F.pmod(F.xxhash64(F.col("customer_id").cast("string")), F.lit(buckets)).alias("b")).collect()}
+        of = [sorted((r for r in rows if where[r[0]] == b), key=lambda r: str(r[0])) for b in range(buckets)]
+        sizes = experiment.split_sizes([len(x) for x in of], 3, replicates)
+        want: dict = collections.defaultdict(lambda: [0, 0, 0])
+        for k in range(replicates):
+            for b, own in enumerate(of):
+                for r, times in zip(own, experiment.drawn(3, k, b, len(own), sizes[k, b])):
+                    for i, v in enumerate((1, r[4], r[5])):
+                        want[k, r[3], r[1]][i] += int(times) * v
+        assert {(r["replicate"], r["segment"], r["variant"]): [r["n"], r["pre"], r["post"]] for r in got if r["n"]} == {k: [float(x) for x in v] for k, v in want.items() if v[0]}
+    # draws of one customer: mean 1, variance 1 - 1 / n, and the interval is that of plain resampling
+    one = np.array([sum(experiment.drawn(3, k, b, len(own), sizes[k, b])[:1].sum() for b, own in enumerate(of)) for k in range(replicates)])
+    assert abs(one.mean() / buckets - 1) < 0.1
+    interval = experiment.resampled_interval(o, replicates=600).first()
+    generator = np.random.default_rng(1)
+    x = [r for r in rows]
+
+    def lift(sample):
+        sums = collections.defaultdict(lambda: [0.0, 0.0, 0])
+        for r in sample:
+            s = sums[r[3], r[1]]
+            s[0] += float(r[4])
+            s[1] += float(r[5])
+            s[2] += 1
+        parts = [(sums[g, "treatment"][1] / sums[g, "treatment"][0] - sums[g, "control"][1] / sums[g, "control"][0], sums[g, "treatment"][0] + sums[g, "control"][0]) for g in ("A", "B", None)]
+        return sum(a * w for a, w in parts) / sum(w for _, w in parts)
+
+    plain = np.percentile([lift([x[i] for i in generator.integers(0, 700, 700)]) for _ in range(600)], [2.5, 97.5])
+    assert interval["replicates"] == 600 and abs(interval["low"] - plain[0]) < 0.02 and abs(interval["high"] - plain[1]) < 0.02
+    assert experiment.resampled_interval(o.limit(0)).first()["replicates"] == 0
+
+
 # streams
 
 
