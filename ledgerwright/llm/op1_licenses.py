@@ -5,8 +5,8 @@ read line by line and, where it has several lines, as a whole across their break
 neither wrapping hides a notice nor its surroundings dilute it. Multinomial logistic regression over hashed word
 n-grams gives each window a family, ``unknown`` (worded like a licence, but no known one) or ``none``. Its
 probabilities are calibrated by a temperature on held-out examples, some of families that the examples it learns from
-do not have. A predicted family holds only if the window also covers enough of one of the family's templates;
-otherwise the notice is ``unknown``. Negative examples are paragraphs of the corpus itself.
+do not have. A predicted family holds only if the window also covers enough of one of the family's templates and, where
+that names the licence, has one of the family's names unbroken; otherwise the notice is ``unknown``. Negative examples are paragraphs of the corpus itself.
 """
 
 from __future__ import annotations
@@ -73,6 +73,21 @@ TEMPLATES = {
     "mpl": ("this source code form is subject to the terms of the Mozilla Public License v 2.0", "licensed under the Mozilla Public License 2.0"),
     "proprietary": ("all rights reserved no part of this publication may be reproduced or distributed without prior written permission", "this document is confidential and proprietary unauthorized copying is strictly prohibited"),
 }
+#: What each family is called, # for any number. A template that has a name counts only where a window has
+#: one of its family's names, word after word: one word more or less (Affero, Lesser, NC, SA) is another licence.
+NAMES = {
+    "agpl": ("GNU Affero General Public License", "AGPL", "AGPLv3"),
+    "apache": ("Apache License", "apache org licenses", "Apache #"),
+    "bsd": ("BSD",),
+    "cc-by": ("CC BY #", "Creative Commons Attribution #"),
+    "cc-by-nc": ("CC BY NC", "Creative Commons Attribution NonCommercial"),
+    "cc-by-sa": ("CC BY SA", "Creative Commons Attribution ShareAlike"),
+    "cc0": ("CC0",),
+    "gpl": ("GNU General Public License", "GPL", "GPLv2", "GPLv3"),
+    "lgpl": ("GNU Lesser General Public License", "LGPL", "LGPLv2", "LGPLv3"),
+    "mit": ("MIT License",),
+    "mpl": ("Mozilla Public License", "MPL"),
+}
 _LEADS = ("", "", "this work is ", "this project is ", "the code is ", "this file is ", "copyright 2019 the authors ", "note that all of it is ", "© 2021 ", "software ")
 _TAILS = ("", "", " see the file LICENSE", " and later", " by its authors", " unless noted otherwise", " all other rights are kept")
 _OTHER = ("licensed under the {} License version {}", "released under the {} Public License", "distributed under the terms of the {} license {}", "this work is made available under the {} Software License Agreement v{}", "use is subject to the {} community license {}")
@@ -262,6 +277,36 @@ def _templates() -> tuple[list[np.ndarray], np.ndarray]:
     return [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:])], np.array([k for k, _ in flat])
 
 
+def _hash(word: str) -> np.uint64:
+    return tc.words(_block([word]), keep=_KEEP).hash[0]
+
+
+def _plain(data: np.ndarray, w: tc.Words) -> np.ndarray:
+    """The words' hashes with all numbers alike and one spelling of licence, as names are written."""
+    digit = (data[w.start] >= 0x30) & (data[w.start] <= 0x39)
+    return np.where(digit, _U(0), np.where(w.hash == _hash("licence"), _hash("license"), w.hash))
+
+
+def _sequences(texts: list[str]) -> list[np.ndarray]:
+    block = _block([t.replace("#", "0") for t in texts])
+    w = tc.words(block, keep=_KEEP)
+    plain = _plain(block.data, w)
+    return [plain[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
+
+
+def _has(words: np.ndarray, name: np.ndarray) -> bool:
+    """Whether the name's words follow one another somewhere."""
+    n = len(words) - len(name) + 1
+    return n > 0 and bool(np.logical_and.reduce([words[i : i + n] == x for i, x in enumerate(name)]).any())
+
+
+def _names() -> tuple[list[list[np.ndarray]], list[bool]]:
+    """Names of each family, and which templates have one, in the order of _templates()."""
+    names = [_sequences(list(NAMES.get(f, ()))) for f in FAMILIES[:-2]]
+    flat = [(k, t) for k, f in enumerate(FAMILIES[:-2]) for t in TEMPLATES[f]]
+    return names, [any(_has(words, n) for n in names[k]) for (k, _), words in zip(flat, _sequences([t for _, t in flat]))]
+
+
 def _pairs(words: np.ndarray) -> np.ndarray:
     return words[:-1] * _U(0x9E3779B97F4A7C15) + words[1:]
 
@@ -325,17 +370,19 @@ def _logits(x: Windows, model: Classifier) -> np.ndarray:
     return total / np.sqrt(np.maximum(size, 1))[:, None] + model.bias
 
 
-def _judge(w: tc.Words, x: Windows, model: Classifier, least: float):
+def _judge(w: tc.Words, plain: np.ndarray, x: Windows, model: Classifier, least: float):
     """Window, probability of a notice, family or unknown, cover, and the first and last word that the template has."""
     if not len(x.first):
         return
     known, family = _templates()
+    names, named = _names()
     p = _softmax(_logits(x, model) / model.temperature)
     for i in np.flatnonzero(1 - p[:, NONE] >= least).tolist():
         k = int(p[i, :NONE].argmax())
         a, b = int(x.first[i]), int(x.end[i])
         words = w.hash[a:b]
-        mine = [t for t, f in zip(known, family) if f == k]
+        called = k < UNKNOWN and any(_has(plain[a:b], n) for n in names[k])
+        mine = [t for t, f, has in zip(known, family, named) if f == k and (called or not has)]
         covers = [_cover(words, t) for t in mine]
         best = int(np.argmax(covers)) if covers else -1
         cover = covers[best] if covers else 0.0
@@ -355,9 +402,10 @@ def scan(block: tc.Block, model: Classifier, least: float = LEAST) -> list[tuple
     """
     lines, doc, number = paragraphs(block)
     w = tc.words(lines, keep=_KEEP)
+    plain = _plain(lines.data, w)
     best: dict[int, tuple[bool, float, str, float]] = {}
     x = windows(w)
-    for i, chance, name, cover, _, _ in _judge(w, x, model, least):
+    for i, chance, name, cover, _, _ in _judge(w, plain, x, model, least):
         q = int(x.para[i])
         best[q] = max(best.get(q, (False, 0.0, "", 0.0)), (name != "unknown", chance, name, cover))
     across: list[tuple[int, int, float, str, float]] = []
@@ -365,7 +413,7 @@ def scan(block: tc.Block, model: Classifier, least: float = LEAST) -> list[tuple
     x = windows(joined)
     whole = line[x.first] != line[x.end - 1] if len(x.first) else np.empty(0, bool)  # those inside a line are known by now
     x = Windows(x.first[whole], x.end[whole], x.para[whole], x.slots)
-    for i, chance, name, cover, a, b in _judge(w, x, model, least):
+    for i, chance, name, cover, a, b in _judge(w, plain, x, model, least):
         lo, hi = int(line[a]), int(line[b])
         if hi > lo and (name != "unknown" or not any(q in best for q in range(lo, hi + 1))):
             if not any(best.get(q, (False, 0.0, "", 0.0))[2] == name for q in range(lo, hi + 1)):
