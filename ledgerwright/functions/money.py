@@ -13,11 +13,13 @@ def parse_amount(value: Column) -> Column:
     """Amounts such as ``$1,234.56`` or ``(500.00)`` (negative) as decimals; null is 0, other text an error.
 
     Parentheses count as a pair around the whole amount alone; anywhere else they are an error, as is any other
-    text that is no number, whatever the session's ANSI setting."""
+    text that is no number or has parts of a cent, whatever the session's ANSI setting."""
     text = F.trim(value.cast("string"))
     negative = text.startswith("(") & text.endswith(")")
     inner = F.when(negative, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
-    plain = F.translate(inner, "$,", "").try_cast(MONEY)
+    digits = F.translate(inner, "$,", "")
+    exact = digits.try_cast("decimal(38,12)")
+    plain = F.when(exact == exact.cast(MONEY), exact.cast(MONEY))  # nothing is rounded
     sound = F.coalesce(plain, F.raise_error(F.concat(F.lit("not an amount: "), text)).cast(MONEY))
     return F.when(value.isNull(), F.lit(0).cast(MONEY)).when(negative, -sound).otherwise(sound).cast(MONEY)
 

@@ -54,6 +54,13 @@ UP_AFTER = {"Starter": 0.024, "Growth": 0.015, "Enterprise": 0.011}
 PAUSE = {"Starter": 0.010, "Growth": 0.008, "Enterprise": 0.005}
 PAUSE_MONTHS = {1: 0.35, 2: 0.25, 3: 0.15, 4: 0.10, 5: 0.08, 6: 0.07}
 RETURNS = {1: 0.80, 2: 0.62, 3: 0.28, 4: 0.12, 5: 0.06, 6: 0.03}
+SEGMENT_SHARES = (("SMB", 0.6), ("Mid-Market", 0.28), ("Enterprise", 0.12))
+CHANNEL_SHARES = (("organic", 0.35), ("paid", 0.3), ("partner", 0.2), ("outbound", 0.15))
+FIRST_PLAN_OF_SEGMENT, FIRST_PLANS = 0.6, (0.55, 0.35, 0.10)
+ADDON_RISE = 1.45
+# Prefixes of ids, and those that corrections, refunds, twins and orphans have.
+SUBSCRIPTION, CORRECTION = "SUB-", "SUB-C"
+INVOICE, REFUND, TWIN, ORPHAN = "INV-", "INV-R", "INV-D", "INV-O"
 SPELLINGS = {"SMB": ("smb", "S.M.B.", " SMB ", "Smb"), "Mid-Market": ("mid-market", "MidMarket", "Mid Market", " mid-market"), "Enterprise": ("enterprise", "ENT", "Enterprise ", "ENTERPRISE")}
 
 
@@ -92,10 +99,10 @@ def customers(spark: SparkSession, shape: Shape) -> DataFrame:
     day = F.floor(F.sqrt(draw(shape, "signup", "customer_id")) * span * 0.9).cast("int")  # more signups later
     return ids.select(
         "customer_id", F.concat(F.lit("Company "), F.substring("customer_id", 5, 9)).alias("company_name"), F.date_add(F.lit(shape.first), day).alias("signup_date"),
-        _pick(draw(shape, "segment", "customer_id"), [("SMB", 0.6), ("Mid-Market", 0.28), ("Enterprise", 0.12)]).alias("segment"),
+        _pick(draw(shape, "segment", "customer_id"), list(SEGMENT_SHARES)).alias("segment"),
         _pick(draw(shape, "industry", "customer_id"), [("Retail", 0.3), ("Health", 0.25), ("Finance", 0.2), ("Software", 0.25)]).alias("industry"),
         _pick(draw(shape, "region", "customer_id"), [("North", 0.4), ("South", 0.2), ("East", 0.2), ("West", 0.2)]).alias("region"),
-        _pick(draw(shape, "channel", "customer_id"), [("organic", 0.35), ("paid", 0.3), ("partner", 0.2), ("outbound", 0.15)]).alias("acquisition_channel"),
+        _pick(draw(shape, "channel", "customer_id"), list(CHANNEL_SHARES)).alias("acquisition_channel"),
     )
 
 
@@ -113,7 +120,7 @@ def _history(shape: Shape, customer: str, segment: str, signup: date) -> list[tu
     r = random.Random(f"{shape.seed} {customer}")
     prices = {p: Decimal(v) for p, v, _ in PLANS}
     names = [p for p, _, _ in PLANS]
-    tier = {"SMB": 0, "Mid-Market": 1}.get(segment, 2) if r.random() < 0.6 else r.choices((0, 1, 2), (0.55, 0.35, 0.10))[0]
+    tier = {"SMB": 0, "Mid-Market": 1}.get(segment, 2) if r.random() < FIRST_PLAN_OF_SEGMENT else r.choices((0, 1, 2), FIRST_PLANS)[0]
     heavy = r.random() < shape.heavy
     seats = max(1, int(r.gammavariate(2, 3)))
     mrr = lambda: (prices[names[tier]] * seats).quantize(Decimal("0.01"))
@@ -150,9 +157,9 @@ def subscriptions(spark: SparkSession, shape: Shape, base: DataFrame) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [[]] * len(_SUBS), _SUBS)], schema=_SUBS)
 
     made = base.select("customer_id", "segment", "signup_date").mapInArrow(run, "customer_id string, n int, plan_tier string, seats bigint, mrr decimal(18,2), period_start date, period_end date, status string")
-    named = made.select(F.concat(F.lit("SUB-"), F.substring("customer_id", 5, 9), F.format_string("-%03d", "n")).alias("subscription_id"), *[c for c in made.columns if c != "n"], F.lit(False).alias("is_correction"))
+    named = made.select(F.concat(F.lit(SUBSCRIPTION), F.substring("customer_id", 5, 9), F.format_string("-%03d", "n")).alias("subscription_id"), *[c for c in made.columns if c != "n"], F.lit(False).alias("is_correction"))
     fix = named.where(draw(shape, "correction", "subscription_id") < shape.corrections)
-    fixed = fix.withColumns({"subscription_id": F.regexp_replace("subscription_id", "^SUB-", "SUB-C"), "mrr": F.round(F.col("mrr") * 0.85, 2).cast("decimal(18,2)"), "is_correction": F.lit(True)})
+    fixed = fix.withColumns({"subscription_id": F.regexp_replace("subscription_id", f"^{SUBSCRIPTION}", CORRECTION), "mrr": F.round(F.col("mrr") * 0.85, 2).cast("decimal(18,2)"), "is_correction": F.lit(True)})
     # cancellations that nobody marked as such stay paused for ever
     lost = (F.col("status") == "churned") & (draw(shape, "mislabelled", "subscription_id") < shape.mislabelled)
     marked = named.unionByName(fixed).withColumn("mislabelled", F.coalesce(lost & ~F.col("is_correction"), F.lit(False)))
@@ -164,22 +171,22 @@ def invoices(shape: Shape, subs: DataFrame) -> DataFrame:
     stop = F.coalesce("period_end", F.lit(shape.last))
     first = F.when(F.dayofmonth("period_start") == 1, F.col("period_start")).otherwise(F.add_months(F.trunc("period_start", "MM"), 1))
     bills = subs.where("not is_correction").withColumn("hi", stop).withColumn("lo", first).where("lo <= hi").select("customer_id", "subscription_id", F.col("mrr").alias("base"), F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("issued_date"))
-    rise = F.when(F.col("issued_date") >= F.lit(shape.addon_rise), 1.45).otherwise(1.0)
+    rise = F.when(F.col("issued_date") >= F.lit(shape.addon_rise), ADDON_RISE).otherwise(1.0)
     addon = F.when(draw(shape, "has addon", "subscription_id", "issued_date") < 0.3, F.col("base") * draw(shape, "addon", "subscription_id", "issued_date") * 0.2 * rise).otherwise(0)
     key = F.concat(F.substring("subscription_id", 5, 20), F.lit("-"), F.date_format("issued_date", "yyyyMM"))
     u = draw(shape, "paid", "subscription_id", "issued_date")
     made = bills.select(
-        F.concat(F.lit("INV-"), key).alias("invoice_id"), "customer_id", "subscription_id", "issued_date", "base", F.round(addon, 2).cast("decimal(18,2)").alias("addon"),
+        F.concat(F.lit(INVOICE), key).alias("invoice_id"), "customer_id", "subscription_id", "issued_date", "base", F.round(addon, 2).cast("decimal(18,2)").alias("addon"),
         F.when(u < 0.9, "paid").when(u < 0.97, "late").otherwise("unpaid").alias("status"), F.lit(None).cast("string").alias("reverses_invoice_id"),
     )
     back = made.where((F.col("status") != "unpaid") & (draw(shape, "refund", "invoice_id") < shape.refunds))
     later = F.date_add("issued_date", (10 + F.floor(draw(shape, "refund day", "invoice_id") * 50)).cast("int"))
-    refunds = back.select(F.regexp_replace("invoice_id", "^INV-", "INV-R").alias("invoice_id"), "customer_id", "subscription_id", later.alias("issued_date"), (-F.col("base")).alias("base"), (-F.col("addon")).alias("addon"), F.lit("refunded").alias("status"), F.col("invoice_id").alias("reverses_invoice_id"))
+    refunds = back.select(F.regexp_replace("invoice_id", f"^{INVOICE}", REFUND).alias("invoice_id"), "customer_id", "subscription_id", later.alias("issued_date"), (-F.col("base")).alias("base"), (-F.col("addon")).alias("addon"), F.lit("refunded").alias("status"), F.col("invoice_id").alias("reverses_invoice_id"))
     ledger = made.unionByName(refunds)
     # half of the twins have a new id, as of a bill sent again; half the same, as of a file loaded again
     new = draw(shape, "twin id", "invoice_id") < 0.5
-    twins = ledger.where(draw(shape, "twin", "invoice_id") < shape.duplicates).withColumn("invoice_id", F.when(new, F.regexp_replace("invoice_id", "^INV-", "INV-D")).otherwise(F.col("invoice_id")))
-    lost = made.where(draw(shape, "orphan", "invoice_id") < shape.orphans).withColumns({"invoice_id": F.regexp_replace("invoice_id", "^INV-", "INV-O"), "customer_id": F.regexp_replace("customer_id", "^CUS-", "CUS-9")})
+    twins = ledger.where(draw(shape, "twin", "invoice_id") < shape.duplicates).withColumn("invoice_id", F.when(new, F.regexp_replace("invoice_id", f"^{INVOICE}", TWIN)).otherwise(F.col("invoice_id")))
+    lost = made.where(draw(shape, "orphan", "invoice_id") < shape.orphans).withColumns({"invoice_id": F.regexp_replace("invoice_id", f"^{INVOICE}", ORPHAN), "customer_id": F.regexp_replace("customer_id", "^CUS-", "CUS-9")})
     whole = ledger.unionByName(twins).unionByName(lost).withColumn("amount", (F.col("base") + F.col("addon")).cast("decimal(18,2)"))
     odd = draw(shape, "text", "invoice_id") < shape.text_amounts
     shown = F.when(odd & (F.col("amount") < 0), F.concat(F.lit("("), F.format_number(F.abs("amount"), 2), F.lit(")"))).when(odd, F.concat(F.lit("$"), F.format_number("amount", 2))).otherwise(F.col("amount").cast("string"))
@@ -229,9 +236,9 @@ def generate(spark: SparkSession, shape: Shape = Shape()) -> tuple[dict[str, Dat
     dirty = dirty_customers(shape, base)
     count = lambda df, name, table, c: df.agg(F.count_if(c).alias("rows_affected")).select(F.lit(name).alias("defect"), F.lit(table).alias("table"), "rows_affected")
     manifest = [
-        count(bills.groupBy(F.regexp_replace("invoice_id", "^INV-D", "INV-").alias("id")).count(), "duplicates", "invoices", F.col("count") > 1),
-        count(bills, "duplicates with a new id", "invoices", F.col("invoice_id").startswith("INV-D")),
-        count(bills, "orphans", "invoices", F.col("invoice_id").startswith("INV-O")),
+        count(bills.groupBy(F.regexp_replace("invoice_id", f"^{TWIN}", INVOICE).alias("id")).count(), "duplicates", "invoices", F.col("count") > 1),
+        count(bills, "duplicates with a new id", "invoices", F.col("invoice_id").startswith(TWIN)),
+        count(bills, "orphans", "invoices", F.col("invoice_id").startswith(ORPHAN)),
         count(bills, "amounts as text", "invoices", F.col("amount").rlike(r"[$,()]")),
         count(subs, "corrections", "subscriptions", F.col("is_correction")),
         count(subs, "cancellations left as pauses", "subscriptions", F.col("mislabelled")),
