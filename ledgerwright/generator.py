@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.shipping import ship
 from .operators.star import PLANS
 
 
@@ -156,6 +157,7 @@ def subscriptions(spark: SparkSession, shape: Shape, base: DataFrame) -> DataFra
             rows = [x for c, s, d in zip(*(b.column(k).to_pylist() for k in ("customer_id", "segment", "signup_date"))) for x in _history(shape, c, s, d)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [[]] * len(_SUBS), _SUBS)], schema=_SUBS)
 
+    ship(base.sparkSession)
     made = base.select("customer_id", "segment", "signup_date").mapInArrow(run, "customer_id string, n int, plan_tier string, seats bigint, mrr decimal(18,2), period_start date, period_end date, status string")
     named = made.select(F.concat(F.lit(SUBSCRIPTION), F.substring("customer_id", 5, 9), F.format_string("-%03d", "n")).alias("subscription_id"), *[c for c in made.columns if c != "n"], F.lit(False).alias("is_correction"))
     fix = named.where(draw(shape, "correction", "subscription_id") < shape.corrections)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import ratio, total, total_if
 from ..functions.running import first_rows
+from ..functions.shipping import ship
 
 ARMS = ("control", "treatment")
 
@@ -105,6 +106,7 @@ def bootstrap(outcomes: DataFrame, exclude: DataFrame | None = None, replicates:
     in any other engine that has md5.
     Tasks add up weighted revenue by segment, arm and replicate; no row is copied for a replicate.
     """
+    ship(outcomes.sparkSession)
     rows = outcomes if exclude is None else outcomes.join(exclude, "customer_id", "left_anti")
     number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:customer:"), F.col("customer_id").cast("string"))), 1, 8), 16, 10).cast("bigint") % (PRIME - 1) + 1
     rows = first_assignment(rows).where("customer_id is not null").select(number.alias("key"), "segment", "variant", F.col("pre").cast("double").alias("pre"), F.col("post").cast("double").alias("post"))
@@ -169,6 +171,7 @@ def resampled(outcomes: DataFrame, exclude: DataFrame | None = None, replicates:
     deals it to its own customers; so tasks need nothing from each other, and no customer is copied. A repeated task
     draws alike. First assignments count, rows without a customer_id do not.
     """
+    ship(outcomes.sparkSession)
     rows = outcomes if exclude is None else outcomes.join(exclude, "customer_id", "left_anti")
     rows = first_assignment(rows).where("customer_id is not null").select(F.col("customer_id").cast("string").alias("who"), "segment", "variant", F.col("pre").cast("double").alias("pre"), F.col("post").cast("double").alias("post"))
     n = rows.count()

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.shipping import ship
+
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTPUT = "customer_id {key}, subscription_id {sub}, mrr decimal(18,2), period_end date, status string, next_start date, gap_days int"
 _DAY = 86_400_000
@@ -88,6 +90,7 @@ def resolve_pauses(events: DataFrame, grace_days: int, lateness: str = "30 days"
     events: events_of() a stream. A pause at the stream's end whose grace has not passed is still open. The session's state store has to be RocksDB
     (PROVIDER), as timers need it. A late start (beyond the watermark) is dropped, like any late row.
     """
+    ship(events.sparkSession)
     kinds = dict(events.dtypes)
     schema = OUTPUT.format(key=kinds["customer_id"], sub="bigint")
     held = events.withWatermark("at", lateness)
