@@ -127,9 +127,13 @@ def invoice_audit(invoices: DataFrame, firsts: DataFrame, customers: DataFrame,
 def attribute_refunds(invoices: DataFrame, contract: Contract) -> Step:
     """effective_date: the date of the invoice that a refund reverses (the latest row of that id), else its own."""
     if contract.refunds_to_original_month:
-        (day,) = own(invoices, "__original")
-        dates = invoices.groupBy(F.col("invoice_id").alias("reverses_invoice_id")).agg(F.max("issued_date").alias(day))
-        kept = invoices.join(dates, "reverses_invoice_id", "left").withColumn("effective_date", F.coalesce(day, "issued_date")).drop(day)
+        day, named, key = own(invoices, "__original", "__id", "__key")
+        dates = invoices.groupBy(F.col("invoice_id").alias(named)).agg(F.max("issued_date").alias(day))
+        # most rows reverse nothing: each of them is dealt by an id of its own, not all by null
+        reverses = F.col("reverses_invoice_id").isNotNull()
+        dealt = invoices.withColumn(key, F.coalesce(F.col("reverses_invoice_id").cast("string"), F.concat(F.lit("\u0001"), F.col("invoice_id").cast("string"))))
+        found = dealt.join(dates, (F.col(key) == F.col(named)) & reverses, "left")
+        kept = found.withColumn("effective_date", F.coalesce(day, "issued_date")).drop(day, named, key)
     else:
         kept = invoices.withColumn("effective_date", F.col("issued_date"))
     moved = ~F.col("effective_date").eqNullSafe(F.col("issued_date"))
