@@ -284,8 +284,7 @@ def watch_usage(usage: DataFrame, audit: Audit) -> DataFrame:
 
 
 def watch_customers(customers: DataFrame, audit: Audit, columns: tuple[str, ...] = ("segment", "industry", "region")) -> DataFrame:
-    """Spellings are sets, not counts, so they are observed as sketches' exact form: the distinct values of a column
-    that has a handful of them."""
+    """Spellings are observed as sets, before and after: the column has a handful of different values."""
     absent = reduce(Column.__add__, (F.col(c).isNull().cast("bigint") for c in columns))
     (before,) = own(customers, "__before")
     kept = standardise_customers(customers.withColumns({before: F.col("segment"), f"{before}_absent": absent})).kept
