@@ -6,20 +6,23 @@ neither class has seen therefore counts for neither, and rare expressions are dr
 
 Counting covers every text. Tasks send distinct six-letter strings with their counts. A string is dealt to a shard
 by its fourth and fifth letters, which its context and all shorter strings that it backs off to share, so that a shard
-derives lower orders (numbers of distinct letters before a string), probabilities and backing off by itself. It
-returns its part of a hash table that grows with the number of distinct strings in labelled texts; the driver only
-joins these parts. A document's score is a calibrated logistic function of the two length-normalised log-likelihoods'
-difference, over the whole text and over its strongest words. Calibration uses labelled documents scored by models
-that were fitted without them.
+derives lower orders (numbers of distinct letters before a string), probabilities and backing off by itself. Counts
+stay in a table of shards: neither the driver nor an executor ever holds them all. To score texts, each block of them
+asks every shard for its distinct strings, and what the shards answer goes back to the block. A document's score is a
+calibrated logistic function of the two length-normalised log-likelihoods' difference, over the whole text and over its
+strongest words. Calibration uses labelled documents scored by models that were fitted without them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +31,12 @@ from .boosting import sigmoid
 from .session import drop, durable, freeing, release, ship
 
 ORDER = 6
-#: Strings of one order in the tables, which every executor holds (some 12 bytes each), at most; of more the rarest
-#: are left to backing off.
-MOST_STRINGS = 1 << 26
 #: Text of a shard in bytes, and the fewest and most shards.
 SHARD_TEXT, SHARDS = 16 << 20, (16, 4096)
+#: Text of a block that asks the shards in bytes: a share of the corpus, within these bounds (or one longer text).
+BLOCK_TEXT, BLOCKS = (1 << 18, 16 << 20), 64
+#: Blocks that one group of questions to a shard comes from, at most; of more a shard is looked up in several tasks.
+ASKING = 4096
 #: Labels up to this number are sent to all executors (16 bytes each); more are joined by a shuffle.
 MOST_SENT = 1 << 21
 #: Where counts say nothing of it; else the share of what occurs once, as usual.
@@ -57,14 +61,13 @@ _FOLD[0x30:0x3A] = 0x30
 def grams(block: tc.Block) -> np.ndarray:
     """For every byte of the block the six letters that end there, as a number; blanks stand before a document."""
     x = _FOLD[block.data].astype(_U)
-    n = len(x)
     key = x.copy()
-    since = np.arange(n) - np.repeat(block.at[:-1], np.diff(block.at))
     for j in range(1, ORDER):
-        back = np.full(n, 0x20, _U)
-        back[j:] = x[: max(0, n - j)]
-        back[since < j] = 0x20
-        key |= back << _U(8 * j)
+        key[j:] |= x[:-j] << _U(8 * j)
+    for i in range(ORDER - 1):  # the first letters of documents
+        at = block.at[:-1] + i
+        at = at[at < block.at[1:]]
+        key[at] = key[at] & _U((1 << (8 * (i + 1))) - 1) | _U(sum(0x20 << (8 * j) for j in range(i + 1, ORDER)))
     return key
 
 
@@ -84,12 +87,17 @@ def _merged(key: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return key[first], np.add.reduceat(counts[order], first, axis=0, dtype=counts.dtype) if len(key) else counts
 
 
+@lru_cache(maxsize=1)
+def _zstandard() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+    return _zstandard()[0].compress(x.tobytes())
 
 
 def _unpack(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+    return np.frombuffer(_zstandard()[1].decompress(x), kind)
 
 
 _PART = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -218,145 +226,222 @@ def _probabilities(levels: dict[int, tuple[np.ndarray, np.ndarray]], pairs: np.n
         yield order, key, n.any(axis=1), np.log(p[:, 0]) - np.log(p[:, 1]), context, np.log(free[:, 0]) - np.log(free[:, 1])
 
 
-_REGION = pa.schema([("model", pa.int32()), ("order", pa.int32()), ("context", pa.bool_()), ("shard", pa.int32()), ("tags", pa.binary()), ("values", pa.binary())])
-REGION = "model int, order int, context boolean, shard int, tags binary, values binary"
+def _tables(keys: bytes, counts: bytes, pairs: np.ndarray, discount: np.ndarray, models: tuple[int, ...]) -> list[dict]:
+    """Of a shard, by model and order: strings that labelled texts have with the difference of the classes' log-probabilities;
+    contexts with what they add to that of the next shorter string."""
+    key = np.cumsum(_unpack(keys, _U), dtype=_U)
+    levels = _levels(key, _unpack(counts, np.uint32).reshape(len(_FOLDS), len(key)).T)
+    return [{order: (key[seen], full[seen], context, left) for order, key, seen, full, context, left in _probabilities(levels, pairs, discount, (2 * m, 2 * m + 1))} for m in models]
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where among sorted keys those wanted are, and which of them there are."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return at, keys[at] == wanted
+
+
+def _differences(table: dict, g: np.ndarray) -> np.ndarray:
+    """Of each string the difference of its last letter's log-probabilities in the two classes."""
+    d, rest = np.zeros(len(g)), np.arange(len(g))
+    for order in range(ORDER, BASE, -1):
+        keys, value, context, left = table[order]
+        at, hit = _found(keys, g)
+        d[rest[hit]] += value[at[hit]]
+        rest, g = rest[~hit], g[~hit]
+        at, hit = _found(context, g >> _U(8))
+        d[rest[hit]] += left[at[hit]]
+        g = g & _U((1 << (8 * (order - 1))) - 1)
+    return d
 
 
-def _home(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where a key's search begins, and the mark by which its entry is known; 0 marks no entry."""
-    h = tc.mix(key + _U(0x9E3779B97F4A7C15))
-    return h, ((h >> _U(48)) | _U(1)).astype(np.uint16)
+@dataclass
+class Counted:
+    """Counts of all shards, and what is the same for all of them. None: there is nothing to tell classes apart by."""
+
+    table: DataFrame
+    pairs: np.ndarray
+    discount: np.ndarray
+    shards: int
 
 
-def _region(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash table with linear probing, at most half full: marks and values."""
-    width = 1 << max(1, int(2 * len(key) - 1).bit_length()) if len(key) else 1
-    cell, mark = _home(key)
-    cell = (cell & _U(width - 1)).astype(np.int64)
-    taken, placed = np.zeros(width, bool), np.zeros(len(key), bool)
-    waiting = np.arange(len(key))
-    while len(waiting):
-        free = waiting[~taken[cell[waiting]]]
-        _, first = np.unique(cell[free], return_index=True)
-        won = free[first]
-        taken[cell[won]] = placed[won] = True
-        waiting = waiting[~placed[waiting]]
-        cell[waiting] = (cell[waiting] + 1) & (width - 1)
-    tags, values = np.zeros(width, np.uint16), np.zeros(width, np.float16)
-    tags[cell], values[cell] = mark, value
-    return tags, values
+def _distinct(*keys: np.ndarray) -> np.ndarray:
+    key = np.sort(np.concatenate(keys))
+    return key[np.append(True, key[1:] != key[:-1])] if len(key) else key
 
 
-def _regions(pairs, discount, least, models: tuple[int, ...]):
-    """Of every shard its part of the tables of these models."""
+def _payloads(at: int, most: int, blocks: int):
+    """Rows in pieces of about ``most`` bytes of text, compressed, dealt to blocks; column ``at`` has the texts."""
 
     def run(batches):
+        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for x in held:
+                    out.write_batch(x)
+            block = int(tc.mix(np.array([part << 32 | number], _U))[0]) % blocks
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
+
         for batch in batches:
-            for shard, k, c in zip(*(batch.column(x).to_pylist() for x in ("shard", "keys", "counts"))):
-                key = np.cumsum(_unpack(k, _U), dtype=_U)
-                levels = _levels(key, _unpack(c, np.uint32).reshape(len(_FOLDS), len(key)).T)
-                rows = []
-                for m in models:
-                    for order, key, seen, full, context, left in _probabilities(levels, pairs, discount, (2 * m, 2 * m + 1)):
-                        seen &= levels[order][1].max(axis=1) >= least[order]
-                        for is_context, keys, values in ((False, key[seen], full[seen]), (True, context, left)):
-                            tags, values = _region(keys, values)
-                            rows.append((m, order, is_context, shard, _pack(tags), _pack(values)))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), _REGION)], schema=_REGION)
+            for b in tc.blocks(batch.column(at), most):
+                if held and size + len(b.data) > most:
+                    yield flush()
+                    number, held, size = number + 1, [], 0
+                held.append(batch.slice(b.lo, len(b)))
+                size += len(b.data) + 64 * len(b)
+        if held:
+            yield flush()
 
     return run
 
 
-@dataclass
-class Table:
-    """Values by string: one region a shard, all after one another."""
-
-    first: np.ndarray
-    mask: np.ndarray
-    tags: np.ndarray
-    values: np.ndarray
-
-    @classmethod
-    def of(cls, regions: dict[int, tuple[np.ndarray, np.ndarray]], shards: int) -> "Table":
-        none = np.zeros(1, np.uint16), np.zeros(1, np.float16)
-        found = [regions.get(s, none) for s in range(shards)]
-        width = np.array([len(t) for t, _ in found])
-        return cls(np.cumsum(width) - width, (width - 1).astype(np.int64), np.concatenate([t for t, _ in found]), np.concatenate([v for _, v in found]))
-
-    def find(self, key: np.ndarray, shard: np.ndarray) -> np.ndarray:
-        """The strings' values; NaN where there is none."""
-        out = np.full(len(key), np.nan, np.float32)
-        home, mark = _home(key)
-        first, mask = self.first[shard], self.mask[shard]
-        cell = home.astype(np.int64) & mask
-        rest = np.arange(len(key))
-        while len(rest):
-            at = first + cell
-            tags = self.tags[at]
-            hit = tags == mark
-            out[rest[hit]] = self.values[at[hit]]
-            go = np.flatnonzero((tags != 0) & ~hit)
-            rest, mark, first, mask = rest[go], mark[go], first[go], mask[go]
-            cell = (cell[go] + 1) & mask
-        return out
+def _read(payloads: pa.Table):
+    for x in payloads.column("rows"):
+        yield from pa.ipc.open_stream(x.as_buffer())
 
 
-@dataclass
-class Models:
-    """By order, the difference of the two classes' log-probabilities of a string that labelled texts have, and what
-    its context adds to that of the next shorter string where they do not have it."""
+_ASKED = pa.schema([("shard", pa.int32()), ("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary())])
+ASKED = "shard int, part bigint, block bigint, keys binary"
+_ANSWER = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("values", pa.binary())])
+ANSWER = "block bigint, shard int, values binary"
 
-    shards: int
-    full: dict[int, Table]
-    context: dict[int, Table]
-
-    def letters(self, g: np.ndarray) -> np.ndarray:
-        d = np.zeros(len(g), np.float32)
-        if not self.full:
-            return d
-        shard = _shard_of(np.arange(1 << 16, dtype=_U), self.shards)[_middle(g).astype(np.int64)]
-        rest = np.arange(len(g))
-        for order in range(ORDER, BASE, -1):
-            if not len(rest):
-                break
-            known = self.full[order].find(g, shard)
-            missing = np.isnan(known)
-            d[rest[~missing]] += known[~missing]
-            rest, g, shard = rest[missing], g[missing], shard[missing]
-            d[rest] += np.nan_to_num(self.context[order].find(g >> _U(8), shard))
-            g = g & _U((1 << (8 * (order - 1))) - 1)
-        return d
-
-
-def _fitted(counted: DataFrame, pairs: np.ndarray, often: np.ndarray, shards: int, models: tuple[int, ...]) -> list[Models]:
-    """Models of _MODELS: tables of all strings, or of so many as MOST_STRINGS allows."""
-    one, two = often[:, :, 1], often[:, :, 2]
-    discount = np.where((one > 0) & (two > 0), one / np.maximum(one + 2 * two, 1), DISCOUNT)
-    least = np.ones(ORDER + 1, np.int64)
-    for order in range(BASE + 1, ORDER + 1):
-        number = often[order, 2 * models[0] :].sum(axis=0)  # of both classes together, so an upper bound
-        while least[order] < _OFTEN and number[least[order] :].sum() > MOST_STRINGS:
-            least[order] += 1
-    rows = counted.select("shard", "keys", "counts").mapInArrow(freeing(_regions(pairs, discount, least, models)), REGION).collect()
-    regions: dict[tuple, dict[int, tuple]] = {}
-    for r in rows:
-        regions.setdefault((r["model"], r["order"], r["context"]), {})[r["shard"]] = _unpack(r["tags"], np.uint16), _unpack(r["values"], np.float16)
-    table = lambda m, order, context: Table.of(regions.pop((m, order, context), {}), shards)
-    orders = range(BASE + 1, ORDER + 1)
-    return [Models(shards, {k: table(m, k, False) for k in orders}, {k: table(m, k, True) for k in orders}) for m in models]
+
+def _by_shard(key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of sorted keys by shard, and where each shard's begin."""
+    shard = _shard_of(_middle(key), shards)
+    return np.argsort(shard, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
+
+
+def _asked(at: int, shards: int):
+    """A block's distinct strings, to the shards that have them."""
+
+    def run(key, payloads: pa.Table) -> pa.Table:
+        block, found = key[0].as_py(), []
+        for batch in _read(payloads):
+            for b in tc.blocks(batch.column(at), _BLOCK):
+                found.append(_distinct(grams(b)))
+            if len(found) > 16:
+                found = [_distinct(*found)]
+        keys = _distinct(*found)
+        order, cut = _by_shard(keys, shards)
+        keys, rows = keys[order], []
+        for s in np.flatnonzero(np.diff(cut)).tolist():
+            rows.append((s, block // ASKING, block, _pack(np.diff(keys[cut[s] : cut[s + 1]], prepend=_U(0)))))
+        return pa.table([pa.array(x, t.type) for x, t in zip(zip(*rows), _ASKED)], schema=_ASKED) if rows else _ASKED.empty_table()
+
+    return _freed(run)
+
+
+def _answered(pairs: np.ndarray, discount: np.ndarray, models: tuple[int, ...]):
+    """A shard's answers: of each string asked for, one model after another, the classes' difference."""
+
+    def run(key, asked: pa.Table, counted: pa.Table) -> pa.Table:
+        if not asked.num_rows or not counted.num_rows:
+            return _ANSWER.empty_table()
+        tables = _tables(counted.column("keys")[0].as_py(), counted.column("counts")[0].as_py(), pairs, discount, models)
+        values, held, size = [], [], 0
+
+        def look():
+            g = np.concatenate(held)
+            d = np.stack([_differences(t, g) for t in tables]).astype(np.float16)
+            cut = np.cumsum([0, *map(len, held)])
+            values.extend(_pack(np.ascontiguousarray(d[:, a:b])) for a, b in zip(cut[:-1], cut[1:]))
+
+        for x in asked.column("keys"):
+            held.append(np.cumsum(_unpack(x.as_py(), _U), dtype=_U))
+            size += len(held[-1])
+            if size > _FLUSH // 4:
+                look()
+                held, size = [], 0
+        if held:
+            look()
+        return pa.table([asked.column("block"), pa.array([key[0].as_py()] * asked.num_rows, pa.int32()), pa.array(values, pa.binary())], schema=_ANSWER)
+
+    return _freed(run)
+
+
+def _featured(at: int, shards: int, models: int, then, schema: pa.Schema | None):
+    """What ``then`` makes of a block's rows and their features by each model."""
+
+    def run(payloads: pa.Table, answers: pa.Table) -> pa.Table:
+        batches, parts = list(_read(payloads)), []
+        for batch in batches:
+            for b in tc.blocks(batch.column(at), _BLOCK):
+                g = grams(b)
+                order = np.argsort(g)
+                key = g[order]
+                new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
+                of = np.empty(len(g), np.int32)
+                of[order] = np.cumsum(new) - 1
+                parts.append((key[new], of))
+        keys = _distinct(*(k for k, _ in parts)) if parts else np.empty(0, _U)
+        order, cut = _by_shard(keys, shards)
+        values = np.zeros((models, len(keys)), np.float32)
+        for s, x in zip(answers.column("shard").to_pylist(), answers.column("values")):
+            values[:, order[cut[s] : cut[s + 1]]] = _unpack(x.as_py(), np.float16).reshape(models, -1)
+        out, parts = [], iter(parts)
+        for batch in batches:
+            by: list[list[np.ndarray]] = [[] for _ in range(models)]
+            for b in tc.blocks(batch.column(at), _BLOCK):
+                key, of = next(parts)
+                d = values[:, np.searchsorted(keys, key)]
+                for m in range(models):
+                    by[m].append(features(d[m][of], b))
+            out.append(then(batch, [np.concatenate(x) if x else np.zeros((0, N_FEATURES)) for x in by]))
+        return pa.Table.from_batches(out, schema or out[0].schema)
+
+    return _freed(run)
+
+
+def _freed(f: Callable) -> Callable:
+    """f, giving free memory back when a group is done."""
+    if f.__code__.co_argcount == 3:
+
+        def run(key, left, right):
+            try:
+                return f(key, left, right)
+            finally:
+                release()
+
+    else:
+
+        def run(left, right):
+            try:
+                return f(left, right)
+            finally:
+                release()
+
+    return run
+
+
+def _scanned(docs: DataFrame, counted: Counted, models: tuple[int, ...], then, schema, arrow: pa.Schema | None = None) -> DataFrame:
+    """Rows of docs, by blocks, with the features of their texts by each of the models, as ``then`` makes rows of them."""
+    at = docs.columns.index("text")
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
+    each = min(max(BLOCK_TEXT[0], size // BLOCKS), BLOCK_TEXT[1])
+    blocks = max(1, -(-size // each))
+    rows = docs.mapInArrow(freeing(_payloads(at, each // 8, blocks)), "block bigint, rows binary")  # both uses share one shuffle
+    asked = rows.groupBy("block").applyInArrow(_asked(at, counted.shards), ASKED)
+    table = counted.table.select("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((blocks - 1) // ASKING).cast("bigint"))).alias("part"), "keys", "counts")
+    answers = asked.groupBy("shard", "part").cogroup(table.groupBy("shard", "part")).applyInArrow(_answered(counted.pairs, counted.discount, models), ANSWER)
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_featured(at, counted.shards, len(models), then, arrow), schema)
 
 
 N_FEATURES = 6
 
 
-def features(model: Models, block: tc.Block) -> np.ndarray:
-    """Of each document: difference of length-normalised log-likelihoods; the same over the strongest word, the
-    next, and the third; and the text's length in two forms. All zero for a text without letters."""
+def features(d: np.ndarray, block: tc.Block) -> np.ndarray:
+    """Of each document, from its letters' differences: difference of length-normalised log-likelihoods; the same over
+    the strongest word, the next, and the third; and the text's length in two forms. All zero for a text without letters."""
     n = len(block)
     out = np.zeros((n, N_FEATURES))
     if not len(block.data):
         return out
-    d = model.letters(grams(block)).astype(np.float64)
+    d = d.astype(np.float64)
     size = np.diff(block.at)
     total = np.concatenate([[0], np.cumsum(d)])
     sums = total[block.at[1:]] - total[block.at[:-1]]
@@ -400,14 +485,21 @@ def _design(z: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Scorer:
-    model: Models
+    """Counts and calibration; without counts every text has the same score."""
+
+    counted: Counted | None
     weights: np.ndarray
     mean: np.ndarray
     spread: np.ndarray
 
-    def scores(self, block: tc.Block) -> np.ndarray:
-        raw = sigmoid(_design((features(self.model, block) - self.mean) / self.spread) @ self.weights)
-        return np.round(raw, 9)  # sums differ in their last digits with a text's place in its block
+    def scores(self) -> Callable:
+        """Scores of texts by their features."""
+        weights, mean, spread = self.weights, self.mean, self.spread
+        # sums differ in their last digits with a text's place in its block
+        return lambda x: np.round(sigmoid(_design((x - mean) / spread) @ weights), 9)
+
+    def flat(self) -> float:
+        return float(self.scores()(np.zeros((1, N_FEATURES)))[0])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -437,7 +529,7 @@ def fit(docs: DataFrame, labels: DataFrame, use=None) -> Scorer:
         share = n["t"] / n["n"] if n["n"] else 0.0
         weights = np.zeros(_design(np.zeros((1, N_FEATURES))).shape[1])
         weights[0] = np.log((share + 1e-6) / (1 - share + 1e-6))
-        return Scorer(Models(1, {}, {}), weights, np.zeros(N_FEATURES), np.ones(N_FEATURES))
+        return Scorer(None, weights, np.zeros(N_FEATURES), np.ones(N_FEATURES))
     joined = _texts(docs).join(folds, "doc_id", "left").select("text", F.coalesce("fold", F.lit(4)).alias("fold"))
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     shards = min(max(SHARDS[0], -(-size // SHARD_TEXT)), SHARDS[1])
@@ -446,22 +538,27 @@ def fit(docs: DataFrame, labels: DataFrame, use=None) -> Scorer:
     told = counted.select("pairs", "often").collect()  # 65,536 letter pairs, of which a shard has some
     pairs = _shared_pairs(told)
     often = sum(np.frombuffer(r["often"], np.int64).reshape(ORDER + 1, 2 * len(_MODELS), _OFTEN + 1) for r in told)
-    first, second = _fitted(counted, pairs, often, shards, (0, 1))
+    one, two = often[:, :, 1], often[:, :, 2]
+    discount = np.where((one > 0) & (two > 0), one / np.maximum(one + 2 * two, 1), DISCOUNT)
+    everything = Counted(counted, pairs, discount, shards)
     # each half's documents are scored by the model of the other half
     most = {k: max(CALIBRATION // 2, CALIBRATION - kinds[1 - k]) for k in kinds}
     pick, other = (has.where(F.col("fold") % 2 == k).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(most[k]) for k in (0, 1))
-    held = spark.sparkContext.broadcast((second, first))
-    sample = _texts(docs).join(F.broadcast(pick.unionByName(other)), "doc_id").mapInArrow(freeing(_calibration(held)), f"fold int, {', '.join(f'f{i} double' for i in range(N_FEATURES))}")
+    sample = _texts(docs).join(F.broadcast(pick.unionByName(other)), "doc_id").select("text", "fold")
+    names = ["fold", *(f"f{i}" for i in range(N_FEATURES))]
+
+    def other_half(batch: pa.RecordBatch, x: list[np.ndarray]) -> pa.RecordBatch:
+        x = np.where((batch.column(1).to_numpy() >= 2)[:, None], x[0], x[1])
+        return pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(x[:, i]) for i in range(N_FEATURES))], names=names)
+
+    sample = _scanned(sample, everything, (0, 1), other_half, f"fold int, {', '.join(f'{x} double' for x in names[1:])}")
     got = np.array([tuple(r) for r in sample.collect()], float).reshape(-1, 1 + N_FEATURES)
-    held.destroy()
-    del first, second
-    (final,) = _fitted(counted, pairs, often, shards, (2,))
-    drop(has, counted)
+    drop(has)
     weights, mean, spread = _logistic(got[:, 1:], (got[:, 0] % 2 == 0).astype(float))
     # a class drawn more thinly than the other has odds that are too low by that factor
     plain, toxic = (kinds[k] / min(kinds[k], most[k]) for k in (1, 0))
     weights[0] += np.log(toxic / plain)
-    return Scorer(final, weights, mean, spread)
+    return Scorer(everything, weights, mean, spread)
 
 
 def _gathered(table: pa.Table) -> pa.Table:
@@ -471,53 +568,25 @@ def _gathered(table: pa.Table) -> pa.Table:
         release()
 
 
-def _calibration(held):
-    names = ["fold", *(f"f{i}" for i in range(N_FEATURES))]
-
-    def run(batches):
-        for batch in batches:
-            fold = batch.column("fold").to_numpy()
-            for b in tc.blocks(batch.column("text"), _BLOCK):
-                own = fold[b.lo : b.hi]
-                by = [features(m, b) for m in held.value]
-                x = np.where((own >= 2)[:, None], by[1], by[0])
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(pa.array(x[:, i]) for i in range(N_FEATURES))], names=names)
-
-    return run
-
-
-def _score(held):
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
-
-    def run(batches):
-        for batch in batches:
-            for b in tc.blocks(batch.column("text"), _BLOCK):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(b.lo, len(b)), pa.array(held.value.scores(b))], schema=schema)
-
-    return run
-
-
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """doc_id and score (0 to 1) of every row; texts alone decide. Null texts count as empty, and empty ones get the
     score of a text without letters. Rows are independent, and other columns are not read."""
     ship(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(scorer)
-    return _texts(docs).mapInArrow(freeing(_score(held)), "doc_id bigint, score double")
+    docs = _texts(docs)
+    if scorer.counted is None:
+        return docs.select("doc_id", F.lit(scorer.flat()).alias("score"))
+    schema, scores = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())]), scorer.scores()
+    return _scanned(docs, scorer.counted, (2,), lambda batch, x: pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(x[0]))], schema=schema), "doc_id bigint, score double", schema)
 
 
 def drop_toxic(docs: DataFrame, scorer: Scorer, least: float = 0.5) -> DataFrame:
     """docs, with all its columns, without the rows whose text scores ``least`` or more. Null and empty texts have the score
     of a text without letters; equal texts go or stay alike, whatever their doc_id. An empty table stays one."""
     ship(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(scorer)
-    at = docs.columns.index("text")
-
-    def run(batches):
-        for batch in batches:
-            scores = [held.value.scores(b) for b in tc.blocks(batch.column(at), _BLOCK)]
-            yield batch.filter(pa.array(np.concatenate(scores) < least)) if scores else batch
-
-    return docs.mapInArrow(freeing(run), docs.schema)
+    if scorer.counted is None:
+        return docs.where(F.lit(scorer.flat() < least))
+    scores = scorer.scores()
+    return _scanned(docs, scorer.counted, (2,), lambda batch, x: batch.filter(pa.array(scores(x[0]) < least)), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -702,35 +702,48 @@ def test_kneser_ney_by_plain_version():
     counted = [op6_toxicity._gather(parts.filter(pc.equal(parts.column("shard"), s))).to_pylist()[0] for s in set(parts.column("shard").to_pylist())]
     pairs = op6_toxicity._shared_pairs(counted)
 
-    class Rows:  # what _fitted asks of a DataFrame
-        def select(self, *names):
-            return self
-
-        def mapInArrow(self, f, _):
-            self.f = f
-            return self
-
-        def collect(self):
-            return [x for b in self.f(pa.Table.from_pylist(counted, op6_toxicity._COUNTED).to_batches()) for x in b.to_pylist()]
-
     often = sum(np.frombuffer(x["often"], np.int64).reshape(7, 6, -1) for x in counted)
-    for k, model in enumerate(op6_toxicity._fitted(Rows(), pairs, often, 8, (0, 1, 2))):
+    one, two = often[:, :, 1], often[:, :, 2]
+    discount = np.where((one > 0) & (two > 0), one / np.maximum(one + 2 * two, 1), 0.75)
+    shards = {x["shard"]: op6_toxicity._tables(x["keys"], x["counts"], pairs, discount, (0, 1, 2)) for x in counted}
+    for k in range(3):
         classes = [[t for t, f in zip(texts, fold) if f in folds] for folds in op6_toxicity._MODELS[k]]
         want = plain_kneser_ney(texts, classes)
         for t in texts:
             (block,) = tc.blocks(pa.array([t]))
-            assert np.allclose(model.letters(op6_toxicity.grams(block)), want[t], atol=2e-2), (k, t)
-
-
-def test_tables_grow_with_what_they_hold():
-    g = np.random.default_rng(5)
-    key = np.unique(g.integers(0, 2**48, 50_000, dtype=np.uint64))
-    value = g.normal(size=len(key)).astype(np.float16)
-    table = op6_toxicity.Table.of({0: op6_toxicity._region(key, value), 2: op6_toxicity._region(key[:0], value[:0])}, 3)
-    zero = np.zeros(len(key), np.int64)
-    assert np.array_equal(table.find(key, zero), value.astype(np.float32)) and np.isnan(table.find(key, zero + 1)).all() and np.isnan(table.find(key, zero + 2)).all()
-    strange = np.setdiff1d(g.integers(0, 2**48, 50_000, dtype=np.uint64), key)
-    assert np.isnan(table.find(strange, np.zeros(len(strange), np.int64))).mean() > 0.999
+            g = op6_toxicity.grams(block)
+            got = [op6_toxicity._differences(shards[s][k], x)[0] for s, x in zip(op6_toxicity._shard_of(op6_toxicity._middle(g), 8).tolist(), np.split(g, len(g)))]
+            assert np.allclose(got, want[t], atol=1e-9), (k, t)
+
+
+def test_strings_stop_at_documents():
+    r = random.Random(16)
+    texts = ["", "a", "Ab", "abc", "", "a1b2 c!", "abcdef", *("".join(r.choice("aB 1.") for _ in range(r.randrange(12))) for _ in range(200)), ""]
+    fold = lambda c: c.lower() if c.isalpha() else "0" if c.isdigit() else " "
+    want = [int.from_bytes((" " * 5 + "".join(map(fold, t)))[i : i + 6].encode(), "big") for t in texts for i in range(len(t))]
+    (block,) = tc.blocks(pa.array(texts))
+    assert op6_toxicity.grams(block).tolist() == want
+
+
+def test_blocks_and_shards_answer_alike(spark, monkeypatch):
+    """However texts are cut into blocks and questions into parts, with whatever columns beside, scores are the same."""
+    r = random.Random(17)
+    words = ["".join(r.choice("aeiou") + r.choice("bdgkmnrst") for _ in range(r.randrange(1, 4))) for _ in range(300)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(30)) + " vermin" * (i % 9 == 0)) for i in range(400)]
+    rows += [(None, rows[9][1]), (9, rows[9][1]), (1000, None), (1001, ""), (1002, rows[0][1] + " " + "word " * 60_000)]
+    docs = table(spark, rows)
+    scorer = op6_toxicity.fit(docs, spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(400)], "doc_id long, toxic int"))
+    order = lambda df: sorted((x["doc_id"] is None, x["doc_id"] or 0, x["score"]) for x in df.collect())
+    want = order(op6_toxicity.score(docs, scorer))
+    assert len(want) == len(rows)
+    wide = docs.selectExpr("named_struct('a', doc_id) AS block", "text", "doc_id", "'x' AS rows", "1 AS shard")
+    monkeypatch.setattr(op6_toxicity, "BLOCK_TEXT", (1 << 12, 1 << 12))
+    monkeypatch.setattr(op6_toxicity, "ASKING", 2)
+    assert order(op6_toxicity.score(docs.repartition(7), scorer)) == want
+    kept = op6_toxicity.drop_toxic(wide, scorer)
+    assert kept.schema == wide.schema
+    assert sorted((x["doc_id"] is None, x["doc_id"] or 0) for x in kept.collect()) == [x[:2] for x in want if x[2] < 0.5]
+    assert all(x["block"]["a"] == x["doc_id"] and x["rows"] == "x" for x in kept.collect())
 
 
 def test_toxicity_columns(spark, tmp_path):
