@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerwright.llm import op2_decontaminate, op4_packing, op6_toxicity, op8_pii, op9_minhash
-from ledgerwright.llm.session import durable
+from ledgerwright.llm.session import drop, durable
 from ledgerwright.llm.tokens import vocabulary_path
 
 
@@ -59,9 +59,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, kept = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = durable(docs)
+            if kept is not None:
+                drop(kept)  # the stage before; what follows reads the new table alone
+            kept = docs
     return docs
