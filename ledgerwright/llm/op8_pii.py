@@ -2,7 +2,8 @@
 
 Strict patterns (email, IPv4 address, payment card, international phone) always count. Beside them,
 generators propose overlapping spans: every run and sub-run of digit groups, anything around an @ or a
-spelt-out one, account numbers, access keys and assigned secrets. Boosted trees over the format and the
+spelt-out one, account numbers, national and passport numbers, IPv6 addresses, access keys, bearer tokens,
+random-looking strings and assigned secrets. Boosted trees over the format and the
 words around a candidate give a calibrated probability; among overlapping candidates the likeliest that
 passes its kind's threshold is selected. The trees are fitted on made-up examples, as no table has labels
 for spans; thresholds hold precision on examples that grew no tree.
@@ -11,6 +12,7 @@ for spans; thresholds hold precision on examples that grew no tree.
 from __future__ import annotations
 
 import bisect
+import ipaddress
 import random
 import re
 from functools import lru_cache
@@ -25,7 +27,7 @@ from .boosting import BoostedTrees, threshold
 from .session import freeing, ship
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "secret")
+KINDS = (*BASE, "iban", "secret", "ssn", "ip6", "passport")
 PRECISION = 0.98
 
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -90,18 +92,46 @@ _GROUP = re.compile(r"[+(]?[0-9][0-9()\-./]*")
 _SPELT_AT = re.compile(r"\s?[\[({<]\s?(?:at|AT|@)\s?[\])}>]\s?")
 _SPELT_HOST = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|\s?[\[({<]\s?(?:dot|DOT|\.)\s?[\])}>]\s?)[A-Za-z0-9-]++)++")
 _IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b")
-_KEY = re.compile(r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\b(?:ghp|gho|sk|pk)_[A-Za-z0-9]{20,}+\b")
-_ASSIGNED = re.compile(r"(?i:\b(?:password|passwd|secret|token|api_?key)\s?[=:]\s?[\"']?)([A-Za-z0-9+/_\-]{8,}+)")
+# Prefixes by which issuers mark their keys, and names that values are assigned to: fixed values
+_ISSUED = {
+    "AKIA": r"\bAKIA[A-Z0-9]{16}\b",
+    "ASIA": r"\bASIA[A-Z0-9]{16}\b",
+    "ghp_": r"\bghp_[A-Za-z0-9]{20,}+\b",
+    "gho_": r"\bgho_[A-Za-z0-9]{20,}+\b",
+    "ghs_": r"\bghs_[A-Za-z0-9]{20,}+\b",
+    "ghu_": r"\bghu_[A-Za-z0-9]{20,}+\b",
+    "github_pat_": r"\bgithub_pat_[A-Za-z0-9_]{20,}+",
+    "sk_": r"\bsk_[A-Za-z0-9_]{20,}+",
+    "pk_": r"\bpk_[A-Za-z0-9_]{20,}+",
+    "glpat-": r"\bglpat-[A-Za-z0-9_\-]{20,}+",
+    "sk-": r"\bsk-[A-Za-z0-9_\-]{20,}+",
+    "xox": r"\bxox[abeprs]-[A-Za-z0-9\-]{10,}+",
+    "AIza": r"\bAIza[A-Za-z0-9_\-]{35}+",
+    "eyJ": r"(?<![A-Za-z0-9_\-])eyJ[A-Za-z0-9_\-]{8,}+(?:\.[A-Za-z0-9_\-]++){1,2}",
+}
+_ISSUED_KEY = {prefix: re.compile(form) for prefix, form in _ISSUED.items()}
+_KEY = re.compile("|".join(_ISSUED.values()))
+_ASSIGNED = re.compile(r"(?i:\b(?:password|passwd|pwd|passphrase|secret|token|(?:api|access|secret)[_-]?key)[\"']?\s?(?:[=:]|\bis\b)\s?[\"']?)([A-Za-z0-9+/_\-!#$%&*.?@^~=]{6,}+)")
+_BEARER = re.compile(r"(?i:\bbearer\s)([A-Za-z0-9._~+/\-]{12,}+=*)")
+_RANDOM = re.compile(r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])")
+_SSN = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}([\x20-]?)[0-9]{2}\1[0-9]{4}(?![0-9A-Za-z]|-[0-9])")
+_IP6 = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f:]{2,39}+(?![0-9A-Za-z])")
+_PASSPORT = re.compile(r"(?<![0-9A-Za-z])(?:[A-Z]{1,2}[0-9]{6,8}|[0-9]{8,9}|(?=[A-Z]*+[0-9])(?=[0-9]*+[A-Z])[A-Z0-9]{9})(?![0-9A-Za-z])")
+_PLAIN_AT = re.compile(r"\x20(?:at|AT)\x20([A-Za-z0-9-]++(?:(?:\.|\x20(?:dot|DOT)\x20)[A-Za-z0-9-]++)++)")
+_LEAST_SECRET = 6
 _MOST_DIGITS = 19  # of a card; a phone has fewer
 
 _HINTS = (  # words that come before a value of a kind: fixed values
     ("phone", "tel", "mobile", "call", "fax", "cell"),
     ("card", "visa", "credit", "mastercard", "amex"),
-    ("ip", "host", "address", "server", "addr"),
+    ("ip", "ipv", "host", "address", "server", "addr"),
     ("mail", "contact", "e-mail"),
     ("iban", "account", "bank", "bic"),
-    ("key", "token", "secret", "password", "aws"),
+    ("key", "token", "secret", "password", "passwd", "pwd", "passphrase", "aws", "bearer", "authorization"),
+    ("ssn", "social", "security"),
+    ("passport", "passports", "travel"),
     ("version", "v", "release", "isbn", "no", "page", "chapter", "section", "id", "order", "total", "price", "eur", "usd"),
+    ("commit", "sha", "hash", "checksum", "digest", "rev", "build", "part", "item", "invoice"),
 )
 _HINT_OF = {w: i + 1 for i, ws in enumerate(_HINTS) for w in ws}
 
@@ -121,6 +151,23 @@ def _spelt(text: str):
             end = max(end, m.start())
 
 
+def _plain(text: str):
+    """Addresses whose @ and dots are plain words: the host after each `at`, and before it a name with its dots."""
+    end = 0
+    for m in _PLAIN_AT.finditer(text):
+        lo = m.start()
+        while True:
+            at = lo
+            while lo > end and text[lo - 1] in _LOCAL:
+                lo -= 1
+            if lo == at or lo - 5 < end or text[lo - 5 : lo].lower() != " dot " or text[lo - 6 : lo - 5] not in _LOCAL:
+                break
+            lo -= 5
+        if lo < m.start():
+            yield lo, m.end()
+        end = m.end()
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Proposed (kind, start, end), overlapping freely."""
     out: list[tuple[str, int, int]] = []
@@ -143,10 +190,37 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
                     out.append(("card", a, b))
     if "at" in text or "AT" in text or "@" in text:
         out += [("email", *span) for span in _spelt(text)]
+        out += [("email", *span) for span in _plain(text)]
     out += [("iban", *m.span()) for m in _IBAN.finditer(text)]
-    out += [("secret", *m.span()) for m in _KEY.finditer(text)]
-    out += [("secret", *m.span(1)) for m in _ASSIGNED.finditer(text)]
-    return out
+    out += [("secret", *m.span()) for prefix, form in _ISSUED_KEY.items() if prefix in text for m in form.finditer(text)]
+    for form in (_ASSIGNED, _BEARER):
+        for m in form.finditer(text):
+            lo, hi = m.span(1)
+            out.append(("secret", lo, hi))
+            while hi > lo and text[hi - 1] in ".?!":  # a sentence's end rather than the value's
+                hi -= 1
+            if hi - lo >= _LEAST_SECRET:
+                out.append(("secret", lo, hi))
+    out += [("secret", *m.span()) for m in _RANDOM.finditer(text)]
+    out += [("ssn", *m.span()) for m in _SSN.finditer(text)]
+    if ":" in text:
+        out += [("ip6", *m.span()) for m in _IP6.finditer(text) if _ip6_ok(m.group())]
+    out += [("passport", *m.span()) for m in _PASSPORT.finditer(text)]
+    return list(dict.fromkeys(out))
+
+
+def _ip6_ok(s: str) -> bool:
+    if s.count(":") < 2:
+        return False
+    try:
+        return bool(ipaddress.IPv6Address(s))
+    except ValueError:
+        return False
+
+
+def _ssn_ok(digits: str) -> bool:
+    """Whether nine digits are a number that could have been issued."""
+    return len(digits) == 9 and digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
 
 
 def _iban_ok(s: str) -> bool:
@@ -154,11 +228,15 @@ def _iban_ok(s: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+_HEX = frozenset("0123456789abcdef")
+_TOP = frozenset("com org net edu gov io de fr es it uk eu info ch at nl us".split())  # ends of common host names: fixed values
+
+
 def features(text: str, kind: str, lo: int, hi: int) -> list[int]:
     s = text[lo:hi]
     digits = "".join(c for c in s if "0" <= c <= "9")
     groups = re.findall(r"[0-9]+", s)[:6]
-    before = text[max(0, lo - 24) : lo]
+    before = text[max(0, lo - 32) : lo]
     words = re.findall(r"[A-Za-z-]+", before)
     sizes = [len(g) for g in groups[:4]] + [0] * (4 - min(4, len(groups)))
     upper, lower = sum("A" <= c <= "Z" for c in s), sum("a" <= c <= "z" for c in s)
@@ -185,6 +263,16 @@ def features(text: str, kind: str, lo: int, hi: int) -> list[int]:
         month + 2 * year,
         _HINT_OF.get(words[-1].lower(), 0) if words else 0,
         _HINT_OF.get(words[-2].lower(), 0) if len(words) > 1 else 0,
+        _HINT_OF.get(words[-3].lower(), 0) if len(words) > 2 else 0,
+        s.count(":"),
+        "::" in s,
+        _ssn_ok(digits),
+        " dot " in s.lower(),
+        kind == "email" and re.split(r"[^A-Za-z]+", s.rstrip(" ])}>"))[-1].lower() in _TOP,
+        bool(_KEY.fullmatch(s)),
+        len(s) - len(digits) - upper - lower,
+        sum((a < "A") != (b < "A") for a, b in zip(s, s[1:])),
+        not set(s) - _HEX,
         0 if not before else 1 if before[-1].isspace() else 2 if before[-1].isalnum() else 3 if before[-1] in "=:\"'(" else 4 if before[-1] in "$€£#%+-./," else 5,
         0 if hi >= len(text) else 1 if text[hi].isspace() else 2 if text[hi].isalnum() else 3 if text[hi] in ",.;:\"')" else 4,
         bool(re.match(r"[\x20().-]{1,2}[0-9]", text[hi : hi + 3])),
@@ -215,13 +303,64 @@ def _examples(seed: int, n: int):
         s = f"{head}{check:02d}{body}"
         return " ".join(s[i : i + 4] for i in range(0, len(s), 4)) if r.random() < 0.5 else s
 
+    def some(letters: str, k: int) -> str:
+        return "".join(r.choice(letters) for _ in range(k))
+
+    big = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    mixed, hexes = big + big.lower() + "0123456789", "0123456789abcdef"
+
     def key() -> str:
-        return "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+        return r.choice(("AKIA" + some(big + "234567", 16), r.choice(("ghp_", "gho_", "sk_", "pk_")) + some(mixed, r.randint(20, 40)), f"xox{r.choice('bp')}-{d(12)}-{d(12)}-{some(mixed, 24)}", "sk-" + some(mixed, 40), f"eyJ{some(mixed, r.randint(10, 40))}.eyJ{some(mixed, r.randint(10, 60))}.{some(mixed + '_-', 43)}"))
+
+    def password() -> str:
+        w = word()
+        while len(w) < 4:
+            w += word()
+        return r.choice((w.capitalize(), w)) + r.choice((d(r.randint(1, 4)) + r.choice(("", "", "x", "!", "#", "ab")), "-" + word() + d(2), "!" + d(3), "@" + d(4)))
+
+    def secret() -> tuple[str, str]:
+        name = r.choice(("password", "passwd", "pwd", "secret", "token", "api_key", "Password", "passphrase"))
+        to = name + r.choice(("=", ": ", " = ", ' = "', ":", " is "))
+        return r.choice((
+            lambda: ("", key()),
+            lambda: (to, key()),
+            lambda: (to, some(hexes, r.choice((16, 18, 32, 40)))),
+            lambda: (to, password()),
+            lambda: (r.choice(("Authorization: Bearer ", "bearer ", "Bearer ")), some(mixed + "._-", r.randint(20, 60)) + some(mixed, 1)),
+            lambda: (r.choice(("aws_secret_access_key = ", "aws secret ", "secret key ", "key: ")), some(mixed + "/+", 40)),
+        ))()
+
+    def email() -> str:
+        tail, dot = r.choice(("com", "org", "net", "de", "io")), r.choice((" dot ", " DOT "))
+        return r.choice((
+            lambda: f"{word()}{r.choice(('.', '_', ''))}{d(2)} [at] {word()} [dot] {tail}",
+            lambda: f"{word()}{r.choice(('', '', dot + word(), d(2), '.' + word()))} at {word()}{r.choice(('', '', dot + word()))}{dot}{tail}",
+            lambda: f"{word()}{r.choice(('.' + word(), '_' + word(), d(2)))} at {word()}.{tail}",
+        ))()
+
+    def ssn() -> tuple[str, str]:
+        a, b, c = f"{r.choice((r.randint(1, 665), r.randint(667, 899))):03d}", f"{r.randint(1, 99):02d}", f"{r.randint(1, 9999):04d}"
+        hint = r.choice(("ssn ", "ssn is ", "SSN: ", "social security number ", "social security "))
+        return r.choice((("", f"{a}-{b}-{c}"), (hint, f"{a}-{b}-{c}"), (hint, f"{a} {b} {c}"), (hint, a + b + c)))
+
+    def ip6() -> str:
+        part = lambda k: ":".join(f"{r.randrange(65536):x}" for _ in range(k))
+        return r.choice((f"{r.choice(('2001', '2a02', 'fe80', 'fd00'))}:{part(7)}", f"2001:db8::{part(r.randint(1, 3))}", f"fe80::{part(r.randint(2, 4))}", f"{part(r.randint(3, 5))}::{part(r.randint(1, 2))}"))
+
+    def passport() -> tuple[str, str]:
+        value = r.choice((d(9), some(big, 1) + d(8), some(big, 2) + d(7), some(big, 1) + d(7), "".join(("C", d(1), some("FGHJKLMNPRTVWXYZ", 1), d(2), some("FGHJKLMNPRTVWXYZ", 2), d(2)))))
+        return r.choice(("passport ", "passport no. ", "passport number ", "passport number is ", "Passport No: ", "passport: ")), value
+
+    hints = {"phone": "tel ", "card": "card ", "iban": "iban ", "email": "mail ", "ip6": "host "}
+    made = {"phone": phone, "card": card, "iban": iban, "email": email, "ip6": ip6}
+    whole = {"secret": secret, "ssn": ssn, "passport": passport}  # with the hint that such a value needs
 
     def alike() -> str:
         y = r.randint(1900, 2030)
         return r.choice(
-            (f"{y}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.{y}", f"{r.randint(1, 28):02d}/{r.randint(1, 12):02d}/{y} {r.randint(0, 23):02d}", f"{y}-{y + 3}", d(r.randint(7, 11)), d(r.randint(12, 19)), f"{d(3)}.{d(3)}.{d(3)}", f"{d(1)}.{d(6)}", f"{d(3)} {d(3)} {d(3)} {d(3)} {d(3)}", f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"{d(2)} {d(2)} {d(2)}", f"{d(5)}-{d(5)}", f"{d(4)} {d(4)}", f"{d(4)}/{d(4)}", f"{d(3)}-{d(2)}-{d(6)}-{d(3)}", f"DE{d(20)}", word().upper() + d(8), f"{d(2)},{d(3)}.{d(2)}", f"{y}{r.randint(1, 12):02d}{r.randint(1, 28):02d}{d(6)}", " ".join(str(i % 10) for i in range(r.randint(0, 2), r.randint(9, 17))))
+            (f"{y}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.{y}", f"{r.randint(1, 28):02d}/{r.randint(1, 12):02d}/{y} {r.randint(0, 23):02d}", f"{y}-{y + 3}", d(r.randint(7, 11)), d(r.randint(12, 19)), f"{d(3)}.{d(3)}.{d(3)}", f"{d(1)}.{d(6)}", f"{d(3)} {d(3)} {d(3)} {d(3)} {d(3)}", f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"{d(2)} {d(2)} {d(2)}", f"{d(5)}-{d(5)}", f"{d(4)} {d(4)}", f"{d(4)}/{d(4)}", f"{d(3)}-{d(2)}-{d(6)}-{d(3)}", f"DE{d(20)}", word().upper() + d(8), f"{d(2)},{d(3)}.{d(2)}", f"{y}{r.randint(1, 12):02d}{r.randint(1, 28):02d}{d(6)}", " ".join(str(i % 10) for i in range(r.randint(0, 2), r.randint(9, 17))),
+             f"{d(2)}:{d(2)}:{d(2)}", f"{word()}::{word()}", r.choice(("ab::fe", "bad::add", "a::b", "::", "dead::be")), ":".join(some(hexes, 2) for _ in range(6)), f"{some(big, 2)}{d(r.randint(6, 8))}", f"{some(big, 1)}{d(7)}", d(9), d(8), some(big + "0123456789", 9), f"invoice {d(3)}-{d(2)}-{d(4)}", f"part {d(3)}-{d(2)}-{d(4)}", f"9{d(2)}-{d(2)}-{d(4)}", f"commit {some(hexes, 40)}", some(hexes, 40), some(mixed, 40),
+             f"{r.choice(('password', 'secret', 'token', 'passwd', 'api_key'))}{r.choice((': ', ' = ', '=', ' is '))}{r.choice(('required', 'value', 'missing', 'nothing', word() + word(), word() + '_' + word(), 'getpass.getpass'))}", f"bearer {word()}{word()}{word()}{word()}{word()}", f"{word()} at {word()}.{word()}", f"{word()} at {r.choice(('com', 'site', word()))}.{r.choice(('com', 'org', 'net'))}", f"{word()} at {d(2)}.{d(2)}", f"{word()} at the dot")
         )
 
     for _ in range(n):
@@ -231,14 +370,16 @@ def _examples(seed: int, n: int):
         for _ in range(r.randint(1, 4)):
             if not close:
                 bits.append(" ".join(word() for _ in range(r.randint(1, 4))) + " ")
-            kind = r.choice(("phone", "phone", "card", "card", "iban", "secret", "email", "none", "none", "none", "none", "none"))
+            kind = r.choice(("phone", "phone", "card", "card", "iban", "secret", "secret", "email", "ssn", "ip6", "passport", *("none",) * 10))
             if kind == "none":
                 bits.append(("" if close else r.choice(("version ", "no. ", "order ", "id ", "isbn ", "", "", "", "$", "#"))) + alike())
                 if r.random() < 0.2:
                     bits.append(" " + d(r.randint(1, 3)))
             else:
-                hint = "" if close else r.choice(("", "", {"phone": "tel ", "card": "card ", "iban": "iban ", "secret": "password=", "email": "mail "}[kind]))
-                value = {"phone": phone, "card": card, "iban": iban, "secret": lambda: key() if hint != "password=" else "".join(r.choice("0123456789abcdef") for _ in range(r.choice((16, 18, 32)))), "email": lambda: f"{word()}{r.choice(('.', '_', ''))}{d(2)} [at] {word()} [dot] {r.choice(('com', 'org', 'net'))}"}[kind]()
+                if kind in whole:
+                    hint, value = whole[kind]()
+                else:
+                    hint, value = "" if close else r.choice(("", "", hints[kind])), made[kind]()
                 at = sum(map(len, bits)) + len(hint)
                 truth.append((kind, at, at + len(value)))
                 bits.append(hint + value)
