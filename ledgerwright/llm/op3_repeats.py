@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,10 @@ SHARD_TEXT = (2 << 20, 128 << 20)
 SHARD_BYTES = 6 << 20
 #: Distinct stretches of one anchor that one shard takes, some 80 bytes each.
 ANCHOR_STRETCHES = 1 << 14
+#: Bits of an anchor. Two that come to be alike share a shard for nothing, and repeats are found on the texts all the same.
+ANCHOR_BITS = 42
+#: Texts go to their block in compressed pieces of a share of the block, in bytes.
+PIECE_TEXT = (64 << 10, 1 << 20)
 _NONE = np.iinfo(np.int64).max
 
 
@@ -81,10 +86,41 @@ def stretches(block: tc.Block, least: int, seed: int):
         k = np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         stop = np.minimum(first[own] + (k + 1) * most, stop[own])
         first = first[own] + k * most
-    return anchor[first], first, stop + least - 1, doc[first], sums
+    return tc.mix(anchor[first]) >> np.uint64(64 - ANCHOR_BITS), first, stop + least - 1, doc[first], sums
+
+
+def _pieces(most: int, blocks: int):
+    """Rows of doc_id and text in compressed pieces of about ``most`` bytes of text, dealt to blocks in turn. A text that is
+    repeated very often so goes to different blocks."""
+
+    def run(batches):
+        part = np.array([TaskContext.get().partitionId()], np.uint64)
+        number, held, size = int(tc.mix(part + np.uint64(1))[0]) % blocks, [], 0
+
+        def flush():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(pa.Table.from_batches(held).combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([number % blocks], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
+
+        for batch in batches:
+            for b in tc.blocks(batch.column(1), most):
+                weight = len(b.data) + 16 * len(b)
+                if held and size + weight > most:
+                    yield flush()
+                    number, held, size = number + 1, [], 0
+                held.append(batch.slice(b.lo, len(b)))
+                size += weight
+        if held:
+            yield flush()
+        release()
+
+    return run
 
 
 def _documents(table: pa.Table) -> pa.Table:
+    if "rows" in table.column_names:
+        table = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("rows")])
     return table.select(["doc_id", "text"]).combine_chunks()
 
 
@@ -100,6 +136,24 @@ def _runs_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.flatnonzero(fresh)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Compressed by places of bytes: the high ones of numbers that are near each other are alike."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+
+
+def _unpacked(x: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _ascending(x: np.ndarray) -> bytes:
+    return _packed(np.diff(x, prepend=np.uint64(0)))
+
+
+def _ascended(x: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64)
+
+
 def _anchors(table: pa.Table, least: int, seed: int, shards: int) -> pa.Table:
     """Step 1. Per shard: the block's anchors, and of each whether several documents have it and, as a logarithm
     rounded up, how many different stretches it has."""
@@ -127,16 +181,14 @@ def _anchors(table: pa.Table, least: int, seed: int, shards: int) -> pa.Table:
     number[more] = np.bincount(own[order][_runs(k[order])], minlength=len(first))[more]
     mark = (several + 2 * np.ceil(np.log2(number))).astype(np.uint8)
     a = a[first]
-    shard = a % np.uint64(shards)
-    order = np.argsort(shard, kind="stable")
-    a, mark, shard = a[order], mark[order], shard[order].astype(np.int64)
+    shard = ((a * np.uint64(shards)) >> np.uint64(ANCHOR_BITS)).astype(np.int64)  # ranges of anchors, which are in order
     rows = {"shard": [], "block": [], "anchors": [], "marks": []}
     cut = _runs(shard).tolist() + [len(a)]
     for lo, hi in zip(cut[:-1], cut[1:]):
         rows["shard"].append(int(shard[lo]))
         rows["block"].append(block_id)
-        rows["anchors"].append(a[lo:hi].tobytes())
-        rows["marks"].append(mark[lo:hi].tobytes())
+        rows["anchors"].append(_ascending(a[lo:hi]))
+        rows["marks"].append(_packed(mark[lo:hi]))
     return pa.table(rows, schema=pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("anchors", pa.binary()), ("marks", pa.binary())]))
 
 
@@ -144,9 +196,9 @@ def _shared(table: pa.Table, most: int) -> pa.Table:
     """Step 2. To each block, those of its anchors that a second document has, and among how many shards (a power
     of two, as its logarithm) each one's stretches are dealt."""
     blocks = table.column("block").to_numpy()
-    anchors = [np.frombuffer(x, np.uint64) for x in table.column("anchors").to_pylist()]
+    anchors = [_ascended(x) for x in table.column("anchors").to_pylist()]
     a = np.concatenate(anchors)
-    mark = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("marks").to_pylist()])
+    mark = np.concatenate([_unpacked(x, np.uint8) for x in table.column("marks").to_pylist()])
     where = np.repeat(np.arange(len(blocks)), [len(x) for x in anchors])
     order = np.argsort(a, kind="stable")
     a, where, mark = a[order], where[order], mark[order]
@@ -162,7 +214,7 @@ def _shared(table: pa.Table, most: int) -> pa.Table:
     a, where, pieces = a[order], where[order], pieces[order]
     cut = _runs(where).tolist() + [len(a)]
     return pa.table(
-        {"block": [int(blocks[where[lo]]) for lo in cut[:-1]], "anchors": [a[lo:hi].tobytes() for lo, hi in zip(cut[:-1], cut[1:])], "pieces": [pieces[lo:hi].tobytes() for lo, hi in zip(cut[:-1], cut[1:])]},
+        {"block": [int(blocks[where[lo]]) for lo in cut[:-1]], "anchors": [_ascending(a[lo:hi]) for lo, hi in zip(cut[:-1], cut[1:])], "pieces": [_packed(pieces[lo:hi]) for lo, hi in zip(cut[:-1], cut[1:])]},
         schema=pa.schema([("block", pa.int64()), ("anchors", pa.binary()), ("pieces", pa.binary())]),
     )
 
@@ -186,14 +238,6 @@ def _dealt(a: np.ndarray, lo: np.ndarray, hi: np.ndarray, d: np.ndarray, pieces:
 _STRETCH = [("shard", pa.int64()), ("block", pa.int64()), ("anchor", pa.binary()), ("doc", pa.binary()), ("next", pa.binary()), ("size", pa.binary()), ("bytes", pa.binary())]
 
 
-def _packed(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
-
-
-def _unpacked(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
-
-
 def _two_least(group_first: np.ndarray, doc: np.ndarray, nxt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The two smallest different documents of each group, or _NONE where there is no second."""
     low = np.minimum.reduceat(doc, group_first)
@@ -210,8 +254,8 @@ def _stretches(key, docs: pa.Table, answers: pa.Table, least: int, seed: int, sh
         return schema.empty_table()
     docs = _documents(docs)
     ids = docs.column("doc_id").to_numpy()
-    shared = np.concatenate([np.frombuffer(x, np.uint64) for x in answers.column("anchors").to_pylist()])
-    pieces = np.concatenate([np.frombuffer(x, np.uint8) for x in answers.column("pieces").to_pylist()])
+    shared = np.concatenate([_ascended(x) for x in answers.column("anchors").to_pylist()])
+    pieces = np.concatenate([_unpacked(x, np.uint8) for x in answers.column("pieces").to_pylist()])
     if not len(shared):
         return schema.empty_table()
     order = np.argsort(shared)
@@ -299,11 +343,11 @@ def _repeats(table: pa.Table, least: int) -> pa.Table:
     least_doc = least_doc[pick]
     use = (doc[entry] > least_doc) | (nxt[entry] != _NONE)
     pick, entry, least_doc = pick[use], entry[use], least_doc[use]
-    order = np.lexsort((one[entry], block[entry]))
+    order = np.lexsort((k[entry], one[entry], block[entry]))
     pick, entry, least_doc = pick[order], entry[order], least_doc[order]
     to, single = block[entry], one[entry]
     cut = _runs_of(to, single).tolist() + [len(to)]
-    rows = [(int(to[x]), bool(single[x]), k[entry[x:y]].tobytes(), at[pick[x:y]].astype(np.uint16).tobytes(), span[pick[x:y]].astype(np.uint16).tobytes(), least_doc[x:y].tobytes()) for x, y in zip(cut[:-1], cut[1:])]
+    rows = [(int(to[x]), bool(single[x]), _ascending(k[entry[x:y]]), _packed(at[pick[x:y]].astype(np.uint16)), _packed(span[pick[x:y]].astype(np.uint16)), _packed(least_doc[x:y])) for x, y in zip(cut[:-1], cut[1:])]
     return pa.table([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _SPANS)], schema=schema) if rows else schema.empty_table()
 
 
@@ -350,8 +394,9 @@ def _strings(block: tc.Block, least: int, seed: int):
 
 def _told(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys in order, and of each a span in its stretch and the smallest document that has the span."""
-    col = lambda name, kind: np.concatenate([np.empty(0, kind)] + [np.frombuffer(x, kind) for x in answers.column(name).to_pylist()])
-    key, at, size, low = col("key", np.uint64), col("at", np.uint16).astype(np.int64), col("size", np.uint16).astype(np.int64), col("doc", np.int64)
+    col = lambda name, kind: np.concatenate([np.empty(0, kind)] + [_unpacked(x, kind) for x in answers.column(name).to_pylist()])
+    key = np.concatenate([np.empty(0, np.uint64)] + [_ascended(x) for x in answers.column("key").to_pylist()])
+    at, size, low = col("at", np.uint16).astype(np.int64), col("size", np.uint16).astype(np.int64), col("doc", np.int64)
     order = np.argsort(key, kind="stable")
     return key[order], at[order], size[order], low[order]
 
@@ -422,12 +467,10 @@ def remove_repeats(docs: DataFrame, least: int = 50, seed: int = SEED, anchor_st
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).first()["n"]
     n_blocks, shards = (max(1, -(-size // min(most, max(fewest, size // n)))) for (fewest, most), n in ((BLOCK_TEXT, 256), (SHARD_TEXT, 128)))
-    docs = docs.select(
-        # repeated rows go to different blocks: as many at least as there are parts of the input that hold them
-        F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n_blocks)).alias("block"),
-        F.coalesce("doc_id", F.lit(_NONE)).alias("doc_id"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )  # all three uses below share one shuffle of the texts
+    fewest, most = PIECE_TEXT
+    piece = max(fewest, min(most, size // n_blocks // 16))
+    # all three uses below share one shuffle of the texts
+    docs = docs.select(F.coalesce("doc_id", F.lit(_NONE)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_pieces(piece, n_blocks), "block bigint, rows binary")
     anchors = docs.groupBy("block").applyInArrow(_grouped(_anchors, least=least, seed=seed, shards=shards), "shard bigint, block bigint, anchors binary, marks binary")
     shared = anchors.groupBy("shard").applyInArrow(_grouped(_shared, most=anchor_stretches), "block bigint, anchors binary, pieces binary")
     found = docs.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
