@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
 MARKS = "$,()"
+# Amounts of at most two places whose marks stand where they are expected; and a pair of parentheses around all.
+PLAIN = r"\A(-?\$?[0-9][0-9,]{0,15}(\.[0-9]{1,2})?|\(\$?[0-9][0-9,]{0,15}(\.[0-9]{1,2})?\))\z"
+AROUND = r"(?s)\A\((.*)\)\z"
 
 
 def parse_amount(value: Column) -> Column:
@@ -14,14 +17,19 @@ def parse_amount(value: Column) -> Column:
 
     Parentheses count as a pair around the whole amount alone; anywhere else they are an error, as is any other
     text that is no number or has parts of a cent, whatever the session's ANSI setting."""
-    text = F.trim(value.cast("string"))
-    negative = text.startswith("(") & text.endswith(")")
-    inner = F.when(negative, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
-    digits = F.translate(inner, "$,", "")
-    exact = digits.try_cast("decimal(38,12)")
+    written = value.cast("string")
+    # most amounts are written plainly: one match and one cast
+    common = F.when(written.rlike(PLAIN), F.translate(written, "($,)", "-").try_cast(MONEY))
+    # the rest in a function of its own, so that the code for all rows stays small enough to be compiled
+    rest = F.element_at(F.transform(F.array(F.trim(written)), _any_amount), 1)
+    return F.when(value.isNull(), F.lit(0).cast(MONEY)).otherwise(F.coalesce(common, rest)).cast(MONEY)
+
+
+def _any_amount(text: Column) -> Column:
+    exact = F.translate(F.regexp_replace(text, AROUND, "$1"), "$,", "").try_cast("decimal(38,12)")
     plain = F.when(exact == exact.cast(MONEY), exact.cast(MONEY))  # nothing is rounded
     sound = F.coalesce(plain, F.raise_error(F.concat(F.lit("not an amount: "), text)).cast(MONEY))
-    return F.when(value.isNull(), F.lit(0).cast(MONEY)).when(negative, -sound).otherwise(sound).cast(MONEY)
+    return F.when(text.rlike(AROUND), -sound).otherwise(sound).cast(MONEY)
 
 
 def needs_parsing(value: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerwright import contract as policy
 from ledgerwright.functions.calendar import Grid, asof_expand, asof_sums, span
+from ledgerwright.functions.money import parse_amount
 from ledgerwright.functions.running import first_rows, running_sums
 from ledgerwright.operators import cleaning, experiment, metrics, restatement, retention, star
 from ledgerwright.plans import bindings, registry
@@ -329,3 +330,18 @@ def test_refunds_as_a_stream(spark, tmp_path):
     rows_of = lambda x: sorted((r["invoice_id"], r["effective_date"]) for r in x.collect())
     assert rows_of(got) == rows_of(want) and len(rows_of(got)) == 60
     assert any(r["effective_date"] == r["issued_date"] for r in got.collect())  # met none, and came when the watermark passed
+
+
+def test_plain_amounts_are_cast_once(spark):
+    """Plain and odd spellings alike; and whatever is rare stays out of the code that runs for each row."""
+    texts = {
+        "5": "5", "$1,234.56": "1234.56", "(500.00)": "-500", "($1,234.5)": "-1234.5", " (1.00) ": "-1", "-$3": "-3",
+        "$-3": "-3", "5.000": "5", "(-4)": "4", "1e2": "100", ",5": "5", None: "0",
+    }
+    got = spark.createDataFrame([(t,) for t in texts], "v string").coalesce(1).select(parse_amount(F.col("v")).alias("a"))
+    assert [r["a"] for r in got.collect()] == [Decimal(x) for x in texts.values()]
+    for bad in ("", "()", "5)", "5.001", "1e-3", "99999999999999999.99"):
+        with pytest.raises(Exception, match="not an amount"):
+            spark.createDataFrame([(bad,)], "v string").select(parse_amount(F.col("v"))).collect()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "decimal(38,12)" not in plan.split("transform(")[0]
