@@ -9,11 +9,14 @@ from ..functions.calendar import Grid, asof_expand
 from ..functions.money import ratio, total, total_if
 
 
-def build_panel(subscriptions: DataFrame, grid: Grid, months: DataFrame | None = None) -> DataFrame:
+def build_panel(subscriptions: DataFrame, grid: Grid, months: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """month, customer_id, mrr, plan_tier (of the lowest subscription_id): one row a live customer and month.
 
-    ``months``: only these months of the grid."""
-    live = asof_expand(subscriptions.select("subscription_id", "customer_id", "plan_tier", "mrr", "period_start", "period_end"), grid, "month")
+    ``months``: only these months of the grid. ``parts``: periods are dealt to so many tasks by customer before they are
+    expanded, and what is grouped by customer and month stays there; with a number that follows the rows, what a task
+    holds does not grow with them."""
+    periods = subscriptions.select("subscription_id", "customer_id", "plan_tier", "mrr", "period_start", "period_end")
+    live = asof_expand(periods if parts is None else periods.repartition(parts, "customer_id"), grid, "month")
     if months is not None:
         live = live.join(F.broadcast(months.select("month").distinct()), "month", "left_semi")  # at most the grid's months
     return live.groupBy("month", "customer_id").agg(total("mrr").alias("mrr"), F.min_by("plan_tier", "subscription_id").alias("plan_tier"))

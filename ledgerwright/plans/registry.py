@@ -20,6 +20,7 @@ WEEKS = Grid(b.FIRST_WEEK, b.LAST_WEEK, "week", b.AS_OF)
 ORDER = ["invoice_id", "base_amount", "addon_amount", "reverses_invoice_id"]
 LEAST_COHORT = 50
 LEAST_STRATUM = 20
+PERIODS = 100_000  # of a task of the panel
 EVENTS = {"1996-01": "first full year", "2001-07": "end of data"}
 
 
@@ -65,7 +66,8 @@ class Data:
 
     @cached_property
     def panel(self) -> DataFrame:
-        return retention.build_panel(self.restated.kept, MONTHS)
+        rows = self.spark.read.parquet(f"{self.sf_dir}/orders.parquet").count()  # from the files' footers
+        return retention.build_panel(self.restated.kept, MONTHS, parts=max(self.spark.sparkContext.defaultParallelism, -(-rows // PERIODS)))
 
     @cached_property
     def movement(self) -> DataFrame:
