@@ -125,15 +125,21 @@ def invoice_audit(invoices: DataFrame, firsts: DataFrame, customers: DataFrame,
 
 
 def attribute_refunds(invoices: DataFrame, contract: Contract) -> Step:
-    """effective_date: the date of the invoice that a refund reverses (the latest row of that id), else its own."""
+    """effective_date: the date of the invoice that a refund reverses (the latest row of that id), else its own.
+
+    Rows are made once and meet in one shuffle: each goes to its own id with its date, and a refund a second time to the
+    id that it reverses, where it takes the latest date that came."""
     if contract.refunds_to_original_month:
-        day, named, key = own(invoices, "__original", "__id", "__key")
-        dates = invoices.groupBy(F.col("invoice_id").alias(named)).agg(F.max("issued_date").alias(day))
-        # most rows reverse nothing: each of them is dealt by an id of its own, not all by null
-        reverses = F.col("reverses_invoice_id").isNotNull()
-        dealt = invoices.withColumn(key, F.coalesce(F.col("reverses_invoice_id").cast("string"), F.concat(F.lit("\u0001"), F.col("invoice_id").cast("string"))))
-        found = dealt.join(dates, (F.col(key) == F.col(named)) & reverses, "left")
-        kept = found.withColumn("effective_date", F.coalesce(day, "issued_date")).drop(day, named, key)
+        key, day, asks = own(invoices, "__key", "__day", "__asks")
+        none, other = F.lit(None), F.col("reverses_invoice_id").cast("string")
+        offer = lambda asking: F.struct(F.col("invoice_id").cast("string").alias(key), F.col("issued_date").alias(day), asking.alias(asks))
+        ask = F.struct(other.alias(key), none.cast(invoices.schema["issued_date"].dataType).alias(day), F.lit(True).alias(asks))
+        # a row that reverses nothing is there once, with asks unset; of a refund it is the second one that is kept
+        sides = F.when(other.isNotNull(), F.array(offer(F.lit(False)), ask)).otherwise(F.array(offer(none.cast("boolean"))))
+        # ids begin alike, so they are sorted by their hash first
+        here = Window.partitionBy(F.xxhash64(key), key)
+        met = invoices.select("*", F.inline(sides)).withColumn(day, F.max(day).over(here)).where(F.coalesce(F.col(asks), F.lit(True)))
+        kept = met.withColumn("effective_date", F.when(F.col(asks), F.coalesce(day, "issued_date")).otherwise(F.col("issued_date"))).drop(key, day, asks)
     else:
         kept = invoices.withColumn("effective_date", F.col("issued_date"))
     moved = ~F.col("effective_date").eqNullSafe(F.col("issued_date"))

@@ -356,3 +356,23 @@ def test_panel_stays_with_its_customers(spark):
     moves = lambda df: df._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(month")
     assert moves(retention.cohort_changes(parted)) == 0 < moves(retention.cohort_changes(plain))
     assert sorted(map(str, retention.retention_bridge(parted).collect())) == sorted(map(str, retention.retention_bridge(plain).collect()))
+
+
+def test_refunds_meet_what_they_reverse_in_one_pass(spark):
+    """Rows are made once, whatever made them, and each comes out once."""
+    day = lambda n: D(2024, 1, 1) + n * DAY
+    rows = [("a", day(1), None), ("a", day(5), None), ("b", None, None), ("c", day(3), None), (None, day(4), None), (None, day(2), None), (None, day(6), "a"),
+            ("d", day(7), "a"), ("d", day(8), "d"), ("e", day(9), "nowhere"), ("f", day(9), "b"), ("g", None, "c"), ("h", None, None)]
+    rows += [(f"r{k}", day(20 + k), "a") for k in range(50)]
+    df = spark.createDataFrame([(*r, Decimal(1), i, "x") for i, r in enumerate(rows)], "invoice_id string, issued_date date, reverses_invoice_id string, amount decimal(18,2), n int, __key string")
+    latest: dict = {}
+    for i, d, _ in rows:
+        if i is not None and d is not None:
+            latest[i] = max(latest.get(i, d), d)
+    step = cleaning.attribute_refunds(df, C)
+    assert step.kept.columns == [*df.columns, "effective_date"]
+    got = [(r["n"], r["effective_date"], r["__key"]) for r in step.kept.orderBy("n").collect()]
+    assert got == [(n, d if back is None else latest.get(back, d), "x") for n, (_, d, back) in enumerate(rows)]
+    assert step.audit.first()["rows_affected"] == sum(back in latest and latest[back] != d for _, d, back in rows)
+    plan = step.kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
