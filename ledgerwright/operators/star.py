@@ -98,20 +98,18 @@ def revenue_by_period(fact: DataFrame, attributes: DataFrame | None, by: list[st
     period, dimension and value.
 
     A stock is never added up over time: a period shows what there is at the last of its dates that has facts, and the
-    year before is the same date a year earlier. Facts are summed up by date first, in total and by attribute
-    (grouping sets); then periods look up the dates they need, a handful of rows each. Absent values of an attribute
+    year before is the same date a year earlier. Facts are summed up by date first, in total and by attribute,
+    and a customer counts once for each; then periods look up the dates they need, a handful of rows each. Absent values of an attribute
     are left out, and a period in which an attribute's value has nothing at the last date shows 0 for it if it had
     something a year before.
     """
     day = F.to_date(F.col("date_key").cast("string"), "yyyyMMdd")
     keyed = fact.join(attributes, "customer_id") if attributes is not None else fact
-    sets = keyed.groupingSets([["date_key"], *(["date_key", c] for c in by)], "date_key", *by)
-    sums = sets.agg(F.grouping_id("date_key", *by).alias("__id"), total("mrr").alias("mrr"), F.count_distinct("customer_id").alias("customers"))
-    # bits of the columns that a row is not grouped by, the first one the highest
-    bit = lambda i: F.col("__id").bitwiseAND(1 << (len(by) - 1 - i)) == 0
-    dimension = F.coalesce(*(F.when(bit(i), F.lit(c)) for i, c in enumerate(by)), F.lit("total"))
-    value = F.coalesce(*(F.when(bit(i), F.col(c).cast("string")) for i, c in enumerate(by)), F.when(dimension == "total", F.lit("all")))
-    daily = sums.select("date_key", dimension.alias("dimension"), value.alias("value"), "mrr", "customers").where("value is not null")
+    # by customer first: facts that lie with their customers are told apart where they are, and no expanded row is moved
+    sides = F.array(*(F.struct(F.lit(n).alias("dimension"), v.alias("value")) for n, v in (("total", F.lit("all")), *((c, F.col(c).cast("string")) for c in by))))
+    told = keyed.select("date_key", "customer_id", "mrr", F.inline(sides)).where("value is not null")
+    one = told.groupBy("date_key", "dimension", "value", "customer_id").agg(F.sum("mrr").alias("mrr"))
+    daily = one.groupBy("date_key", "dimension", "value").agg(total("mrr").alias("mrr"), F.count("customer_id").alias("customers"))
     dates = fact.select("date_key").distinct().select(F.inline(_periods(day)), "date_key")
     last = dates.groupBy("grain", "period").agg(F.max("date_key").alias("date_key"))
     then = date_key(F.add_months(day, -12))

@@ -64,10 +64,13 @@ class Data:
     def customers(self) -> cleaning.Step:
         return cleaning.standardise_customers(self.raw["customers"])
 
+    def panel_of(self, periods: int) -> DataFrame:
+        rows = self.spark.read.parquet(f"{self.sf_dir}/orders.parquet").count()  # from the files' footers
+        return retention.build_panel(self.restated.kept, MONTHS, parts=max(self.spark.sparkContext.defaultParallelism, -(-rows // periods)))
+
     @cached_property
     def panel(self) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.sf_dir}/orders.parquet").count()  # from the files' footers
-        return retention.build_panel(self.restated.kept, MONTHS, parts=max(self.spark.sparkContext.defaultParallelism, -(-rows // PERIODS)))
+        return self.panel_of(PERIODS)
 
     @cached_property
     def movement(self) -> DataFrame:
@@ -200,7 +203,7 @@ query("k01_revenue_by_plan")(lambda d: star.revenue_by(star.fact_mrr(d.panel), N
 query("k13_revenue_by_channel")(lambda d: star.revenue_by(star.fact_mrr(d.panel), star.dim_customer(d.customers.kept).select("customer_id", "acquisition_channel"), ["acquisition_channel"]))
 query("k13_revenue_by_cohort")(lambda d: star.revenue_by(star.fact_mrr(d.panel), star.dim_customer(d.customers.kept).select("customer_id", "signup_cohort"), ["signup_cohort"]))
 query("k13_revenue_by_plan_rank")(lambda d: star.revenue_by(star.fact_mrr(d.panel).join(F.broadcast(star.dim_plan(d.spark)), "plan_tier"), None, ["tier_rank", "plan_tier"]))
-query("k02_revenue_by_period")(lambda d: star.revenue_by_period(star.fact_mrr(d.panel), d.customers.kept.select("customer_id", "segment", "acquisition_channel"), ["segment", "plan_tier", "acquisition_channel"]))
+query("k02_revenue_by_period")(lambda d: star.revenue_by_period(star.fact_mrr(d.panel_of(PERIODS // 4)), d.customers.kept.select("customer_id", "segment", "acquisition_channel"), ["segment", "plan_tier", "acquisition_channel"]))
 query("k06_movement_by_period")(lambda d: star.movement_by_period(d.movement))
 query("m01_policy_metrics", 8)(lambda d: metrics.by_month(d.contract, metrics.tables(d.panel, d.dated.kept)))
 query("c06_touched_months")(lambda d: restatement.touched_months(d.raw["subscriptions"], MONTHS))

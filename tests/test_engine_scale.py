@@ -376,3 +376,16 @@ def test_refunds_meet_what_they_reverse_in_one_pass(spark):
     assert step.audit.first()["rows_affected"] == sum(back in latest and latest[back] != d for _, d, back in rows)
     plan = step.kept._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+def test_periods_count_customers_where_they_lie(spark):
+    """A customer counts once a date and value however many facts it has, and no expanded fact is shuffled."""
+    rows = [(20240101, 1, "A", 10, "x"), (20240101, 1, "A", 5, "x"), (20240101, 1, "B", 1, "x"), (20240101, 2, None, 7, "x"), (20240101, None, "A", 2, "x"), (20240101, 3, "B", 4, "x")]
+    fact = spark.createDataFrame([(d, c, p, Decimal(m), o) for d, c, p, m, o in rows], "date_key int, customer_id int, plan_tier string, mrr decimal(28,2), own string")
+    who = spark.createDataFrame([(1, "S"), (2, "S"), (3, None)], "customer_id int, segment string")
+    seen = lambda df: {(r["dimension"], r["value"]): (r["total_mrr"], r["active_customers"]) for r in df.where("grain = 'year'").collect()}
+    assert seen(star.revenue_by_period(fact, None, ["plan_tier"])) == {("total", "all"): (29, 3), ("plan_tier", "A"): (17, 1), ("plan_tier", "B"): (5, 2)}
+    assert seen(star.revenue_by_period(fact, who, ["plan_tier", "segment"])) == {("total", "all"): (27, 3), ("plan_tier", "A"): (15, 1), ("plan_tier", "B"): (5, 2), ("segment", "S"): (23, 2)}
+    plan = star.revenue_by_period(fact.repartition(7, "customer_id"), None, ["plan_tier"])._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "customer_id" in x]
+    assert len(moved) <= 2 and all("REPARTITION_BY_NUM" in x for x in moved), moved
