@@ -129,11 +129,11 @@ def by_month(contract: Contract, given: dict[str, DataFrame], names: list[str] |
     """
     made = compile_metrics(contract)
     names = list(contract.metrics) if names is None else names
-    parts = [given["panel"].select("month").distinct()]
-    for over in TABLES:
+    parts = []
+    for over in sorted(TABLES, key=lambda t: t != "panel"):  # the panel's months, with what is over it, come first
         own = [_column(made[n]) for n in names if made[n].over == over]
-        if own:
-            parts.append(given[over].groupBy("month").agg(*own))
+        if own or over == "panel":
+            parts.append(given[over].groupBy("month").agg(*own) if own else given[over].select("month").distinct())
     return reduce(lambda a, b: a.join(b, "month", "left"), parts).select("month", *names)
 
 

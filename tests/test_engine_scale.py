@@ -378,6 +378,18 @@ def test_refunds_meet_what_they_reverse_in_one_pass(spark):
     assert "Join" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
 
 
+def test_metrics_make_the_panel_twice(spark):
+    """Once for the panel's metrics, whose months are those of the result, and once for the changes."""
+    panel = spark.createDataFrame([(D(2024, 1, 1), 1, Decimal(5), "A"), (D(2025, 1, 1), 1, Decimal(6), "A")], "month date, customer_id int, mrr decimal(28,2), plan_tier string")
+    charges = spark.createDataFrame([(D(2025, 1, 1), Decimal(2)), (D(2026, 1, 1), Decimal(3))], "effective_date date, addon_amount decimal(18,2)")
+    made = metrics.by_month(C, metrics.tables(panel, charges))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 3
+    assert [r["month"] for r in made.orderBy("month").collect()] == [D(2024, 1, 1), D(2025, 1, 1)] and set(made.columns) == {"month", *C.metrics}
+    only = metrics.by_month(C, metrics.tables(panel, charges), ["addon_revenue"]) if "addon_revenue" in C.metrics else None
+    assert only is None or [r["month"] for r in only.orderBy("month").collect()] == [D(2024, 1, 1), D(2025, 1, 1)]
+
+
 def test_periods_count_customers_where_they_lie(spark):
     """A customer counts once a date and value however many facts it has, and no expanded fact is shuffled."""
     rows = [(20240101, 1, "A", 10, "x"), (20240101, 1, "A", 5, "x"), (20240101, 1, "B", 1, "x"), (20240101, 2, None, 7, "x"), (20240101, None, "A", 2, "x"), (20240101, 3, "B", 4, "x")]
